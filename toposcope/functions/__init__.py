@@ -1 +1,2 @@
 
+"""Column-expression helpers shared by the operators."""

@@ -8,6 +8,7 @@ embeddings, and published doubles rounded as ``floor(x * q + 0.5) / q``.
 from __future__ import annotations
 
 from ..functions import text as T
+from ..functions.numeric import SNAP_OFFSET
 from ..plans import params as PR
 
 
@@ -16,7 +17,8 @@ def lit(s: str) -> str:
 
 
 def rnd(expr: str, q: str = "1e6") -> str:
-    return f"(floor(({expr}) * {q} + 0.5) / {q})"
+    """Twin of ``toposcope.functions.numeric.snap``."""
+    return f"(floor(({expr}) * {q} + {SNAP_OFFSET!r}) / {q})"
 
 
 STOPS = "(SELECT unnest([" + ", ".join(lit(w) for w in T.STOP_WORDS) + "]) AS word)"
@@ -189,7 +191,216 @@ def preparation_sql() -> dict[str, str]:
     return q
 
 
+# ---------------------------------------------------------------- model fixtures and scoring
+
+def cell(name: str, i: str, j: str) -> str:
+    h = f"CAST(('0x' || substr(md5('{name}:' || CAST({i} AS VARCHAR) || ':' || CAST({j} AS VARCHAR)), 1, 12)) AS BIGINT)"
+    return f"(CAST(({h} % 2001) - 1000 AS DOUBLE) / 1000.0)"
+
+
+def hash48(expr: str) -> str:
+    return f"CAST(('0x' || substr(md5({expr}), 1, 12)) AS BIGINT)"
+
+
+def normal(keyexpr: str) -> str:
+    u = f"((CAST({hash48(keyexpr + " || ':u'")} AS DOUBLE) + 1.0) / (281474976710656.0 + 1.0))"
+    v = f"(CAST({hash48(keyexpr + " || ':v'")} AS DOUBLE) / 281474976710656.0)"
+    return f"(sqrt(-2.0 * ln({u})) * cos({2 * 3.141592653589793!r} * {v}))"
+
+
+def idot(a: str, b: str) -> str:
+    return f"CAST(list_sum(list_transform(range(1, len({a}) + 1), lambda i: {a}[i] * {b}[i])) AS BIGINT)"
+
+
+def model_ctes(hidden: int = PR.HIDDEN) -> str:
+    H = hidden
+    return f""",
+emb AS (SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(label AS INTEGER) AS label,
+               list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {PR.QUANT} + 0.5) AS BIGINT)) AS qvec
+        FROM embeddings),
+nvec AS (SELECT count(*) AS n FROM emb),
+rho AS (SELECT v.token_id, e.qvec FROM vocab v CROSS JOIN nvec JOIN emb e ON e.vec_id = v.token_id % nvec.n),
+alpha AS (SELECT label AS topic, list(s ORDER BY d) AS qsum
+          FROM (SELECT label, d, CAST(sum(q) AS BIGINT) AS s
+                FROM (SELECT label, unnest(range(len(qvec))) AS d, unnest(qvec) AS q FROM emb)
+                GROUP BY label, d)
+          GROUP BY label),
+lg AS (SELECT a.topic, r.token_id, {idot('r.qvec', 'a.qsum')} AS dot FROM rho r CROSS JOIN alpha a),
+mx AS (SELECT topic, max(dot) AS m FROM lg GROUP BY topic),
+ex AS (SELECT lg.topic, lg.token_id, lg.dot, exp(CAST(lg.dot - mx.m AS DOUBLE) / 1e13) AS e
+       FROM lg JOIN mx USING (topic)),
+beta AS (SELECT topic, token_id, dot, e / sum(e) OVER (PARTITION BY topic) AS p FROM ex),
+hj AS (SELECT range AS j FROM range({H})),
+kj AS (SELECT DISTINCT topic AS j FROM alpha),
+w1 AS (SELECT v.token_id, hj.j, {cell('W1', 'v.token_id', 'hj.j')} AS w FROM vocab v CROSS JOIN hj),
+b1 AS (SELECT j, {cell('b1', '0', 'j')} AS b FROM hj),
+w2 AS (SELECT a.j AS i, b.j AS j, {cell('W2', 'a.j', 'b.j')} AS w FROM hj a CROSS JOIN hj b),
+b2 AS (SELECT j, {cell('b2', '0', 'j')} AS b FROM hj),
+wmu AS (SELECT a.j AS i, b.j AS k, {cell('Wmu', 'a.j', 'b.j')} AS w FROM hj a CROSS JOIN kj b),
+bmu AS (SELECT j AS k, {cell('bmu', '0', 'j')} AS b FROM kj),
+wsg AS (SELECT a.j AS i, b.j AS k, {cell('Ws', 'a.j', 'b.j')} AS w FROM hj a CROSS JOIN kj b),
+bsg AS (SELECT j AS k, {cell('bs', '0', 'j')} AS b FROM kj),
+xw AS (SELECT split, doc_ix, token_id, CAST(cnt AS DOUBLE) / sum(cnt) OVER (PARTITION BY split, doc_ix) AS x
+       FROM bow WHERE split IN ('tr', 'va', 'ts', 'ts_h1')),
+a1 AS (SELECT x.split, x.doc_ix, w1.j, sum(x.x * w1.w) AS s FROM xw x JOIN w1 USING (token_id)
+       GROUP BY x.split, x.doc_ix, w1.j),
+h1 AS (SELECT a1.split, a1.doc_ix, a1.j, greatest(b1.b + a1.s, 0.0) AS h FROM a1 JOIN b1 USING (j)),
+a2 AS (SELECT h1.split, h1.doc_ix, w2.j, sum(h1.h * w2.w) AS s FROM h1 JOIN w2 ON h1.j = w2.i
+       GROUP BY h1.split, h1.doc_ix, w2.j),
+h2 AS (SELECT a2.split, a2.doc_ix, a2.j, greatest(a2.s + b2.b, 0.0) AS h FROM a2 JOIN b2 USING (j)),
+mu0 AS (SELECT h2.split, h2.doc_ix, wm.k, sum(h2.h * wm.w) AS s FROM h2 JOIN wmu wm ON h2.j = wm.i
+        GROUP BY h2.split, h2.doc_ix, wm.k),
+mu AS (SELECT m.split, m.doc_ix, m.k AS topic, m.s + b.b AS mu FROM mu0 m JOIN bmu b USING (k)),
+ls0 AS (SELECT h2.split, h2.doc_ix, ws.k, sum(h2.h * ws.w) AS s FROM h2 JOIN wsg ws ON h2.j = ws.i
+        GROUP BY h2.split, h2.doc_ix, ws.k),
+ls AS (SELECT m.split, m.doc_ix, m.k AS topic, m.s + b.b AS logsigma FROM ls0 m JOIN bsg b USING (k)),
+enc_out AS (SELECT m.split, m.doc_ix, m.topic, m.mu, l.logsigma FROM mu m JOIN ls l USING (split, doc_ix, topic)),
+emx AS (SELECT split, doc_ix, topic, mu, logsigma, exp(mu - max(mu) OVER (PARTITION BY split, doc_ix)) AS e
+        FROM enc_out),
+theta AS (SELECT split, doc_ix, topic, mu, logsigma, e / sum(e) OVER (PARTITION BY split, doc_ix) AS theta FROM emx),
+kl AS (SELECT split, doc_ix, -0.5 * sum(1.0 + logsigma - mu * mu - exp(logsigma)) AS kl
+       FROM theta GROUP BY split, doc_ix),
+probs AS (SELECT b.split, b.doc_ix, b.token_id, b.cnt, sum(t.theta * be.p) AS p
+          FROM bow b JOIN beta be ON be.token_id = b.token_id
+          JOIN theta t ON t.split = b.split AND t.doc_ix = b.doc_ix AND t.topic = be.topic
+          WHERE b.split IN ('tr', 'va', 'ts')
+          GROUP BY b.split, b.doc_ix, b.token_id, b.cnt),
+rec AS (SELECT split, doc_ix, -sum(cnt * ln(p + 1e-6)) AS rec FROM probs GROUP BY split, doc_ix),
+elbo AS (SELECT r.split, r.doc_ix, r.rec, k.kl, r.rec + k.kl AS nelbo FROM rec r JOIN kl k USING (split, doc_ix)),
+h2probs AS (SELECT b.doc_ix, b.cnt, sum(t.theta * be.p) AS p
+            FROM bow b JOIN beta be ON be.token_id = b.token_id
+            JOIN theta t ON t.split = 'ts_h1' AND t.doc_ix = b.doc_ix AND t.topic = be.topic
+            WHERE b.split = 'ts_h2' GROUP BY b.doc_ix, b.token_id, b.cnt),
+ppl_doc AS (SELECT doc_ix, -sum(cnt * ln(p)) / sum(cnt) AS loss FROM h2probs GROUP BY doc_ix),
+ppl AS (SELECT avg(loss) AS loss FROM (SELECT floor(doc_ix / {PR.EVAL_BATCH}) AS b, avg(loss) AS loss FROM ppl_doc GROUP BY b)),
+usage AS (SELECT t.topic, avg(t.theta) AS mean, sum(l.n * t.theta) / sum(l.n) AS weighted
+          FROM theta t JOIN (SELECT doc_ix, sum(cnt) AS n FROM bow WHERE split = 'tr' GROUP BY doc_ix) l
+          ON t.doc_ix = l.doc_ix WHERE t.split = 'tr' GROUP BY t.topic)"""
+
+
+def coherence_ctes(n: int = PR.TOP_WORDS) -> str:
+    return f""",
+top10 AS (SELECT topic, token_id, rank FROM (SELECT topic, token_id,
+              row_number() OVER (PARTITION BY topic ORDER BY dot DESC, token_id) - 1 AS rank FROM beta)
+          WHERE rank < {n}),
+trdocs AS (SELECT DISTINCT doc_ix, token_id FROM bow WHERE split = 'tr'),
+ntr AS (SELECT count(DISTINCT doc_ix) AS n FROM trdocs),
+dfw AS (SELECT t.topic, t.rank, count(d.doc_ix) AS d FROM top10 t LEFT JOIN trdocs d USING (token_id) GROUP BY t.topic, t.rank),
+prs AS (SELECT a.topic, a.rank AS i, b.rank AS j, a.token_id AS wi, b.token_id AS wj
+        FROM top10 a JOIN top10 b ON a.topic = b.topic AND a.rank < b.rank),
+co AS (SELECT p.topic, p.i, p.j, count(d2.doc_ix) AS dij
+       FROM prs p LEFT JOIN trdocs d1 ON d1.token_id = p.wi
+       LEFT JOIN trdocs d2 ON d2.token_id = p.wj AND d2.doc_ix = d1.doc_ix
+       GROUP BY p.topic, p.i, p.j),
+f AS (SELECT co.topic,
+             CASE WHEN co.dij = 0 THEN -1.0
+                  WHEN co.dij = ntr.n THEN 1.0
+                  ELSE (ln(co.dij / ntr.n) - ln(di.d / ntr.n) - ln(dj.d / ntr.n)) / (-ln(co.dij / ntr.n)) END AS f
+      FROM co CROSS JOIN ntr JOIN dfw di ON di.topic = co.topic AND di.rank = co.i
+      JOIN dfw dj ON dj.topic = co.topic AND dj.rank = co.j),
+coh AS (SELECT topic, avg(f) AS coherence FROM f GROUP BY topic)"""
+
+
+def with_model(body: str, coherence: bool = False) -> str:
+    return ("WITH " + newsgroup_ctes() + model_ctes() + (coherence_ctes() if coherence else "")
+            + "\n" + body)
+
+
+def model_sql() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["topic_word_dist"] = with_model(f"SELECT topic, token_id, dot, {rnd('p', '1e12')} AS p FROM beta")
+    q["topic_top_words"] = with_model(
+        "SELECT t.topic, t.rank, t.token_id, v.word FROM (SELECT topic, token_id, "
+        "CAST(row_number() OVER (PARTITION BY topic ORDER BY dot DESC, token_id) - 1 AS BIGINT) AS rank FROM beta) t "
+        f"JOIN vocab v USING (token_id) WHERE t.rank < {PR.NUM_WORDS - 1}")
+    q["decode_ids"] = with_ng(
+        "SELECT b.doc_ix, b.token_id, v.word, b.cnt FROM bow b JOIN vocab v USING (token_id) WHERE b.split = 'va'")
+    q["topic_diversity"] = with_model(
+        f"SELECT {rnd('count(DISTINCT token_id) / (' + str(PR.DIVERSITY_WORDS) + ' * count(DISTINCT topic))')} AS diversity "
+        "FROM (SELECT topic, token_id, row_number() OVER (PARTITION BY topic ORDER BY dot DESC, token_id) AS r FROM beta) "
+        f"WHERE r <= {PR.DIVERSITY_WORDS}")
+    q["nearest_words"] = with_model(
+        "SELECT query_id, rank, token_id, " + rnd("cos", "1e9") + " AS cos FROM ("
+        "SELECT qw.token_id AS query_id, r.token_id, "
+        f"CAST({idot('qw.qvec', 'r.qvec')} AS DOUBLE) / (sqrt(CAST({idot('qw.qvec', 'qw.qvec')} AS DOUBLE)) * sqrt(CAST({idot('r.qvec', 'r.qvec')} AS DOUBLE))) AS cos, "
+        f"CAST(row_number() OVER (PARTITION BY qw.token_id ORDER BY CAST({idot('qw.qvec', 'r.qvec')} AS DOUBLE) / (sqrt(CAST({idot('qw.qvec', 'qw.qvec')} AS DOUBLE)) * sqrt(CAST({idot('r.qvec', 'r.qvec')} AS DOUBLE))) DESC, r.token_id) - 1 AS BIGINT) AS rank "
+        "FROM (SELECT r2.token_id, r2.qvec FROM (SELECT token_id FROM vocab ORDER BY df DESC, word LIMIT 12) qv JOIN rho r2 USING (token_id)) qw "
+        f"CROSS JOIN rho r) WHERE rank < {PR.NEIGHBOURS}")
+    q["encode_docs"] = with_model(
+        f"SELECT split, doc_ix, topic, {rnd('mu', '1e9')} AS mu, {rnd('logsigma', '1e9')} AS logsigma "
+        "FROM enc_out WHERE split IN ('tr', 'va', 'ts')")
+    q["infer_theta"] = with_model(
+        f"SELECT split, doc_ix, topic, {rnd('theta', '1e9')} AS theta FROM theta WHERE split IN ('tr', 'va', 'ts')")
+    q["softmax"] = with_model(
+        f"SELECT split, doc_ix, topic, {rnd('theta', '1e9')} AS theta FROM theta WHERE split = 'tr'")
+    z = f"mu + {normal(f'{PR.SEED!r} || ' + chr(39) + ':0:' + chr(39) + ' || CAST(doc_ix AS VARCHAR) || ' + chr(39) + ':' + chr(39) + ' || CAST(topic AS VARCHAR)')} * exp(logsigma * 0.5)"
+    q["reparameterize"] = with_model(
+        f"SELECT split, doc_ix, topic, {rnd(z)} AS z FROM theta WHERE split = 'tr'")
+    q["kl_divergence"] = with_model(
+        f"SELECT split, {rnd('avg(kl)')} AS kl FROM kl WHERE split IN ('tr', 'va', 'ts') GROUP BY split")
+    q["reconstruction_loss"] = with_model(f"SELECT split, doc_ix, {rnd('rec')} AS rec FROM elbo")
+    q["elbo_forward"] = with_model(
+        f"SELECT split, doc_ix, {rnd('rec')} AS rec, {rnd('kl')} AS kl, {rnd('nelbo')} AS nelbo FROM elbo")
+    q["nelbo"] = with_model(
+        f"SELECT split, {rnd('avg(rec)')} AS rec, {rnd('avg(kl)')} AS kl, {rnd('avg(rec) + avg(kl)')} AS nelbo "
+        "FROM elbo GROUP BY split")
+    q["theta_beta_join"] = with_model(
+        f"SELECT split, doc_ix, token_id, cnt, {rnd('p', '1e12')} AS p FROM probs WHERE split = 'tr'")
+    q["doc_completion_ppl"] = with_model(
+        f"SELECT {rnd('loss')} AS loss, round(exp(loss) * 10) / 10 AS ppl FROM ppl")
+    q["topic_usage"] = with_model(f"SELECT topic, {rnd('mean', '1e9')} AS mean FROM usage")
+    q["topic_usage_weighted"] = with_model(f"SELECT topic, {rnd('weighted', '1e9')} AS weighted FROM usage")
+    q["top_used_topics"] = with_model(
+        f"SELECT topic, {rnd('weighted', '1e9')} AS weighted FROM usage ORDER BY weighted DESC, topic LIMIT 10")
+    q["topic_coherence"] = with_model(
+        f"SELECT CAST(topic AS BIGINT) AS topic, {rnd('coherence')} AS coherence FROM coh "
+        f"UNION ALL SELECT -1, {rnd('avg(coherence)')} FROM coh", coherence=True)
+    q["eval_report"] = with_model(
+        "SELECT metric, CAST(key AS BIGINT) AS key, " + rnd("value") + " AS value FROM ("
+        "SELECT 'ppl' AS metric, -1 AS key, round(exp(loss) * 10) / 10 AS value FROM ppl "
+        "UNION ALL SELECT 'coherence', topic, coherence FROM coh "
+        "UNION ALL SELECT 'coherence', -1, avg(coherence) FROM coh "
+        f"UNION ALL SELECT 'diversity', -1, count(DISTINCT token_id) / ({PR.DIVERSITY_WORDS} * count(DISTINCT topic)) "
+        "FROM (SELECT topic, token_id, row_number() OVER (PARTITION BY topic ORDER BY dot DESC, token_id) AS r FROM beta) "
+        f"WHERE r <= {PR.DIVERSITY_WORDS} "
+        "UNION ALL SELECT 'usage_weighted', topic, weighted FROM usage)", coherence=True)
+    q["sample_topics"] = (
+        "WITH " + model_ctes().lstrip(",\n").split("rho AS")[0].rstrip().rstrip(",") + ",\n"
+        "alpha AS (SELECT DISTINCT label AS topic FROM emb),\n"
+        "pos AS (SELECT topic, row_number() OVER (ORDER BY topic) - 1 AS pos FROM alpha),\n"
+        "k AS (SELECT count(*) AS k FROM alpha)\n"
+        f"SELECT d.range AS draw, p.topic FROM range(10) d CROSS JOIN k "
+        f"JOIN pos p ON p.pos = {hash48(chr(39) + str(PR.SEED) + ':sample:' + chr(39) + ' || CAST(d.range AS VARCHAR)')} % k.k")
+    acts = {
+        "tanh": "tanh(x)",
+        "relu": "greatest(x, 0.0)",
+        "softplus": "CASE WHEN x > 20.0 THEN x ELSE ln(1 + exp(x)) END",
+        "rrelu": f"CASE WHEN x >= 0 THEN x ELSE x * {(1.0 / 8.0 + 1.0 / 3.0) / 2.0!r} END",
+        "leakyrelu": "CASE WHEN x >= 0 THEN x ELSE x * 0.01 END",
+        "elu": "CASE WHEN x > 0 THEN x ELSE 1.0 * (exp(x) - 1) END",
+        "selu": "1.0507009873554805 * CASE WHEN x > 0 THEN x ELSE 1.6732632423543772 * (exp(x) - 1) END",
+    }
+    q["activation"] = " UNION ALL ".join(
+        f"SELECT event_id, '{n}' AS act, {rnd(e, '1e9')} AS y FROM (SELECT event_id, (value - 25.0) / 10.0 AS x FROM events)"
+        for n, e in acts.items())
+    raw = (", rawvec AS (SELECT d.word, e.qvec FROM dfreq d CROSS JOIN nvec "
+           f"JOIN emb e ON e.vec_id = {hash48('d.word')} % nvec.n WHERE {hash48('d.word')} % 2 = 0), "
+           "vin AS (SELECT r.word, list_transform(r.qvec, lambda q: q / 1000000.0) AS vec FROM rawvec r WHERE r.word IN (SELECT word FROM vocab)), "
+           "init AS (SELECT v.token_id, v.word, vi.vec IS NOT NULL AS hit, "
+           "coalesce(vi.vec, list_transform(range(64), lambda d: "
+           + normal(f"'{PR.SEED}:' || CAST(v.token_id AS VARCHAR) || ':' || CAST(d AS VARCHAR)") + " * 0.6)) AS vec "
+           "FROM vocab v LEFT JOIN vin vi USING (word))")
+    base = "WITH " + newsgroup_ctes() + model_ctes().split("rho AS")[0].rstrip().rstrip(",") + raw + "\n"
+    q["vectors_in_vocab"] = base + "SELECT word, vec FROM vin"
+    q["init_embeddings"] = base + "SELECT token_id, word, hit, list_transform(vec, lambda x: " + rnd("x") + ") AS vec FROM init"
+    q["embedding_coverage"] = base + (
+        "SELECT CAST(sum(CAST(hit AS BIGINT)) AS BIGINT) AS hits, CAST(count(*) AS BIGINT) AS vocab_size, "
+        + rnd("avg(CAST(hit AS DOUBLE))") + " AS share FROM init")
+    return q
+
+
 def all_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(preparation_sql())
+    out.update(model_sql())
     return out

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numeric import snap
 from ..functions.ranking import global_row_number
 from ..operators import bow as B
 from ..operators import splits as S
@@ -264,4 +265,228 @@ def q_prepare_lines(spark, sf):
 
 
 def round6(c):
-    return F.floor(c * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
+    return snap(c, 1e6)
+
+
+# ------------------------------------------------------------------ model scoring and analytics
+
+from ..operators import evaluate as EV  # noqa: E402
+from ..operators import model as M  # noqa: E402
+from ..sources import fixtures as FX  # noqa: E402
+from . import params as PR  # noqa: E402
+from .report import ModelContext, eval_report, model_context, query_words  # noqa: E402
+
+
+def round_q(c, q: float = 1e6):
+    return snap(c, q)
+
+
+def ctx_of(spark, sf) -> ModelContext:
+    return model_context(spark, sf)
+
+
+def _long_topics(df: DataFrame, arr: str, out: str, topics: list[int], keys=("split", "doc_ix"),
+                 q: float = 1e9) -> DataFrame:
+    tl = F.array(*[F.lit(t) for t in topics])
+    z = df.select(*keys, F.explode(F.arrays_zip(tl.alias("topic"), F.col(arr).alias("v"))).alias("z"))
+    return z.select(*keys, F.col("z.topic").alias("topic"), round_q(F.col("z.v"), q).alias(out))
+
+
+@register("topic_word_dist")
+def q_topic_word_dist(spark, sf):
+    c = ctx_of(spark, sf)
+    return c.beta_long.select("topic", "token_id", "dot", round_q(F.col("p"), 1e12).alias("p"))
+
+
+@register("topic_top_words")
+def q_topic_top_words(spark, sf):
+    c = ctx_of(spark, sf)
+    top = EV.topic_top_words(c.beta_long, EV.listed_words(PR.NUM_WORDS), c.prepared.vocab)
+    return top.select("topic", "rank", "token_id", "word")
+
+
+@register("decode_ids")
+def q_decode_ids(spark, sf):
+    p = ng(spark, sf)
+    return p.bow().where(F.col("split") == "va").join(
+        V.lookup_side(p.vocab), "token_id").select("doc_ix", "token_id", "word", "cnt")
+
+
+@register("topic_diversity")
+def q_topic_diversity(spark, sf):
+    c = ctx_of(spark, sf)
+    return EV.topic_diversity(c.beta_long, PR.DIVERSITY_WORDS).select(
+        round_q(F.col("diversity")).alias("diversity"))
+
+
+@register("nearest_words")
+def q_nearest_words(spark, sf):
+    c = ctx_of(spark, sf)
+    nn = EV.nearest_words(c.rho, query_words(c), PR.NEIGHBOURS)
+    return nn.select("query_id", "rank", "token_id", round_q(F.col("cos"), 1e9).alias("cos"))
+
+
+@register("encode_docs")
+def q_encode_docs(spark, sf):
+    c = ctx_of(spark, sf)
+    e = c.encoded("tr", "va", "ts")
+    mu = _long_topics(e, "mu", "mu", c.topics)
+    ls = _long_topics(e, "logsigma", "logsigma", c.topics)
+    return mu.join(ls, ["split", "doc_ix", "topic"])
+
+
+@register("infer_theta")
+def q_infer_theta(spark, sf):
+    c = ctx_of(spark, sf)
+    return _long_topics(c.encoded("tr", "va", "ts"), "theta", "theta", c.topics)
+
+
+@register("softmax")
+def q_softmax(spark, sf):
+    c = ctx_of(spark, sf)
+    e = c.encoded("tr").select("split", "doc_ix", M.softmax_array("mu").alias("sm"))
+    return _long_topics(e, "sm", "theta", c.topics)
+
+
+@register("reparameterize")
+def q_reparameterize(spark, sf):
+    c = ctx_of(spark, sf)
+    e = c.encoded("tr").select("split", "doc_ix", M.reparameterize(seed=PR.SEED, step=0).alias("z"))
+    return _long_topics(e, "z", "z", c.topics, q=1e6)
+
+
+@register("kl_divergence")
+def q_kl_divergence(spark, sf):
+    c = ctx_of(spark, sf)
+    kl = M.kl_divergence(c.encoded("tr", "va", "ts"))
+    return kl.groupBy("split").agg(round_q(F.avg("kl")).alias("kl"))
+
+
+def _elbo(c: ModelContext) -> DataFrame:
+    bow = c.bow().where(F.col("split").isin("tr", "va", "ts"))
+    return M.elbo_forward(bow, c.encoded("tr", "va", "ts"), c.beta_side())
+
+
+@register("reconstruction_loss")
+def q_reconstruction_loss(spark, sf):
+    e = _elbo(ctx_of(spark, sf))
+    return e.select("split", "doc_ix", round_q(F.col("rec")).alias("rec"))
+
+
+@register("elbo_forward")
+def q_elbo_forward(spark, sf):
+    e = _elbo(ctx_of(spark, sf))
+    return e.select("split", "doc_ix", round_q(F.col("rec")).alias("rec"),
+                    round_q(F.col("kl")).alias("kl"), round_q(F.col("nelbo")).alias("nelbo"))
+
+
+@register("nelbo")
+def q_nelbo(spark, sf):
+    e = _elbo(ctx_of(spark, sf))
+    return e.groupBy("split").agg(round_q(F.avg("rec")).alias("rec"), round_q(F.avg("kl")).alias("kl"),
+                                  round_q(F.avg("rec") + F.avg("kl")).alias("nelbo"))
+
+
+@register("theta_beta_join")
+def q_theta_beta_join(spark, sf):
+    c = ctx_of(spark, sf)
+    probs = M.word_probabilities(c.bow().where(F.col("split") == "tr"), c.encoded("tr"), c.beta_side())
+    return probs.select("split", "doc_ix", "token_id", "cnt", round_q(F.col("p"), 1e12).alias("p"))
+
+
+@register("doc_completion_ppl")
+def q_doc_completion_ppl(spark, sf):
+    c = ctx_of(spark, sf)
+    h2 = c.bow().where(F.col("split") == "ts_h2").drop("split")
+    r = EV.doc_completion_ppl(h2, c.encoded("ts_h1").drop("split"), c.beta_side(), PR.EVAL_BATCH)
+    return r.select(round_q(F.col("loss")).alias("loss"), "ppl")
+
+
+@register("topic_usage")
+def q_topic_usage(spark, sf):
+    c = ctx_of(spark, sf)
+    u = EV.topic_usage(c.encoded("tr"), c.topics)
+    return u.select("topic", round_q(F.col("mean"), 1e9).alias("mean"))
+
+
+@register("topic_usage_weighted")
+def q_topic_usage_weighted(spark, sf):
+    c = ctx_of(spark, sf)
+    u = EV.topic_usage(c.encoded("tr"), c.topics)
+    return u.select("topic", round_q(F.col("weighted"), 1e9).alias("weighted"))
+
+
+@register("top_used_topics")
+def q_top_used_topics(spark, sf):
+    c = ctx_of(spark, sf)
+    u = EV.topic_usage(c.encoded("tr"), c.topics)
+    return EV.top_used_topics(u, 10).select("topic", round_q(F.col("weighted"), 1e9).alias("weighted"))
+
+
+@register("topic_coherence")
+def q_topic_coherence(spark, sf):
+    c = ctx_of(spark, sf)
+    coh = EV.topic_coherence(c.beta_long, c.bow().where(F.col("split") == "tr"), PR.TOP_WORDS)
+    return coh.select(F.col("topic").cast("bigint").alias("topic"),
+                      round_q(F.col("coherence")).alias("coherence"))
+
+
+@register("eval_report")
+def q_eval_report(spark, sf):
+    return eval_report(ctx_of(spark, sf))
+
+
+@register("sample_topics")
+def q_sample_topics(spark, sf):
+    return EV.sample_topics(FX.alpha(spark, sf), 10, PR.SEED)
+
+
+@register("activation")
+def q_activation(spark, sf):
+    ev = table(spark, sf, "events").select("event_id", ((F.col("value") - 25.0) / 10.0).alias("x"))
+    names = [a for a in M.ACTIVATIONS if a != "glu"]
+    cols = F.array(*[F.struct(F.lit(n).alias("act"), M.activation(n, F.col("x")).alias("y"))
+                     for n in names])
+    z = ev.select("event_id", F.explode(cols).alias("z"))
+    return z.select("event_id", F.col("z.act").alias("act"), round_q(F.col("z.y"), 1e9).alias("y"))
+
+
+def _raw_vectors(spark, sf, p: Prepared) -> DataFrame:
+    """A 'pre-trained vectors file' over every cleaned corpus word (a superset of the
+    vocabulary): words whose md5 draw is even get the embedding at draw % n_vec."""
+    e = FX.embeddings_q(spark, sf)
+    n_vec = e.count()
+    from ..functions.hashing import hash48
+    h = hash48(F.col("word"))
+    w = p.dfreq.select("word", h.alias("h")).where(F.pmod("h", F.lit(2)) == 0)
+    return (w.select("word", F.pmod("h", F.lit(n_vec)).alias("vec_id"), F.lit(0).cast("bigint").alias("line_no"))
+            .join(F.broadcast(e.select("vec_id", "qvec")), "vec_id")
+            .select("word", "line_no",
+                    F.transform("qvec", lambda q: q / F.lit(float(PR.QUANT))).alias("vec")))
+
+
+@register("vectors_in_vocab")
+def q_vectors_in_vocab(spark, sf):
+    from ..sources.corpus import vectors_in_vocab
+    p = ng(spark, sf)
+    return vectors_in_vocab(_raw_vectors(spark, sf, p), p.vocab).select("word", "vec")
+
+
+def _init(spark, sf):
+    from ..sources.corpus import vectors_in_vocab
+    p = ng(spark, sf)
+    vecs = vectors_in_vocab(_raw_vectors(spark, sf, p), p.vocab)
+    return EV.init_embeddings(p.vocab, vecs, 64, PR.SEED)
+
+
+@register("init_embeddings")
+def q_init_embeddings(spark, sf):
+    i = _init(spark, sf)
+    return i.select("token_id", "word", "hit", F.transform("vec", lambda x: round_q(x)).alias("vec"))
+
+
+@register("embedding_coverage")
+def q_embedding_coverage(spark, sf):
+    c = EV.embedding_coverage(_init(spark, sf))
+    return c.select(F.col("hits").cast("bigint").alias("hits"), F.col("vocab_size").cast("bigint").alias("vocab_size"),
+                    round_q(F.col("share")).alias("share"))
