@@ -18,6 +18,11 @@ from ..session import ensure_checkpoint_dir
 
 _LOCAL_MASK = (1 << 33) - 1
 
+# Tables with a proven row count up to this are numbered by one sorted window (a single task
+# sorting at most this many rows); anything larger, or of unknown size, takes the distributed
+# path below.
+SMALL_RANK_ROWS = 1_000_000
+
 # Rows above which a table that "should be small" is no longer broadcast (join falls back to a
 # shuffle join chosen by AQE). 5 M vocabulary rows are roughly 250 MB in a hash relation.
 BROADCAST_MAX_ROWS = 5_000_000
@@ -28,12 +33,17 @@ def _as_col(c) -> Column:
 
 
 def global_row_number(df: DataFrame, order_cols, group_cols=(), name: str = "rn",
-                      num_partitions: int | None = None) -> DataFrame:
+                      num_partitions: int | None = None, rows: int | None = None) -> DataFrame:
     """0-based position of each row in the order ``order_cols`` (within ``group_cols``).
 
     ``order_cols`` must make the order total within a group (end with a unique id).
     Pass a narrow frame (keys and ids only); join wider payloads back afterwards.
+    ``rows``: a row count the caller has proven (e.g. a size-checked vocabulary); at most
+    ``SMALL_RANK_ROWS`` rows are numbered by one sorted window instead of the distributed path.
     """
+    if rows is not None and rows <= SMALL_RANK_ROWS:
+        w = Window.partitionBy(*group_cols).orderBy(*[_as_col(c) for c in order_cols])
+        return df.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     group_names = list(group_cols)

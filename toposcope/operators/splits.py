@@ -36,8 +36,13 @@ def split_holdout(corpus: DataFrame, valid_size: int = 100, seed: int = 2019) ->
     out = corpus.join(F.broadcast(valid), "doc_id", "left")
     split = (F.when(F.col("subset") == "test", F.lit("ts"))
               .when(F.col("_va"), F.lit("va")).otherwise(F.lit("tr")))
-    okey = F.when(F.col("subset") == "test", F.lit("")).otherwise(h)
-    return out.withColumn("split", split).withColumn("okey", okey).drop("_va")
+    return out.withColumn("split", split).withColumn("okey", holdout_order_key(seed=seed)).drop("_va")
+
+
+def holdout_order_key(split: str = "split", doc_id: str = "doc_id", seed: int = 2019):
+    """Order of documents inside a split: the permutation key for tr/va, '' for ts (id order).
+    Recomputed from the id where needed, so token rows never carry it."""
+    return F.when(F.col(split) == "ts", F.lit("")).otherwise(permutation_key(doc_id, seed))
 
 
 def split_fractions(corpus: DataFrame, seed: int = 2019, train: float = 0.85,

@@ -49,9 +49,11 @@ def order_vocab_by_df(vocab: DataFrame) -> DataFrame:
     return vocab.orderBy("df", "word")
 
 
-def assign_ids(vocab: DataFrame, order=("df", "word"), name: str = "token_id") -> DataFrame:
-    """Dense 0-based ids in ``order`` (distributed numbering, no single-task window)."""
-    return global_row_number(vocab, list(order), name=name)
+def assign_ids(vocab: DataFrame, order=("df", "word"), name: str = "token_id",
+               rows: int | None = None) -> DataFrame:
+    """Dense 0-based ids in ``order``. With a proven small row count the numbering is one
+    sorted window; otherwise the distributed numbering (no single-task window)."""
+    return global_row_number(vocab, list(order), name=name, rows=rows)
 
 
 def distinct_train_words(words: DataFrame, arr: str = "words") -> DataFrame:

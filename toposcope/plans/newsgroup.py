@@ -29,13 +29,13 @@ from .params import MAX_DF, MIN_DF, SEED, VALID_SIZE
 @dataclass
 class Prepared:
     corpus: DataFrame
-    words: DataFrame        # (doc_id, split, okey, words)
+    words: DataFrame        # (doc_id, split, words)
     dfreq: DataFrame        # (word, df, in_tr) before pruning
     n_docs: int
     pruned: DataFrame       # (word, df, in_tr) after F3
     candidates: DataFrame   # after stop removal
     vocab: DataFrame        # (token_id, word, df)
-    encoded: DataFrame      # (doc_id, split, okey, pos, token_id, n_tokens) after F1/F2
+    encoded: DataFrame      # (doc_id, split, pos, token_id, n_tokens) after F1/F2
     doc_index: DataFrame    # (doc_id, split, okey, doc_ix)
 
     def bow(self) -> DataFrame:
@@ -49,21 +49,24 @@ def prepare_newsgroup_style(corpus: DataFrame, stops: DataFrame, min_df=MIN_DF,
                             seed: int = SEED, valid_size: int = VALID_SIZE,
                             persist: bool = True) -> Prepared:
     assigned = S.split_holdout(corpus, valid_size=valid_size, seed=seed)
-    words = P.clean_token_arrays(assigned, keys=("doc_id", "split", "okey"))
-    if persist:
-        words = words.persist(StorageLevel.MEMORY_AND_DISK)
+    # not cached: the regex pass is cheaper to run twice (document frequency, encoding) than to
+    # materialise every token array of the corpus
+    words = P.clean_token_arrays(assigned, keys=("doc_id", "split"))
     n_docs = corpus.count()
     dfreq = V.document_frequency(words, extra_flags={"in_tr": F.col("split") == "tr"})
     pruned = V.df_range_filter(dfreq, n_docs, min_df, max_df)
     candidates = V.remove_stops(pruned, stops)
+    if persist:
+        candidates = candidates.persist(StorageLevel.MEMORY_AND_DISK)
     in_train = candidates.where("in_tr").select("word", "df")
-    vocab = V.assign_ids(in_train).select("token_id", "word", "df")
+    vocab = V.assign_ids(in_train, rows=in_train.count()).select("token_id", "word", "df")
     if persist:
         vocab = vocab.persist(StorageLevel.MEMORY_AND_DISK)
-    encoded = S.encode_tokens(words, vocab, carry=("split", "okey"))
+    encoded = S.encode_tokens(words, vocab, carry=("split",))
     encoded = S.drop_single_token_tests(S.drop_empty_docs(encoded))
     if persist:
         encoded = encoded.persist(StorageLevel.MEMORY_AND_DISK)
-    docs = encoded.where(F.col("pos") == 0).select("doc_id", "split", "okey")
+    docs = encoded.where(F.col("pos") == 0).select(
+        "doc_id", "split", S.holdout_order_key(seed=seed).alias("okey"))
     doc_index = S.reindex_docs(docs)
     return Prepared(corpus, words, dfreq, n_docs, pruned, candidates, vocab, encoded, doc_index)

@@ -19,7 +19,7 @@ from ..operators import tokens as P
 from ..operators import vocab as V
 from ..session import scratch_path
 from ..sources import stores
-from ..sources.corpus import newsgroup_corpus, read_stops, table
+from ..sources.corpus import newsgroup_corpus, read_stops, table, text_table
 from . import lines as L
 from .newsgroup import Prepared, prepare_newsgroup_style
 
@@ -35,7 +35,7 @@ def register(name: str):
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return text_table(spark, sf, "documents").select("doc_id", "text")
 
 
 def ng(spark: SparkSession, sf: str) -> Prepared:

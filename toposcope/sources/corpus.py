@@ -17,6 +17,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Text work is CPU-bound per row: when a scan yields fewer splits than there are task slots
+    (a small file with few row groups), spread it round-robin over all slots. A large input
+    already has many splits and is returned unchanged (no shuffle)."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
+
+
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A text-bearing driver table, spread over the task slots when it is small."""
+    return spread_small_input(table(spark, sf_dir, name))
+
+
 def read_corpus(train: DataFrame, test: DataFrame | None = None,
                 test_id_offset: int = TEST_ID_OFFSET) -> DataFrame:
     """Train and test subsets as one ``corpus(doc_id, subset, text)``.
@@ -35,7 +50,7 @@ def read_corpus(train: DataFrame, test: DataFrame | None = None,
 
 def newsgroup_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Driver tables as a two-subset corpus: documents = train, benchmark = test."""
-    return read_corpus(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return read_corpus(text_table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
