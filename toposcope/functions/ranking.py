@@ -72,3 +72,38 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None,
     """Broadcast hint only when the row count is known to be under ``max_rows``."""
     n = df.count() if rows is None else rows
     return F.broadcast(df) if n <= max_rows else df
+
+
+def global_running_sum(df: DataFrame, order_cols, group_cols, value_cols, num_partitions: int | None = None,
+                       prefix: str = "cum_") -> DataFrame:
+    """Inclusive running sums of ``value_cols`` (and the running row count ``<prefix>n``) in
+    ``order_cols`` order within ``group_cols``, without putting a whole group into one task.
+
+    Same scheme as :func:`global_row_number`: rows are range-partitioned on (group, order) so a
+    hot group spans several partitions; inside a range partition a window on (partition, group)
+    gives local running sums (bounded by the partition size); per-(partition, group) totals of
+    earlier partitions are added from a small broadcast table. Values should be exact (integers)
+    if the sums must not depend on the partitioning.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    group_names = list(group_cols)
+    keys = [_as_col(c) for c in group_names] + [_as_col(c) for c in order_cols]
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tagged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                .withColumn("_m", F.monotonically_increasing_id()))
+    tagged = (tagged.withColumn("_p", F.shiftright("_m", 33).cast("int"))
+                    .withColumn("_l", F.col("_m").bitwiseAND(F.lit(_LOCAL_MASK)))
+                    .drop("_m").checkpoint(eager=True))
+    aggs = [F.count(F.lit(1)).alias("_tn")] + [F.sum(v).alias(f"_t_{v}") for v in value_cols]
+    stats = tagged.groupBy("_p", *group_names).agg(*aggs)
+    before = Window.partitionBy(*group_names).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offs = [F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in value_cols]
+    stats = stats.select("_p", *group_names,
+                         F.coalesce(F.sum("_tn").over(before), F.lit(0)).alias("_on"), *offs)
+    local = Window.partitionBy("_p", *group_names).orderBy("_l").rowsBetween(Window.unboundedPreceding, 0)
+    out = tagged.join(F.broadcast(stats), ["_p", *group_names])
+    out = out.withColumn(f"{prefix}n", (F.count(F.lit(1)).over(local) + F.col("_on")).cast("bigint"))
+    for v in value_cols:
+        out = out.withColumn(f"{prefix}{v}", F.sum(v).over(local) + F.col(f"_o_{v}"))
+    return out.drop("_p", "_l", "_on", *[f"_o_{v}" for v in value_cols])

@@ -399,8 +399,185 @@ def model_sql() -> dict[str, str]:
     return q
 
 
+# ---------------------------------------------------------------- sentences, parallel text, logs
+
+def sentence_ctes() -> str:
+    """Sentence tables over the newsgroup vocabulary and the documents dictionary."""
+    model = model_ctes().split("alpha AS")[0].rstrip().rstrip(",")
+    return (newsgroup_ctes() + model + ",\n" + lines_ctes().split("lvocab AS")[0].rstrip().rstrip(",") + f""",
+sents AS (SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS sent_id, conv_id, turn, role, text FROM conversations),
+ndict AS (SELECT count(*) AS n FROM dictionary),
+stoks AS (SELECT s.sent_id, CAST(s.pos AS BIGINT) AS pos, CAST(coalesce(d.id, ndict.n) AS BIGINT) AS tok
+          FROM (SELECT sent_id, unnest(range(len(t))) AS pos, unnest(t) AS word
+                FROM (SELECT sent_id, {ws_expr('text')} AS t FROM sents)) s
+          LEFT JOIN dictionary d USING (word) CROSS JOIN ndict),
+firstv AS (SELECT word, min(token_id) AS token_id FROM vocab GROUP BY word),
+mapped AS (SELECT t.sent_id, t.pos, t.tok, f.token_id FROM stoks t JOIN dictionary d ON d.id = t.tok
+           JOIN firstv f ON f.word = d.word),
+stc AS (SELECT sent_id, token_id, count(*) AS c FROM mapped GROUP BY sent_id, token_id),
+sdim AS (SELECT s.sent_id, u.d, CAST(sum(u.q * s.c) AS BIGINT) AS q
+         FROM stc s JOIN (SELECT token_id, unnest(range(len(qvec))) AS d, unnest(qvec) AS q FROM rho) u USING (token_id)
+         GROUP BY s.sent_id, u.d),
+sq AS (SELECT sent_id, list(q ORDER BY d) AS qsum FROM sdim GROUP BY sent_id),
+svec AS (SELECT s.sent_id, coalesce(q.qsum, list_transform(range(64), lambda i: CAST(0 AS BIGINT))) AS qsum
+         FROM (SELECT DISTINCT sent_id FROM sents) s LEFT JOIN sq q USING (sent_id)),
+tw AS (SELECT j, list(m ORDER BY d) AS wrow FROM (
+         SELECT a.range AS j, b.range AS d,
+                CAST(('0x' || substr(md5('T:' || CAST(b.range AS VARCHAR) || ':' || CAST(a.range AS VARCHAR)), 1, 12)) AS BIGINT) % 2001 - 1000 AS m
+         FROM range(64) a CROSS JOIN range(64) b) GROUP BY j),
+tb AS (SELECT range AS j, {cell('Tb', '0', 'range')} AS b FROM range(64)),
+proj AS (SELECT s.sent_id, list(CAST({idot('w.wrow', 's.qsum')} AS DOUBLE) / {float(PR.QUANT) * 1000.0!r} + tb.b ORDER BY w.j) AS proj
+         FROM svec s CROSS JOIN tw w JOIN tb ON tb.j = w.j GROUP BY s.sent_id),
+st0 AS (SELECT t.sent_id, t.pos, list_transform(e.qvec, lambda q: q / {float(PR.QUANT)!r}) AS x
+        FROM stoks t CROSS JOIN nvec JOIN emb e ON e.vec_id = t.tok % nvec.n),
+st1 AS (SELECT t.sent_id, t.pos, list_transform(e.qvec, lambda q: q / {float(PR.QUANT)!r}) AS x
+        FROM stoks t CROSS JOIN nvec JOIN emb e ON e.vec_id = (t.tok + 1) % nvec.n)""")
+
+
+def vadd(a: str, b: str, q: str = "1e9") -> str:
+    return f"list_transform(range(1, len({a}) + 1), lambda i: {rnd(a + '[i] + ' + b + '[i]', q)})"
+
+
+def vsnap(a: str, q: str = "1e9") -> str:
+    return f"list_transform({a}, lambda v: {rnd('v', q)})"
+
+
+def sentence_sql() -> dict[str, str]:
+    w = "WITH " + sentence_ctes() + "\n"
+    q: dict[str, str] = {}
+    q["dict_to_topic_id"] = w + "SELECT sent_id, pos, tok, token_id FROM mapped"
+    q["sentence_topic_vector"] = w + f"SELECT sent_id, list_transform(qsum, lambda v: v / {float(PR.QUANT)!r}) AS vec FROM svec"
+    q["project_topic"] = w + f"SELECT sent_id, {vsnap('proj')} AS proj FROM proj"
+    q["add_topic_pre"] = w + f"SELECT s.sent_id, s.pos, {vadd('s.x', 'p.proj')} AS x FROM st0 s JOIN proj p USING (sent_id)"
+    q["add_topic_post"] = w + f"SELECT s.sent_id, s.pos, {vadd('s.x', 'p.proj')} AS x FROM st1 s JOIN proj p USING (sent_id)"
+    q["add_topic_decoder"] = w + (
+        f"SELECT s.sent_id, s.pos, {vadd('s.x', 'v.vec')} AS x FROM st0 s JOIN "
+        f"(SELECT sent_id, list_transform(qsum, lambda v: v / {float(PR.QUANT)!r}) AS vec FROM svec) v USING (sent_id)")
+    q["add_topic_decoder_step"] = w + (
+        "SELECT s.sent_id, s.pos, CASE WHEN t.tv IS NULL THEN " + vsnap("s.x") + " ELSE " + vadd("s.x", "t.tv") + " END AS x "
+        f"FROM st0 s LEFT JOIN (SELECT m.sent_id, m.pos, list_transform(r.qvec, lambda v: v / {float(PR.QUANT)!r}) AS tv "
+        "FROM mapped m JOIN rho r USING (token_id)) t USING (sent_id, pos)")
+    q["topic_mode"] = w + (
+        f"SELECT 'encoder_in' AS stage, s.sent_id, s.pos, {vadd('s.x', 'p.proj')} AS x FROM st0 s JOIN proj p USING (sent_id) "
+        f"UNION ALL SELECT 'encoder_out', s.sent_id, s.pos, {vadd('s.x', 'p.proj')} FROM st1 s JOIN proj p USING (sent_id)")
+    # Binarised tokens (offset 4, unknown = 3, end mark 2), mapped back with offset 4
+    x3 = sentence_ctes().replace(
+        "mapped AS (SELECT t.sent_id, t.pos, t.tok, f.token_id FROM stoks t JOIN dictionary d ON d.id = t.tok",
+        "mapped AS (SELECT t.sent_id, t.pos, t.tok, f.token_id FROM stoks t JOIN dictionary d ON d.id = t.tok - 4")
+    x3 = x3.replace(
+        "CAST(coalesce(d.id, ndict.n) AS BIGINT) AS tok",
+        "CAST(coalesce(d.id + 4, 3) AS BIGINT) AS tok")
+    x3 = x3.replace(
+        "          LEFT JOIN dictionary d USING (word) CROSS JOIN ndict),",
+        "          LEFT JOIN dictionary d USING (word) CROSS JOIN ndict\n"
+        f"          UNION ALL SELECT sent_id, CAST(len({ws_expr('text')}) AS BIGINT), CAST(2 AS BIGINT) FROM sents),")
+    q["score_sentences"] = "WITH " + x3 + f"\nSELECT s.sent_id, s.pos, {vadd('s.x', 'p.proj')} AS x FROM st0 s JOIN proj p USING (sent_id)"
+    return q
+
+
+def parallel_ctes() -> str:
+    return f"""
+pairs AS (SELECT CAST(u.conv_id * 1000 + u.turn AS BIGINT) AS pair_id, u.text AS src, a.text AS tgt
+          FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+          WHERE u.role = 'user' AND a.role = 'assistant'),
+jwords AS (SELECT unnest(list_concat({ws_expr('src')}, {ws_expr('tgt')})) AS word FROM pairs),
+jdict AS (SELECT CAST(row_number() OVER (ORDER BY cnt DESC, word) - 1 AS BIGINT) AS id, word, cnt
+          FROM (SELECT word, CAST(count(*) AS BIGINT) AS cnt FROM jwords GROUP BY word)),
+hyps AS (SELECT pair_id, array_to_string(list_filter(t, lambda w, i: i % 7 <> 0), ' ') AS hyp,
+                array_to_string(t, ' ') AS ref
+         FROM (SELECT pair_id, {ws_expr('tgt')} AS t FROM pairs))"""
+
+
+def ngram_expr(t: str, n: int) -> str:
+    return f"list_transform(range(0, len({t}) - {n - 1}), lambda i: array_to_string({t}[i + 1:i + {n}], ' '))"
+
+
+def parallel_sql() -> dict[str, str]:
+    w = "WITH " + parallel_ctes()
+    q: dict[str, str] = {}
+    q["joined_dictionary"] = w + "\nSELECT id, word, cnt FROM jdict"
+    q["binarize"] = w + (
+        f"\nSELECT p.pair_id, CAST(p.pos AS BIGINT) AS pos, CAST(coalesce(d.id + 4, 3) AS BIGINT) AS tok FROM "
+        f"(SELECT pair_id, unnest(range(len(t))) AS pos, unnest(t) AS word FROM (SELECT pair_id, {ws_expr('src')} AS t FROM pairs)) p "
+        f"LEFT JOIN jdict d USING (word) "
+        f"UNION ALL SELECT pair_id, CAST(len({ws_expr('src')}) AS BIGINT), CAST(2 AS BIGINT) FROM pairs")
+    q["strip_subword_marks"] = (
+        "SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS sent_id, "
+        "regexp_replace(replace(coalesce(text, '') || ' ', '@@ ', ''), ' $', '') AS text FROM conversations")
+    q["max_length_filter"] = w + (
+        f"\nSELECT pair_id FROM pairs WHERE len({ws_expr('src')}) <= 1024 AND len({ws_expr('tgt')}) <= 1024")
+    grams = []
+    for n in range(1, 5):
+        grams.append(
+            f"SELECT {n} AS n, pair_id, unnest({ngram_expr('h', n)}) AS gram, 'h' AS side FROM toks "
+            f"UNION ALL SELECT {n}, pair_id, unnest({ngram_expr('r', n)}), 'r' FROM toks")
+    q["corpus_bleu"] = w + f""",
+toks AS (SELECT pair_id, {ws_expr('hyp')} AS h, {ws_expr('ref')} AS r FROM hyps),
+g AS ({' UNION ALL '.join(grams)}),
+hc AS (SELECT n, pair_id, gram, count(*) AS c FROM g WHERE side = 'h' GROUP BY ALL),
+rc AS (SELECT n, pair_id, gram, count(*) AS c FROM g WHERE side = 'r' GROUP BY ALL),
+st AS (SELECT hc.n, sum(least(hc.c, coalesce(rc.c, 0))) AS hits, sum(hc.c) AS total
+       FROM hc LEFT JOIN rc USING (n, pair_id, gram) GROUP BY hc.n),
+ln AS (SELECT CAST(sum(len(h)) AS BIGINT) AS c, CAST(sum(len(r)) AS BIGINT) AS r FROM toks),
+pv AS (SELECT ln.c, ln.r,
+              coalesce(max(CASE WHEN n = 1 THEN hits / total END), 0.0) AS p1,
+              coalesce(max(CASE WHEN n = 2 THEN hits / total END), 0.0) AS p2,
+              coalesce(max(CASE WHEN n = 3 THEN hits / total END), 0.0) AS p3,
+              coalesce(max(CASE WHEN n = 4 THEN hits / total END), 0.0) AS p4
+       FROM ln LEFT JOIN st ON true GROUP BY ln.c, ln.r),
+fin AS (SELECT *, CASE WHEN c > r THEN 1.0 WHEN c > 0 THEN exp(1.0 - r / c) ELSE 0.0 END AS bp FROM pv)
+SELECT {rnd("CASE WHEN least(p1, p2, p3, p4) <= 0 THEN 0.0 ELSE bp * exp((ln(p1) + ln(p2) + ln(p3) + ln(p4)) / 4.0) END", "1e9")} AS bleu,
+       {rnd('bp', '1e9')} AS bp, c AS hyp_len, r AS ref_len,
+       {rnd('p1', '1e9')} AS p1, {rnd('p2', '1e9')} AS p2, {rnd('p3', '1e9')} AS p3, {rnd('p4', '1e9')} AS p4
+FROM fin"""
+    return q
+
+
+def log_ctes() -> str:
+    return """
+d0 AS (SELECT min(CAST(ts AS DATE)) AS d0 FROM events),
+tlog AS (SELECT 0 AS run_id, CAST(datediff('day', d0.d0, CAST(ts AS DATE)) + 1 AS INTEGER) AS epoch,
+                event_id AS batch_key, CAST(round(value * 100) AS BIGINT) AS rec_c FROM events CROSS JOIN d0),
+vlog AS (SELECT run_id, epoch, (sum(rec_c) / count(*)) / 100.0 AS val_ppl FROM tlog GROUP BY run_id, epoch)"""
+
+
+def log_sql() -> dict[str, str]:
+    w = "WITH " + log_ctes()
+    q: dict[str, str] = {}
+    q["running_loss"] = w + """,
+cum AS (SELECT run_id, epoch,
+               count(*) OVER (PARTITION BY run_id, epoch ORDER BY batch_key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n,
+               sum(rec_c) OVER (PARTITION BY run_id, epoch ORDER BY batch_key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s
+        FROM tlog),
+r AS (SELECT run_id, epoch, CAST(n - 1 AS BIGINT) AS batch,
+             floor(((s / n) / 100.0) * 100.0 + 0.5) / 100.0 AS rec,
+             floor(((s / n) / 1000.0) * 100.0 + 0.5) / 100.0 AS kl FROM cum)
+SELECT run_id, epoch, batch, rec, kl, floor((rec + kl) * 100.0 + 0.5) / 100.0 AS nelbo
+FROM r WHERE batch % 2 = 0 AND batch > 0"""
+    q["best_epoch"] = w + f""",
+b AS (SELECT run_id, epoch, val_ppl,
+             val_ppl < coalesce(min(val_ppl) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1e9) AS improved
+      FROM vlog),
+k AS (SELECT run_id, max(epoch) AS kept_epoch FROM b WHERE improved GROUP BY run_id)
+SELECT b.run_id, b.epoch, {rnd('b.val_ppl', '1e9')} AS val_ppl, b.improved, b.epoch = k.kept_epoch AS kept
+FROM b LEFT JOIN k USING (run_id)"""
+    q["anneal_trigger"] = w + f""",
+c AS (SELECT run_id, epoch, val_ppl,
+             CASE WHEN val_ppl >= coalesce(min(val_ppl) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1e9)
+                   AND row_number() OVER (PARTITION BY run_id ORDER BY epoch) - 1 > 10
+                   AND val_ppl > min(val_ppl) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 11 PRECEDING)
+                  THEN 1 ELSE 0 END AS cond
+      FROM vlog),
+d AS (SELECT *, coalesce(sum(cond) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
+SELECT run_id, epoch, cond = 1 AND before < 5 AS trigger, {rnd('0.005 / pow(4.0, least(before + cond, 5))', '1e12')} AS lr FROM d"""
+    return q
+
+
 def all_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(preparation_sql())
     out.update(model_sql())
+    out.update(sentence_sql())
+    out.update(parallel_sql())
+    out.update(log_sql())
     return out

@@ -490,3 +490,155 @@ def q_embedding_coverage(spark, sf):
     c = EV.embedding_coverage(_init(spark, sf))
     return c.select(F.col("hits").cast("bigint").alias("hits"), F.col("vocab_size").cast("bigint").alias("vocab_size"),
                     round_q(F.col("share")).alias("share"))
+
+
+# ------------------------------------------------------------------ sentence topic knowledge
+
+from ..operators import metrics_log as ML  # noqa: E402
+from ..operators import parallel as PA  # noqa: E402
+from ..operators import sentence as SE  # noqa: E402
+
+STATE_WIDTH = 64
+
+
+class SentenceContext:
+    """Tables shared by the sentence queries: dictionary (documents), topic vocabulary and rho
+    (newsgroup-style preparation), conversation sentences and their dictionary tokens."""
+
+    def __init__(self, spark, sf):
+        self.p = ng(spark, sf)
+        self.rho = FX.rho(spark, sf, self.p.vocab)
+        self.dictionary = L.build_dictionary(docs(spark, sf))
+        self.sentences = FX.conversation_sentences(spark, sf)
+        self.tokens = FX.sent_tokens(self.sentences, self.dictionary)
+        self.mapped = SE.dict_to_topic_id(self.tokens, self.dictionary, self.p.vocab)
+        self.proj = SE.Projection(STATE_WIDTH, STATE_WIDTH)
+        self.spark, self.sf = spark, sf
+
+    def topic_vec(self):
+        return SE.sentence_topic_vector(self.mapped, self.rho, self.sentences, STATE_WIDTH)
+
+    def projected(self):
+        q = SE.sentence_topic_qsum(self.mapped, self.rho, self.sentences, STATE_WIDTH)
+        return SE.project_topic(q, self.proj)
+
+    def states(self, shift=0):
+        return FX.token_states(self.spark, self.sf, self.tokens, shift)
+
+
+def snap_vec(col, q=1e9):
+    return F.transform(col, lambda x: snap(x, q))
+
+
+@register("dict_to_topic_id")
+def q_dict_to_topic_id(spark, sf):
+    return SentenceContext(spark, sf).mapped.select("sent_id", "pos", "tok", "token_id")
+
+
+@register("sentence_topic_vector")
+def q_sentence_topic_vector(spark, sf):
+    return SentenceContext(spark, sf).topic_vec()
+
+
+@register("project_topic")
+def q_project_topic(spark, sf):
+    return SentenceContext(spark, sf).projected().select("sent_id", snap_vec("proj").alias("proj"))
+
+
+@register("add_topic_pre")
+def q_add_topic_pre(spark, sf):
+    c = SentenceContext(spark, sf)
+    return SE.add_topic_pre(c.states(0), c.projected()).select("sent_id", "pos", snap_vec("x").alias("x"))
+
+
+@register("add_topic_post")
+def q_add_topic_post(spark, sf):
+    c = SentenceContext(spark, sf)
+    return SE.add_topic_post(c.states(1), c.projected()).select("sent_id", "pos", snap_vec("x").alias("x"))
+
+
+@register("add_topic_decoder")
+def q_add_topic_decoder(spark, sf):
+    c = SentenceContext(spark, sf)
+    return SE.add_topic_decoder(c.states(0), c.topic_vec()).select("sent_id", "pos", snap_vec("x").alias("x"))
+
+
+@register("add_topic_decoder_step")
+def q_add_topic_decoder_step(spark, sf):
+    c = SentenceContext(spark, sf)
+    return SE.add_topic_decoder_step(c.states(0), c.mapped, c.rho).select(
+        "sent_id", "pos", snap_vec("x").alias("x"))
+
+
+@register("topic_mode")
+def q_topic_mode(spark, sf):
+    c = SentenceContext(spark, sf)
+    proj = c.projected()
+    out = SE.apply_topics({"pre", "post"}, states=c.states(0), enc_out=c.states(1), projected=proj)
+    a = out["encoder_in"].select(F.lit("encoder_in").alias("stage"), "sent_id", "pos", snap_vec("x").alias("x"))
+    b = out["encoder_out"].select(F.lit("encoder_out").alias("stage"), "sent_id", "pos", snap_vec("x").alias("x"))
+    return a.unionByName(b)
+
+
+@register("score_sentences")
+def q_score_sentences(spark, sf):
+    """Binarise (reserved ids first) → map to topic ids with the matching offset → sentence
+    vectors → projection → add to the token states before the encoder."""
+    c = SentenceContext(spark, sf)
+    bin_toks = PA.binarize(c.sentences, c.dictionary, key="sent_id")
+    mapped = SE.dict_to_topic_id(bin_toks, c.dictionary, c.p.vocab, id_offset=PA.N_RESERVED)
+    q = SE.sentence_topic_qsum(mapped, c.rho, c.sentences, STATE_WIDTH)
+    proj = SE.project_topic(q, c.proj)
+    states = FX.token_states(spark, sf, bin_toks, 0)
+    return SE.add_topic_pre(states, proj).select("sent_id", "pos", snap_vec("x").alias("x"))
+
+
+# ------------------------------------------------------------------ parallel corpus
+
+@register("joined_dictionary")
+def q_joined_dictionary(spark, sf):
+    return PA.joined_dictionary(FX.pairs(spark, sf))
+
+
+@register("binarize")
+def q_binarize(spark, sf):
+    pr = FX.pairs(spark, sf)
+    return PA.binarize(pr.select("pair_id", F.col("src").alias("text")), PA.joined_dictionary(pr),
+                       key="pair_id")
+
+
+@register("strip_subword_marks")
+def q_strip_subword_marks(spark, sf):
+    s = FX.conversation_sentences(spark, sf)
+    return PA.strip_subword_marks(s, "text").select("sent_id", "text")
+
+
+@register("max_length_filter")
+def q_max_length_filter(spark, sf):
+    return PA.max_length_filter(FX.pairs(spark, sf)).select("pair_id")
+
+
+@register("corpus_bleu")
+def q_corpus_bleu(spark, sf):
+    b = PA.corpus_bleu(FX.hyps(FX.pairs(spark, sf)))
+    return b.select(*[snap(F.col(c), 1e9).alias(c) if c not in ("hyp_len", "ref_len") else F.col(c)
+                      for c in b.columns])
+
+
+# ------------------------------------------------------------------ training logs
+
+@register("running_loss")
+def q_running_loss(spark, sf):
+    return ML.running_loss(FX.train_log(spark, sf), log_interval=2)
+
+
+@register("best_epoch")
+def q_best_epoch(spark, sf):
+    return ML.best_epoch(FX.val_log(spark, sf)).select(
+        "run_id", "epoch", snap(F.col("val_ppl"), 1e9).alias("val_ppl"), "improved", "kept")
+
+
+@register("anneal_trigger")
+def q_anneal_trigger(spark, sf):
+    return ML.anneal_trigger(FX.val_log(spark, sf), nonmono=10, lr=0.005, lr_factor=4.0).select(
+        "run_id", "epoch", "trigger", snap(F.col("lr"), 1e12).alias("lr"))

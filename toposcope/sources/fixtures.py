@@ -95,3 +95,78 @@ def vectors(spark: SparkSession, sf: str, vocab: DataFrame) -> DataFrame:
     return (even.select("word", F.pmod("token_id", F.lit(n_vec)).alias("vec_id"))
             .join(F.broadcast(e.select("vec_id", "qvec")), "vec_id")
             .select("word", F.transform("qvec", lambda q: q / F.lit(float(QUANT))).alias("vec")))
+
+
+# ------------------------------------------------------------------ sentences and parallel text
+
+def conversation_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """``(sent_id, conv_id, turn, role, text)`` with ``sent_id = conv_id · 1000 + turn``."""
+    c = table(spark, sf, "conversations")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).cast("bigint").alias("sent_id"),
+                    "conv_id", "turn", "role", "text")
+
+
+def sent_tokens(sentences: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """``(sent_id, pos, tok)``: white-space tokens with their dictionary id; a token missing from
+    the dictionary gets the first id beyond it (so the out-of-range rule is exercised)."""
+    from ..functions.ranking import broadcast_if_small
+    from ..functions.text import whitespace_tokens
+    n_dict = dictionary.count()
+    toks = sentences.select("sent_id", F.posexplode(whitespace_tokens(F.col("text"))).alias("pos", "word"))
+    side = broadcast_if_small(dictionary.select("word", "id"), n_dict)
+    return toks.join(side, "word", "left").select(
+        "sent_id", F.col("pos").cast("bigint").alias("pos"),
+        F.coalesce(F.col("id"), F.lit(n_dict)).cast("bigint").alias("tok"))
+
+
+def token_states(spark: SparkSession, sf: str, tokens: DataFrame, shift: int = 0) -> DataFrame:
+    """``(sent_id, pos, x)``: the state of a token is the embedding at ``(tok + shift) % n_vec``
+    (shift 0: embeddings; shift 1: stand-in encoder outputs)."""
+    e = embeddings_q(spark, sf)
+    n_vec = e.count()
+    from ..functions.ranking import broadcast_if_small
+    side = broadcast_if_small(e.select("vec_id", "qvec"), n_vec)
+    t = tokens.select("sent_id", "pos", F.pmod(F.col("tok") + F.lit(shift), F.lit(n_vec)).alias("vec_id"))
+    return t.join(side, "vec_id").select(
+        "sent_id", "pos", F.transform("qvec", lambda q: q / F.lit(float(QUANT))).alias("x"))
+
+
+def pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """``(pair_id, src, tgt)``: a user turn and the assistant turn right after it.
+    Turns of one conversation are joined on (conv_id, turn + 1)."""
+    c = table(spark, sf, "conversations")
+    u = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("src"))
+    a = c.where(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("tgt"))
+    return u.join(a, ["conv_id", "turn"]).select(
+        (F.col("conv_id") * 1000 + F.col("turn")).cast("bigint").alias("pair_id"), "src", "tgt")
+
+
+def hyps(pair_df: DataFrame, every: int = 7) -> DataFrame:
+    """``(pair_id, hyp, ref)``: ref = target; hyp = target without every ``every``-th token."""
+    from ..functions.text import whitespace_tokens
+    toks = whitespace_tokens(F.col("tgt"))
+    kept = F.filter(toks, lambda w, i: (i + 1) % every != 0)
+    return pair_df.select("pair_id", F.array_join(kept, " ").alias("hyp"),
+                          F.array_join(toks, " ").alias("ref"))
+
+
+# ------------------------------------------------------------------ training logs
+
+def train_log(spark: SparkSession, sf: str) -> DataFrame:
+    """``(run_id, epoch, batch_key, rec_c)``: one row per event; epoch = day number (1-based) of
+    ``ts``; batches are ordered by ``event_id`` within the day; ``rec`` = value kept as exact
+    hundredths ``rec_c`` (kl = value / 10 is ``rec_c`` thousandths)."""
+    ev = table(spark, sf, "events")
+    day0 = ev.agg(F.min(F.to_date("ts")).alias("d0")).first()["d0"]
+    return ev.select(F.lit(0).alias("run_id"),
+                     (F.datediff(F.to_date("ts"), F.lit(day0)) + 1).alias("epoch"),
+                     F.col("event_id").alias("batch_key"),
+                     F.round(F.col("value") * 100).cast("bigint").alias("rec_c"))
+
+
+def val_log(spark: SparkSession, sf: str) -> DataFrame:
+    """``(run_id, epoch, val_ppl)``: daily mean of ``value`` (computed from exact hundredths)."""
+    t = train_log(spark, sf)
+    return t.groupBy("run_id", "epoch").agg(
+        ((F.sum("rec_c") / F.count(F.lit(1))) / F.lit(100.0)).alias("val_ppl"))
