@@ -573,6 +573,26 @@ SELECT run_id, epoch, cond = 1 AND before < 5 AS trigger, {rnd('0.005 / pow(4.0,
     return q
 
 
+def store_sql() -> dict[str, str]:
+    q: dict[str, str] = {}
+    params = (
+        "SELECT 'W1' AS name, token_id AS i, list(w ORDER BY j) AS vec FROM w1 GROUP BY token_id "
+        "UNION ALL SELECT 'b1', 0, list(b ORDER BY j) FROM b1 "
+        "UNION ALL SELECT 'W2', i, list(w ORDER BY j) FROM w2 GROUP BY i "
+        "UNION ALL SELECT 'b2', 0, list(b ORDER BY j) FROM b2 "
+        "UNION ALL SELECT 'Wmu', i, list(w ORDER BY k) FROM wmu GROUP BY i "
+        "UNION ALL SELECT 'bmu', 0, list(b ORDER BY k) FROM bmu "
+        "UNION ALL SELECT 'Ws', i, list(w ORDER BY k) FROM wsg GROUP BY i "
+        "UNION ALL SELECT 'bs', 0, list(b ORDER BY k) FROM bsg")
+    q["model_store"] = with_model(f"SELECT name, CAST(i AS BIGINT) AS i, {vsnap('vec')} AS vec FROM ({params})")
+    q["topic_words_sink"] = with_model(
+        "SELECT topic, list(word ORDER BY rank) AS words FROM (SELECT t.topic, t.rank, v.word FROM "
+        "(SELECT topic, token_id, row_number() OVER (PARTITION BY topic ORDER BY dot DESC, token_id) - 1 AS rank FROM beta) t "
+        f"JOIN vocab v USING (token_id) WHERE t.rank < {PR.NUM_WORDS - 1}) GROUP BY topic")
+    q["embedding_sink"] = with_model("SELECT token_id, qvec FROM rho")
+    return q
+
+
 def all_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(preparation_sql())
@@ -580,4 +600,5 @@ def all_sql() -> dict[str, str]:
     out.update(sentence_sql())
     out.update(parallel_sql())
     out.update(log_sql())
+    out.update(store_sql())
     return out

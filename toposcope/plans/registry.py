@@ -642,3 +642,84 @@ def q_best_epoch(spark, sf):
 def q_anneal_trigger(spark, sf):
     return ML.anneal_trigger(FX.val_log(spark, sf), nonmono=10, lr=0.005, lr_factor=4.0).select(
         "run_id", "epoch", "trigger", snap(F.col("lr"), 1e12).alias("lr"))
+
+
+# ------------------------------------------------------------------ fitting (N-checked) and stores
+
+from ..operators import fit as FT  # noqa: E402
+
+
+def _state(c: ModelContext) -> FT.ModelState:
+    import numpy as np
+    rho_rows = c.rho.orderBy("token_id").select("qvec").collect()
+    alpha_rows = c.alpha.orderBy("topic").select("qsum").collect()
+    rho_q = np.array([r["qvec"] for r in rho_rows], dtype=float)
+    alpha_q = np.array([r["qsum"] for r in alpha_rows], dtype=float)
+    return FT.initial_state(c.weights.mats, rho_q, alpha_q, float(PR.QUANT), float(FX.ALPHA_DIVISOR))
+
+
+@register("elbo_gradient")
+def q_elbo_gradient(spark, sf):
+    """T5 on the first training batch (batch size 1000, epoch 1): summed gradient blocks."""
+    c = ctx_of(spark, sf)
+    tr = c.packed().where(F.col("split") == "tr")
+    batched = FT.epoch_batches(tr.select("doc_ix", "tokens", "counts"), 1, PR.EVAL_BATCH, PR.SEED)
+    g = FT.elbo_gradient(batched.where(F.col("batch") == 0), _state(c), PR.SEED, 0)
+    return g.select("name", "i", snap_vec("vec").alias("vec"))
+
+
+@register("fit_topics")
+def q_fit_topics(spark, sf):
+    """Three epochs asked = two passes (reference loop), Adam, batch 1000, annealing on."""
+    c = ctx_of(spark, sf)
+    p = c.packed()
+    tr = p.where(F.col("split") == "tr")
+    h1 = p.where(F.col("split") == "ts_h1")
+    h2 = c.bow().where(F.col("split") == "ts_h2").drop("split")
+    _, train_rows, val_rows = FT.fit_topics(tr, h1, h2, _state(c), epochs=3, batch_size=PR.EVAL_BATCH,
+                                            anneal_lr=True, seed=PR.SEED)
+    rows = [("train", e, b, r, k, None, lr) for e, b, r, k, lr in train_rows]
+    rows += [("valid", e, None, None, None, v, lr) for e, v, lr in val_rows]
+    return spark.createDataFrame(rows, "kind string, epoch int, batch int, rec double, kl double, "
+                                       "val_ppl double, lr double")
+
+
+@register("fit_word_vectors")
+def q_fit_word_vectors(spark, sf):
+    """Skip-gram vectors over the cleaned training documents (small width for the check)."""
+    p = ng(spark, sf)
+    words = p.words.where(F.col("split") == "tr").select("words")
+    v = FT.fit_word_vectors(words, vector_size=16, window=4, max_iter=1, min_count=PR.MIN_DF)
+    return v.select("word", F.size("vec").alias("width"))
+
+
+@register("model_store")
+def q_model_store(spark, sf):
+    """Save encoder parameters, rho and alpha with a hyper-parameter record; load back."""
+    c = ctx_of(spark, sf)
+    root = scratch_path(spark, "model")
+    stores.save_model({"params": c.params, "rho": c.rho, "alpha": c.alpha},
+                      {"num_topics": len(c.topics), "t_hidden_size": PR.HIDDEN, "theta_act": c.act},
+                      root)
+    tables, meta = stores.load_model(spark, root, ["params"])
+    assert meta["t_hidden_size"] == PR.HIDDEN
+    return tables["params"].select("name", "i", snap_vec("vec").alias("vec"))
+
+
+@register("topic_words_sink")
+def q_topic_words_sink(spark, sf):
+    """Append the listed top words of every topic; read the appended table back."""
+    c = ctx_of(spark, sf)
+    top = EV.topic_top_words(c.beta_long, EV.listed_words(PR.NUM_WORDS), c.prepared.vocab)
+    path = scratch_path(spark, "topic_words")
+    stores.append_topic_words(top, path)
+    return spark.read.parquet(path).select("topic", "words")
+
+
+@register("embedding_sink")
+def q_embedding_sink(spark, sf):
+    """Write the full word-embedding table and read it back."""
+    c = ctx_of(spark, sf)
+    path = scratch_path(spark, "embeddings")
+    stores.write_embeddings(c.rho, path)
+    return spark.read.parquet(path).select("token_id", "qvec")
