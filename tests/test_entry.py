@@ -50,7 +50,7 @@ def test_vocabulary_join_is_broadcast(spark):
     from toposcope.plans.registry import ng
     prep = ng(spark, SF)
     from toposcope.operators import splits as S
-    enc = S.encode_tokens(prep.words, prep.vocab)
+    enc = S.encode_text(prep.assigned, prep.vocab)
     s = plan(enc)
     assert "BroadcastHashJoin" in s or "BroadcastExchange" in s
     assert "hashpartitioning(doc_id" in s        # the position window is keyed by document

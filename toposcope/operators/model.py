@@ -128,32 +128,84 @@ def softmax_array(arr) -> Column:
 
 
 # ------------------------------------------------------------------ topic-word distribution
+#
+# The K topic vectors are model-sized: every vocabulary partition multiplies its block of rho by
+# alphaᵀ with one exact int64 NumPy product (Arrow batches in ``mapInPandas``); Spark's higher-order
+# array functions are interpreted per element and would be the slow path here. Two passes return
+# only K numbers per partition (per-topic max, then the sum of shifted exponentials); the third
+# pass (lazy) emits beta per token. No shuffle, nothing V-sized on the driver.
+
+def _alpha_matrix(alpha: DataFrame) -> tuple[list[int], np.ndarray]:
+    rows = alpha.orderBy("topic").collect()          # K rows (model-sized)
+    return [int(r["topic"]) for r in rows], np.array([list(r["qsum"]) for r in rows], dtype=np.int64)
+
+
+def _block_dots(pdf: pd.DataFrame, amat: np.ndarray) -> np.ndarray:
+    q = np.array(pdf["qvec"].tolist(), dtype=np.int64).reshape(len(pdf), amat.shape[1])
+    return q @ amat.T                                  # exact: |dot| < 2^63 for quantised inputs
+
 
 def topic_logits(rho: DataFrame, alpha: DataFrame) -> tuple[DataFrame, list[int]]:
-    """Per vocabulary row the K exact integer logits ``dots`` (rho_q · alpha_q); alpha is
-    collected once (K rows, model-sized) and applied as a literal matrix."""
-    arows = alpha.orderBy("topic").collect()
-    topics = [r["topic"] for r in arows]
-    amat = literal_matrix([[int(v) for v in r["qsum"]] for r in arows])
-    dots = F.transform(amat, lambda a: idot(a, F.col("qvec")))
-    return rho.select("token_id", dots.alias("dots")), topics
+    """Per vocabulary row the K exact integer logits ``dots`` (rho_q · alpha_q)."""
+    topics, amat = _alpha_matrix(alpha)
+    bc = rho.sparkSession.sparkContext.broadcast(amat)
+
+    def run(batches):
+        a = bc.value
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"token_id": pdf["token_id"], "dots": list(_block_dots(pdf, a))})
+
+    return rho.select("token_id", "qvec").mapInPandas(run, "token_id bigint, dots array<bigint>"), topics
 
 
 def beta_by_token(rho: DataFrame, alpha: DataFrame) -> tuple[DataFrame, list[int]]:
     """T1 in per-token form ``(token_id, dots ARRAY<BIGINT>, beta ARRAY<DOUBLE>)``: beta[k] is
-    softmax over the vocabulary of topic k, evaluated with the per-topic max subtracted."""
-    logits, topics = topic_logits(rho, alpha)
+    softmax over the vocabulary of topic k, evaluated with the per-topic max subtracted:
+    exp((dot − max) / LOGIT_SCALE) / Σ."""
+    topics, amat = _alpha_matrix(alpha)
     k = len(topics)
-    ex = logits.select(F.posexplode("dots").alias("k", "dot"))
-    mx = {r["k"]: r["m"] for r in ex.groupBy("k").agg(F.max("dot").alias("m")).collect()}
-    mlit = F.array(*[F.lit(int(mx[i])) for i in range(k)])
-    shifted = F.zip_with("dots", mlit, lambda d, m: F.exp((d - m).cast("double") / F.lit(LOGIT_SCALE)))
-    sums = (logits.select(F.posexplode(shifted).alias("k", "e"))
-            .groupBy("k").agg(F.sum("e").alias("s")).collect())
-    sv = {r["k"]: r["s"] for r in sums}
-    slit = F.array(*[F.lit(float(sv[i])) for i in range(k)])
-    beta = F.zip_with(shifted, slit, lambda e, s: e / s)
-    return logits.select("token_id", "dots", beta.alias("beta")), topics
+    sc = rho.sparkSession.sparkContext
+    bc = sc.broadcast(amat)
+    src = rho.select("token_id", "qvec")
+
+    def part_max(batches):
+        a, m = bc.value, None
+        for pdf in batches:
+            if len(pdf):
+                bm = _block_dots(pdf, a).max(axis=0)
+                m = bm if m is None else np.maximum(m, bm)
+        if m is not None:
+            yield pd.DataFrame({"k": np.arange(k), "v": m.astype(np.float64), "i": m})
+
+    parts = src.mapInPandas(part_max, "k int, v double, i bigint").groupBy("k").agg(F.max("i").alias("m"))
+    mx = np.zeros(k, dtype=np.int64)
+    for r in parts.collect():
+        mx[r["k"]] = r["m"]
+    bmx = sc.broadcast(mx)
+
+    def part_sum(batches):
+        a, m, s = bc.value, bmx.value, np.zeros(k)
+        for pdf in batches:
+            if len(pdf):
+                s += np.exp((_block_dots(pdf, a) - m).astype(np.float64) / LOGIT_SCALE).sum(axis=0)
+        yield pd.DataFrame({"k": np.arange(k), "s": s})
+
+    sums = np.zeros(k)
+    for r in src.mapInPandas(part_sum, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect():
+        sums[r["k"]] = r["s"]
+    bsum = sc.broadcast(sums)
+
+    def emit(batches):
+        a, m, sv = bc.value, bmx.value, bsum.value
+        for pdf in batches:
+            if len(pdf):
+                d = _block_dots(pdf, a)
+                b = np.exp((d - m).astype(np.float64) / LOGIT_SCALE) / sv
+                yield pd.DataFrame({"token_id": pdf["token_id"], "dots": list(d), "beta": list(b)})
+
+    out = src.mapInPandas(emit, "token_id bigint, dots array<bigint>, beta array<double>")
+    return out, topics
 
 
 def topic_word_dist(rho: DataFrame, alpha: DataFrame) -> DataFrame:

@@ -77,6 +77,21 @@ def encode_tokens(words: DataFrame, vocab: DataFrame, arr: str = "words",
                .drop("_src_pos"))
 
 
+def encode_text(docs: DataFrame, vocab: DataFrame, text: str = "text", doc: str = "doc_id",
+                carry=()) -> DataFrame:
+    """J1 from raw text (tokenise + explode in one projection), same output as
+    :func:`encode_tokens`."""
+    from .tokens import explode_clean
+    ex = explode_clean(docs, text, keys=(doc, *carry), with_pos=True).withColumnRenamed("pos", "_src_pos")
+    hit = ex.join(lookup_side(vocab), "word", "inner")
+    w = Window.partitionBy(doc).orderBy("_src_pos")
+    wl = Window.partitionBy(doc)
+    return (hit.select(doc, *carry, "_src_pos", F.col("token_id").cast("bigint").alias("token_id"),
+                       (F.row_number().over(w) - 1).cast("bigint").alias("pos"),
+                       F.count(F.lit(1)).over(wl).cast("bigint").alias("n_tokens"))
+               .drop("_src_pos"))
+
+
 def drop_empty_docs(encoded: DataFrame) -> DataFrame:
     """documents with no encoded word have no rows in the long form; this is the identity
     on rows and exists for the array form (``size(tokens) > 0``)."""
@@ -103,7 +118,9 @@ def split_halves_arrays(tokens: str = "tokens"):
     return first, second
 
 
-def reindex_docs(docs: DataFrame, split: str = "split", order=("okey", "doc_id")) -> DataFrame:
-    """Dense 0-based ``doc_ix`` per split in ``order`` (distributed numbering)."""
+def reindex_docs(docs: DataFrame, split: str = "split", order=("okey", "doc_id"),
+                 rows: int | None = None) -> DataFrame:
+    """Dense 0-based ``doc_ix`` per split in ``order`` (distributed numbering; a proven
+    small document count takes the one-window path)."""
     return global_row_number(docs.select("doc_id", split, *[c for c in order if c != "doc_id"]),
-                             list(order), group_cols=[split], name="doc_ix")
+                             list(order), group_cols=[split], name="doc_ix", rows=rows)

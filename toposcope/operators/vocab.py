@@ -30,6 +30,19 @@ def document_frequency(words: DataFrame, doc: str = "doc_id", arr: str = "words"
     return ex.groupBy("word").agg(*aggs).withColumn("df", F.col("df").cast("bigint"))
 
 
+def document_frequency_text(docs: DataFrame, text: str = "text", extra_flags: dict | None = None
+                            ) -> DataFrame:
+    """A1 from raw text: clean, keep each word once per document and count documents, with the
+    tokenisation and explode in one projection."""
+    from .tokens import explode_clean
+    flags = extra_flags or {}
+    src = docs.select("doc_id", text, *[c.alias(n) for n, c in flags.items()])
+    ex = explode_clean(src, text, keys=("doc_id", *flags), distinct=True)
+    aggs = [F.count(F.lit(1)).alias("df")] + [F.max(F.col(n).cast("int")).cast("boolean").alias(n)
+                                              for n in flags]
+    return ex.groupBy("word").agg(*aggs).withColumn("df", F.col("df").cast("bigint"))
+
+
 def df_range_filter(dfreq: DataFrame, n_docs: int, min_df: int | float = 10,
                     max_df: int | float = 0.7) -> DataFrame:
     """keep ``min_df <= df <= max_df`` where a float bound is a share of ``n_docs``

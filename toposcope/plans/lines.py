@@ -71,4 +71,4 @@ def prepare_lines_style(lines: DataFrame, dictionary: DataFrame, stops: DataFram
     if persist:
         encoded = encoded.persist(StorageLevel.MEMORY_AND_DISK)
     docs = encoded.where(F.col("pos") == 0).select("doc_id", "split", "okey")
-    return LinesPrepared(vocab, assign, encoded, S.reindex_docs(docs))
+    return LinesPrepared(vocab, assign, encoded, S.reindex_docs(docs, rows=docs.count()))

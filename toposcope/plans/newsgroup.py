@@ -12,7 +12,7 @@ index numbering. The vocabulary is broadcast behind a row-count check.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import functools
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -26,47 +26,78 @@ from ..operators import vocab as V
 from .params import MAX_DF, MIN_DF, SEED, VALID_SIZE
 
 
-@dataclass
 class Prepared:
-    corpus: DataFrame
-    words: DataFrame        # (doc_id, split, words)
-    dfreq: DataFrame        # (word, df, in_tr) before pruning
-    n_docs: int
-    pruned: DataFrame       # (word, df, in_tr) after F3
-    candidates: DataFrame   # after stop removal
-    vocab: DataFrame        # (token_id, word, df)
-    encoded: DataFrame      # (doc_id, split, pos, token_id, n_tokens) after F1/F2
-    doc_index: DataFrame    # (doc_id, split, okey, doc_ix)
+    """The stages of X1. Vocabulary, counts and the document index are built on first use, so a
+    query that needs only the document frequencies runs only that part."""
+
+    def __init__(self, corpus: DataFrame, stops: DataFrame, min_df, max_df, seed: int,
+                 valid_size: int, persist: bool):
+        self.corpus, self.stops, self.seed, self.persist = corpus, stops, seed, persist
+        # (doc_id, subset, text, split, okey); the hold-out top-k is computed inside the plan
+        self.assigned = S.split_holdout(corpus, valid_size=valid_size, seed=seed)
+        self.n_docs = corpus.count()
+        # not cached: the regex pass is cheaper to run twice (document frequency, encoding) than
+        # to materialise every token array of the corpus
+        self.dfreq = V.document_frequency_text(self.assigned, extra_flags={"in_tr": F.col("split") == "tr"})
+        self.pruned = V.df_range_filter(self.dfreq, self.n_docs, min_df, max_df)
+        self.candidates = V.remove_stops(self.pruned, stops)
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        return df.persist(StorageLevel.MEMORY_AND_DISK) if self.persist else df
+
+    @functools.cached_property
+    def vocab(self) -> DataFrame:
+        """(token_id, word, df): candidates used in training documents, ids by (df, word)."""
+        in_train = self._keep(self.candidates).where("in_tr").select("word", "df")
+        return self._keep(V.assign_ids(in_train, rows=in_train.count()).select("token_id", "word", "df"))
+
+    @functools.cached_property
+    def counts(self) -> DataFrame:
+        """(doc_id, split, token_id, cnt) for tr, va, ts, ts_h1, ts_h2."""
+        return self._keep(bow_counts(self.assigned, self.vocab))
+
+    @functools.cached_property
+    def doc_index(self) -> DataFrame:
+        """(doc_id, split, okey, doc_ix): dense per-split index of the non-empty documents."""
+        docs = (self.counts.where(F.col("split").isin("tr", "va", "ts")).select("doc_id", "split").distinct()
+                .withColumn("okey", S.holdout_order_key(seed=self.seed)))
+        return S.reindex_docs(docs, rows=docs.count())
+
+    @property
+    def words(self) -> DataFrame:
+        """Array form ``(doc_id, split, words)`` of the cleaned documents."""
+        return P.clean_token_arrays(self.assigned, keys=("doc_id", "split"))
+
+    @property
+    def encoded(self) -> DataFrame:
+        """Position-keeping long form ``(doc_id, split, pos, token_id, n_tokens)`` after F1/F2
+        (one window over every document; the bag of words does not need it)."""
+        enc = S.encode_text(self.assigned, self.vocab, carry=("split",))
+        return S.drop_single_token_tests(S.drop_empty_docs(enc))
 
     def bow(self) -> DataFrame:
-        return B.bag_of_words(self.encoded, self.doc_index)
+        return B.attach_doc_index(self.counts, self.doc_index).select("split", "doc_ix", "token_id", "cnt")
 
     def packed(self) -> DataFrame:
-        return B.pack_bow(self.encoded, self.doc_index)
+        return B.attach_doc_index(B.pack_counts(self.counts), self.doc_index).select(
+            "split", "doc_ix", "tokens", "counts")
+
+
+def bow_counts(assigned: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(doc_id, split, token_id, cnt) for every split.
+
+    Train / validation documents need only counts: their token rows go through a hash
+    aggregation with map-side combine (no sort, no per-document window). Only test documents
+    are ordered by position (for the single-token rule and the halves)."""
+    not_test = assigned.where(F.col("split") != "ts")
+    hits = P.explode_clean(not_test, keys=("doc_id", "split")).join(V.lookup_side(vocab), "word")
+    rest = hits.groupBy("doc_id", "split", "token_id").agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
+    test = assigned.where(F.col("split") == "ts")
+    enc = S.drop_single_token_tests(S.encode_text(test, vocab, carry=("split",)))
+    return rest.unionByName(B.counts_by_doc(enc))
 
 
 def prepare_newsgroup_style(corpus: DataFrame, stops: DataFrame, min_df=MIN_DF, max_df=MAX_DF,
                             seed: int = SEED, valid_size: int = VALID_SIZE,
                             persist: bool = True) -> Prepared:
-    assigned = S.split_holdout(corpus, valid_size=valid_size, seed=seed)
-    # not cached: the regex pass is cheaper to run twice (document frequency, encoding) than to
-    # materialise every token array of the corpus
-    words = P.clean_token_arrays(assigned, keys=("doc_id", "split"))
-    n_docs = corpus.count()
-    dfreq = V.document_frequency(words, extra_flags={"in_tr": F.col("split") == "tr"})
-    pruned = V.df_range_filter(dfreq, n_docs, min_df, max_df)
-    candidates = V.remove_stops(pruned, stops)
-    if persist:
-        candidates = candidates.persist(StorageLevel.MEMORY_AND_DISK)
-    in_train = candidates.where("in_tr").select("word", "df")
-    vocab = V.assign_ids(in_train, rows=in_train.count()).select("token_id", "word", "df")
-    if persist:
-        vocab = vocab.persist(StorageLevel.MEMORY_AND_DISK)
-    encoded = S.encode_tokens(words, vocab, carry=("split",))
-    encoded = S.drop_single_token_tests(S.drop_empty_docs(encoded))
-    if persist:
-        encoded = encoded.persist(StorageLevel.MEMORY_AND_DISK)
-    docs = encoded.where(F.col("pos") == 0).select(
-        "doc_id", "split", S.holdout_order_key(seed=seed).alias("okey"))
-    doc_index = S.reindex_docs(docs)
-    return Prepared(corpus, words, dfreq, n_docs, pruned, candidates, vocab, encoded, doc_index)
+    return Prepared(corpus, stops, min_df, max_df, seed, valid_size, persist)

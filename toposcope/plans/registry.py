@@ -165,13 +165,13 @@ def q_split_fractions(spark, sf):
 @register("encode_tokens")
 def q_encode_tokens(spark, sf):
     p = ng(spark, sf)
-    return S.encode_tokens(p.words, p.vocab).select("doc_id", "pos", "token_id", "n_tokens")
+    return S.encode_text(p.assigned, p.vocab).select("doc_id", "pos", "token_id", "n_tokens")
 
 
 @register("drop_empty_docs")
 def q_drop_empty_docs(spark, sf):
     p = ng(spark, sf)
-    enc = S.drop_empty_docs(S.encode_tokens(p.words, p.vocab, carry=("split",)))
+    enc = S.drop_empty_docs(S.encode_text(p.assigned, p.vocab, carry=("split",)))
     return enc.where(F.col("pos") == 0).select("doc_id", "split")
 
 
