@@ -78,3 +78,23 @@ def test_split_fractions(spark):
     docs = spark.range(1000).select(F.col("id").alias("doc_id"))
     got = {r.split: r["count"] for r in S.split_fractions(docs).groupBy("split").count().collect()}
     assert got == {"tr": 850, "ts": 100, "va": 50}
+
+
+def test_distributed_numbering_path_gives_same_tables(spark, monkeypatch):
+    """At cluster scale the vocabulary / document index / dictionary exceed the single-window
+    limit; force that path on a small corpus and compare with the default plan."""
+    from toposcope.functions import ranking as R
+    from toposcope.plans import lines as L
+    from toposcope.sources.corpus import newsgroup_corpus, table
+
+    sf = "/root/testdata/sf0.001"
+
+    def tables():
+        p = prepare_newsgroup_style(newsgroup_corpus(spark, sf), read_stops(spark))
+        d = table(spark, sf, "documents").select("doc_id", "text")
+        lp = L.prepare_lines_style(d, L.build_dictionary(d), read_stops(spark))
+        return (sorted(p.bow().collect()), sorted(p.vocab.collect()), sorted(lp.bow().collect()))
+
+    small = tables()
+    monkeypatch.setattr(R, "SMALL_RANK_ROWS", 0)
+    assert tables() == small

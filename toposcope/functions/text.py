@@ -90,9 +90,17 @@ def word_tokens(text: Column) -> Column:
     return extract_all(text, WORD_PATTERN)
 
 
+@functools.lru_cache(maxsize=None)
+def whitespace_run_pattern() -> str:
+    """A run of characters for which Python's ``str.isspace`` is true."""
+    spaces = [c for c in range(0x110000) if chr(c).isspace()]
+    return "[" + _ranges_to_class(spaces) + "]+"
+
+
 def whitespace_tokens(text: Column) -> Column:
-    """Python ``str.split()`` semantics; case kept."""
-    return extract_all(text, whitespace_token_pattern())
+    """Python ``str.split()`` semantics; case kept. Implemented as a split on white-space runs
+    minus the empty edge pieces (several times faster in Java than extracting the complement)."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), whitespace_run_pattern()), "")
 
 
 def vectorizer_tokens(text: Column) -> Column:

@@ -53,7 +53,7 @@ def split_fractions(corpus: DataFrame, seed: int = 2019, train: float = 0.85,
     n_tr = int(train * n // 1)
     n_ts = int(test * n // 1)
     keyed = corpus.select("doc_id", permutation_key(seed=seed).alias("okey"))
-    ranked = global_row_number(keyed, ["okey", "doc_id"], name="_r")
+    ranked = global_row_number(keyed, ["okey", "doc_id"], name="_r", rows=n)
     split = (F.when(F.col("_r") < n_tr, F.lit("tr"))
               .when(F.col("_r") < n_tr + n_ts, F.lit("ts")).otherwise(F.lit("va")))
     return ranked.select("doc_id", split.alias("split"), "okey")
@@ -78,11 +78,12 @@ def encode_tokens(words: DataFrame, vocab: DataFrame, arr: str = "words",
 
 
 def encode_text(docs: DataFrame, vocab: DataFrame, text: str = "text", doc: str = "doc_id",
-                carry=()) -> DataFrame:
+                carry=(), tokenize=None) -> DataFrame:
     """J1 from raw text (tokenise + explode in one projection), same output as
-    :func:`encode_tokens`."""
+    :func:`encode_tokens`. ``tokenize`` defaults to the cleaning tokeniser (P9)."""
     from .tokens import explode_clean
-    ex = explode_clean(docs, text, keys=(doc, *carry), with_pos=True).withColumnRenamed("pos", "_src_pos")
+    ex = explode_clean(docs, text, keys=(doc, *carry), with_pos=True,
+                       tokenize=tokenize).withColumnRenamed("pos", "_src_pos")
     hit = ex.join(lookup_side(vocab), "word", "inner")
     w = Window.partitionBy(doc).orderBy("_src_pos")
     wl = Window.partitionBy(doc)

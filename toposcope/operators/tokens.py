@@ -66,11 +66,12 @@ def rejoin_text(df: DataFrame, text: str = "text", keys=("doc_id",)) -> DataFram
 
 
 def explode_clean(df: DataFrame, text: str = "text", keys=("doc_id",), distinct: bool = False,
-                  with_pos: bool = False, word: str = "word") -> DataFrame:
-    """P9 straight into long form in ONE projection (tokenise + explode together: exploding an
-    array built by a separate projection re-materialises it and is several times slower).
-    ``distinct`` keeps each word once per document; ``with_pos`` adds the 0-based position."""
-    arr = T.clean_token_array(F.col(text))
+                  with_pos: bool = False, word: str = "word", tokenize=None) -> DataFrame:
+    """P9 (or ``tokenize``, a Column → array function) straight into long form in ONE
+    projection (tokenise + explode together: exploding an array built by a separate projection
+    re-materialises it and is several times slower). ``distinct`` keeps each word once per
+    document; ``with_pos`` adds the 0-based position."""
+    arr = (tokenize or T.clean_token_array)(F.col(text))
     if distinct:
         arr = F.array_distinct(arr)
     if with_pos:

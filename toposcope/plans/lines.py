@@ -9,8 +9,6 @@ discards it).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,50 +23,71 @@ from .params import SEED, TEST_SHARE, TRAIN_SHARE
 
 def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     """``(word, cnt)``: white-space token counts (partially aggregated before the shuffle)."""
-    return (texts.select(F.explode(whitespace_tokens(F.col(text))).alias("word"))
-            .groupBy("word").agg(F.count(F.lit(1)).cast("bigint").alias("cnt")))
+    from ..operators.tokens import explode_clean
+    ex = explode_clean(texts, text, keys=(), tokenize=whitespace_tokens)
+    return ex.groupBy("word").agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
 
 
 def build_dictionary(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Dictionary ``(id, word, cnt)``: ids in (count desc, word) order."""
-    return global_row_number(word_counts(texts, text), [F.col("cnt").desc(), F.col("word")],
-                             name="id").select("id", "word", "cnt")
-
-
-def dictionary_to_vocab(dictionary: DataFrame, stops: DataFrame) -> DataFrame:
-    """B2: dictionary minus stop words, dictionary order kept, ids renumbered from 0. For a word
-    listed twice the last position wins (a word → id map keeps the last assignment)."""
+    """Dictionary ``(id, word, cnt)``: ids in (count desc, word) order. Persisted: every consumer
+    (encoding, binarising, id mapping) reads the same numbered table."""
+    counts = word_counts(texts, text).persist(StorageLevel.MEMORY_AND_DISK)
+    ranked = global_row_number(counts, [F.col("cnt").desc(), F.col("word")], name="id",
+                               rows=counts.count()).select("id", "word", "cnt")
+    return ranked.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def dictionary_to_vocab(dictionary: DataFrame, stops: DataFrame, unique_words: bool = False) -> DataFrame:
+    """B2: dictionary minus stop words, dictionary order kept, ids renumbered from 0.
+
+    The new id is the old id minus the number of removed (stop-word) entries before it; the
+    removed ids are bounded by the stop list (collected, at most its length) and compared as plain
+    column expressions, so no second sort of the dictionary is needed. For a word listed twice
+    the last position wins (a word → id map keeps the last assignment); ``unique_words`` skips
+    that grouping when the dictionary is known to list each word once."""
+    removed = [r["id"] for r in dictionary.join(F.broadcast(stops.select("word")), "word", "left_semi")
+               .select("id").collect()]
     kept = V.remove_stops(dictionary.select("id", "word"), stops)
-    ranked = global_row_number(kept, ["id"], name="token_id")
+    shift = F.lit(0)
+    for rid in removed:
+        shift = shift + (F.col("id") > F.lit(rid)).cast("bigint")
+    ranked = kept.select((F.col("id") - shift).cast("bigint").alias("token_id"), "word")
+    if unique_words:
+        return ranked
     return ranked.groupBy("word").agg(F.max("token_id").alias("token_id")).select("token_id", "word")
 
 
-@dataclass
 class LinesPrepared:
-    vocab: DataFrame
-    assign: DataFrame
-    encoded: DataFrame
-    doc_index: DataFrame
+    def __init__(self, vocab: DataFrame, assign: DataFrame, counts: DataFrame, doc_index: DataFrame,
+                 lines: DataFrame):
+        self.vocab, self.assign, self.counts, self.doc_index, self.lines = vocab, assign, counts, doc_index, lines
+
+    @property
+    def encoded(self) -> DataFrame:
+        toks = self.lines.join(self.assign.select("doc_id", "split"), "doc_id")
+        enc = S.encode_text(toks, self.vocab, carry=("split",), tokenize=whitespace_tokens)
+        return S.drop_single_token_tests(S.drop_empty_docs(enc))
 
     def bow(self) -> DataFrame:
-        return B.bag_of_words(self.encoded, self.doc_index)
+        return B.attach_doc_index(self.counts, self.doc_index).select("split", "doc_ix", "token_id", "cnt")
 
     def packed(self) -> DataFrame:
-        return B.pack_bow(self.encoded, self.doc_index)
+        return B.attach_doc_index(B.pack_counts(self.counts), self.doc_index).select(
+            "split", "doc_ix", "tokens", "counts")
 
 
 def prepare_lines_style(lines: DataFrame, dictionary: DataFrame, stops: DataFrame,
                         seed: int = SEED, persist: bool = True) -> LinesPrepared:
-    vocab = dictionary_to_vocab(dictionary, stops)
+    from .newsgroup import bow_counts
+    vocab = dictionary_to_vocab(dictionary, stops, unique_words=True)
     if persist:
         vocab = vocab.persist(StorageLevel.MEMORY_AND_DISK)
     assign = S.split_fractions(lines, seed=seed, train=TRAIN_SHARE, test=TEST_SHARE)
-    toks = lines.select("doc_id", whitespace_tokens(F.col("text")).alias("words"))
-    # encode first: its window hash-partitions the tokens by doc_id, so joining the one-row-per-
-    # document split table on doc_id shuffles only that small side
-    encoded = S.encode_tokens(toks, vocab).join(assign, "doc_id")
-    encoded = S.drop_single_token_tests(S.drop_empty_docs(encoded))
+    # the split table is one row per line; its join to the text is the only shuffle of text
+    assigned = lines.join(assign, "doc_id")
+    counts = bow_counts(assigned, vocab, tokenize=whitespace_tokens)
     if persist:
-        encoded = encoded.persist(StorageLevel.MEMORY_AND_DISK)
-    docs = encoded.where(F.col("pos") == 0).select("doc_id", "split", "okey")
-    return LinesPrepared(vocab, assign, encoded, S.reindex_docs(docs, rows=docs.count()))
+        counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
+    docs = (counts.where(F.col("split").isin("tr", "va", "ts")).select("doc_id", "split").distinct()
+            .join(assign.select("doc_id", "okey"), "doc_id"))
+    return LinesPrepared(vocab, assign, counts, S.reindex_docs(docs, rows=docs.count()), lines)

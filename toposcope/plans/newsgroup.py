@@ -83,17 +83,18 @@ class Prepared:
             "split", "doc_ix", "tokens", "counts")
 
 
-def bow_counts(assigned: DataFrame, vocab: DataFrame) -> DataFrame:
+def bow_counts(assigned: DataFrame, vocab: DataFrame, tokenize=None) -> DataFrame:
     """(doc_id, split, token_id, cnt) for every split.
 
     Train / validation documents need only counts: their token rows go through a hash
     aggregation with map-side combine (no sort, no per-document window). Only test documents
     are ordered by position (for the single-token rule and the halves)."""
     not_test = assigned.where(F.col("split") != "ts")
-    hits = P.explode_clean(not_test, keys=("doc_id", "split")).join(V.lookup_side(vocab), "word")
+    hits = P.explode_clean(not_test, keys=("doc_id", "split"), tokenize=tokenize).join(
+        V.lookup_side(vocab), "word")
     rest = hits.groupBy("doc_id", "split", "token_id").agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
     test = assigned.where(F.col("split") == "ts")
-    enc = S.drop_single_token_tests(S.encode_text(test, vocab, carry=("split",)))
+    enc = S.drop_single_token_tests(S.encode_text(test, vocab, carry=("split",), tokenize=tokenize))
     return rest.unionByName(B.counts_by_doc(enc))
 
 

@@ -27,6 +27,13 @@ def spread_small_input(df: DataFrame) -> DataFrame:
     return df
 
 
+def spread_for_python(df: DataFrame) -> DataFrame:
+    """Before a CPU-bound Python stage (``mapInPandas``): spread rows round-robin over every task
+    slot. Small inputs otherwise end up in one coalesced partition and one Python worker."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots)
+
+
 def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A text-bearing driver table, spread over the task slots when it is small."""
     return spread_small_input(table(spark, sf_dir, name))
