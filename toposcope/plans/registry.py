@@ -548,19 +548,19 @@ def q_project_topic(spark, sf):
 @register("add_topic_pre")
 def q_add_topic_pre(spark, sf):
     c = SentenceContext(spark, sf)
-    return SE.add_topic_pre(c.states(0), c.projected()).select("sent_id", "pos", snap_vec("x").alias("x"))
+    return SE.add_topic_pre(c.states(0), c.projected(), snap_q=1e9)
 
 
 @register("add_topic_post")
 def q_add_topic_post(spark, sf):
     c = SentenceContext(spark, sf)
-    return SE.add_topic_post(c.states(1), c.projected()).select("sent_id", "pos", snap_vec("x").alias("x"))
+    return SE.add_topic_post(c.states(1), c.projected(), snap_q=1e9)
 
 
 @register("add_topic_decoder")
 def q_add_topic_decoder(spark, sf):
     c = SentenceContext(spark, sf)
-    return SE.add_topic_decoder(c.states(0), c.topic_vec()).select("sent_id", "pos", snap_vec("x").alias("x"))
+    return SE.add_topic_decoder(c.states(0), c.topic_vec(), snap_q=1e9)
 
 
 @register("add_topic_decoder_step")
@@ -574,9 +574,9 @@ def q_add_topic_decoder_step(spark, sf):
 def q_topic_mode(spark, sf):
     c = SentenceContext(spark, sf)
     proj = c.projected()
-    out = SE.apply_topics({"pre", "post"}, states=c.states(0), enc_out=c.states(1), projected=proj)
-    a = out["encoder_in"].select(F.lit("encoder_in").alias("stage"), "sent_id", "pos", snap_vec("x").alias("x"))
-    b = out["encoder_out"].select(F.lit("encoder_out").alias("stage"), "sent_id", "pos", snap_vec("x").alias("x"))
+    out = SE.apply_topics({"pre", "post"}, states=c.states(0), enc_out=c.states(1), projected=proj, snap_q=1e9)
+    a = out["encoder_in"].select(F.lit("encoder_in").alias("stage"), "sent_id", "pos", "x")
+    b = out["encoder_out"].select(F.lit("encoder_out").alias("stage"), "sent_id", "pos", "x")
     return a.unionByName(b)
 
 
@@ -590,7 +590,7 @@ def q_score_sentences(spark, sf):
     q = SE.sentence_topic_qsum(mapped, c.rho, c.sentences, STATE_WIDTH)
     proj = SE.project_topic(q, c.proj)
     states = FX.token_states(spark, sf, bin_toks, 0)
-    return SE.add_topic_pre(states, proj).select("sent_id", "pos", snap_vec("x").alias("x"))
+    return SE.add_topic_pre(states, proj, snap_q=1e9)
 
 
 # ------------------------------------------------------------------ parallel corpus

@@ -126,9 +126,10 @@ def token_states(spark: SparkSession, sf: str, tokens: DataFrame, shift: int = 0
     n_vec = e.count()
     from ..functions.ranking import broadcast_if_small
     side = broadcast_if_small(e.select("vec_id", "qvec"), n_vec)
+    from ..functions.vectors import map_vectors
     t = tokens.select("sent_id", "pos", F.pmod(F.col("tok") + F.lit(shift), F.lit(n_vec)).alias("vec_id"))
-    return t.join(side, "vec_id").select(
-        "sent_id", "pos", F.transform("qvec", lambda q: q / F.lit(float(QUANT))).alias("x"))
+    j = t.join(side, "vec_id")
+    return map_vectors(j, ["sent_id", "pos"], {"qvec": "int64"}, lambda a: a["qvec"] / float(QUANT), "x")
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
