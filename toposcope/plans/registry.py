@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import snap
-from ..functions.ranking import global_row_number
+from ..functions.ranking import broadcast_if_small, global_row_number
 from ..operators import bow as B
 from ..operators import splits as S
 from ..operators import tokens as P
@@ -460,7 +460,7 @@ def _raw_vectors(spark, sf, p: Prepared) -> DataFrame:
     h = hash48(F.col("word"))
     w = p.dfreq.select("word", h.alias("h")).where(F.pmod("h", F.lit(2)) == 0)
     return (w.select("word", F.pmod("h", F.lit(n_vec)).alias("vec_id"), F.lit(0).cast("bigint").alias("line_no"))
-            .join(F.broadcast(e.select("vec_id", "qvec")), "vec_id")
+            .join(broadcast_if_small(e.select("vec_id", "qvec"), n_vec), "vec_id")
             .select("word", "line_no",
                     F.transform("qvec", lambda q: q / F.lit(float(PR.QUANT))).alias("vec")))
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import key, param_cell
+from ..functions.ranking import broadcast_if_small
 from ..plans.params import HIDDEN, QUANT
 from .corpus import table
 
@@ -36,12 +37,12 @@ def embeddings_q(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rho(spark: SparkSession, sf: str, vocab: DataFrame) -> DataFrame:
-    """``rho(token_id, qvec)``: the embedding table is small (one row per vector id) and is
-    broadcast to the vocabulary."""
+    """``rho(token_id, qvec)``: the embedding table (one row per vector id) is broadcast to the
+    vocabulary when its counted size is under the broadcast limit, else shuffle-joined."""
     e = embeddings_q(spark, sf)
     n_vec = e.count()
     return (vocab.select("token_id", F.pmod("token_id", F.lit(n_vec)).alias("vec_id"))
-            .join(F.broadcast(e.select("vec_id", "qvec")), "vec_id")
+            .join(broadcast_if_small(e.select("vec_id", "qvec"), n_vec), "vec_id")
             .select("token_id", "qvec"))
 
 
@@ -93,7 +94,7 @@ def vectors(spark: SparkSession, sf: str, vocab: DataFrame) -> DataFrame:
     n_vec = e.count()
     even = vocab.where(F.pmod("token_id", F.lit(2)) == 0)
     return (even.select("word", F.pmod("token_id", F.lit(n_vec)).alias("vec_id"))
-            .join(F.broadcast(e.select("vec_id", "qvec")), "vec_id")
+            .join(broadcast_if_small(e.select("vec_id", "qvec"), n_vec), "vec_id")
             .select("word", F.transform("qvec", lambda q: q / F.lit(float(QUANT))).alias("vec")))
 
 
@@ -109,7 +110,6 @@ def conversation_sentences(spark: SparkSession, sf: str) -> DataFrame:
 def sent_tokens(sentences: DataFrame, dictionary: DataFrame) -> DataFrame:
     """``(sent_id, pos, tok)``: white-space tokens with their dictionary id; a token missing from
     the dictionary gets the first id beyond it (so the out-of-range rule is exercised)."""
-    from ..functions.ranking import broadcast_if_small
     from ..functions.text import whitespace_tokens
     n_dict = dictionary.count()
     toks = sentences.select("sent_id", F.posexplode(whitespace_tokens(F.col("text"))).alias("pos", "word"))
@@ -124,7 +124,6 @@ def token_states(spark: SparkSession, sf: str, tokens: DataFrame, shift: int = 0
     (shift 0: embeddings; shift 1: stand-in encoder outputs)."""
     e = embeddings_q(spark, sf)
     n_vec = e.count()
-    from ..functions.ranking import broadcast_if_small
     side = broadcast_if_small(e.select("vec_id", "qvec"), n_vec)
     from ..functions.vectors import map_vectors
     t = tokens.select("sent_id", "pos", F.pmod(F.col("tok") + F.lit(shift), F.lit(n_vec)).alias("vec_id"))

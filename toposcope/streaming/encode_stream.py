@@ -13,15 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.ranking import broadcast_if_small
 from ..functions.text import clean_token_array
 from ..session import scratch_path
 
 
 def encode_stream(docs: DataFrame, vocab: DataFrame) -> DataFrame:
     """Streaming ``(doc_id, text)`` → ``(doc_id, src_pos, token_id)``; the vocabulary is a static
-    broadcast side (vocabulary-sized, checked by the caller)."""
+    side, broadcast when its counted size is under the limit (else a stream–static shuffle join)."""
     toks = docs.select("doc_id", F.posexplode(clean_token_array(F.col("text"))).alias("src_pos", "word"))
-    return toks.join(F.broadcast(vocab.select("word", "token_id")), "word").select(
+    return toks.join(broadcast_if_small(vocab.select("word", "token_id")), "word").select(
         "doc_id", F.col("src_pos").cast("bigint").alias("src_pos"), "token_id")
 
 
