@@ -1,9 +1,9 @@
 """Topic-model scoring operators.
 
 * Topic–word distribution (T1): beta_k = softmax over the vocabulary of rho·alpha_k. The K topic
-  vectors are model-sized constants: they are applied to every vocabulary row as a literal array
-  (no join), the per-topic max and normaliser are two partial aggregations returning K numbers.
-* Encoder (T2/T3): ``mapInPandas`` over packed bag-of-words with the weights shipped once as a
+  vectors are model-sized constants: they are broadcast once and multiplied into each vocabulary
+  block (no join); the per-topic max and normaliser are two partial aggregations returning K numbers.
+* Encoder (T2/T3): ``mapInArrow`` over packed bag-of-words with the weights shipped once as a
   Spark broadcast variable (dense NumPy); layer 1 is a sparse-row product. The weights are
   model-sized (V×H), checked against a hard limit.
 * Word probabilities (J6) are evaluated only at the (document, word) cells present.
@@ -14,13 +14,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import key, normal
 from ..functions.ranking import broadcast_if_small
+from ..functions.vectors import arrow_list, arrow_matrix
 from ..plans.params import QUANT
 from ..sources.fixtures import ALPHA_DIVISOR
 
@@ -130,7 +130,7 @@ def softmax_array(arr) -> Column:
 # ------------------------------------------------------------------ topic-word distribution
 #
 # The K topic vectors are model-sized: every vocabulary partition multiplies its block of rho by
-# alphaᵀ with one exact int64 NumPy product (Arrow batches in ``mapInPandas``); Spark's higher-order
+# alphaᵀ with one exact int64 NumPy product (Arrow batches in ``mapInArrow``); Spark's higher-order
 # array functions are interpreted per element and would be the slow path here. Two passes return
 # only K numbers per partition (per-topic max, then the sum of shifted exponentials); the third
 # pass (lazy) emits beta per token. No shuffle, nothing V-sized on the driver.
@@ -140,29 +140,32 @@ def _alpha_matrix(alpha: DataFrame) -> tuple[list[int], np.ndarray]:
     return [int(r["topic"]) for r in rows], np.array([list(r["qsum"]) for r in rows], dtype=np.int64)
 
 
-def _block_dots(pdf: pd.DataFrame, amat: np.ndarray) -> np.ndarray:
-    q = np.array(pdf["qvec"].tolist(), dtype=np.int64).reshape(len(pdf), amat.shape[1])
+def _block_dots(rb, amat: np.ndarray) -> np.ndarray:
+    q = arrow_matrix(rb.column("qvec"), np.int64).reshape(rb.num_rows, amat.shape[1])
     return q @ amat.T                                  # exact: |dot| < 2^63 for quantised inputs
 
 
 def topic_logits(rho: DataFrame, alpha: DataFrame) -> tuple[DataFrame, list[int]]:
     """Per vocabulary row the K exact integer logits ``dots`` (rho_q · alpha_q)."""
+    import pyarrow as pa
     topics, amat = _alpha_matrix(alpha)
     bc = rho.sparkSession.sparkContext.broadcast(amat)
 
     def run(batches):
         a = bc.value
-        for pdf in batches:
-            if len(pdf):
-                yield pd.DataFrame({"token_id": pdf["token_id"], "dots": list(_block_dots(pdf, a))})
+        for rb in batches:
+            if rb.num_rows:
+                yield pa.RecordBatch.from_arrays([rb.column("token_id"), arrow_list(_block_dots(rb, a))],
+                                                 names=["token_id", "dots"])
 
-    return rho.select("token_id", "qvec").mapInPandas(run, "token_id bigint, dots array<bigint>"), topics
+    return rho.select("token_id", "qvec").mapInArrow(run, "token_id bigint, dots array<bigint>"), topics
 
 
 def beta_by_token(rho: DataFrame, alpha: DataFrame) -> tuple[DataFrame, list[int]]:
     """T1 in per-token form ``(token_id, dots ARRAY<BIGINT>, beta ARRAY<DOUBLE>)``: beta[k] is
     softmax over the vocabulary of topic k, evaluated with the per-topic max subtracted:
     exp((dot − max) / LOGIT_SCALE) / Σ."""
+    import pyarrow as pa
     topics, amat = _alpha_matrix(alpha)
     k = len(topics)
     sc = rho.sparkSession.sparkContext
@@ -171,40 +174,43 @@ def beta_by_token(rho: DataFrame, alpha: DataFrame) -> tuple[DataFrame, list[int
 
     def part_max(batches):
         a, m = bc.value, None
-        for pdf in batches:
-            if len(pdf):
-                bm = _block_dots(pdf, a).max(axis=0)
+        for rb in batches:
+            if rb.num_rows:
+                bm = _block_dots(rb, a).max(axis=0)
                 m = bm if m is None else np.maximum(m, bm)
         if m is not None:
-            yield pd.DataFrame({"k": np.arange(k), "v": m.astype(np.float64), "i": m})
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(m)],
+                                             names=["k", "i"])
 
-    parts = src.mapInPandas(part_max, "k int, v double, i bigint").groupBy("k").agg(F.max("i").alias("m"))
+    parts = src.mapInArrow(part_max, "k int, i bigint").groupBy("k").agg(F.max("i").alias("m"))
     mx = np.zeros(k, dtype=np.int64)
-    for r in parts.collect():
+    for r in parts.collect():                          # K rows
         mx[r["k"]] = r["m"]
     bmx = sc.broadcast(mx)
 
     def part_sum(batches):
         a, m, s = bc.value, bmx.value, np.zeros(k)
-        for pdf in batches:
-            if len(pdf):
-                s += np.exp((_block_dots(pdf, a) - m).astype(np.float64) / LOGIT_SCALE).sum(axis=0)
-        yield pd.DataFrame({"k": np.arange(k), "s": s})
+        for rb in batches:
+            if rb.num_rows:
+                s += np.exp((_block_dots(rb, a) - m).astype(np.float64) / LOGIT_SCALE).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(s)],
+                                         names=["k", "s"])
 
     sums = np.zeros(k)
-    for r in src.mapInPandas(part_sum, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect():
-        sums[r["k"]] = r["s"]
+    for r in src.mapInArrow(part_sum, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect():
+        sums[r["k"]] = r["s"]                          # K rows
     bsum = sc.broadcast(sums)
 
     def emit(batches):
         a, m, sv = bc.value, bmx.value, bsum.value
-        for pdf in batches:
-            if len(pdf):
-                d = _block_dots(pdf, a)
+        for rb in batches:
+            if rb.num_rows:
+                d = _block_dots(rb, a)
                 b = np.exp((d - m).astype(np.float64) / LOGIT_SCALE) / sv
-                yield pd.DataFrame({"token_id": pdf["token_id"], "dots": list(d), "beta": list(b)})
+                yield pa.RecordBatch.from_arrays([rb.column("token_id"), arrow_list(d), arrow_list(b)],
+                                                 names=["token_id", "dots", "beta"])
 
-    out = src.mapInPandas(emit, "token_id bigint, dots array<bigint>, beta array<double>")
+    out = src.mapInArrow(emit, "token_id bigint, dots array<bigint>, beta array<double>")
     return out, topics
 
 
@@ -270,14 +276,24 @@ class EncoderWeights:
 
 def np_encode(tokens_list, counts_list, w: dict[str, np.ndarray], act: str = "relu",
               bow_norm: bool = True):
-    """Forward pass for a batch of sparse documents: returns (mu, logsigma, a1, a2, x_parts)."""
-    lens = np.array([len(t) for t in tokens_list])
+    """Forward pass for a batch of sparse documents: returns (mu, logsigma, a1, a2)."""
+    lens = np.array([len(t) for t in tokens_list], dtype=np.int64)
+    if lens.sum() > 0:
+        tok = np.concatenate([np.asarray(t, dtype=np.int64) for t in tokens_list])
+        cnt = np.concatenate([np.asarray(c, dtype=float) for c in counts_list])
+    else:
+        tok, cnt = np.zeros(0, dtype=np.int64), np.zeros(0)
+    return np_encode_flat(tok, cnt, lens, w, act, bow_norm)
+
+
+def np_encode_flat(tok: np.ndarray, cnt: np.ndarray, lens: np.ndarray, w: dict[str, np.ndarray],
+                   act: str = "relu", bow_norm: bool = True):
+    """:func:`np_encode` on the flat (token, count) values of a batch with per-document lengths
+    (the layout of an Arrow list column)."""
     n = len(lens)
     h = w["W1"].shape[1]
     a1 = np.tile(w["b1"], (n, 1)).astype(float)
     if lens.sum() > 0:
-        tok = np.concatenate([np.asarray(t, dtype=np.int64) for t in tokens_list])
-        cnt = np.concatenate([np.asarray(c, dtype=float) for c in counts_list])
         doc = np.repeat(np.arange(n), lens)
         tot = np.bincount(doc, weights=cnt, minlength=n)
         x = cnt / tot[doc] if bow_norm else cnt
@@ -302,23 +318,31 @@ def encode_docs(packed: DataFrame, weights: EncoderWeights, act: str = "relu",
                 bow_norm: bool = True) -> DataFrame:
     """T2 + T3 (scoring mode, z = mu) + A10 per document: ``(split, doc_ix, mu, logsigma,
     theta, kl, n_words)``; one Arrow batch at a time, weights from a broadcast variable."""
+    import pyarrow as pa
     bc = packed.sparkSession.sparkContext.broadcast(weights.mats)
 
+    def flat(col):
+        offs = col.offsets.to_numpy()
+        return col.values.to_numpy(zero_copy_only=False)[offs[0]:offs[-1]], np.diff(offs)
+
     def run(batches):
         w = bc.value
-        for pdf in batches:
-            if pdf.empty:
+        for rb in batches:
+            if rb.num_rows == 0:
                 continue
-            mu, ls, _, _ = np_encode(pdf["tokens"], pdf["counts"], w, act, bow_norm)
+            tok, lens = flat(rb.column("tokens"))
+            cnt, _ = flat(rb.column("counts"))
+            mu, ls, _, _ = np_encode_flat(tok.astype(np.int64), cnt.astype(float), lens, w, act, bow_norm)
             theta = np_softmax(mu)
             kl = -0.5 * np.sum(1.0 + ls - mu * mu - np.exp(ls), axis=1)
-            yield pd.DataFrame({
-                "split": pdf["split"], "doc_ix": pdf["doc_ix"],
-                "mu": list(mu), "logsigma": list(ls), "theta": list(theta), "kl": kl,
-                "n_words": [int(np.sum(c)) for c in pdf["counts"]],
-            })
-
-    return packed.select("split", "doc_ix", "tokens", "counts").mapInPandas(run, ENCODER_SCHEMA)
+            n_words = np.bincount(np.repeat(np.arange(rb.num_rows), lens), weights=cnt,
+                                  minlength=rb.num_rows).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [rb.column("split"), rb.column("doc_ix"), arrow_list(mu), arrow_list(ls),
+                 arrow_list(theta), pa.array(kl), pa.array(n_words)],
+                names=["split", "doc_ix", "mu", "logsigma", "theta", "kl", "n_words"])
+
+    return packed.select("split", "doc_ix", "tokens", "counts").mapInArrow(run, ENCODER_SCHEMA)
 
 
 def reparameterize(mu: str = "mu", logsigma: str = "logsigma", training: bool = True,
