@@ -62,3 +62,12 @@ def test_text_scan_prunes_columns(spark):
     df.explain()
     s = plan(df)
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in s
+
+
+def test_top_k_windows_limit_before_the_shuffle(spark):
+    """Per-topic top words and per-query neighbours plan a partial WindowGroupLimit, so no task
+    receives a topic's whole vocabulary."""
+    for key in ("topic_top_words", "nearest_words"):
+        df = REGISTRY[key](spark, SF)
+        s = df._jdf.queryExecution().sparkPlan().toString()
+        assert "WindowGroupLimit" in s, key
