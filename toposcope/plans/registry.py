@@ -6,6 +6,7 @@ Column names match the SQL twins in ``toposcope.oracle.sql``.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -510,11 +511,19 @@ class SentenceContext:
         self.rho = FX.rho(spark, sf, self.p.vocab)
         self.dictionary = L.build_dictionary(docs(spark, sf))
         self.sentences = FX.conversation_sentences(spark, sf)
-        self.tokens = FX.sent_tokens(self.sentences, self.dictionary)
-        self.mapped = SE.dict_to_topic_id(self.tokens, self.dictionary, self.p.vocab)
         self.proj = SE.Projection(STATE_WIDTH, STATE_WIDTH)
         self.spark, self.sf = spark, sf
 
+    # built on first use: the size checks behind their broadcasts are Spark actions, and the
+    # binarised path (score_sentences) needs neither
+    @functools.cached_property
+    def tokens(self):
+        return FX.sent_tokens(self.sentences, self.dictionary)
+
+    @functools.cached_property
+    def mapped(self):
+        return SE.dict_to_topic_id(self.tokens, self.dictionary, self.p.vocab)
+
     def topic_vec(self):
         return SE.sentence_topic_vector(self.mapped, self.rho, self.sentences, STATE_WIDTH)
 
