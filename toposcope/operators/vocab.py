@@ -53,8 +53,9 @@ def df_range_filter(dfreq: DataFrame, n_docs: int, min_df: int | float = 10,
 
 
 def remove_stops(vocab: DataFrame, stops: DataFrame, word: str = "word") -> DataFrame:
-    """Vocabulary minus stop words (broadcast anti join; the stop list is tiny)."""
-    return vocab.join(F.broadcast(stops.select(F.col("word").alias(word))), word, "left_anti")
+    """Vocabulary minus stop words (anti join; the stop list is broadcast behind a row count)."""
+    from ..functions.ranking import broadcast_if_small
+    return vocab.join(broadcast_if_small(stops.select(F.col("word").alias(word))), word, "left_anti")
 
 
 def order_vocab_by_df(vocab: DataFrame) -> DataFrame:

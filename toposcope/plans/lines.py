@@ -13,7 +13,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import global_row_number
+from ..functions.ranking import broadcast_if_small, global_row_number
 from ..functions.text import whitespace_tokens
 from ..operators import bow as B
 from ..operators import splits as S
@@ -45,7 +45,7 @@ def dictionary_to_vocab(dictionary: DataFrame, stops: DataFrame, unique_words: b
     column expressions, so no second sort of the dictionary is needed. For a word listed twice
     the last position wins (a word → id map keeps the last assignment); ``unique_words`` skips
     that grouping when the dictionary is known to list each word once."""
-    removed = [r["id"] for r in dictionary.join(F.broadcast(stops.select("word")), "word", "left_semi")
+    removed = [r["id"] for r in dictionary.join(broadcast_if_small(stops.select("word")), "word", "left_semi")
                .select("id").collect()]
     kept = V.remove_stops(dictionary.select("id", "word"), stops)
     shift = F.lit(0)
