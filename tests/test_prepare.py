@@ -98,3 +98,18 @@ def test_distributed_numbering_path_gives_same_tables(spark, monkeypatch):
     small = tables()
     monkeypatch.setattr(R, "SMALL_RANK_ROWS", 0)
     assert tables() == small
+
+
+def test_dictionary_to_vocab_long_removal_list_path(spark):
+    """More removed entries than the inline limit: the distributed renumbering gives the same
+    vocabulary as the inline id shift."""
+    from toposcope.plans import lines as L
+    from toposcope.sources.corpus import table
+
+    d = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    dictionary = L.build_dictionary(d)
+    stops = read_stops(spark)
+    assert dictionary.join(stops, "word", "left_semi").count() > 0     # the fallback really runs
+    inline = sorted(tuple(r) for r in L.dictionary_to_vocab(dictionary, stops).collect())
+    spread = sorted(tuple(r) for r in L.dictionary_to_vocab(dictionary, stops, max_inline=0).collect())
+    assert inline == spread and len(inline) > 0

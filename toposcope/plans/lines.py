@@ -37,21 +37,27 @@ def build_dictionary(texts: DataFrame, text: str = "text") -> DataFrame:
     return ranked.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def dictionary_to_vocab(dictionary: DataFrame, stops: DataFrame, unique_words: bool = False) -> DataFrame:
+def dictionary_to_vocab(dictionary: DataFrame, stops: DataFrame, unique_words: bool = False,
+                        max_inline: int = 1000) -> DataFrame:
     """B2: dictionary minus stop words, dictionary order kept, ids renumbered from 0.
 
-    The new id is the old id minus the number of removed (stop-word) entries before it; the
-    removed ids are bounded by the stop list (collected, at most its length) and compared as plain
-    column expressions, so no second sort of the dictionary is needed. For a word listed twice
-    the last position wins (a word → id map keeps the last assignment); ``unique_words`` skips
-    that grouping when the dictionary is known to list each word once."""
+    The new id is the old id minus the number of removed (stop-word) entries before it. When at
+    most ``max_inline`` entries are removed (a stop list), their ids are read (at most
+    ``max_inline + 1`` rows reach the driver) and compared as plain column expressions, so no
+    second sort of the dictionary is needed; a longer removal list renumbers the kept entries in
+    id order with the distributed row numbering instead (same result for a dense dictionary).
+    For a word listed twice the last position wins (a word → id map keeps the last assignment);
+    ``unique_words`` skips that grouping when the dictionary is known to list each word once."""
     removed = [r["id"] for r in dictionary.join(broadcast_if_small(stops.select("word")), "word", "left_semi")
-               .select("id").collect()]
+               .select("id").limit(max_inline + 1).collect()]
     kept = V.remove_stops(dictionary.select("id", "word"), stops)
-    shift = F.lit(0)
-    for rid in removed:
-        shift = shift + (F.col("id") > F.lit(rid)).cast("bigint")
-    ranked = kept.select((F.col("id") - shift).cast("bigint").alias("token_id"), "word")
+    if len(removed) <= max_inline:
+        shift = F.lit(0)
+        for rid in removed:
+            shift = shift + (F.col("id") > F.lit(rid)).cast("bigint")
+        ranked = kept.select((F.col("id") - shift).cast("bigint").alias("token_id"), "word")
+    else:
+        ranked = global_row_number(kept, ["id"], name="token_id").select("token_id", "word")
     if unique_words:
         return ranked
     return ranked.groupBy("word").agg(F.max("token_id").alias("token_id")).select("token_id", "word")
