@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbuf import RangeHash, chunks, frozen, utf8, word_hashes, word_spans
+from .textbuf import RangeHash, chunks, frozen, text_key, utf8, without, word_hashes, word_spans
 
 WINDOW, LEAST_WORDS, MIN_SHARE, BLOCK_HASHES = 8, 4, 0.5, 1_000_000
 
@@ -144,7 +144,7 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _matches(docs: DataFrame, widths: list[int], block) -> DataFrame:
-    """``(doc_id, t, width, pos, h, slots)``: document windows whose hash is in the broadcast block."""
+    """``(doc_id, _t1, _t2, width, pos, h, slots)``: document windows whose hash is in the broadcast block."""
 
     def run(batches):
         wanted = block.value
@@ -153,7 +153,7 @@ def _matches(docs: DataFrame, widths: list[int], block) -> DataFrame:
         seen[(wanted >> np.uint64(64 - bits)).astype(np.int64)] = True
         for batch in batches:
             for part in chunks(batch):
-                data, offs = utf8(part.column(2))
+                data, offs = utf8(part.column(3))
                 hashes, kinds, starts, ends, first, lower = template(data, offs)
                 raw = lower.tobytes()
                 for width in widths:
@@ -166,29 +166,19 @@ def _matches(docs: DataFrame, widths: list[int], block) -> DataFrame:
                     s, h = s[hit], h[hit]
                     doc = np.searchsorted(first, s, side="right") - 1
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array(doc)), part.column(1).take(pa.array(doc)),
+                        [*(part.column(k).take(pa.array(doc)) for k in range(3)),
                          pa.array(np.full(len(s), width, np.int32)), pa.array((s - first[doc]).astype(np.int32)),
                          pa.array(h.view(np.int64)),
                          pa.array(_slots(raw, kinds, starts, ends, s, width), pa.list_(pa.string()))],
-                        ["doc_id", "t", "width", "pos", "h", "slots"])
+                        ["doc_id", "_t1", "_t2", "width", "pos", "h", "slots"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"),
-                       "text").mapInArrow(
-        run, "doc_id bigint, t bigint, width int, pos int, h bigint, slots array<string>")
+    return docs.select(F.col("doc_id").cast("bigint"), *text_key(), "text").mapInArrow(
+        run, "doc_id bigint, _t1 bigint, _t2 bigint, width int, pos int, h bigint, slots array<string>")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_share: float = MIN_SHARE,
-                 block_hashes: int = BLOCK_HASHES) -> DataFrame:
-    """Pairs ``(doc_id, item_id, n_matched, n_windows, share, n_changed)`` of ``docs(doc_id, text)``
-    and the benchmark items ``items(item_id, text)`` they hold.
-
-    ``n_matched``: item windows found with consistent slots, ``n_changed``: slots of them whose value
-    differs from the item's (0: a plain copy). Pairs with ``share`` >= ``min_share`` are returned.
-    Null and empty texts match nothing, nor do items of fewer than ``LEAST_WORDS`` tokens; rows
-    repeated under one doc_id (null included) give one row per item with the best share; equal items
-    under several ids are all returned. Empty tables give an empty result; other columns are not
-    read.
-    """
+def _shares(docs: DataFrame, items: DataFrame, window: int, block_hashes: int) -> DataFrame:
+    """``(doc_id, _t1, _t2, item_id, n_windows, n_matched, n_changed)`` of every text that shares
+    windows with consistent slots."""
     spark = docs.sparkSession
     ours = frozen(benchmark_windows(items, window))
     widths = sorted(r[0] for r in ours.select("width").distinct().collect())      # at most ``window`` values
@@ -203,7 +193,7 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_sh
     pair = (frozen(found).join(ours, ["width", "h"])
             .where(F.size("slots") == F.size("islots"))
             .withColumn("diag", F.col("pos") - F.col("wpos")))
-    line = ["doc_id", "t", "item_id", "diag"]
+    line = ["doc_id", "_t1", "_t2", "item_id", "diag"]
     slot = pair.select(*line, F.explode(F.arrays_zip("islots", "slots")).alias("z")).select(
         *line, F.col("z.islots").alias("mine"), F.col("z.slots").alias("theirs")).distinct()
     torn = (slot.groupBy(*line, "mine").agg(F.count(F.lit(1)).alias("k")).groupBy(*line)
@@ -218,12 +208,34 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_sh
     lines = sound.groupBy(*line, "n_windows").agg(F.collect_set("wpos").alias("at"))
     lines = lines.join(beside(changed), match, "left").select(
         *line, "n_windows", "at", F.coalesce("n_changed", F.lit(0)).alias("n_changed"))
-    texts = lines.groupBy("doc_id", "t", "item_id", "n_windows").agg(
+    return lines.groupBy("doc_id", "_t1", "_t2", "item_id", "n_windows").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("bigint").alias("n_matched"),
         F.sum("n_changed").alias("n_changed"))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_share: float = MIN_SHARE,
+                 block_hashes: int = BLOCK_HASHES) -> DataFrame:
+    """Pairs ``(doc_id, item_id, n_matched, n_windows, share, n_changed)`` of ``docs(doc_id, text)``
+    and the benchmark items ``items(item_id, text)`` they hold.
+
+    ``n_matched``: item windows found with consistent slots, ``n_changed``: slots of them whose value
+    differs from the item's (0: a plain copy). Pairs with ``share`` >= ``min_share`` are returned.
+    Null and empty texts match nothing, nor do items of fewer than ``LEAST_WORDS`` tokens; rows
+    repeated under one doc_id (null included) give one row per item with the best share; equal items
+    under several ids are all returned. Empty tables give an empty result; other columns are not
+    read.
+    """
+    texts = _shares(docs, items, window, block_hashes)
     best = texts.groupBy("doc_id", "item_id").agg(
         F.max(F.struct((F.col("n_matched") / F.col("n_windows")).alias("share"), "n_matched",
                        F.col("n_windows").cast("bigint").alias("n_windows"), (-F.col("n_changed")).alias("unchanged"))
               ).alias("b"))
     return (best.select("doc_id", "item_id", "b.n_matched", "b.n_windows", "b.share",
                         (-F.col("b.unchanged")).alias("n_changed")).where(F.col("share") >= F.lit(min_share)))
+
+
+def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_share: float = MIN_SHARE,
+                   block_hashes: int = BLOCK_HASHES) -> DataFrame:
+    """The rows of ``docs`` whose text holds no item, with all their columns."""
+    held = _shares(docs, items, window, block_hashes).where(F.col("n_matched") >= min_share * F.col("n_windows"))
+    return without(docs, frozen(held.select("_t1", "_t2").distinct()), [])

@@ -9,7 +9,6 @@ the one with the most letters in its spans.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 
@@ -18,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbuf import chunks, utf8
+from .textbuf import MULT, chunks, mix64, utf8, word_hashes, word_spans
 
 TRAIN_DOCS, TRAIN_CHARS, BITS, SWITCH, PRIOR = 1000, 500_000, 18, 6.0, 0.5
-SCRIPT_SHARE, MEMO = 0.01, 300_000
+SCRIPT_SHARE, GRAMS, MEMO = 0.01, 4, 500_000
 UND = "und"
 
 # First code points of the script ranges that are told apart, with the name of the script.
@@ -33,26 +32,54 @@ SCRIPTS = ((0x0041, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530,
 _NAMES = sorted({name for _, name in SCRIPTS})
 _FROM = np.array([at for at, _ in SCRIPTS])
 _SCRIPT = np.array([_NAMES.index(name) for _, name in SCRIPTS])
-_LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def scripts_of(letters: str) -> np.ndarray:
-    """Script number of each letter."""
-    points = np.frombuffer(letters.encode("utf-32-le"), np.uint32)
-    return _SCRIPT[np.maximum(np.searchsorted(_FROM, points, side="right") - 1, 0)]
-
-
-def word_letters(word: str) -> str:
-    return "".join(_LETTERS.findall(word)).lower()
-
-
-def features(letters: str) -> list[int]:
-    """Table slots of a word's n-grams (1 to 4 letters, edges marked) and of the word."""
-    marked = f"<{letters}>"
-    grams = [marked[i:i + n] for n in (1, 2, 3, 4) for i in range(len(marked) - n + 1)]
-    grams.append(f"={letters}")
-    mask = (1 << BITS) - 1
-    return [zlib.crc32(g.encode()) & mask for g in grams]
+_ALPHA = np.zeros(0, bool)
+
+
+def _is_letter(points: np.ndarray) -> np.ndarray:
+    global _ALPHA
+    if not len(_ALPHA):                                   # once per process; the table is Unicode's, not ours
+        _ALPHA = np.fromiter((chr(c).isalpha() for c in range(0x20000)), bool, 0x20000)
+    return _ALPHA[np.minimum(points, 0x1FFFF)] | ((points >= 0x20000) & (points < 0x32000))
+
+
+class Letters:
+    """Lower-cased letters of a list of words as one code point array, ``<`` and ``>`` around each."""
+
+    def __init__(self, words: list[bytes]):
+        text = b"\n".join(words).decode("utf-8", "replace").lower()
+        raw = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        word = np.cumsum(raw == 10)
+        keep = _is_letter(raw)
+        self.sizes = np.bincount(word[keep], minlength=len(words))[:len(words)]
+        n = self.sizes + 2
+        self.start = np.cumsum(n) - n
+        self.points = np.empty(int(n.sum()), np.uint64)
+        self.points[self.start], self.points[self.start + n - 1] = 60, 62
+        self.place = np.arange(len(self.points)) - np.repeat(self.start, n)
+        self.room = np.repeat(n, n) - self.place          # code points from here to the word's end
+        inner = (self.place > 0) & (self.room > 1)
+        self.points[inner] = raw[keep]
+        kind = _SCRIPT[np.maximum(np.searchsorted(_FROM, raw[keep], side="right") - 1, 0)]
+        bits = np.zeros(len(self.points), np.int64)
+        bits[inner] = 1 << kind
+        self.scripts = np.bitwise_or.reduceat(bits, self.start)       # a bit for each script of a word
+
+    def slots(self):
+        """``(positions, table slots)`` of the n-grams of each length, then of the whole words."""
+        h = np.zeros(len(self.points), np.uint64)
+        at = np.arange(len(self.points))
+        for k in range(GRAMS):
+            at = at[self.room[at] > k]
+            h[at] = (h[at] ^ self.points[at + k]) * MULT
+            yield at, self._slot(h[at])
+        power = np.multiply.accumulate(np.full(int(self.place.max()) + 1, MULT))
+        yield self.start, self._slot(np.add.reduceat(mix64(self.points) * power[self.place], self.start))
+
+    @staticmethod
+    def _slot(h: np.ndarray) -> np.ndarray:
+        return (mix64(h) & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
 
 class Model:
@@ -64,37 +91,38 @@ class Model:
         for text, lang in rows:
             docs[lang] += 1
             words.setdefault(lang, Counter()).update(text.encode().split())
-        counts, seen = {}, {}
-        for lang, found in words.items():
-            table = counts[lang] = np.zeros(1 << BITS)
-            used = seen[lang] = np.zeros(len(_NAMES))
-            slots, times = [], []
-            for word, n in found.items():
-                letters = word_letters(word.decode())
-                if letters:
-                    own = features(letters)
-                    slots += own
-                    times += [n] * len(own)
-                    used += n * np.bincount(scripts_of(letters), minlength=len(_NAMES))
-            if slots:
-                table += np.bincount(slots, times, minlength=1 << BITS)
-        self.langs = sorted(counts, key=lambda c: (-docs[c], c))      # ties go to the most frequent
-        n = len(self.langs)
+        self.langs = sorted(words, key=lambda c: (-docs[c], c))      # ties go to the most frequent
+        n = max(len(self.langs), 1)                                   # with nothing learned: one empty column
         table = np.zeros((1 << BITS, n), np.float32)
-        self.allowed = np.zeros((len(_NAMES), n), bool)
+        self.scripts = np.zeros(n, np.int64)                          # a bit for each script a language uses
         for k, lang in enumerate(self.langs):
-            table[:, k] = np.log((counts[lang] + PRIOR) / (counts[lang].sum() + PRIOR * (1 << BITS)))
-            self.allowed[:, k] = seen[lang] >= SCRIPT_SHARE * max(seen[lang].sum(), 1)
-        self.table = table - table.mean(axis=1, keepdims=True) if n else table
-
-    def score(self, letters: str) -> np.ndarray:
-        """Score per language of one word; languages not seen with its scripts are far below."""
-        slots = features(letters)
-        out = self.table[slots].sum(axis=0) / np.sqrt(len(slots))
-        fits = self.allowed[np.unique(scripts_of(letters))].all(axis=0)
-        if fits.any() and not fits.all():
-            out = np.where(fits, out, out.min() - 20)
-        return out
+            counts = np.zeros(1 << BITS)
+            if words[lang]:
+                held = Letters(list(words[lang]))
+                times = np.where(held.sizes > 0, list(words[lang].values()), 0)
+                by_point = np.repeat(times, held.sizes + 2)
+                for at, slots in held.slots():
+                    counts += np.bincount(slots, by_point[at], minlength=1 << BITS)
+                for b in range(len(_NAMES)):
+                    if times[held.scripts >> b & 1 > 0].sum() >= SCRIPT_SHARE * max(times.sum(), 1):
+                        self.scripts[k] |= 1 << b
+            table[:, k] = np.log((counts + PRIOR) / (counts.sum() + PRIOR * (1 << BITS)))
+        self.table = table - table.mean(axis=1, keepdims=True)
+
+    def scores(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Score per word and language, and its letters. Languages not seen with a word's scripts are
+        far below, unless that leaves none; words without a letter score 0 everywhere."""
+        held = Letters(words)
+        by_point = np.zeros((len(held.points), self.table.shape[1]), np.float32)
+        for at, slots in held.slots():
+            by_point[at] += self.table[slots]
+        grams = GRAMS * (held.sizes + 2) + 1
+        out = np.add.reduceat(by_point, held.start, axis=0) / np.sqrt(grams, dtype=np.float32)[:, None]
+        fits = (held.scripts[:, None] & ~self.scripts[None, :]) == 0
+        narrow = fits.any(axis=1) & ~fits.all(axis=1)
+        out[narrow] = np.where(fits[narrow], out[narrow], out[narrow].min(axis=1, keepdims=True) - 20)
+        out[held.sizes == 0] = 0
+        return out, held.sizes
 
 
 class Scorer:
@@ -105,59 +133,90 @@ class Scorer:
         self._forget()
 
     def _forget(self):
-        self.known: dict[bytes, int] = {}
-        self.rows = np.zeros((1024, len(self.model.langs)), np.float32)
-        self.sizes = np.zeros(1024, np.int32)
+        self.known: dict[int, int] = {}
+        self.rows = np.zeros((1 << 16, self.model.table.shape[1]), np.float32)
+        self.sizes = np.zeros(1 << 16, np.int32)
 
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores and letters per word (words without letters score 0 everywhere)."""
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and letters of the words at ``starts`` and ``ends`` of a text buffer."""
         if len(self.known) > MEMO:
             self._forget()
-        known = self.known
-        for word in set(words).difference(known):
-            at = known[word] = len(known)
-            if at == len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-            letters = word_letters(word.decode("utf-8", "replace"))
-            if letters:
-                self.rows[at] = self.model.score(letters)
-                self.sizes[at] = len(letters)
-        ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        known, raw = self.known, data.tobytes()
+        words, at, back = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        words = words.tolist()
+        fresh = [k for k, w in enumerate(words) if w not in known]
+        while len(self.rows) < len(known) + len(fresh):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        for i in range(0, len(fresh), 10_000):
+            part = fresh[i:i + 10_000]
+            ids = slice(len(known), len(known) + len(part))
+            spans = zip(starts[at[part]].tolist(), ends[at[part]].tolist())
+            self.rows[ids], self.sizes[ids] = self.model.scores([raw[a:b] for a, b in spans])
+            known.update(zip((words[k] for k in part), range(ids.start, ids.stop)))
+        ids = np.array([known[w] for w in words], np.int64)[back]
         return self.rows[ids], self.sizes[ids]
 
 
 def label(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """Best language of every word: Viterbi with ``switch`` lost per change, over all texts
-    ``first[i]:first[i + 1]`` at once, one step per word position."""
+    """Best language of every word: Viterbi with ``switch`` lost per change, for the texts
+    ``first[i]:first[i + 1]``.
+
+    A text stays in its best single language if no run of words gains more than half of ``switch`` in
+    any other one: r runs in other languages cost r - 1 switches at least. That is one pass of sums
+    for all texts; the others go through the Viterbi steps together, one step per word position."""
     n = np.diff(first)
-    order = np.argsort(-n, kind="stable")
-    start = first[:-1][order]
-    lengths = n[order]
     langs = scores.shape[1]
     labels = np.zeros(len(scores), np.int8)
     if langs < 2 or not len(scores):
         return labels
-    live = int((lengths > 0).sum())
-    best = scores[start[:live]].copy()
+    text = np.repeat(np.arange(len(n)), n)
+    totals = np.stack([np.bincount(text, scores[:, k], minlength=len(n)) for k in range(langs)], axis=1)
+    main = totals.argmax(axis=1)
+    labels[:] = main[text]
+    own = scores[np.arange(len(scores)), labels]
+    mixed = np.zeros(len(n), bool)
+    filled = np.flatnonzero(n > 0)
+    for k in range(langs):
+        run = np.concatenate([[0.0], np.cumsum((scores[:, k] - own).astype(np.float64))])
+        fall = run.max() - run.min() + 1.0                # puts each text below the one before it
+        sunk = run[1:] - fall * text
+        before = run[:-1] - fall * text
+        gain = sunk - np.minimum.accumulate(before)
+        mixed[filled] |= np.maximum.reduceat(gain, first[filled]) > switch / 2
+    some = np.flatnonzero(mixed)
+    if len(some):
+        inside = mixed[text]
+        labels[inside] = _viterbi(scores[inside], np.concatenate([[0], np.cumsum(n[some])]), switch)
+    return labels
+
+
+def _viterbi(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
+    n = np.diff(first)
+    order = np.argsort(-n, kind="stable")
+    start, lengths = first[:-1][order], n[order]
+    langs = scores.shape[1]
+    labels = np.zeros(len(scores), np.int8)
+    best = scores[start].astype(np.float64)
     came = np.zeros((len(scores), langs), np.int8)
     own = np.arange(langs, dtype=np.int8)
+    lives = np.searchsorted(-lengths, -np.arange(int(lengths[0])))      # texts with more than t words
     for t in range(1, int(lengths[0])):
-        live = int(np.searchsorted(-lengths, -t))               # texts with more than t words
+        live = int(lives[t])
         now = best[:live]
         top = now.argmax(axis=1)
-        jump = now[np.arange(live), top] - switch
-        stay = now >= jump[:, None]
+        jump = now[np.arange(live), top][:, None] - switch
+        stay = now >= jump
         at = start[:live] + t
         came[at] = np.where(stay, own, top[:, None])
-        best[:live] = np.where(stay, now, jump[:, None]) + scores[at]
-    last = np.zeros(len(n), np.int64)
-    last[:len(best)] = best.argmax(axis=1)
+        best[:live] = np.where(stay, now, jump) + scores[at]
+    last = best.argmax(axis=1)
     for t in range(int(lengths[0]) - 1, -1, -1):
-        live = int(np.searchsorted(-lengths, -t))
+        live = int(lives[t])
         at = start[:live] + t
         labels[at] = last[:live]
-        last[:live] = came[at, last[:live]] if t else last[:live]
+        if t:
+            last[:live] = came[at, last[:live]]
     return labels
 
 
@@ -201,20 +260,18 @@ def identify(docs: DataFrame, model: Model | None = None, switch: float = SWITCH
         model = shared.value
         scorer = Scorer(model)
         for batch in batches:
-            for part in chunks(batch, limit=1 << 20):
+            for part in chunks(batch):
                 data, offs = utf8(part.column(2))
-                raw = data.tobytes()
-                texts = [raw[a:b].split() for a, b in zip(offs[:-1], offs[1:])]
-                first = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-                scores, sizes = scorer([w for t in texts for w in t])
+                starts, ends, first = word_spans(data, offs)
+                scores, sizes = scorer(data, starts, ends)
                 labels = label(scores, first, switch)
                 n = len(model.langs)
-                weight = np.zeros((len(texts), max(n, 1)))
-                np.add.at(weight, (np.repeat(np.arange(len(texts)), np.diff(first)), labels), sizes)
+                weight = np.zeros((part.num_rows, max(n, 1)))
+                np.add.at(weight, (np.repeat(np.arange(part.num_rows), np.diff(first)), labels), sizes)
                 total = weight.sum(axis=1)
                 known = (total > 0) & (n > 0)
                 top = weight.argmax(axis=1)
-                share = np.where(known, weight[np.arange(len(texts)), top] / np.maximum(total, 1), 0.0)
+                share = np.where(known, weight[np.arange(part.num_rows), top] / np.maximum(total, 1), 0.0)
                 change = np.ones(len(labels), bool)
                 change[1:] = labels[1:] != labels[:-1]
                 change[first[:-1][first[:-1] < len(labels)]] = True

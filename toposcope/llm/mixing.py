@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import global_running_sum
-from .textbuf import WORD
+from .textbuf import WORD, frozen, repeated, text_key
 
 WEIGHTS, TOTAL_SHARE, MAX_EPOCHS = (5, 2, 1), 1.5, 2
 
@@ -39,24 +39,11 @@ def _code_points(source: str | None):
     return (1, "") if source is None else (0, source)
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = TOTAL_SHARE, most: int = MAX_EPOCHS,
+def _mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = TOTAL_SHARE, most: int = MAX_EPOCHS,
         seed: int = 42) -> DataFrame:
-    """How often the mix takes each row of ``docs(doc_id, text, source)``.
-
-    Returns doc_id, source, size (words; null or empty text: 0), source_size, target (double),
-    taken (words the mix takes, repeats counted) and passes (whole copies: the document at the cut
-    counts if at least half of it fits). With target T and source size S the first floor(T / S)
-    epochs take everything, the next takes the documents in key order until the words left are
-    used up, the last of them in part. Reruns agree: keys are hashes of the row and ties are equal
-    rows. Null sources are one source, sorted last. Empty tables give an empty result; other
-    columns are not read.
-
-    The driver reads one number per source to set the targets (sources are few: their weights are
-    a list).
-    """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"),
                        F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("size"),
-                       F.xxhash64(F.lit(seed), "doc_id", F.coalesce("text", F.lit(""))).alias("key"))
+                       F.xxhash64(F.lit(seed), "doc_id", F.coalesce("text", F.lit(""))).alias("key"), *text_key())
     rows = rows.withColumn("_null", F.col("source").isNull()).withColumn("_s", F.coalesce("source", F.lit("")))
     running = global_running_sum(rows, ["key", "doc_id", "size"], ["_null", "_s"], ["size"])
     sizes = running.groupBy("source").agg(F.sum("size").alias("n")).collect()
@@ -73,6 +60,32 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = TOTAL_SHARE, m
     part = F.greatest(F.lit(0), F.least(size, budget - F.col("_e") * whole - (F.col("cum_size") - size)))
     out = out.withColumn("_part", F.when(F.col("_e") >= most, F.lit(0)).otherwise(part).cast("bigint"))
     extra = (F.col("_part") > 0) & (2 * F.col("_part") >= size)
-    return out.select("doc_id", "source", "key", "size", "source_size", "target",
+    return out.select("doc_id", "source", "_t1", "_t2", "key", "size", "source_size", "target",
                       (F.col("_e") * size + F.col("_part")).alias("taken"),
                       (F.col("_e") + extra.cast("bigint")).alias("passes"))
+
+
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = TOTAL_SHARE, most: int = MAX_EPOCHS,
+        seed: int = 42) -> DataFrame:
+    """How often the mix takes each row of ``docs(doc_id, text, source)``.
+
+    Returns doc_id, source, size (words; null or empty text: 0), source_size, target (double),
+    taken (words the mix takes, repeats counted) and passes (whole copies: the document at the cut
+    counts if at least half of it fits). With target T and source size S the first floor(T / S)
+    epochs take everything, the next takes the documents in key order until the words left are
+    used up, the last of them in part. Reruns agree: keys are hashes of the row and ties are equal
+    rows. Null sources are one source, sorted last. Empty tables give an empty result; other
+    columns are not read.
+
+    The driver reads one number per source to set the targets (sources are few: their weights are
+    a list).
+    """
+    return _mixed(docs, weights, share, most, seed).drop("_t1", "_t2")
+
+
+def mixture(docs: DataFrame, weights: tuple = WEIGHTS, share: float = TOTAL_SHARE, most: int = MAX_EPOCHS,
+            seed: int = 42) -> DataFrame:
+    """The rows of ``docs`` with all their columns, each as often as :func:`mix` has ``passes``."""
+    taken = _mixed(docs, weights, share, most, seed).groupBy("doc_id", "source", "_t1", "_t2").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("passes").alias("n")).where("n > 0")
+    return repeated(docs, frozen(taken), ["doc_id", "source"])

@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbuf import chunks, frozen, utf8
+from .textbuf import chunks, frozen, text_key, utf8, without
 
 MIN_WORDS, MAX_DOCS, MIN_LEFT = 50, 20, 0.2
 _SYMBOLS = b"#*$%&|<>"
 
 _METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_SCHEMA = ("doc_id bigint, source string, " + ", ".join(f"{m} bigint" for m in _METRICS)
+_SCHEMA = ("doc_id bigint, source string, _t1 bigint, _t2 bigint, " + ", ".join(f"{m} bigint" for m in _METRICS)
            + ", lines array<struct<h:bigint,mark:bigint,words:bigint>>")
 
 
@@ -96,12 +96,13 @@ def measured(docs: DataFrame) -> DataFrame:
                     ends.append(len(hs))
                 items = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (hs, marks, ws)],
                                                    ["h", "mark", "words"])
-                cols = [part.column(0), part.column(2)]
+                cols = [part.column(0), *part.columns[2:5]]
                 cols += [pa.array([row[k] for row in rows], pa.int64()) for k in range(5)]
                 cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items))
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "source", *_METRICS, "lines"])
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "source", "_t1", "_t2", *_METRICS, "lines"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text", F.col("source").cast("string")).mapInArrow(run, _SCHEMA)
+    return docs.select(F.col("doc_id").cast("bigint"), "text", F.col("source").cast("string"),
+                       *text_key()).mapInArrow(run, _SCHEMA)
 
 
 def frequent_lines(lines: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
@@ -115,16 +116,7 @@ def frequent_lines(lines: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
             .where(F.col("n_distinct") > F.lit(max_docs)).drop("_sq"))
 
 
-def judge(docs: DataFrame, min_words: int = MIN_WORDS, max_docs: int = MAX_DOCS,
-          min_left: float = MIN_LEFT) -> DataFrame:
-    """Quality verdict of every row of ``docs(doc_id, text, source)``.
-
-    Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    kept, n_frequent_lines, words_left. A null or empty text has no words and fails the base
-    rules; a null source is a host of its own; repeated rows are judged each; an empty table gives
-    an empty result; other columns are not read. ``kept`` is false for base failures and for
-    documents of which less than ``min_left`` of the words stand outside frequent lines.
-    """
+def _verdicts(docs: DataFrame, min_words: int, max_docs: int, min_left: float) -> DataFrame:
     rows = frozen(measured(docs).withColumn("_row", F.monotonically_increasing_id()))
     lines = rows.select("_row", "source", F.explode("lines").alias("l")).select("_row", "source", "l.*")
     frequent = frequent_lines(lines, max_docs).select(F.col("source").alias("_s"), F.col("h").alias("_h"))
@@ -133,7 +125,29 @@ def judge(docs: DataFrame, min_words: int = MIN_WORDS, max_docs: int = MAX_DOCS,
     out = rows.drop("lines").join(lost, "_row", "left")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("lost", F.lit(0))
-    return out.select("doc_id", "source", *_METRICS, failed.alias("base_failed"),
+    return out.select("doc_id", "source", "_t1", "_t2", *_METRICS, failed.alias("base_failed"),
                       (~failed & (left.cast("double") >= F.lit(min_left) * F.col("n_words"))).alias("kept"),
                       F.coalesce("n_frequent_lines", F.lit(0)).cast("bigint").alias("n_frequent_lines"),
                       left.cast("bigint").alias("words_left"))
+
+
+def judge(docs: DataFrame, min_words: int = MIN_WORDS, max_docs: int = MAX_DOCS,
+          min_left: float = MIN_LEFT) -> DataFrame:
+    """Quality verdict of every row of ``docs(doc_id, text, source)``.
+
+    Returns doc_id, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    kept, n_frequent_lines, words_left. A null or empty text has no words and fails the base
+    rules; a null source is a host of its own; repeated rows are judged each; an empty table gives
+    an empty result; other columns are not read. ``kept`` is false for base failures and for
+    documents of which less than ``min_left`` of the words stand outside frequent lines.
+    """
+    return _verdicts(docs, min_words, max_docs, min_left).drop("_t1", "_t2")
+
+
+def accepted(docs: DataFrame, min_words: int = MIN_WORDS, max_docs: int = MAX_DOCS,
+             min_left: float = MIN_LEFT) -> DataFrame:
+    """The rows of ``docs`` that :func:`judge` keeps, with all their columns. The verdict depends on
+    text and source alone, so rejected (text, source) pairs are taken out, whatever the ids."""
+    out = _verdicts(docs, min_words, max_docs, min_left).where("not kept")
+    out = frozen(out.select("source", "_t1", "_t2").distinct())
+    return without(docs, out, ["source"])

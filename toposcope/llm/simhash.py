@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .textbuf import chunks, frozen, tasks, utf8
+from .textbuf import chunks, frozen, repeated, tasks, text_key, utf8
 
 SHINGLE, RADIUS, HOT_BUCKET = 3, 2, 4096
 _ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -46,7 +46,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp)`` with the fingerprint as a signed 64-bit integer; one row per row."""
+    """``(doc_id, _t1, _t2, fp)`` with the fingerprint as a signed 64-bit integer; one row per row."""
 
     def run(batches):
         for batch in batches:
@@ -55,9 +55,11 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 raw = data.tobytes()
                 fps = [fingerprint(raw[a:b], shingle) for a, b in zip(offs[:-1], offs[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], ["doc_id", "fp"])
+                    [part.column(0), *part.columns[2:4], pa.array(np.array(fps, dtype=np.uint64).view(np.int64))],
+                    ["doc_id", "_t1", "_t2", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("bigint"), "text", *text_key()).mapInArrow(
+        run, "doc_id bigint, _t1 bigint, _t2 bigint, fp bigint")
 
 
 # ---------------------------------------------------------------- bit-sliced comparison
@@ -237,6 +239,18 @@ def links(distinct: DataFrame, radius: int = RADIUS, hot: int = HOT_BUCKET) -> D
     return sorted_.mapInArrow(_links_of_sorted(radius), "u bigint, v bigint").distinct()
 
 
+def _grouped(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
+    """:func:`fingerprints` with the ``component_id`` of each row."""
+    fp = frozen(fingerprints(docs, shingle))
+    distinct = frozen(fp.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    roots = components(links(distinct.select("fp"), radius))
+    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
+        "root", F.coalesce("root", "fp"))
+    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    own = named.join(lowest, "root").select("fp", "root", "component_id")
+    return fp.join(own, "fp")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """SimHash near-dedup of ``docs(doc_id, text)``.
 
@@ -246,15 +260,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     a null doc_id is never a component's id unless the component has no other. An empty table
     gives an empty result; other columns of ``docs`` are not read.
     """
-    fp = frozen(fingerprints(docs, shingle))
-    distinct = frozen(fp.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = components(links(distinct.select("fp"), radius))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "root", F.coalesce("root", "fp"))
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    # only fingerprints whose component is not their own smallest document need a look-up
-    moved = named.join(lowest, "root").where(~F.col("component_id").eqNullSafe(F.col("low"))).select(
-        "fp", "component_id")
-    own = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
-    return fp.join(own, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                                     "component_id")
+    return _grouped(docs, shingle, radius).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row of ``docs`` for each component, with all its columns: that with the smallest doc_id
+    (ties: the smallest text hash; of equal rows one)."""
+    groups = _grouped(docs, shingle, radius)
+    by_row = groups.groupBy("root", "doc_id", "_t1", "_t2").agg(F.count(F.lit(1)).alias("rows"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_t1", "_t2", "rows")).alias("f")
+    best = by_row.groupBy("root").agg(first).select("f.doc_id", "f._t1", "f._t2", "f.rows", F.lit(1).alias("n"))
+    return repeated(docs, frozen(best), ["doc_id"])

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -45,7 +45,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = _splitmix(256, 17)
-_MULT = _U(0x9FB21C651E98DF25)
+MULT = _U(0x9FB21C651E98DF25)
 _STEP = _U(0xD6E8FEB86659FD93)          # odd, so it has an inverse modulo 2^64
 _STEP_INV = _U(pow(int(_STEP), -1, 1 << 64))
 
@@ -105,11 +105,11 @@ def word_spans(data: np.ndarray, offs: np.ndarray, word_byte: np.ndarray | None
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each word's bytes: one step for the k-th byte of all words that have it."""
     n = ends - starts
-    h = n.astype(_U) * _MULT
+    h = n.astype(_U) * MULT
     live = np.arange(len(n))
     k = 0
     while len(live):
-        h[live] = (h[live] ^ _BYTE[data[starts[live] + k]]) * _MULT
+        h[live] = (h[live] ^ _BYTE[data[starts[live] + k]]) * MULT
         k += 1
         live = live[n[live] > k]
     return mix64(h)
@@ -131,7 +131,7 @@ class RangeHash:
         np.cumsum(words * power[:n], out=self._sum[1:])
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix64((self._sum[b] - self._sum[a]) * self._inv[a] + (b - a).astype(_U) * _MULT)
+        return mix64((self._sum[b] - self._sum[a]) * self._inv[a] + (b - a).astype(_U) * MULT)
 
 
 def sliding(values: np.ndarray, width: int, pick: Callable) -> np.ndarray:
@@ -169,5 +169,38 @@ def text_key(text: str = "text") -> list:
     return [F.xxhash64(t).alias("_t1"), F.xxhash64(F.lit(1), t).alias("_t2")]
 
 
+def _same(docs: DataFrame, side: DataFrame, columns: list[str]) -> tuple[DataFrame, Column]:
+    """``side(columns, _t1, _t2)`` under names that cannot clash, and the condition that a row of
+    ``docs`` has those (null-safe) columns and that text."""
+    inner = side.select([F.col(c).alias(f"__side_{c}") for c in side.columns])
+    one, two = (k for k in text_key())
+    match = (one == F.col("__side__t1")) & (two == F.col("__side__t2"))
+    for c in columns:
+        match = match & F.col(c).cast(side.schema[c].dataType).eqNullSafe(F.col(f"__side_{c}"))
+    return inner, match
+
+
+def without(docs: DataFrame, out: DataFrame, columns: list[str]) -> DataFrame:
+    """``docs`` less the rows that agree with a row of ``out`` in ``columns`` and text."""
+    inner, match = _same(docs, out, columns)
+    return docs.join(broadcast_counted(inner, out.count()), match, "left_anti")
+
+
+def repeated(docs: DataFrame, times: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of ``docs``, as often as ``times(columns, _t1, _t2, rows, n)`` says: ``n`` copies for
+    the ``rows`` equal rows of ``docs`` that agree in ``columns`` and text; those not listed go.
+    The texts of equal rows are brought together only where there are any."""
+    inner, match = _same(docs, times, columns)
+    names = docs.columns
+    joined = docs.join(broadcast_counted(inner, times.count()), match)
+    copy = F.explode(F.array_repeat(F.lit(0), F.col("__side_n").cast("int"))).alias("__side_copy")
+    out = joined.where("__side_rows = 1").select(*names, copy).select(*names)
+    if times.where("rows > 1").limit(1).count():
+        key = [f"__side_{c}" for c in (*columns, "_t1", "_t2")]
+        several = joined.where("__side_rows > 1").dropDuplicates(key)
+        out = out.unionByName(several.select(*names, copy).select(*names))
+    return out
+
+
 def tasks(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
