@@ -172,7 +172,9 @@ def line_links(docs: DataFrame, max_edits: int = MAX_EDITS, step: int = STEP) ->
     both = (pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a")
             .join(texts.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b"))
     allowed = edits(F.least(F.length("line_a"), F.length("line_b")), max_edits, step)
-    return distances(both, max_edits).where(F.col("distance") <= allowed).select("a", "b", "distance")
+    # kept before it is filtered: a pushed filter would compute the distance again inside itself
+    found = frozen(distances(both, max_edits).select("a", "b", "distance", allowed.alias("allowed")))
+    return found.where("distance <= allowed").select("a", "b", "distance")
 
 
 def line_classes(docs: DataFrame, max_edits: int = MAX_EDITS, step: int = STEP) -> DataFrame:
