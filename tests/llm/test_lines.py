@@ -104,7 +104,7 @@ def test_dedup_keeps_the_first(spark):
 
 
 def test_no_python(docs):
-    plan = L.distances(L.distinct_lines(docs).selectExpr("line as line_a", "line as line_b"))._jdf.queryExecution()
+    plan = L.distances(L.all_lines(docs).selectExpr("line as line_a", "line as line_b"))._jdf.queryExecution()
     assert "Python" not in plan.toString() and "Arrow" not in plan.toString()
 
 

@@ -25,11 +25,10 @@ MAX_EDITS, STEP = 2, 16
 LETTERS = "etaonirs"
 
 
-def distinct_lines(docs: DataFrame) -> DataFrame:
-    """``(line, copies)``: distinct lines that hold a word; repeats merge before the shuffle."""
+def all_lines(docs: DataFrame) -> DataFrame:
+    """``(line, h)``: every line of every text that holds a word, with its hash."""
     lines = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line"))
-    return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).groupBy("line").agg(
-        F.count(F.lit(1)).alias("copies"))
+    return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("h", F.xxhash64("line"))
 
 
 def edits(length: Column, max_edits: int = MAX_EDITS, step: int = STEP) -> Column:
@@ -52,64 +51,60 @@ def _letters_near(a: str, b: str, k: str) -> str:
     return "(" + " + ".join(apart(i) for i in range(len(LETTERS))) + f") <= 2 * {k}"
 
 
-def _segment(length: str, k: int, i: int) -> tuple[str, str]:
-    """0-based start and length of segment ``i`` of ``k + 1`` of a line; the last ones are longer."""
-    short = f"({length} div {k + 1})"
-    longer = f"greatest(0, {i} - ({k + 1} - {length} % {k + 1}))"
-    size = f"({short} + if({i} >= {k + 1} - {length} % {k + 1}, 1, 0))"
-    return f"({i} * {short} + {longer})", size
-
-
-def _key(piece: str, length: str, k: int, i: int) -> str:
-    return f"xxhash64({piece}, {length}, {10 * k + i})"
-
-
-def index_keys(max_edits: int = MAX_EDITS) -> Column:
-    """Keys of a line's own segments."""
-    by_k = []
-    for k in range(1, max_edits + 1):
-        keys = []
-        for i in range(k + 1):
-            at, size = _segment("n", k, i)
-            keys.append(_key(f"substring(line, {at} + 1, {size})", "n", k, i))
-        by_k.append(f"when k = {k} then array({', '.join(keys)})")
-    return F.expr(f"case {' '.join(by_k)} end")
-
-
-def probe_keys(max_edits: int = MAX_EDITS, step: int = STEP) -> Column:
-    """Keys of the substrings at which a segment of a line of ``n - d`` characters may lie.
+def keyed_lines(docs: DataFrame, max_edits: int = MAX_EDITS, step: int = STEP) -> DataFrame:
+    """``(key, h, n, own)``: for every line the substrings at which a segment of a line of
+    ``n - d`` characters may lie, hashed with that length and the segment's number. ``own`` marks the
+    line's own segments (the index); all rows are probes.
 
     Of k + 1 segments one is found with at most i edits before segment i and at most k - i after
     it; so its start is within i of its own place counted from the front and within k - i counted
-    from the back."""
-    arrays = []
-    for d in range(max_edits + 1):
-        m = f"(n - {d})"
-        for k in range(max(1, d), max_edits + 1):
-            keys = []
-            for i in range(k + 1):
-                at, size = _segment(m, k, i)
-                for shift in range(max(-i, d - (k - i)), min(i, d + (k - i)) + 1):
-                    start = f"({at} + {shift})"
-                    piece = f"substring(line, {start} + 1, {size})"
-                    keys.append(f"if({start} >= 0 and {start} + {size} <= n, {_key(piece, m, k, i)}, null)")
-            allowed = f"least({max_edits}, {m} div {step})"
-            arrays.append(f"if({allowed} = {k}, array({', '.join(keys)}), array())")
-    return F.expr(f"filter(concat({', '.join(arrays)}), x -> x is not null)")
-
-
-def candidate_pairs(lines: DataFrame, max_edits: int = MAX_EDITS, step: int = STEP) -> DataFrame:
-    """``(a, b)``: line hashes (the shorter line first) that share a key and pass the letter filter."""
-    base = lines.select("line", F.length("line").alias("n")).where(F.col("n") >= step)
-    base = base.select("line", "n", edits(F.col("n"), max_edits, step).alias("k"), F.xxhash64("line").alias("h"),
-                       F.expr(_signature("line")).alias("sig"))
-    index = base.select("h", "n", "sig", F.explode(index_keys(max_edits)).alias("key")).select(
-        "key", F.col("h").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-    probe = base.select("h", "n", "sig", F.explode(probe_keys(max_edits, step)).alias("key")).select(
-        "key", F.col("h").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+    from the back. Segments differ by one character at most, the last ones are the longer.
+
+    Substrings are slices of the line's two-byte characters; those beyond two bytes count as one
+    character here (a candidate more at worst: verification reads the text).
+    """
+    if step <= max_edits:
+        raise ValueError("step must exceed max_edits: a segment has to be longer than any shift")
+    specs = [(k, d, i, shift) for k in range(1, max_edits + 1) for d in range(k + 1) for i in range(k + 1)
+             for shift in range(max(-i, d - (k - i)), min(i, d + (k - i)) + 1)]
+    df = all_lines(docs).select("h", "line", F.length("line").alias("n")).where(F.col("n") >= step)
+    two = F.encode("line", "UTF-16BE")
+    wide = F.encode(F.regexp_replace("line", r"[\x{10000}-\x{10FFFF}]", "\uFFFD"), "UTF-16BE")
+    df = df.select("h", "n", F.when(F.octet_length(two) == 2 * F.col("n"), two).otherwise(wide).alias("codes"))
+    spec = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("k", "d", "i", "shift"), row)]) for row in specs])
+    df = df.select("h", "n", "codes", F.explode(spec).alias("s")).select("h", "n", "codes", "s.*")
+    df = df.where(f"k = least({max_edits}, cast(floor((n - d) / {step}) as int))")
+    df = df.select("*", F.expr("cast(floor((n - d) / (k + 1)) as int)").alias("short"))
+    df = df.select("*", F.expr("k + 1 - (n - d - short * (k + 1))").alias("equal"))      # segments of that size
+    df = df.select("h", "n", "codes", F.expr("n - d").alias("m"), F.expr("k * 100 + i").alias("number"),
+                   F.expr("2 * (i * short + greatest(0, i - equal) + shift) + 1").alias("at"),
+                   F.expr("2 * (short + if(i >= equal, 1, 0))").alias("size"),
+                   F.expr("d = 0 and shift = 0").alias("own"))
+    return df.select(F.expr("xxhash64(substring(codes, at, size), m, number)").alias("key"), "h", "n", "own")
+
+
+def candidate_pairs(docs: DataFrame, max_edits: int = MAX_EDITS, step: int = STEP) -> DataFrame:
+    """``(a, b, line_a, line_b)``: pairs of lines (the shorter one first) that share a key and pass the
+    letter filter.
+
+    Keys of more than one line are found by an aggregation whose partial step merges the copies of a
+    line before the shuffle. Only rows with such keys, and only the texts of their lines, go on."""
+    rows = keyed_lines(docs, max_edits, step)
+    shared = frozen(rows.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+                    .where("low <> high").select("key"))
+    held = frozen(rows.join(broadcast_counted(shared, shared.count()), "key").distinct())
+    wanted = frozen(held.select("h").distinct())
+    texts = frozen(all_lines(docs).join(broadcast_counted(wanted, wanted.count()), "h").distinct().select(
+        "h", "line", F.expr(_signature("line")).alias("sig")))
+    held = held.join(texts, "h")
+    index = held.where("own").select("key", F.col("h").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"),
+                                     F.col("line").alias("line_a"))
+    probe = held.select("key", F.col("h").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"),
+                        F.col("line").alias("line_b"))
     near = F.expr(_letters_near("sa", "sb", f"least({max_edits}, na div {step})"))
     order = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    return index.join(probe, (index["key"] == probe["key"]) & order & near).select("a", "b").distinct()
+    pairs = index.join(probe, (index["key"] == probe["key"]) & order & near)
+    return pairs.select("a", "b", "line_a", "line_b").distinct()
 
 
 # ---------------------------------------------------------------- verification
@@ -164,13 +159,7 @@ def distances(pairs: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
 
 def line_links(docs: DataFrame, max_edits: int = MAX_EDITS, step: int = STEP) -> DataFrame:
     """``(a, b, distance)``: every pair of different lines within the allowed distance, by hash."""
-    pairs = frozen(candidate_pairs(distinct_lines(docs), max_edits, step))
-    wanted = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
-    lines = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line")).withColumn(
-        "h", F.xxhash64("line"))
-    texts = frozen(lines.join(broadcast_counted(wanted, 2 * pairs.count()), "h").distinct())
-    both = (pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a")
-            .join(texts.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b"))
+    both = frozen(candidate_pairs(docs, max_edits, step))
     allowed = edits(F.least(F.length("line_a"), F.length("line_b")), max_edits, step)
     # kept before it is filtered: a pushed filter would compute the distance again inside itself
     found = frozen(distances(both, max_edits).select("a", "b", "distance", allowed.alias("allowed")))
