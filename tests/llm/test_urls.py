@@ -1,5 +1,3 @@
-from urllib.parse import urlsplit  # noqa: F401
-
 from pyspark.sql import functions as F
 
 from toposcope.llm import urls as U

@@ -9,7 +9,6 @@ the one with the most letters in its spans.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 
 import numpy as np

@@ -43,7 +43,8 @@ def _mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = TOTAL_SHARE
         seed: int = 42) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"),
                        F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("size"),
-                       F.xxhash64(F.lit(seed), "doc_id", F.coalesce("text", F.lit(""))).alias("key"), *text_key())
+                       F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
+                                         F.coalesce("text", F.lit("")))).alias("key"), *text_key())
     rows = rows.withColumn("_null", F.col("source").isNull()).withColumn("_s", F.coalesce("source", F.lit("")))
     running = global_running_sum(rows, ["key", "doc_id", "size"], ["_null", "_s"], ["size"])
     sizes = running.groupBy("source").agg(F.sum("size").alias("n")).collect()
