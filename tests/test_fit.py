@@ -19,9 +19,9 @@ DOCS_T = [[0, 3, 5], [1, 2, 3, 7, 11], [4, 9]]
 DOCS_C = [[2, 1, 1], [1, 1, 3, 1, 2], [5, 1]]
 
 
-def loss(state, seed=1, step=0):
+def loss(state, seed=1, step=0, bow_norm=True):
     beta = state.beta()
-    mu, ls, _, _ = np_encode(DOCS_T, DOCS_C, state.w, state.act)
+    mu, ls, _, _ = np_encode(DOCS_T, DOCS_C, state.w, state.act, bow_norm)
     eps = FT.np_normal([f"{seed}:{step}:{d}:{t}" for d in range(3) for t in range(3)]).reshape(3, 3)
     theta = np_softmax(mu + eps * np.exp(0.5 * ls))
     rec = 0.0
@@ -32,9 +32,9 @@ def loss(state, seed=1, step=0):
     return (rec + kl) / 3
 
 
-def analytic(state, seed=1, step=0):
+def analytic(state, seed=1, step=0, bow_norm=True):
     grads, d_w1, d_beta, rec, kl = FT.batch_grad(DOCS_T, DOCS_C, [0, 1, 2], state.w, state.beta(),
-                                                 state.act, seed, step)
+                                                 state.act, seed, step, True, bow_norm)
     rows = [{"name": n, "i": i, "vec": v} for n, g in grads.items()
             for i, v in enumerate(np.atleast_2d(g))]
     rows += [{"name": "W1", "i": t, "vec": v} for t, v in d_w1.items()]
@@ -45,19 +45,19 @@ def analytic(state, seed=1, step=0):
 
 
 def test_gradient_matches_finite_differences():
-    for act in ("tanh", "softplus", "elu"):
+    for act, bow_norm in (("tanh", True), ("softplus", True), ("elu", True), ("relu", True), ("tanh", False)):
         st = tiny_state(act)
-        g, rec, kl = analytic(st)
-        assert abs(rec + kl - loss(st)) < 1e-9
+        g, rec, kl = analytic(st, bow_norm=bow_norm)
+        assert abs(rec + kl - loss(st, bow_norm=bow_norm)) < 1e-9
         for name in st.names():
             p = st.get(name)
             flat = p.reshape(-1)
             for idx in range(0, flat.size, max(1, flat.size // 7)):
                 old = flat[idx]
                 flat[idx] = old + 1e-6
-                up = loss(st)
+                up = loss(st, bow_norm=bow_norm)
                 flat[idx] = old - 1e-6
-                dn = loss(st)
+                dn = loss(st, bow_norm=bow_norm)
                 flat[idx] = old
                 num = (up - dn) / 2e-6
                 assert abs(num - g[name].reshape(-1)[idx]) < 1e-5 * max(1.0, abs(num)), (act, name, idx)
@@ -86,3 +86,47 @@ def test_fit_lowers_loss(spark):
     last = np.mean([r[2] + r[3] for r in train_rows[-3:]])
     assert last < first
     assert len({r[0] for r in train_rows}) == 7            # epochs - 1 passes
+
+
+def test_optimisers_and_frozen_embeddings():
+    import pytest
+    st = tiny_state()
+    assert FT.ModelState(st.w, st.rho, st.alpha).names()[-1] == "alpha"         # rho is frozen by default
+    g, _, _ = analytic(st)
+    before = st.w["W2"].copy()
+    FT.make_optimizer("sgd", 0.1, 0.5).step(st, g)
+    assert np.allclose(st.w["W2"], before - 0.1 * g["W2"])                      # no decay in plain SGD
+    with pytest.raises(ValueError):
+        FT.make_optimizer("other", 0.1, 0.0)
+
+
+def test_fitted_model_saved_loaded_evaluated(spark, tmp_path):
+    """fit → save the best → load → context → report, and the loaded tables equal the saved state."""
+    from toposcope.plans import params as PR
+    from toposcope.plans import registry as G
+    from toposcope.plans.report import ModelContext, eval_report, model_context
+    from toposcope.sources import stores
+
+    sf = "/root/testdata/sf0.001"
+    c = model_context(spark, sf)
+    p = c.packed()
+    saved = []
+
+    def keep(state, epoch, ppl):
+        path = str(tmp_path / f"best-{epoch}")
+        stores.save_model(FT.state_tables(spark, state), {"epoch": epoch, "ppl": ppl}, path)
+        saved.append((path, state))
+
+    FT.fit_topics(p.where("split = 'tr'"), p.where("split = 'ts_h1'"), c.bow().where("split = 'ts_h2'").drop("split"),
+                  G._state(c), epochs=2, batch_size=PR.EVAL_BATCH, seed=PR.SEED, on_best=keep)
+    path, state = saved[-1]
+    tables, meta = stores.load_model(spark, path, ["params", "rho", "alpha"])
+    assert meta["epoch"] == 1
+    loaded = ModelContext(spark, sf, rho=tables["rho"], alpha=tables["alpha"], params=tables["params"])
+    assert np.allclose(loaded.weights.mats["W2"], state.w["W2"])
+    got = {r["metric"] for r in eval_report(loaded).collect()}
+    assert got == {"ppl", "coherence", "diversity", "usage_weighted", "top_used", "top_word", "neighbour"}
+    beta = {(r["topic"], r["token_id"]): r["p"] for r in loaded.beta_long.collect()}
+    want = state.beta()
+    for k, t in enumerate(loaded.topics):
+        assert abs(beta[t, 3] - want[k, 3]) < 1e-4

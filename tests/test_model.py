@@ -72,3 +72,53 @@ def test_activations_match_numpy(spark):
     for name in ("tanh", "relu", "softplus", "rrelu", "leakyrelu", "elu", "selu", "unknown"):
         got = [r.y for r in df.select(M.activation(name, F.col("x")).alias("y")).collect()]
         assert np.allclose(got, M.np_activation(name, np.array(xs)), atol=1e-12), name
+
+
+def test_wide_first_layer_is_joined(spark):
+    """A first layer over the byte limit stays a table; the encoding is the same."""
+    c = model_context(spark, SF)
+    wide = M.EncoderWeights.from_table(c.params, c.vocab_size, limit=10)
+    assert wide.first is not None and "W1" not in wide.mats
+    key = lambda r: (r["split"], r["doc_ix"])
+    a = sorted(c.encoded("tr", "va", "ts").collect(), key=key)
+    b = sorted(M.encode_docs(c.packed().where("split in ('tr', 'va', 'ts')"), wide).collect(), key=key)
+    assert [key(r) for r in a] == [key(r) for r in b] and [r["n_words"] for r in a] == [r["n_words"] for r in b]
+    assert all(np.allclose(x["mu"], y["mu"]) and np.allclose(x["theta"], y["theta"]) for x, y in zip(a, b))
+
+
+def test_glu_is_explicit():
+    import pytest
+    x = np.random.default_rng(1).normal(size=(3, 6))
+    g = M.np_activation_grad("glu", x)
+    for i in range(6):
+        d = np.zeros(6)
+        d[i] = 1e-6
+        num = (M.np_activation("glu", x + d) - M.np_activation("glu", x - d)) / 2e-6
+        assert np.allclose(num[:, i % 3], g[:, i], atol=1e-6)
+    with pytest.raises(ValueError):
+        M.activation("glu", F.lit(1.0))
+
+
+def test_coherence_of_long_lists(spark):
+    """More than 32 top words per topic, against plain Python."""
+    rng = np.random.default_rng(3)
+    n, k = 40, 2
+    beta = spark.createDataFrame([(t, w, float(rng.random()), 0.0) for t in range(k) for w in range(60)],
+                                 "topic int, token_id bigint, dot double, p double").withColumn("p", F.col("dot"))
+    docs = {d: sorted(set(rng.integers(0, 60, 25).tolist())) for d in range(50)}
+    bow = spark.createDataFrame([(d, w) for d, ws in docs.items() for w in ws], "doc_ix bigint, token_id bigint")
+    got = {r["topic"]: r["coherence"] for r in EV.topic_coherence(beta, bow, n).collect()}
+    rows = beta.collect()
+    for t in range(k):
+        top = [r["token_id"] for r in sorted((r for r in rows if r["topic"] == t), key=lambda r: (-r["dot"], r["token_id"]))][:n]
+        vals = []
+        for i in range(n):
+            for j in range(i + 1, n):
+                di, dj = (sum(top[x] in ws for ws in docs.values()) for x in (i, j))
+                dij = sum(top[i] in ws and top[j] in ws for ws in docs.values())
+                if dij == 0:
+                    vals.append(-1.0)
+                else:
+                    lp = math.log(dij / 50)
+                    vals.append((lp - math.log(di / 50) - math.log(dj / 50)) / -lp)
+        assert abs(got[t] - sum(vals) / len(vals)) < 1e-9

@@ -96,20 +96,56 @@ def test_distributed_numbering_path_gives_same_tables(spark, monkeypatch):
         return (sorted(p.bow().collect()), sorted(p.vocab.collect()), sorted(lp.bow().collect()))
 
     small = tables()
-    monkeypatch.setattr(R, "SMALL_RANK_ROWS", 0)
+    for name in ("BROADCAST_MAX_BYTES", "HEAD_KEYS"):
+        monkeypatch.setattr(R, name, 1)
+    for fn in (R.broadcast_if_small, R.lookup_join):
+        monkeypatch.setattr(fn, "__defaults__", tuple(1 if isinstance(x, int) else x for x in fn.__defaults__))
     assert tables() == small
 
 
-def test_dictionary_to_vocab_long_removal_list_path(spark):
-    """More removed entries than the inline limit: the distributed renumbering gives the same
-    vocabulary as the inline id shift."""
+def test_dictionary_to_vocab_any_removal_list(spark):
+    """The same plan for stop lists of every length, against plain Python."""
     from toposcope.plans import lines as L
+
+    words = [f"w{(i * 7919) % 2003}" for i in range(2003)]
+    dictionary = spark.createDataFrame([(i, w, 5000 - i) for i, w in enumerate(words)], "id bigint, word string, cnt bigint")
+    for n in (0, 40, 350, 524, 1000, 1001):
+        gone = set(words[1:2 * n:2]) if n else set()
+        stops = spark.createDataFrame([(w,) for w in sorted(gone)] + [("absent",)], "word string")
+        got = sorted(tuple(r) for r in L.dictionary_to_vocab(dictionary, stops).collect())
+        assert len(gone) == n and got == [(i, w) for i, w in enumerate(w for w in words if w not in gone)]
+
+
+def test_split_labels_without_moving_text(spark):
+    """W5 by cut-off keys: same split as the ranks, and no exchange below the text."""
+    from toposcope.operators import splits as S
     from toposcope.sources.corpus import table
 
-    d = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
-    dictionary = L.build_dictionary(d)
-    stops = read_stops(spark)
-    assert dictionary.join(stops, "word", "left_semi").count() > 0     # the fallback really runs
-    inline = sorted(tuple(r) for r in L.dictionary_to_vocab(dictionary, stops).collect())
-    spread = sorted(tuple(r) for r in L.dictionary_to_vocab(dictionary, stops, max_inline=0).collect())
-    assert inline == spread and len(inline) > 0
+    d = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    labelled = S.label_fractions(d)
+    plan = labelled._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    keyed = sorted((r["okey"], r["doc_id"]) for r in S.split_fractions(d).collect())
+    n = len(keyed)
+    want = {i: "tr" if k < int(.85 * n) else "ts" if k < int(.85 * n) + int(.1 * n) else "va"
+            for k, (_, i) in enumerate(keyed)}
+    assert {r["doc_id"]: r["split"] for r in labelled.collect()} == want
+
+
+def test_hot_words_stay_in_place(spark):
+    """Half of all tokens are one word and nothing may be broadcast whole: same rows, and the shuffled
+    part holds no hot key."""
+    from pyspark.sql import functions as F
+
+    from toposcope.functions.ranking import lookup_join
+
+    rows = spark.range(20000).select(F.col("id").alias("pos"), F.when(F.col("id") % 2 == 0, "the").otherwise(
+        F.concat(F.lit("w"), F.col("id") % 997)).alias("word"))
+    side = spark.createDataFrame([("the", 0, 10000)] + [(f"w{i}", i + 1, 10) for i in range(900)],
+                                 "word string, token_id bigint, df bigint")
+    for how in ("inner", "left"):
+        plain = rows.join(side.select("word", "token_id"), "word", how)
+        split = lookup_join(rows, side, "word", how, "df", max_bytes=0, head_keys=1)
+        cols = ["pos", "word", "token_id"]
+        assert sorted(map(tuple, split.select(cols).collect()), key=repr) == sorted(
+            map(tuple, plain.select(cols).collect()), key=repr)

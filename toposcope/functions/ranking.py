@@ -6,26 +6,24 @@ partition, tag rows with ``monotonically_increasing_id`` (partition id in the hi
 index in the low 33 bits), freeze that with a reliable checkpoint (range bounds are sampled and the
 tag is not deterministic, so neither may be recomputed after an executor loss), then add the row
 counts of earlier partitions. The per-partition count table has one row per (partition, group)
-and is the only thing broadcast.
+and is broadcast when its measured size allows it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 
 _LOCAL_MASK = (1 << 33) - 1
 
-# Tables with a proven row count up to this are numbered by one sorted window (a single task
-# sorting at most this many rows); anything larger, or of unknown size, takes the distributed
-# path below.
-SMALL_RANK_ROWS = 1_000_000
-
-# Rows above which a table that "should be small" is no longer broadcast (join falls back to a
-# shuffle join chosen by AQE). 5 M vocabulary rows are roughly 250 MB in a hash relation.
-BROADCAST_MAX_ROWS = 5_000_000
+# A table is broadcast only when its measured size is at most this; beyond it the join shuffles.
+BROADCAST_MAX_BYTES = 128 << 20
+# Beyond the limit the most frequent keys (a bounded top-k) are joined from a broadcast table, so
+# that a hot word never gathers its rows in one partition.
+HEAD_KEYS = 10_000
 
 
 def _as_col(c) -> Column:
@@ -33,17 +31,13 @@ def _as_col(c) -> Column:
 
 
 def global_row_number(df: DataFrame, order_cols, group_cols=(), name: str = "rn",
-                      num_partitions: int | None = None, rows: int | None = None) -> DataFrame:
+                      num_partitions: int | None = None) -> DataFrame:
     """0-based position of each row in the order ``order_cols`` (within ``group_cols``).
 
     ``order_cols`` must make the order total within a group (end with a unique id).
-    Pass a narrow frame (keys and ids only); join wider payloads back afterwards.
-    ``rows``: a row count the caller has proven (e.g. a size-checked vocabulary); at most
-    ``SMALL_RANK_ROWS`` rows are numbered by one sorted window instead of the distributed path.
+    Pass a narrow frame (keys and ids only); join wider payloads back afterwards. Tables of every
+    size take the same path.
     """
-    if rows is not None and rows <= SMALL_RANK_ROWS:
-        w = Window.partitionBy(*group_cols).orderBy(*[_as_col(c) for c in order_cols])
-        return df.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     group_names = list(group_cols)
@@ -60,18 +54,54 @@ def global_row_number(df: DataFrame, order_cols, group_cols=(), name: str = "rn"
                                                     F.min("_l").alias("_lo"))
     before = Window.partitionBy(*group_names).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    # one row per (range partition, group): bounded by the partition count, safe to broadcast
-    joined = tagged.join(F.broadcast(stats.select("_p", *group_names, "_lo", "_off")),
+    # one row per (range partition, group): its size follows the groups, so it is measured
+    joined = tagged.join(broadcast_if_small(stats.select("_p", *group_names, "_lo", "_off")),
                          ["_p", *group_names])
     return (joined.withColumn(name, (F.col("_l") - F.col("_lo") + F.col("_off")).cast("bigint"))
                   .drop("_p", "_l", "_lo", "_off"))
 
 
-def broadcast_if_small(df: DataFrame, rows: int | None = None,
-                       max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only when the row count is known to be under ``max_rows``."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= max_rows else df
+def _width(field: T.StructField) -> Column:
+    """Bytes of one value: text by its length, arrays by their elements, anything else 8."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+    if isinstance(field.dataType, T.ArrayType):
+        each = 24 if isinstance(field.dataType.elementType, (T.StringType, T.StructType)) else 8
+        return F.greatest(F.size(c), F.lit(0)) * each + 16
+    return F.lit(8)
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Size of the rows of ``df`` by one aggregation (narrow columns, text and array lengths)."""
+    row = sum((_width(f) for f in df.schema.fields), F.lit(16))
+    return df.agg(F.coalesce(F.sum(row.cast("bigint")), F.lit(0)).alias("n")).first()["n"]
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast hint only when the measured bytes are under ``max_bytes``."""
+    return F.broadcast(df) if measured_bytes(df) <= max_bytes else df
+
+
+def lookup_join(rows: DataFrame, side: DataFrame, on: str, how: str = "inner", weight: str | None = None,
+                max_bytes: int = BROADCAST_MAX_BYTES, head_keys: int = HEAD_KEYS) -> DataFrame:
+    """Join many ``rows`` to a table with one row per key (``how``: inner or left).
+
+    A small table is broadcast. A larger one is split by ``weight`` (how often the key occurs among
+    the rows): its ``head_keys`` heaviest keys are broadcast and their rows never move; all other
+    rows meet the rest of the table in a shuffle join, where no key is hot any more.
+    """
+    value = [c for c in side.columns if c not in (on, weight)]
+    if measured_bytes(side) <= max_bytes:
+        return rows.join(F.broadcast(side.select(on, *value)), on, how)
+    if weight is None:
+        return rows.join(side.select(on, *value), on, how)
+    head = (side.orderBy(F.col(weight).desc(), F.col(on)).limit(head_keys)
+            .select(on, *value, F.lit(True).alias("_head")))
+    marked = rows.join(F.broadcast(head), on, "left")
+    hot = marked.where("_head").drop("_head")
+    rest = marked.where("_head is null").drop("_head", *value).join(side.select(on, *value), on, how)
+    return hot.unionByName(rest)
 
 
 def global_running_sum(df: DataFrame, order_cols, group_cols, value_cols, num_partitions: int | None = None,
@@ -102,7 +132,8 @@ def global_running_sum(df: DataFrame, order_cols, group_cols, value_cols, num_pa
     stats = stats.select("_p", *group_names,
                          F.coalesce(F.sum("_tn").over(before), F.lit(0)).alias("_on"), *offs)
     local = Window.partitionBy("_p", *group_names).orderBy("_l").rowsBetween(Window.unboundedPreceding, 0)
-    out = tagged.join(F.broadcast(stats), ["_p", *group_names])
+    # one row per (range partition, group): its size follows the groups, so it is measured
+    out = tagged.join(broadcast_if_small(stats), ["_p", *group_names])
     out = out.withColumn(f"{prefix}n", (F.count(F.lit(1)).over(local) + F.col("_on")).cast("bigint"))
     for v in value_cols:
         out = out.withColumn(f"{prefix}{v}", F.sum(v).over(local) + F.col(f"_o_{v}"))

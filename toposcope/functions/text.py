@@ -21,7 +21,6 @@ WORD2_PATTERN = r"[\p{L}\p{N}_]{2,}"
 # ASCII punctuation (the 32 printable non-alphanumeric ASCII signs).
 PUNCT_PATTERN = r"[!-/:-@\[-`{-~]"
 # Sub-word joint removed before scoring translations.
-SUBWORD_JOINT = "@@ "
 # Our own stop list: frequent function words of the four corpus languages (en, fr, de, es).
 STOP_WORDS = (
     "the of and to in is on that it as be was for with this are by at from "

@@ -4,8 +4,8 @@
   vectors are model-sized constants: they are broadcast once and multiplied into each vocabulary
   block (no join); the per-topic max and normaliser are two partial aggregations returning K numbers.
 * Encoder (T2/T3): ``mapInArrow`` over packed bag-of-words with the weights shipped once as a
-  Spark broadcast variable (dense NumPy); layer 1 is a sparse-row product. The weights are
-  model-sized (V×H), checked against a hard limit.
+  Spark broadcast variable (dense NumPy); layer 1 is a sparse-row product. A first layer (V×H)
+  above a byte limit stays a table and is joined by token.
 * Word probabilities (J6) are evaluated only at the (document, word) cells present.
 """
 
@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import key, normal
-from ..functions.ranking import broadcast_if_small
+from ..functions.ranking import broadcast_if_small, lookup_join, measured_bytes
 from ..functions.vectors import arrow_list, arrow_matrix
 from ..plans.params import QUANT
 from ..sources.fixtures import ALPHA_DIVISOR
 
 # dot(rho_q, alpha_q) / LOGIT_SCALE is the real logit rho·alpha
 LOGIT_SCALE = float(QUANT) * float(QUANT) * ALPHA_DIVISOR
-BROADCAST_WEIGHT_LIMIT = 2 << 30          # bytes of encoder weights shipped to executors
+FIRST_LAYER_BYTES = 512 << 20             # a larger vocabulary-wide layer is joined by token, not shipped
 BETA_BROADCAST_BYTES = 200 << 20          # beta-by-token above this is shuffle-joined
 
 # --- fixed values: activation constants (public definitions) -------------------------------------
@@ -51,15 +51,13 @@ def ddot(a, b) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
 
 
-def literal_matrix(rows: list[list]) -> Column:
-    return F.array(*[F.array(*[F.lit(v) for v in r]) for r in rows])
-
-
 # ------------------------------------------------------------------ activations (M3)
 
 def activation(name: str, x: Column) -> Column:
     """Column form of each activation; unknown names fall back to tanh. ``rrelu`` uses its
     scoring-time slope. ``glu`` needs a pair of columns: use :func:`glu`."""
+    if name == "glu":
+        raise ValueError("glu takes a pair of columns: use glu(a, b)")
     if name == "relu":
         return F.greatest(x, F.lit(0.0))
     if name == "softplus":
@@ -100,7 +98,8 @@ def np_activation(name: str, x: np.ndarray) -> np.ndarray:
 
 
 def np_activation_grad(name: str, x: np.ndarray) -> np.ndarray:
-    """Derivative of the activation at the pre-activation ``x`` (used by the gradient)."""
+    """Derivative of the activation at the pre-activation ``x`` (used by the gradient). For ``glu`` the
+    derivatives with respect to both halves, side by side."""
     if name == "relu":
         return (x > 0).astype(float)
     if name == "softplus":
@@ -113,6 +112,10 @@ def np_activation_grad(name: str, x: np.ndarray) -> np.ndarray:
         return np.where(x > 0, 1.0, ELU_ALPHA * np.exp(np.minimum(x, 0)))
     if name == "selu":
         return SELU_SCALE * np.where(x > 0, 1.0, SELU_ALPHA * np.exp(np.minimum(x, 0)))
+    if name == "glu":
+        h = x.shape[-1] // 2
+        gate = 1.0 / (1.0 + np.exp(-x[..., h:]))
+        return np.concatenate([gate, x[..., :h] * gate * (1.0 - gate)], axis=-1)
     t = np.tanh(x)
     return 1.0 - t * t
 
@@ -145,22 +148,6 @@ def _block_dots(rb, amat: np.ndarray) -> np.ndarray:
     return q @ amat.T                                  # exact: |dot| < 2^63 for quantised inputs
 
 
-def topic_logits(rho: DataFrame, alpha: DataFrame) -> tuple[DataFrame, list[int]]:
-    """Per vocabulary row the K exact integer logits ``dots`` (rho_q · alpha_q)."""
-    import pyarrow as pa
-    topics, amat = _alpha_matrix(alpha)
-    bc = rho.sparkSession.sparkContext.broadcast(amat)
-
-    def run(batches):
-        a = bc.value
-        for rb in batches:
-            if rb.num_rows:
-                yield pa.RecordBatch.from_arrays([rb.column("token_id"), arrow_list(_block_dots(rb, a))],
-                                                 names=["token_id", "dots"])
-
-    return rho.select("token_id", "qvec").mapInArrow(run, "token_id bigint, dots array<bigint>"), topics
-
-
 def beta_by_token(rho: DataFrame, alpha: DataFrame) -> tuple[DataFrame, list[int]]:
     """T1 in per-token form ``(token_id, dots ARRAY<BIGINT>, beta ARRAY<DOUBLE>)``: beta[k] is
     softmax over the vocabulary of topic k, evaluated with the per-topic max subtracted:
@@ -217,17 +204,20 @@ def beta_by_token(rho: DataFrame, alpha: DataFrame) -> tuple[DataFrame, list[int
 def topic_word_dist(rho: DataFrame, alpha: DataFrame) -> DataFrame:
     """T1 long form ``(topic, token_id, dot, p)``."""
     bt, topics = beta_by_token(rho, alpha)
+    return beta_long(bt, topics)
+
+
+def beta_long(bt: DataFrame, topics: list[int]) -> DataFrame:
+    """Long form of :func:`beta_by_token`."""
     tlit = F.array(*[F.lit(t) for t in topics])
     z = bt.select("token_id", F.explode(F.arrays_zip(tlit.alias("topic"), "dots", "beta")).alias("z"))
     return z.select(F.col("z.topic").alias("topic"), "token_id",
                     F.col("z.dots").alias("dot"), F.col("z.beta").alias("p"))
 
 
-def beta_lookup(bt: DataFrame, num_topics: int) -> DataFrame:
-    """``(token_id, beta)`` as a join side: broadcast when V·K doubles fit the limit."""
-    rows = bt.count()
-    limit_rows = BETA_BROADCAST_BYTES // (8 * num_topics + 16)
-    return broadcast_if_small(bt.select("token_id", "beta"), rows, max_rows=limit_rows)
+def beta_lookup(bt: DataFrame) -> DataFrame:
+    """``(token_id, beta)`` as a join side: broadcast when its measured bytes allow it."""
+    return broadcast_if_small(bt.select("token_id", "beta"), BETA_BROADCAST_BYTES)
 
 
 # ------------------------------------------------------------------ encoder
@@ -244,34 +234,31 @@ ENCODER_SCHEMA = T.StructType([
 
 
 class EncoderWeights:
-    """Dense NumPy weights gathered from a ``params(name, i, vec)`` table."""
+    """Encoder weights of a ``params(name, i, vec)`` table. The upper layers are model-sized NumPy
+    matrices; the first layer is vocabulary-wide and is read only when its measured bytes allow it,
+    else it stays the table ``first(token_id, vec)``."""
 
     NAMES = ("W1", "b1", "W2", "b2", "Wmu", "bmu", "Ws", "bs")
 
-    def __init__(self, mats: dict[str, np.ndarray]):
-        self.mats = mats
+    def __init__(self, mats: dict[str, np.ndarray], first: DataFrame | None = None):
+        self.mats, self.first = mats, first
 
     @classmethod
-    def from_table(cls, params: DataFrame, vocab_size: int) -> "EncoderWeights":
-        rows = params.select("name", "i", "vec").collect()
+    def from_table(cls, params: DataFrame, vocab_size: int, limit: int = FIRST_LAYER_BYTES) -> "EncoderWeights":
+        layer = params.where(F.col("name") == "W1").select(F.col("i").alias("token_id"), "vec")
+        wide = measured_bytes(layer) > limit
+        rows = (params.where(F.col("name") != "W1") if wide else params).select("name", "i", "vec").collect()
         groups: dict[str, dict[int, list]] = {}
         for r in rows:
             groups.setdefault(r["name"], {})[int(r["i"])] = r["vec"]
         mats = {}
         for name, g in groups.items():
             n = vocab_size if name == "W1" else max(g) + 1
-            width = len(next(iter(g.values())))
-            m = np.zeros((n, width))
+            m = np.zeros((n, len(next(iter(g.values())))))
             for i, v in g.items():
                 m[i] = v
             mats[name] = m[0] if name.startswith("b") else m
-        out = cls(mats)
-        if out.nbytes() > BROADCAST_WEIGHT_LIMIT:
-            raise ValueError(f"encoder weights {out.nbytes()} B exceed the broadcast limit")
-        return out
-
-    def nbytes(self) -> int:
-        return int(sum(m.nbytes for m in self.mats.values()))
+        return cls(mats, layer if wide else None)
 
 
 def np_encode(tokens_list, counts_list, w: dict[str, np.ndarray], act: str = "relu",
@@ -301,25 +288,50 @@ def np_encode_flat(tok: np.ndarray, cnt: np.ndarray, lens: np.ndarray, w: dict[s
         sums = np.zeros((n, h))
         np.add.at(sums, doc, contrib)
         a1 = a1 + sums
-    h1 = np_activation(act, a1)
-    a2 = h1 @ w["W2"] + w["b2"]
-    h2 = np_activation(act, a2)
-    mu = h2 @ w["Wmu"] + w["bmu"]
-    ls = h2 @ w["Ws"] + w["bs"]
+    mu, ls, a2 = np_upper_layers(a1, w, act)
     return mu, ls, a1, a2
 
 
+def np_upper_layers(a1: np.ndarray, w: dict[str, np.ndarray], act: str):
+    """``(mu, logsigma, a2)`` from the first layer's pre-activations."""
+    a2 = np_activation(act, a1) @ w["W2"] + w["b2"]
+    h2 = np_activation(act, a2)
+    return h2 @ w["Wmu"] + w["bmu"], h2 @ w["Ws"] + w["bs"], a2
+
+
 def np_softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def _encoded_batch(rb, mu, ls, n_words):
+    import pyarrow as pa
+    theta = np_softmax(mu)
+    kl = -0.5 * np.sum(1.0 + ls - mu * mu - np.exp(ls), axis=1)
+    return pa.RecordBatch.from_arrays(
+        [rb.column("split"), rb.column("doc_ix"), arrow_list(mu), arrow_list(ls), arrow_list(theta),
+         pa.array(kl), pa.array(n_words)],
+        names=["split", "doc_ix", "mu", "logsigma", "theta", "kl", "n_words"])
+
+
 def encode_docs(packed: DataFrame, weights: EncoderWeights, act: str = "relu",
                 bow_norm: bool = True) -> DataFrame:
     """T2 + T3 (scoring mode, z = mu) + A10 per document: ``(split, doc_ix, mu, logsigma,
-    theta, kl, n_words)``; one Arrow batch at a time, weights from a broadcast variable."""
-    import pyarrow as pa
+    theta, kl, n_words)``; one Arrow batch at a time, weights from a broadcast variable. A first
+    layer too wide to ship is joined by token instead (:func:`_first_layer`)."""
+    if act == "glu":
+        raise ValueError("glu halves the layer width and cannot be wired into this encoder")
     bc = packed.sparkSession.sparkContext.broadcast(weights.mats)
+    if weights.first is not None:
+        def upper(batches):
+            w = bc.value
+            for rb in batches:
+                if rb.num_rows:
+                    mu, ls, _ = np_upper_layers(arrow_matrix(rb.column("a1"), np.float64) + w["b1"], w, act)
+                    yield _encoded_batch(rb, mu, ls, rb.column("n_words").to_numpy())
+
+        sums = _first_layer(packed, weights.first, len(weights.mats["b1"]), bow_norm)
+        return sums.mapInArrow(upper, ENCODER_SCHEMA)
 
     def flat(col):
         offs = col.offsets.to_numpy()
@@ -333,18 +345,34 @@ def encode_docs(packed: DataFrame, weights: EncoderWeights, act: str = "relu",
             tok, lens = flat(rb.column("tokens"))
             cnt, _ = flat(rb.column("counts"))
             mu, ls, _, _ = np_encode_flat(tok.astype(np.int64), cnt.astype(float), lens, w, act, bow_norm)
-            theta = np_softmax(mu)
-            kl = -0.5 * np.sum(1.0 + ls - mu * mu - np.exp(ls), axis=1)
             n_words = np.bincount(np.repeat(np.arange(rb.num_rows), lens), weights=cnt,
                                   minlength=rb.num_rows).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [rb.column("split"), rb.column("doc_ix"), arrow_list(mu), arrow_list(ls),
-                 arrow_list(theta), pa.array(kl), pa.array(n_words)],
-                names=["split", "doc_ix", "mu", "logsigma", "theta", "kl", "n_words"])
+            yield _encoded_batch(rb, mu, ls, n_words)
 
     return packed.select("split", "doc_ix", "tokens", "counts").mapInArrow(run, ENCODER_SCHEMA)
 
 
+def _first_layer(packed: DataFrame, first: DataFrame, hidden: int, bow_norm: bool) -> DataFrame:
+    """``(split, doc_ix, a1, n_words)``: the first layer's sums without its bias, as a join of the
+    (document, token) cells with the layer's rows and a weighted vector sum per document. The sum is
+    combined map-side; the tokens of the most documents stay with their rows in the join."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    total = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, c: a + c)
+    docs = packed.select("split", "doc_ix", "tokens", "counts", total.alias("n_words"))
+    cells = docs.select("split", "doc_ix", "n_words", F.explode(F.arrays_zip("tokens", "counts")).alias("z")).select(
+        "split", "doc_ix", "n_words", F.col("z.tokens").cast("bigint").alias("token_id"), F.col("z.counts").alias("c"))
+    often = cells.groupBy("token_id").agg(F.count(F.lit(1)).alias("_often"))
+    side = first.join(often, "token_id")
+    hit = lookup_join(cells, side, "token_id", weight="_often")
+    x = F.col("c") / F.col("n_words") if bow_norm else F.col("c").cast("double")
+    sums = hit.groupBy("split", "doc_ix").agg(Summarizer.sum(array_to_vector("vec"), x).alias("_s"))
+    zero = F.array_repeat(F.lit(0.0), hidden)
+    return docs.select("split", "doc_ix", "n_words").join(sums, ["split", "doc_ix"], "left").select(
+        "split", "doc_ix", F.coalesce(vector_to_array("_s"), zero).alias("a1"), "n_words")
+
+
 def reparameterize(mu: str = "mu", logsigma: str = "logsigma", training: bool = True,
                    seed: int = 2019, step: int = 0, doc: str = "doc_ix") -> Column:
     """M4: z = mu + eps·exp(logsigma / 2) with eps ~ N(0,1) keyed by (seed, step, doc, topic)
@@ -384,7 +412,3 @@ def kl_divergence(encoded: DataFrame) -> DataFrame:
     terms = F.zip_with("mu", "logsigma", lambda m, s: F.lit(1.0) + s - m * m - F.exp(s))
     return encoded.select("split", "doc_ix",
                           (F.lit(-0.5) * F.aggregate(terms, F.lit(0.0), lambda a, v: a + v)).alias("kl"))
-
-
-def log_safe(x: float) -> float:
-    return math.log(x) if x > 0 else float("-inf")

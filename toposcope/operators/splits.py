@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import key
 from ..functions.ranking import global_row_number
-from .vocab import lookup_side
+from .vocab import lookup
 
 
 def permutation_key(doc_id: str = "doc_id", seed: int = 2019):
@@ -53,10 +53,38 @@ def split_fractions(corpus: DataFrame, seed: int = 2019, train: float = 0.85,
     n_tr = int(train * n // 1)
     n_ts = int(test * n // 1)
     keyed = corpus.select("doc_id", permutation_key(seed=seed).alias("okey"))
-    ranked = global_row_number(keyed, ["okey", "doc_id"], name="_r", rows=n)
-    split = (F.when(F.col("_r") < n_tr, F.lit("tr"))
-              .when(F.col("_r") < n_tr + n_ts, F.lit("ts")).otherwise(F.lit("va")))
-    return ranked.select("doc_id", split.alias("split"), "okey")
+    tr_end, ts_end = _cut_offs(keyed, n_tr, n_tr + n_ts)
+    split = (F.when(_before(tr_end), F.lit("tr"))
+              .when(_before(ts_end), F.lit("ts")).otherwise(F.lit("va")))
+    return keyed.select("doc_id", split.alias("split"), "okey")
+
+
+def label_fractions(corpus: DataFrame, seed: int = 2019, train: float = 0.85, test: float = 0.10) -> DataFrame:
+    """W5 on rows with payload: ``split`` beside the columns of ``corpus``. Each row compares its own
+    permutation key with the two cut-off keys, so neither text nor a rank table moves."""
+    n = corpus.count()
+    n_tr = int(train * n // 1)
+    tr_end, ts_end = _cut_offs(corpus.select("doc_id", permutation_key(seed=seed).alias("okey")), n_tr,
+                               n_tr + int(test * n // 1))
+    out = corpus.withColumn("okey", permutation_key(seed=seed))
+    return out.withColumn("split", F.when(_before(tr_end), F.lit("tr")).when(_before(ts_end), F.lit("ts"))
+                          .otherwise(F.lit("va"))).drop("okey")
+
+
+def _cut_offs(keyed: DataFrame, *positions: int) -> list[tuple | None]:
+    """``(okey, doc_id)`` at each 0-based position of the permutation; None past its end. Only keys
+    and ids are ranked; the driver reads one row per position."""
+    ranked = global_row_number(keyed, ["okey", "doc_id"], name="_r")
+    rows = ranked.where(F.col("_r").isin(*positions)).collect()
+    at = {r["_r"]: (r["okey"], r["doc_id"]) for r in rows}
+    return [at.get(p) for p in positions]
+
+
+def _before(cut: tuple | None):
+    """True for rows ordered before the cut-off (all rows without one)."""
+    if cut is None:
+        return F.lit(True)
+    return (F.col("okey") < F.lit(cut[0])) | ((F.col("okey") == F.lit(cut[0])) & (F.col("doc_id") < F.lit(cut[1])))
 
 
 def encode_tokens(words: DataFrame, vocab: DataFrame, arr: str = "words",
@@ -68,7 +96,7 @@ def encode_tokens(words: DataFrame, vocab: DataFrame, arr: str = "words",
     ``n_tokens`` is the encoded length of the document.
     """
     ex = words.select(doc, *carry, F.posexplode(arr).alias("_src_pos", "word"))
-    hit = ex.join(lookup_side(vocab), "word", "inner")
+    hit = lookup(ex, vocab)
     w = Window.partitionBy(doc).orderBy("_src_pos")
     wl = Window.partitionBy(doc)
     return (hit.select(doc, *carry, "_src_pos", F.col("token_id").cast("bigint").alias("token_id"),
@@ -84,7 +112,7 @@ def encode_text(docs: DataFrame, vocab: DataFrame, text: str = "text", doc: str
     from .tokens import explode_clean
     ex = explode_clean(docs, text, keys=(doc, *carry), with_pos=True,
                        tokenize=tokenize).withColumnRenamed("pos", "_src_pos")
-    hit = ex.join(lookup_side(vocab), "word", "inner")
+    hit = lookup(ex, vocab)
     w = Window.partitionBy(doc).orderBy("_src_pos")
     wl = Window.partitionBy(doc)
     return (hit.select(doc, *carry, "_src_pos", F.col("token_id").cast("bigint").alias("token_id"),
@@ -111,17 +139,7 @@ def half_label(pos: str = "pos", n: str = "n_tokens"):
     return F.when(F.col(pos) < F.floor(F.col(n) / 2), F.lit("ts_h1")).otherwise(F.lit("ts_h2"))
 
 
-def split_halves_arrays(tokens: str = "tokens"):
-    """W6 in array form: (first half, second half) of an ordered token array, no shuffle."""
-    half = F.floor(F.size(tokens) / 2).cast("int")
-    first = F.slice(tokens, F.lit(1), half)
-    second = F.slice(tokens, half + 1, F.size(tokens))
-    return first, second
-
-
-def reindex_docs(docs: DataFrame, split: str = "split", order=("okey", "doc_id"),
-                 rows: int | None = None) -> DataFrame:
-    """Dense 0-based ``doc_ix`` per split in ``order`` (distributed numbering; a proven
-    small document count takes the one-window path)."""
+def reindex_docs(docs: DataFrame, split: str = "split", order=("okey", "doc_id")) -> DataFrame:
+    """Dense 0-based ``doc_ix`` per split in ``order`` (distributed numbering)."""
     return global_row_number(docs.select("doc_id", split, *[c for c in order if c != "doc_id"]),
-                             list(order), group_cols=[split], name="doc_ix", rows=rows)
+                             list(order), group_cols=[split], name="doc_ix")

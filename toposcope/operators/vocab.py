@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import broadcast_if_small, global_row_number
+from ..functions.ranking import broadcast_if_small, global_row_number, lookup_join
 
 
 def document_frequency(words: DataFrame, doc: str = "doc_id", arr: str = "words",
@@ -53,8 +53,7 @@ def df_range_filter(dfreq: DataFrame, n_docs: int, min_df: int | float = 10,
 
 
 def remove_stops(vocab: DataFrame, stops: DataFrame, word: str = "word") -> DataFrame:
-    """Vocabulary minus stop words (anti join; the stop list is broadcast behind a row count)."""
-    from ..functions.ranking import broadcast_if_small
+    """Vocabulary minus stop words (anti join; the stop list is broadcast behind a size check)."""
     return vocab.join(broadcast_if_small(stops.select(F.col("word").alias(word))), word, "left_anti")
 
 
@@ -63,11 +62,9 @@ def order_vocab_by_df(vocab: DataFrame) -> DataFrame:
     return vocab.orderBy("df", "word")
 
 
-def assign_ids(vocab: DataFrame, order=("df", "word"), name: str = "token_id",
-               rows: int | None = None) -> DataFrame:
-    """Dense 0-based ids in ``order``. With a proven small row count the numbering is one
-    sorted window; otherwise the distributed numbering (no single-task window)."""
-    return global_row_number(vocab, list(order), name=name, rows=rows)
+def assign_ids(vocab: DataFrame, order=("df", "word"), name: str = "token_id") -> DataFrame:
+    """Dense 0-based ids in ``order`` by the distributed numbering (no single-task window)."""
+    return global_row_number(vocab, list(order), name=name)
 
 
 def distinct_train_words(words: DataFrame, arr: str = "words") -> DataFrame:
@@ -90,6 +87,9 @@ def vocab_report(stages: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def lookup_side(vocab: DataFrame, cols=("word", "token_id")) -> DataFrame:
-    """The vocabulary as the build side of a hash join: broadcast when its size is proven small."""
-    return broadcast_if_small(vocab.select(*cols))
+def lookup(rows: DataFrame, vocab: DataFrame, on: str = "word", cols=("word", "token_id"),
+           how: str = "inner") -> DataFrame:
+    """Token rows joined to the vocabulary: broadcast when its measured size is small, else split by
+    document frequency so that hot words do not move."""
+    weight = "df" if "df" in vocab.columns and "df" not in cols else None
+    return lookup_join(rows, vocab.select(*cols, *([weight] if weight else [])), on, how, weight)

@@ -314,25 +314,27 @@ def model_sql() -> dict[str, str]:
         "CAST(row_number() OVER (PARTITION BY topic ORDER BY dot DESC, token_id) - 1 AS BIGINT) AS rank FROM beta) t "
         f"JOIN vocab v USING (token_id) WHERE t.rank < {PR.NUM_WORDS - 1}")
     q["decode_ids"] = with_ng(
-        "SELECT b.doc_ix, b.token_id, v.word, b.cnt FROM bow b JOIN vocab v USING (token_id) WHERE b.split = 'va'")
+        "SELECT b.split, b.doc_ix, b.token_id, v.word, b.cnt FROM bow b JOIN vocab v USING (token_id)")
     q["topic_diversity"] = with_model(
         f"SELECT {rnd('count(DISTINCT token_id) / (' + str(PR.DIVERSITY_WORDS) + ' * count(DISTINCT topic))')} AS diversity "
         "FROM (SELECT topic, token_id, row_number() OVER (PARTITION BY topic ORDER BY dot DESC, token_id) AS r FROM beta) "
         f"WHERE r <= {PR.DIVERSITY_WORDS}")
-    q["nearest_words"] = with_model(
-        "SELECT query_id, rank, token_id, " + rnd("cos", "1e9") + " AS cos FROM ("
+    neighbours = (
+        "SELECT query_id, rank, token_id, cos FROM ("
         "SELECT qw.token_id AS query_id, r.token_id, "
         f"CAST({idot('qw.qvec', 'r.qvec')} AS DOUBLE) / (sqrt(CAST({idot('qw.qvec', 'qw.qvec')} AS DOUBLE)) * sqrt(CAST({idot('r.qvec', 'r.qvec')} AS DOUBLE))) AS cos, "
         f"CAST(row_number() OVER (PARTITION BY qw.token_id ORDER BY CAST({idot('qw.qvec', 'r.qvec')} AS DOUBLE) / (sqrt(CAST({idot('qw.qvec', 'qw.qvec')} AS DOUBLE)) * sqrt(CAST({idot('r.qvec', 'r.qvec')} AS DOUBLE))) DESC, r.token_id) - 1 AS BIGINT) AS rank "
         "FROM (SELECT r2.token_id, r2.qvec FROM (SELECT token_id FROM vocab ORDER BY df DESC, word LIMIT 12) qv JOIN rho r2 USING (token_id)) qw "
         f"CROSS JOIN rho r) WHERE rank < {PR.NEIGHBOURS}")
+    q["nearest_words"] = with_model(
+        "SELECT query_id, rank, token_id, " + rnd("cos", "1e9") + f" AS cos FROM ({neighbours})")
     q["encode_docs"] = with_model(
         f"SELECT split, doc_ix, topic, {rnd('mu', '1e9')} AS mu, {rnd('logsigma', '1e9')} AS logsigma "
         "FROM enc_out WHERE split IN ('tr', 'va', 'ts')")
     q["infer_theta"] = with_model(
         f"SELECT split, doc_ix, topic, {rnd('theta', '1e9')} AS theta FROM theta WHERE split IN ('tr', 'va', 'ts')")
     q["softmax"] = with_model(
-        f"SELECT split, doc_ix, topic, {rnd('theta', '1e9')} AS theta FROM theta WHERE split = 'tr'")
+        f"SELECT split, doc_ix, topic, {rnd('theta', '1e9')} AS theta FROM theta WHERE split IN ('tr', 'va', 'ts')")
     z = f"mu + {normal(f'{PR.SEED!r} || ' + chr(39) + ':0:' + chr(39) + ' || CAST(doc_ix AS VARCHAR) || ' + chr(39) + ':' + chr(39) + ' || CAST(topic AS VARCHAR)')} * exp(logsigma * 0.5)"
     q["reparameterize"] = with_model(
         f"SELECT split, doc_ix, topic, {rnd(z)} AS z FROM theta WHERE split = 'tr'")
@@ -345,7 +347,7 @@ def model_sql() -> dict[str, str]:
         f"SELECT split, {rnd('avg(rec)')} AS rec, {rnd('avg(kl)')} AS kl, {rnd('avg(rec) + avg(kl)')} AS nelbo "
         "FROM elbo GROUP BY split")
     q["theta_beta_join"] = with_model(
-        f"SELECT split, doc_ix, token_id, cnt, {rnd('p', '1e12')} AS p FROM probs WHERE split = 'tr'")
+        f"SELECT split, doc_ix, token_id, cnt, {rnd('p', '1e12')} AS p FROM probs")
     q["doc_completion_ppl"] = with_model(
         f"SELECT {rnd('loss')} AS loss, round(exp(loss) * 10) / 10 AS ppl FROM ppl")
     q["topic_usage"] = with_model(f"SELECT topic, {rnd('mean', '1e9')} AS mean FROM usage")
@@ -363,7 +365,13 @@ def model_sql() -> dict[str, str]:
         f"UNION ALL SELECT 'diversity', -1, count(DISTINCT token_id) / ({PR.DIVERSITY_WORDS} * count(DISTINCT topic)) "
         "FROM (SELECT topic, token_id, row_number() OVER (PARTITION BY topic ORDER BY dot DESC, token_id) AS r FROM beta) "
         f"WHERE r <= {PR.DIVERSITY_WORDS} "
-        "UNION ALL SELECT 'usage_weighted', topic, weighted FROM usage)", coherence=True)
+        "UNION ALL SELECT 'usage_weighted', topic, weighted FROM usage "
+        "UNION ALL SELECT 'top_used', row_number() OVER (ORDER BY weighted DESC, topic) - 1, topic FROM "
+        "(SELECT topic, weighted FROM usage ORDER BY weighted DESC, topic LIMIT 10) "
+        "UNION ALL SELECT 'top_word', topic * 1000 + rank, token_id FROM (SELECT topic, token_id, "
+        "row_number() OVER (PARTITION BY topic ORDER BY dot DESC, token_id) - 1 AS rank FROM beta) "
+        f"WHERE rank < {PR.NUM_WORDS - 1} "
+        "UNION ALL SELECT 'neighbour', query_id * 1000 + rank, token_id FROM (" + neighbours + "))", coherence=True)
     q["sample_topics"] = (
         "WITH " + model_ctes().lstrip(",\n").split("rho AS")[0].rstrip().rstrip(",") + ",\n"
         "alpha AS (SELECT DISTINCT label AS topic FROM emb),\n"
@@ -426,8 +434,10 @@ tw AS (SELECT j, list(m ORDER BY d) AS wrow FROM (
                 CAST(('0x' || substr(md5('T:' || CAST(b.range AS VARCHAR) || ':' || CAST(a.range AS VARCHAR)), 1, 12)) AS BIGINT) % 2001 - 1000 AS m
          FROM range(64) a CROSS JOIN range(64) b) GROUP BY j),
 tb AS (SELECT range AS j, {cell('Tb', '0', 'range')} AS b FROM range(64)),
-proj AS (SELECT s.sent_id, list(CAST({idot('w.wrow', 's.qsum')} AS DOUBLE) / {float(PR.QUANT) * 1000.0!r} + tb.b ORDER BY w.j) AS proj
-         FROM svec s CROSS JOIN tw w JOIN tb ON tb.j = w.j GROUP BY s.sent_id),
+twl AS (SELECT list(w.wrow ORDER BY w.j) AS ws, list(tb.b ORDER BY w.j) AS bs FROM tw w JOIN tb ON tb.j = w.j),
+projq AS (SELECT q.qsum, list_transform(range(1, 65), lambda k: CAST({idot('t.ws[k]', 'q.qsum')} AS DOUBLE) / {float(PR.QUANT) * 1000.0!r} + t.bs[k]) AS proj
+          FROM (SELECT DISTINCT qsum FROM svec) q CROSS JOIN twl t),
+proj AS (SELECT s.sent_id, p.proj FROM svec s JOIN projq p USING (qsum)),
 st0 AS (SELECT t.sent_id, t.pos, list_transform(e.qvec, lambda q: q / {float(PR.QUANT)!r}) AS x
         FROM stoks t CROSS JOIN nvec JOIN emb e ON e.vec_id = t.tok % nvec.n),
 st1 AS (SELECT t.sent_id, t.pos, list_transform(e.qvec, lambda q: q / {float(PR.QUANT)!r}) AS x
@@ -459,7 +469,9 @@ def sentence_sql() -> dict[str, str]:
         "FROM mapped m JOIN rho r USING (token_id)) t USING (sent_id, pos)")
     q["topic_mode"] = w + (
         f"SELECT 'encoder_in' AS stage, s.sent_id, s.pos, {vadd('s.x', 'p.proj')} AS x FROM st0 s JOIN proj p USING (sent_id) "
-        f"UNION ALL SELECT 'encoder_out', s.sent_id, s.pos, {vadd('s.x', 'p.proj')} FROM st1 s JOIN proj p USING (sent_id)")
+        f"UNION ALL SELECT 'encoder_out', s.sent_id, s.pos, {vadd('s.x', 'p.proj')} FROM st1 s JOIN proj p USING (sent_id) "
+        f"UNION ALL SELECT 'decoder', s.sent_id, s.pos, {vadd('s.x', 'v.vec')} FROM st0 s JOIN "
+        f"(SELECT sent_id, list_transform(qsum, lambda v: v / {float(PR.QUANT)!r}) AS vec FROM svec) v USING (sent_id)")
     # Binarised tokens (offset 4, unknown = 3, end mark 2), mapped back with offset 4
     x3 = sentence_ctes().replace(
         "mapped AS (SELECT t.sent_id, t.pos, t.tok, f.token_id FROM stoks t JOIN dictionary d ON d.id = t.tok",
@@ -496,11 +508,12 @@ def parallel_sql() -> dict[str, str]:
     w = "WITH " + parallel_ctes()
     q: dict[str, str] = {}
     q["joined_dictionary"] = w + "\nSELECT id, word, cnt FROM jdict"
-    q["binarize"] = w + (
-        f"\nSELECT p.pair_id, CAST(p.pos AS BIGINT) AS pos, CAST(coalesce(d.id + 4, 3) AS BIGINT) AS tok FROM "
-        f"(SELECT pair_id, unnest(range(len(t))) AS pos, unnest(t) AS word FROM (SELECT pair_id, {ws_expr('src')} AS t FROM pairs)) p "
+    q["binarize"] = w + "\n" + " UNION ALL ".join(
+        f"SELECT '{side}' AS side, p.pair_id, CAST(p.pos AS BIGINT) AS pos, CAST(coalesce(d.id + 4, 3) AS BIGINT) AS tok FROM "
+        f"(SELECT pair_id, unnest(range(len(t))) AS pos, unnest(t) AS word FROM (SELECT pair_id, {ws_expr(side)} AS t FROM pairs)) p "
         f"LEFT JOIN jdict d USING (word) "
-        f"UNION ALL SELECT pair_id, CAST(len({ws_expr('src')}) AS BIGINT), CAST(2 AS BIGINT) FROM pairs")
+        f"UNION ALL SELECT '{side}', pair_id, CAST(len({ws_expr(side)}) AS BIGINT), CAST(2 AS BIGINT) FROM pairs"
+        for side in ("src", "tgt"))
     q["strip_subword_marks"] = (
         "SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS sent_id, "
         "regexp_replace(replace(coalesce(text, '') || ' ', '@@ ', ''), ' $', '') AS text FROM conversations")
@@ -584,7 +597,9 @@ def store_sql() -> dict[str, str]:
         "UNION ALL SELECT 'bmu', 0, list(b ORDER BY k) FROM bmu "
         "UNION ALL SELECT 'Ws', i, list(w ORDER BY k) FROM wsg GROUP BY i "
         "UNION ALL SELECT 'bs', 0, list(b ORDER BY k) FROM bsg")
-    q["model_store"] = with_model(f"SELECT name, CAST(i AS BIGINT) AS i, {vsnap('vec')} AS vec FROM ({params})")
+    q["model_store"] = with_model(f"SELECT name, CAST(i AS BIGINT) AS i, {vsnap('vec')} AS vec FROM ({params})"
+                                  f" UNION ALL SELECT 'rho', CAST(token_id AS BIGINT), {vsnap('qvec::DOUBLE[]')} FROM rho"
+                                  f" UNION ALL SELECT 'alpha', CAST(topic AS BIGINT), {vsnap('qsum::DOUBLE[]')} FROM alpha")
     q["topic_words_sink"] = with_model(
         "SELECT topic, list(word ORDER BY rank) AS words FROM (SELECT t.topic, t.rank, v.word FROM "
         "(SELECT topic, token_id, row_number() OVER (PARTITION BY topic ORDER BY dot DESC, token_id) - 1 AS rank FROM beta) t "

@@ -13,7 +13,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import broadcast_if_small, global_row_number
+from ..functions.ranking import global_row_number
 from ..functions.text import whitespace_tokens
 from ..operators import bow as B
 from ..operators import splits as S
@@ -32,32 +32,21 @@ def build_dictionary(texts: DataFrame, text: str = "text") -> DataFrame:
     """Dictionary ``(id, word, cnt)``: ids in (count desc, word) order. Persisted: every consumer
     (encoding, binarising, id mapping) reads the same numbered table."""
     counts = word_counts(texts, text).persist(StorageLevel.MEMORY_AND_DISK)
-    ranked = global_row_number(counts, [F.col("cnt").desc(), F.col("word")], name="id",
-                               rows=counts.count()).select("id", "word", "cnt")
+    ranked = global_row_number(counts, [F.col("cnt").desc(), F.col("word")], name="id").select("id", "word", "cnt")
     return ranked.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def dictionary_to_vocab(dictionary: DataFrame, stops: DataFrame, unique_words: bool = False,
-                        max_inline: int = 1000) -> DataFrame:
+def dictionary_to_vocab(dictionary: DataFrame, stops: DataFrame, unique_words: bool = False) -> DataFrame:
     """B2: dictionary minus stop words, dictionary order kept, ids renumbered from 0.
 
-    The new id is the old id minus the number of removed (stop-word) entries before it. When at
-    most ``max_inline`` entries are removed (a stop list), their ids are read (at most
-    ``max_inline + 1`` rows reach the driver) and compared as plain column expressions, so no
-    second sort of the dictionary is needed; a longer removal list renumbers the kept entries in
-    id order with the distributed row numbering instead (same result for a dense dictionary).
-    For a word listed twice the last position wins (a word → id map keeps the last assignment);
-    ``unique_words`` skips that grouping when the dictionary is known to list each word once."""
-    removed = [r["id"] for r in dictionary.join(broadcast_if_small(stops.select("word")), "word", "left_semi")
-               .select("id").limit(max_inline + 1).collect()]
-    kept = V.remove_stops(dictionary.select("id", "word"), stops)
-    if len(removed) <= max_inline:
-        shift = F.lit(0)
-        for rid in removed:
-            shift = shift + (F.col("id") > F.lit(rid)).cast("bigint")
-        ranked = kept.select((F.col("id") - shift).cast("bigint").alias("token_id"), "word")
-    else:
-        ranked = global_row_number(kept, ["id"], name="token_id").select("token_id", "word")
+    The kept entries are numbered in id order by the distributed numbering, whatever the length of
+    the stop list. ``cnt`` is carried along where the dictionary has it. For a word listed twice the
+    last position wins (a word → id map keeps the last assignment); ``unique_words`` skips that
+    grouping when the dictionary is known to list each word once."""
+    carried = ["cnt"] if "cnt" in dictionary.columns else []
+    kept = V.remove_stops(dictionary.select("id", "word", *carried), stops)
+    ranked = global_row_number(kept, ["id"], name="token_id").select("token_id", "word", *[
+        F.col(c).alias("df") for c in carried])
     if unique_words:
         return ranked
     return ranked.groupBy("word").agg(F.max("token_id").alias("token_id")).select("token_id", "word")
@@ -65,12 +54,18 @@ def dictionary_to_vocab(dictionary: DataFrame, stops: DataFrame, unique_words: b
 
 class LinesPrepared:
     def __init__(self, vocab: DataFrame, assign: DataFrame, counts: DataFrame, doc_index: DataFrame,
-                 lines: DataFrame):
+                 lines: DataFrame, seed: int = SEED):
         self.vocab, self.assign, self.counts, self.doc_index, self.lines = vocab, assign, counts, doc_index, lines
+        self.seed = seed
+
+    def release(self) -> None:
+        """Drop the cached tables of the preparation."""
+        for df in (self.vocab, self.counts):
+            df.unpersist()
 
     @property
     def encoded(self) -> DataFrame:
-        toks = self.lines.join(self.assign.select("doc_id", "split"), "doc_id")
+        toks = S.label_fractions(self.lines, seed=self.seed, train=TRAIN_SHARE, test=TEST_SHARE)
         enc = S.encode_text(toks, self.vocab, carry=("split",), tokenize=whitespace_tokens)
         return S.drop_single_token_tests(S.drop_empty_docs(enc))
 
@@ -88,12 +83,12 @@ def prepare_lines_style(lines: DataFrame, dictionary: DataFrame, stops: DataFram
     vocab = dictionary_to_vocab(dictionary, stops, unique_words=True)
     if persist:
         vocab = vocab.persist(StorageLevel.MEMORY_AND_DISK)
-    assign = S.split_fractions(lines, seed=seed, train=TRAIN_SHARE, test=TEST_SHARE)
-    # the split table is one row per line; its join to the text is the only shuffle of text
-    assigned = lines.join(assign, "doc_id")
+    # every line compares its own permutation key with two cut-off keys: the text never moves
+    assigned = S.label_fractions(lines, seed=seed, train=TRAIN_SHARE, test=TEST_SHARE)
+    assign = assigned.select("doc_id", "split", S.permutation_key(seed=seed).alias("okey"))
     counts = bow_counts(assigned, vocab, tokenize=whitespace_tokens)
     if persist:
         counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
     docs = (counts.where(F.col("split").isin("tr", "va", "ts")).select("doc_id", "split").distinct()
-            .join(assign.select("doc_id", "okey"), "doc_id"))
-    return LinesPrepared(vocab, assign, counts, S.reindex_docs(docs, rows=docs.count()), lines)
+            .withColumn("okey", S.permutation_key(seed=seed)))
+    return LinesPrepared(vocab, assign, counts, S.reindex_docs(docs), lines, seed)

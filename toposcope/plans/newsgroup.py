@@ -49,7 +49,7 @@ class Prepared:
     def vocab(self) -> DataFrame:
         """(token_id, word, df): candidates used in training documents, ids by (df, word)."""
         in_train = self._keep(self.candidates).where("in_tr").select("word", "df")
-        return self._keep(V.assign_ids(in_train, rows=in_train.count()).select("token_id", "word", "df"))
+        return self._keep(V.assign_ids(in_train).select("token_id", "word", "df"))
 
     @functools.cached_property
     def counts(self) -> DataFrame:
@@ -61,7 +61,7 @@ class Prepared:
         """(doc_id, split, okey, doc_ix): dense per-split index of the non-empty documents."""
         docs = (self.counts.where(F.col("split").isin("tr", "va", "ts")).select("doc_id", "split").distinct()
                 .withColumn("okey", S.holdout_order_key(seed=self.seed)))
-        return S.reindex_docs(docs, rows=docs.count())
+        return S.reindex_docs(docs)
 
     @property
     def words(self) -> DataFrame:
@@ -90,8 +90,7 @@ def bow_counts(assigned: DataFrame, vocab: DataFrame, tokenize=None) -> DataFram
     aggregation with map-side combine (no sort, no per-document window). Only test documents
     are ordered by position (for the single-token rule and the halves)."""
     not_test = assigned.where(F.col("split") != "ts")
-    hits = P.explode_clean(not_test, keys=("doc_id", "split"), tokenize=tokenize).join(
-        V.lookup_side(vocab), "word")
+    hits = V.lookup(P.explode_clean(not_test, keys=("doc_id", "split"), tokenize=tokenize), vocab)
     rest = hits.groupBy("doc_id", "split", "token_id").agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
     test = assigned.where(F.col("split") == "ts")
     enc = S.drop_single_token_tests(S.encode_text(test, vocab, carry=("split",), tokenize=tokenize))

@@ -309,8 +309,7 @@ def q_topic_top_words(spark, sf):
 @register("decode_ids")
 def q_decode_ids(spark, sf):
     p = ng(spark, sf)
-    return p.bow().where(F.col("split") == "va").join(
-        V.lookup_side(p.vocab), "token_id").select("doc_ix", "token_id", "word", "cnt")
+    return V.lookup(p.bow(), p.vocab, on="token_id").select("split", "doc_ix", "token_id", "word", "cnt")
 
 
 @register("topic_diversity")
@@ -345,7 +344,7 @@ def q_infer_theta(spark, sf):
 @register("softmax")
 def q_softmax(spark, sf):
     c = ctx_of(spark, sf)
-    e = c.encoded("tr").select("split", "doc_ix", M.softmax_array("mu").alias("sm"))
+    e = c.encoded("tr", "va", "ts").select("split", "doc_ix", M.softmax_array("mu").alias("sm"))
     return _long_topics(e, "sm", "theta", c.topics)
 
 
@@ -391,7 +390,8 @@ def q_nelbo(spark, sf):
 @register("theta_beta_join")
 def q_theta_beta_join(spark, sf):
     c = ctx_of(spark, sf)
-    probs = M.word_probabilities(c.bow().where(F.col("split") == "tr"), c.encoded("tr"), c.beta_side())
+    bow = c.bow().where(F.col("split").isin("tr", "va", "ts"))
+    probs = M.word_probabilities(bow, c.encoded("tr", "va", "ts"), c.beta_side())
     return probs.select("split", "doc_ix", "token_id", "cnt", round_q(F.col("p"), 1e12).alias("p"))
 
 
@@ -461,7 +461,7 @@ def _raw_vectors(spark, sf, p: Prepared) -> DataFrame:
     h = hash48(F.col("word"))
     w = p.dfreq.select("word", h.alias("h")).where(F.pmod("h", F.lit(2)) == 0)
     return (w.select("word", F.pmod("h", F.lit(n_vec)).alias("vec_id"), F.lit(0).cast("bigint").alias("line_no"))
-            .join(broadcast_if_small(e.select("vec_id", "qvec"), n_vec), "vec_id")
+            .join(broadcast_if_small(e.select("vec_id", "qvec")), "vec_id")
             .select("word", "line_no",
                     F.transform("qvec", lambda q: q / F.lit(float(PR.QUANT))).alias("vec")))
 
@@ -583,10 +583,11 @@ def q_add_topic_decoder_step(spark, sf):
 def q_topic_mode(spark, sf):
     c = SentenceContext(spark, sf)
     proj = c.projected()
-    out = SE.apply_topics({"pre", "post"}, states=c.states(0), enc_out=c.states(1), projected=proj, snap_q=1e9)
-    a = out["encoder_in"].select(F.lit("encoder_in").alias("stage"), "sent_id", "pos", "x")
-    b = out["encoder_out"].select(F.lit("encoder_out").alias("stage"), "sent_id", "pos", "x")
-    return a.unionByName(b)
+    out = SE.apply_topics({"pre", "post", "decoder"}, states=c.states(0), enc_out=c.states(1), dec_states=c.states(0),
+                          projected=proj, target_vec=c.topic_vec(), snap_q=1e9)
+    parts = [out[k].select(F.lit(k).alias("stage"), "sent_id", "pos", "x")
+             for k in ("encoder_in", "encoder_out", "decoder")]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 @register("score_sentences")
@@ -611,9 +612,12 @@ def q_joined_dictionary(spark, sf):
 
 @register("binarize")
 def q_binarize(spark, sf):
+    """B1 on both sides of the pairs with their joined dictionary."""
     pr = FX.pairs(spark, sf)
-    return PA.binarize(pr.select("pair_id", F.col("src").alias("text")), PA.joined_dictionary(pr),
-                       key="pair_id")
+    dictionary = PA.joined_dictionary(pr).persist()
+    sides = [PA.binarize(pr.select("pair_id", F.col(s).alias("text")), dictionary, key="pair_id").select(
+        F.lit(s).alias("side"), "pair_id", "pos", "tok") for s in ("src", "tgt")]
+    return sides[0].unionByName(sides[1])
 
 
 @register("strip_subword_marks")
@@ -669,11 +673,10 @@ def _state(c: ModelContext) -> FT.ModelState:
 
 @register("elbo_gradient")
 def q_elbo_gradient(spark, sf):
-    """T5 on the first training batch (batch size 1000, epoch 1): summed gradient blocks."""
+    """T5 over all training documents at the initial parameters: summed gradient blocks."""
     c = ctx_of(spark, sf)
     tr = c.packed().where(F.col("split") == "tr")
-    batched = FT.epoch_batches(tr.select("doc_ix", "tokens", "counts"), 1, PR.EVAL_BATCH, PR.SEED)
-    g = FT.elbo_gradient(batched.where(F.col("batch") == 0), _state(c), PR.SEED, 0)
+    g = FT.elbo_gradient(tr.select("doc_ix", "tokens", "counts"), _state(c), PR.SEED, 0)
     return g.select("name", "i", snap_vec("vec").alias("vec"))
 
 
@@ -699,7 +702,7 @@ def q_fit_word_vectors(spark, sf):
     p = ng(spark, sf)
     words = p.words.where(F.col("split") == "tr").select("words")
     v = FT.fit_word_vectors(words, vector_size=16, window=4, max_iter=1, min_count=PR.MIN_DF)
-    return v.select("word", F.size("vec").alias("width"))
+    return v.select("word", F.size("vec").alias("width"), "vec")
 
 
 @register("model_store")
@@ -710,9 +713,14 @@ def q_model_store(spark, sf):
     stores.save_model({"params": c.params, "rho": c.rho, "alpha": c.alpha},
                       {"num_topics": len(c.topics), "t_hidden_size": PR.HIDDEN, "theta_act": c.act},
                       root)
-    tables, meta = stores.load_model(spark, root, ["params"])
+    tables, meta = stores.load_model(spark, root, ["params", "rho", "alpha"])
     assert meta["t_hidden_size"] == PR.HIDDEN
-    return tables["params"].select("name", "i", snap_vec("vec").alias("vec"))
+    parts = [tables["params"].select("name", "i", "vec"),
+             tables["rho"].select(F.lit("rho").alias("name"), F.col("token_id").cast("bigint").alias("i"),
+                                  F.col("qvec").cast("array<double>").alias("vec")),
+             tables["alpha"].select(F.lit("alpha").alias("name"), F.col("topic").cast("bigint").alias("i"),
+                                    F.col("qsum").cast("array<double>").alias("vec"))]
+    return functools.reduce(DataFrame.unionByName, parts).select("name", "i", snap_vec("vec").alias("vec"))
 
 
 @register("topic_words_sink")

@@ -7,10 +7,10 @@ splits the report needs. Persisted pieces are reused by every metric of one repo
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from functools import cached_property, reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import snap
@@ -22,29 +22,85 @@ from . import params as PR
 from .newsgroup import Prepared, prepare_newsgroup_style
 
 
-@dataclass
 class ModelContext:
-    prepared: Prepared
-    rho: DataFrame
-    alpha: DataFrame
-    topics: list[int]
-    beta_tok: DataFrame          # (token_id, dots, beta)
-    beta_long: DataFrame         # (topic, token_id, dot, p)
-    params: DataFrame
-    weights: M.EncoderWeights
-    vocab_size: int
-    act: str = "relu"
-    _bow: DataFrame | None = field(default=None, repr=False)
-    _packed: DataFrame | None = field(default=None, repr=False)
+    """Corpus, model and derived tables; each part is built on first use, so a query pays only for what
+    it reads. ``rho`` (``qvec``), ``alpha`` (``qsum``) and ``params`` may be given, e.g. by a loaded
+    model; by default they are the fixture model's."""
+
+    act = "relu"
+
+    def __init__(self, spark: SparkSession, sf: str, hidden: int = PR.HIDDEN, rho: DataFrame | None = None,
+                 alpha: DataFrame | None = None, params: DataFrame | None = None):
+        self.spark, self.sf, self.hidden = spark, sf, hidden
+        self._rho, self._alpha, self._params = rho, alpha, params
+        self._kept: list[DataFrame] = []
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        self._kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return df
+
+    def release(self) -> None:
+        """Drop the cached tables of this context."""
+        for df in self._kept:
+            df.unpersist()
+
+    @cached_property
+    def prepared(self) -> Prepared:
+        return prepare_newsgroup_style(newsgroup_corpus(self.spark, self.sf), read_stops(self.spark))
+
+    @cached_property
+    def vocab_size(self) -> int:
+        return self.prepared.vocab.count()
+
+    @cached_property
+    def rho(self) -> DataFrame:
+        return self._rho if self._rho is not None else self._keep(FX.rho(self.spark, self.sf, self.prepared.vocab))
+
+    @cached_property
+    def alpha(self) -> DataFrame:
+        return self._alpha if self._alpha is not None else FX.alpha(self.spark, self.sf)
+
+    @cached_property
+    def _beta(self) -> tuple[DataFrame, list[int]]:
+        beta_tok, topics = M.beta_by_token(self.rho, self.alpha)
+        return self._keep(beta_tok), topics
+
+    @property
+    def beta_tok(self) -> DataFrame:
+        """(token_id, dots, beta)"""
+        return self._beta[0]
+
+    @cached_property
+    def topics(self) -> list[int]:
+        return sorted(r["topic"] for r in self.alpha.select("topic").collect())
+
+    @cached_property
+    def beta_long(self) -> DataFrame:
+        """(topic, token_id, dot, p)"""
+        return M.beta_long(*self._beta)
+
+    @cached_property
+    def params(self) -> DataFrame:
+        if self._params is not None:
+            return self._params
+        return FX.encoder_params(self.spark, self.prepared.vocab, len(self.topics), self.hidden)
+
+    @cached_property
+    def weights(self) -> M.EncoderWeights:
+        return M.EncoderWeights.from_table(self.params, self.vocab_size)
+
+    @cached_property
+    def _bow(self) -> DataFrame:
+        return self._keep(self.prepared.bow())
+
+    @cached_property
+    def _packed(self) -> DataFrame:
+        return self._keep(self.prepared.packed())
 
     def bow(self) -> DataFrame:
-        if self._bow is None:
-            self._bow = self.prepared.bow().persist(StorageLevel.MEMORY_AND_DISK)
         return self._bow
 
     def packed(self) -> DataFrame:
-        if self._packed is None:
-            self._packed = self.prepared.packed().persist(StorageLevel.MEMORY_AND_DISK)
         return self._packed
 
     def encoded(self, *splits: str) -> DataFrame:
@@ -52,24 +108,11 @@ class ModelContext:
         return M.encode_docs(p, self.weights, self.act)
 
     def beta_side(self) -> DataFrame:
-        return M.beta_lookup(self.beta_tok, len(self.topics))
+        return M.beta_lookup(self.beta_tok)
 
 
 def model_context(spark: SparkSession, sf: str, hidden: int = PR.HIDDEN) -> ModelContext:
-    prepared = prepare_newsgroup_style(newsgroup_corpus(spark, sf), read_stops(spark))
-    vocab = prepared.vocab
-    v = vocab.count()
-    rho = FX.rho(spark, sf, vocab).persist(StorageLevel.MEMORY_AND_DISK)
-    alpha = FX.alpha(spark, sf)
-    beta_tok, topics = M.beta_by_token(rho, alpha)
-    beta_tok = beta_tok.persist(StorageLevel.MEMORY_AND_DISK)
-    tl = F.array(*[F.lit(t) for t in topics])
-    z = beta_tok.select("token_id", F.explode(F.arrays_zip(tl.alias("topic"), "dots", "beta")).alias("z"))
-    beta_long = z.select(F.col("z.topic").alias("topic"), "token_id",
-                         F.col("z.dots").alias("dot"), F.col("z.beta").alias("p"))
-    params = FX.encoder_params(spark, vocab, len(topics), hidden)
-    weights = M.EncoderWeights.from_table(params, v)
-    return ModelContext(prepared, rho, alpha, topics, beta_tok, beta_long, params, weights, v)
+    return ModelContext(spark, sf, hidden)
 
 
 def query_words(ctx: ModelContext, n: int = 12) -> list[tuple[int, list[int]]]:
@@ -81,8 +124,9 @@ def query_words(ctx: ModelContext, n: int = 12) -> list[tuple[int, list[int]]]:
 
 
 def eval_report(ctx: ModelContext) -> DataFrame:
-    """Tall ``(metric, key, value)`` table: perplexity, coherence, diversity, topic usage,
-    top-used topic ranks, top-word and neighbour counts."""
+    """Tall ``(metric, key, value)`` table: perplexity, coherence, diversity, topic usage, the
+    top-used topics (key: rank, value: topic), the listed top words of every topic (key: topic · 1000
+    + rank, value: token id) and the neighbours of the query words (key: query id · 1000 + rank)."""
     bow = ctx.bow()
     beta_side = ctx.beta_side()
     h1 = ctx.encoded("ts_h1")
@@ -90,18 +134,22 @@ def eval_report(ctx: ModelContext) -> DataFrame:
     ppl = EV.doc_completion_ppl(h2, h1, beta_side, PR.EVAL_BATCH)
     coh = EV.topic_coherence(ctx.beta_long, bow.where(F.col("split") == "tr"), PR.TOP_WORDS)
     div = EV.topic_diversity(ctx.beta_long, PR.DIVERSITY_WORDS)
-    usage = EV.topic_usage(ctx.encoded("tr"), ctx.topics)
-    parts = [
-        ppl.select(F.lit("ppl").alias("metric"), F.lit(-1).alias("key"), F.col("ppl").alias("value")),
-        coh.select(F.lit("coherence").alias("metric"), F.col("topic").alias("key"),
-                   F.col("coherence").alias("value")),
-        div.select(F.lit("diversity").alias("metric"), F.lit(-1).alias("key"),
-                   F.col("diversity").alias("value")),
-        usage.select(F.lit("usage_weighted").alias("metric"), F.col("topic").alias("key"),
-                     F.col("weighted").alias("value")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("metric", F.col("key").cast("bigint").alias("key"),
-                      snap(F.col("value")).alias("value"))
+    usage = EV.topic_usage(ctx.encoded("tr"), ctx.topics).persist()        # one row per topic
+    first = Window.orderBy(F.col("weighted").desc(), "topic")
+    used = EV.top_used_topics(usage, 10).withColumn("rank", F.row_number().over(first) - 1)
+    top = EV.topic_top_words(ctx.beta_long, EV.listed_words(PR.NUM_WORDS))
+    near = EV.nearest_words(ctx.rho, query_words(ctx), PR.NEIGHBOURS)
+
+    def part(df: DataFrame, metric: str, key, value) -> DataFrame:
+        return df.select(F.lit(metric).alias("metric"), key.cast("bigint").alias("key"),
+                         value.cast("double").alias("value"))
+
+    parts = [part(ppl, "ppl", F.lit(-1), F.col("ppl")),
+             part(coh, "coherence", F.col("topic"), F.col("coherence")),
+             part(div, "diversity", F.lit(-1), F.col("diversity")),
+             part(usage, "usage_weighted", F.col("topic"), F.col("weighted")),
+             part(used, "top_used", F.col("rank"), F.col("topic")),
+             part(top, "top_word", F.col("topic") * 1000 + F.col("rank"), F.col("token_id")),
+             part(near, "neighbour", F.col("query_id") * 1000 + F.col("rank"), F.col("token_id"))]
+    out = reduce(DataFrame.unionByName, parts)
+    return out.select("metric", "key", snap(F.col("value")).alias("value"))

@@ -17,8 +17,11 @@ _LOCAL_DIRS: dict[int, str] = {}
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "toposcope",
-                  extra: dict[str, str] | None = None) -> SparkSession:
-    """Session with the settings the library is tuned for (AQE on, UI off)."""
+                  extra: dict[str, str] | None = None, checkpoint_dir: str | None = None) -> SparkSession:
+    """Session with the settings the library is tuned for (AQE on, UI off). ``checkpoint_dir`` names the
+    folder for checkpoints and written intermediate tables; on a cluster it must be shared (there it
+    usually comes from the cluster's own ``spark.checkpoint.dir``). Checkpoint files are removed with
+    the tables they belong to."""
     builder = (
         SparkSession.builder.master(master)
         .appName(app)
@@ -31,7 +34,10 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()

@@ -19,21 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def spread_small_input(df: DataFrame) -> DataFrame:
     """Text work is CPU-bound per row: when a scan yields fewer splits than there are task slots
-    (a small file with few row groups), spread it round-robin over all slots. A large input
-    already has many splits and is returned unchanged (no shuffle)."""
+    (a small file with few row groups), spread it round-robin over all slots. Such an input is at
+    most slots times the split size of the scan, whatever the cluster, so what moves is bounded; an
+    input of more splits is returned unchanged (no shuffle)."""
     slots = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < slots:
         return df.repartition(slots)
     return df
 
 
-def spread_for_python(df: DataFrame) -> DataFrame:
-    """Before a CPU-bound Python stage (``mapInPandas``): spread rows round-robin over every task
-    slot. Small inputs otherwise end up in one coalesced partition and one Python worker."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots)
-
-
 def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A text-bearing driver table, spread over the task slots when it is small."""
     return spread_small_input(table(spark, sf_dir, name))

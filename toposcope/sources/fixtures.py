@@ -42,7 +42,7 @@ def rho(spark: SparkSession, sf: str, vocab: DataFrame) -> DataFrame:
     e = embeddings_q(spark, sf)
     n_vec = e.count()
     return (vocab.select("token_id", F.pmod("token_id", F.lit(n_vec)).alias("vec_id"))
-            .join(broadcast_if_small(e.select("vec_id", "qvec"), n_vec), "vec_id")
+            .join(broadcast_if_small(e.select("vec_id", "qvec")), "vec_id")
             .select("token_id", "qvec"))
 
 
@@ -87,17 +87,6 @@ def encoder_params(spark: SparkSession, vocab: DataFrame, num_topics: int,
     return out
 
 
-def vectors(spark: SparkSession, sf: str, vocab: DataFrame) -> DataFrame:
-    """``vectors(word, vec)``: for even token ids, the embedding at ``token_id % n_vec``
-    as doubles (quantised values / 1e6), so coverage is about one half."""
-    e = embeddings_q(spark, sf)
-    n_vec = e.count()
-    even = vocab.where(F.pmod("token_id", F.lit(2)) == 0)
-    return (even.select("word", F.pmod("token_id", F.lit(n_vec)).alias("vec_id"))
-            .join(broadcast_if_small(e.select("vec_id", "qvec"), n_vec), "vec_id")
-            .select("word", F.transform("qvec", lambda q: q / F.lit(float(QUANT))).alias("vec")))
-
-
 # ------------------------------------------------------------------ sentences and parallel text
 
 def conversation_sentences(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,7 +102,7 @@ def sent_tokens(sentences: DataFrame, dictionary: DataFrame) -> DataFrame:
     from ..functions.text import whitespace_tokens
     n_dict = dictionary.count()
     toks = sentences.select("sent_id", F.posexplode(whitespace_tokens(F.col("text"))).alias("pos", "word"))
-    side = broadcast_if_small(dictionary.select("word", "id"), n_dict)
+    side = broadcast_if_small(dictionary.select("word", "id"))
     return toks.join(side, "word", "left").select(
         "sent_id", F.col("pos").cast("bigint").alias("pos"),
         F.coalesce(F.col("id"), F.lit(n_dict)).cast("bigint").alias("tok"))
@@ -124,7 +113,7 @@ def token_states(spark: SparkSession, sf: str, tokens: DataFrame, shift: int = 0
     (shift 0: embeddings; shift 1: stand-in encoder outputs)."""
     e = embeddings_q(spark, sf)
     n_vec = e.count()
-    side = broadcast_if_small(e.select("vec_id", "qvec"), n_vec)
+    side = broadcast_if_small(e.select("vec_id", "qvec"))
     from ..functions.vectors import map_vectors
     t = tokens.select("sent_id", "pos", F.pmod(F.col("tok") + F.lit(shift), F.lit(n_vec)).alias("vec_id"))
     j = t.join(side, "vec_id")
