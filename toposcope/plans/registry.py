@@ -257,7 +257,7 @@ def q_prepare_newsgroup(spark, sf):
 @register("dictionary_to_vocab")
 def q_dictionary_to_vocab(spark, sf):
     d = docs(spark, sf)
-    return L.dictionary_to_vocab(L.build_dictionary(d), read_stops(spark), unique_words=True)
+    return L.dictionary_to_vocab(L.build_dictionary(d), read_stops(spark), unique_words=True).select("token_id", "word")
 
 
 @register("prepare_lines_style")
