@@ -97,6 +97,14 @@ def test_distance(spark):
         assert r["distance"] == min(3, distance(r["line_a"], r["line_b"]))
 
 
+def test_long_lines_with_many_letters(spark):
+    """Letter counts beyond 127 and 255 fill and wrap their byte of the signature."""
+    base = "setaonir" * 40
+    lines = [base, base[:-1], base + "s", base + "sssxx", "s" * 300, "s" * 299 + "t", "r" * 200 + "x", "r" * 200]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    assert Counter(tuple(r) for r in L.line_classes(df).collect()) == slow(df.collect())
+
+
 def test_dedup_keeps_the_first(spark):
     df = spark.createDataFrame([(2, "a line that is long enough\nb"), (1, "a line that is long enougg\n\nb")],
                                "doc_id bigint, text string")

@@ -20,9 +20,9 @@ from .components import components
 from .textbuf import broadcast_counted, frozen
 
 MAX_EDITS, STEP = 2, 16
-# Frequent letters whose counts filter candidates inside the join: one edit changes the counts of at
-# most two letters by one.
-LETTERS = "etaonirs"
+# Frequent letters whose counts filter candidates inside the join, eight to a bigint: one edit changes
+# the counts of at most two letters by one.
+LETTERS = ("etaonirs", "hdlucmpg", "bfvwyzk ")
 
 
 def all_lines(docs: DataFrame) -> DataFrame:
@@ -36,19 +36,19 @@ def edits(length: Column, max_edits: int = MAX_EDITS, step: int = STEP) -> Colum
     return F.least(F.lit(max_edits), F.floor(length / step)).cast("int")
 
 
-def _signature(line: str) -> str:
-    """Counts of ``LETTERS`` modulo 256 in one bigint."""
-    parts = [f"shiftleft(cast((length({line}) - length(replace({line}, '{c}', ''))) % 256 as bigint), {8 * i})"
-             for i, c in enumerate(LETTERS)]
-    return " | ".join(parts)
+def _signatures(line: str) -> Column:
+    """Counts of ``LETTERS`` modulo 256, eight to a bigint."""
+    words = [" | ".join(f"shiftleft(cast((length({line}) - length(replace({line}, '{c}', ''))) % 256 as bigint), {8 * i})"
+                        for i, c in enumerate(letters)) for letters in LETTERS]
+    return F.expr(f"array({', '.join(words)})")
 
 
 def _letters_near(a: str, b: str, k: str) -> str:
     """True unless the letter counts prove more than ``k`` edits."""
-    def apart(i):
-        x = f"((shiftrightunsigned({a}, {8 * i}) - shiftrightunsigned({b}, {8 * i})) & 255L)"
-        return f"least({x}, 256L - {x})"
-    return "(" + " + ".join(apart(i) for i in range(len(LETTERS))) + f") <= 2 * {k}"
+    def apart(w, i):
+        x = " - ".join(f"(shiftrightunsigned({side}[{w}], {8 * i}) & 255L)" for side in (a, b))
+        return f"least(({x}) & 255L, 256L - (({x}) & 255L))"
+    return "(" + " + ".join(apart(w, i) for w in range(len(LETTERS)) for i in range(8)) + f") <= 2 * {k}"
 
 
 def keyed_lines(docs: DataFrame, max_edits: int = MAX_EDITS, step: int = STEP) -> DataFrame:
@@ -95,7 +95,7 @@ def candidate_pairs(docs: DataFrame, max_edits: int = MAX_EDITS, step: int = STE
     held = frozen(rows.join(broadcast_counted(shared, shared.count()), "key").distinct())
     wanted = frozen(held.select("h").distinct())
     texts = frozen(all_lines(docs).join(broadcast_counted(wanted, wanted.count()), "h").distinct().select(
-        "h", "line", F.expr(_signature("line")).alias("sig")))
+        "h", "line", _signatures("line").alias("sig")))
     held = held.join(texts, "h")
     index = held.where("own").select("key", F.col("h").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"),
                                      F.col("line").alias("line_a"))
