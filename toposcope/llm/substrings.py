@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbuf import (RangeHash, broadcast_counted, chunks, frozen, sliding, text_key, utf8, word_hashes, word_spans)
+from .textbuf import RangeHash, broadcast_counted, chunks, frozen, sliding, utf8, word_hashes, word_spans
 
 LENGTH, GRAM = 35, 12
-_KEY = "_id bigint, _t1 bigint, _t2 bigint"
+_KEY = "_k1 bigint, _k2 bigint"
 
 
 def _anchors(words: np.ndarray, first: np.ndarray, length: int, gram: int):
@@ -50,12 +50,13 @@ def _anchors(words: np.ndarray, first: np.ndarray, length: int, gram: int):
 
 
 def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``(key, pos, n, a, c)``: every anchor of every text, with the hash of its context."""
+    """``(key, at, a, c)``: every anchor of every text, with the hash of its context. ``at`` holds the
+    word position in its high and the words of the text in its low 32 bits."""
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch):
-                data, offs = utf8(part.column(3))
+                data, offs = utf8(part.column(2))
                 starts, ends, first = word_spans(data, offs)
                 words = word_hashes(data, starts, ends)
                 hashes, _, _, chosen = _anchors(words, first, length, gram)
@@ -64,13 +65,12 @@ def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
                 a = np.maximum(lo, chosen - (length - gram))
                 b = np.minimum(hi, chosen + length)
                 context = RangeHash(words)(a, b) ^ (chosen - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                keys = [part.column(k).take(pa.array(doc)) for k in range(3)]
+                keys = [part.column(k).take(pa.array(doc)) for k in range(2)]
                 yield pa.RecordBatch.from_arrays(
-                    [*keys, pa.array((chosen - lo).astype(np.int32)), pa.array((hi - lo).astype(np.int32)),
-                     pa.array(hashes[chosen].view(np.int64)), pa.array(context.view(np.int64))],
-                    ["_id", "_t1", "_t2", "pos", "n", "a", "c"])
+                    [*keys, pa.array((chosen - lo) << 32 | (hi - lo)), pa.array(hashes[chosen].view(np.int64)), pa.array(context.view(np.int64))],
+                    ["_k1", "_k2", "at", "a", "c"])
 
-    return docs.mapInArrow(run, _KEY + ", pos int, n int, a bigint, c bigint")
+    return docs.mapInArrow(run, _KEY + ", at bigint, a bigint, c bigint")
 
 
 def _extended(docs: DataFrame, seeds: DataFrame, length: int, gram: int) -> DataFrame:
@@ -80,11 +80,11 @@ def _extended(docs: DataFrame, seeds: DataFrame, length: int, gram: int) -> Data
     def run(batches):
         for batch in batches:
             for part in chunks(batch):
-                data, offs = utf8(part.column(3))
+                data, offs = utf8(part.column(2))
                 starts, ends, first = word_spans(data, offs)
                 words = word_hashes(data, starts, ends)
                 hashes, valid, low, _ = _anchors(words, first, length, gram)
-                at = part.column(4)
+                at = part.column(3)
                 flat = at.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 seed = np.zeros(len(words) + 1, bool)
                 seed[flat + np.repeat(first[:-1], np.diff(at.offsets.to_numpy()))] = True
@@ -96,51 +96,74 @@ def _extended(docs: DataFrame, seeds: DataFrame, length: int, gram: int) -> Data
                 s = todo[seed[anchor]] if len(todo) else todo
                 doc = np.searchsorted(first, s, side="right") - 1
                 two = RangeHash(words ^ (words << np.uint64(21)) + np.uint64(0x2545F4914F6CDD1D))
-                keys = [part.column(k).take(pa.array(doc)) for k in range(3)]
+                keys = [part.column(k).take(pa.array(doc)) for k in range(2)]
                 yield pa.RecordBatch.from_arrays(
                     [*keys, pa.array((s - first[doc]).astype(np.int32)),
                      pa.array(RangeHash(words)(s, s + length).view(np.int64)),
-                     pa.array(two(s, s + length).view(np.int64))], ["_id", "_t1", "_t2", "s", "w1", "w2"])
+                     pa.array(two(s, s + length).view(np.int64))], ["_k1", "_k2", "s", "w1", "w2"])
 
-    key = ["_id", "_t1", "_t2"]
+    key = ["_k1", "_k2"]
     joined = docs.join(seeds, key).select(*key, "text", "at")
     return joined.mapInArrow(run, _KEY + ", s int, w1 bigint, w2 bigint")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``(_id, _t1, _t2, text)``: a document's key is its doc_id (null: the smallest bigint) and
-    128 bits of its text, so rows with one doc_id and different texts stay apart."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("_id"), *text_key(), "text")
+def _key_columns() -> list:
+    """128 bits of doc_id and text: rows with one doc_id and different texts stay apart."""
+    both = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))), F.coalesce(F.col("text"), F.lit(""))]
+    return [F.xxhash64(*both).alias("_k1"), F.xxhash64(F.lit(1), *both).alias("_k2")]
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``(_id, _t1, _t2, spans)``: word ranges ``[lo, hi)`` covered by repeated windows, for every
-    key of :func:`keyed` documents that has any (ranges may overlap)."""
-    key = ["_id", "_t1", "_t2"]
-    src = keyed(docs)
+    """``(_k1, _k2, los, his)``: the word ranges ``[lo, hi)`` covered by repeated windows, merged and in
+    order, for every document key that has any."""
+    key = ["_k1", "_k2"]
+    src = docs.select(*_key_columns(), "text")
     found = anchors(src, length, gram)
     again = found.groupBy("a").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("a")
     seen = frozen(found.join(again, "a"))
     context = frozen(seen.groupBy("a", "c").agg(F.count(F.lit(1)).alias("m"),
-                                                F.min(F.struct(*key, "pos")).alias("one")))
+                                                F.min(F.struct(*key, "at")).alias("one")))
     several = context.groupBy("a").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("a")
     whole = (seen.join(context.where("m > 1").select("a", "c"), ["a", "c"])
+             .select(*key, F.expr("cast(shiftright(at, 32) as int)").alias("pos"),
+                     F.expr("cast(at & 4294967295 as int)").alias("n"))
              .select(*key, F.greatest(F.lit(0), F.col("pos") - (length - gram)).alias("lo"),
                      F.least(F.col("n"), F.col("pos") + length).alias("hi")))
     seeds = frozen(context.join(several, "a").groupBy(*[F.col(f"one.{k}").alias(k) for k in key])
-                   .agg(F.collect_set("one.pos").alias("at")))
+                   .agg(F.collect_set(F.expr("cast(shiftright(one.at, 32) as int)")).alias("at")))
     # rows repeated with one key give the same windows: count each (key, start) once
     windows = frozen(_extended(src, broadcast_counted(seeds, _weight(seeds)), length, gram).distinct())
     twice = (windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
              .select("w1", "w2"))
     parts = (windows.join(twice, ["w1", "w2"])
              .select(*key, F.col("s").alias("lo"), (F.col("s") + length).alias("hi")))
-    return whole.unionByName(parts).groupBy(*key).agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    spans = whole.unionByName(parts).groupBy(*key).agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))
+    return spans.mapInArrow(_merged, _KEY + ", los array<int>, his array<int>")
+
+
+def _merged(batches):
+    """Overlapping and touching ranges of each document become one."""
+    for batch in batches:
+        cols = [batch.column(k) for k in (2, 3)]
+        offsets = [c.offsets.to_numpy() for c in cols]
+        lo, hi = (c.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in cols)
+        doc = np.repeat(np.arange(batch.num_rows), np.diff(offsets[0]))
+        order = np.lexsort((lo, doc))
+        lo, hi, doc = lo[order], hi[order], doc[order]
+        far = np.maximum.accumulate(hi + (doc << 33))              # never mixes documents
+        new = np.ones(len(lo), bool)
+        new[1:] = (lo + (doc << 33))[1:] > far[:-1]
+        at = np.flatnonzero(new)
+        ends = np.append(at[1:], len(lo)) - 1
+        first = np.searchsorted(doc[at], np.arange(batch.num_rows + 1)).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(first), pa.array(v.astype(np.int32)))
+                 for v in (lo[at], (far[ends] - (doc[ends] << 33)))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["_k1", "_k2", "los", "his"])
 
 
 def _weight(seeds: DataFrame) -> int:
     """Rows plus listed positions over 8: what decides on a broadcast of ``seeds``."""
-    column = "at" if "at" in seeds.columns else "spans"
+    column = "at" if "at" in seeds.columns else "los"
     row = seeds.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(column)), F.lit(0))).first()
     return row[0] + row[1] // 8
 
@@ -156,12 +179,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bo
     gives an empty result; other columns are not read. Words are compared by 64-bit word hashes
     within 128-bit window hashes.
     """
-    key = ["_id", "_t1", "_t2"]
-    src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn(
-        "_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    src = src.select("doc_id", "_id", *text_key(), "text")
+    key = ["_k1", "_k2"]
+    src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *_key_columns())
     spans = frozen(repeats(docs, length, gram))
-    joined = src.join(broadcast_counted(spans, _weight(spans)), key, "left").select("doc_id", "text", "spans")
+    joined = src.join(broadcast_counted(spans, _weight(spans)), key, "left").select("doc_id", "text", "los", "his")
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept_text string" * with_text)
 
     def run(batches):
@@ -170,18 +191,16 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bo
                 data, offs = utf8(part.column(1))
                 raw = data.tobytes()
                 rows = []
-                for a, b, ranges in zip(offs[:-1], offs[1:], part.column(2).to_pylist()):
+                for a, b, los, his in zip(offs[:-1], offs[1:], part.column(2).to_pylist(), part.column(3).to_pylist()):
                     words = raw[a:b].split()
                     gone = 0
-                    if ranges:
-                        step = np.zeros(len(words) + 1, np.int64)
-                        np.add.at(step, [r["lo"] for r in ranges], 1)
-                        np.add.at(step, [r["hi"] for r in ranges], -1)
-                        keep = np.cumsum(step[:-1]) == 0
+                    kept = words
+                    if los:
+                        keep = np.ones(len(words), bool)
+                        for lo, hi in zip(los, his):
+                            keep[lo:hi] = False
                         kept = [w for w, k in zip(words, keep) if k]
                         gone = len(words) - len(kept)
-                    else:
-                        kept = words
                     text = b" ".join(kept)
                     rows.append((len(words), gone, hashlib.sha256(text).hexdigest(), text))
                 cols = [part.column(0), *(pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)),
