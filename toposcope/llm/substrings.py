@@ -119,7 +119,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     key = ["_k1", "_k2"]
     src = docs.select(*_key_columns(), "text")
     found = anchors(src, length, gram)
-    again = found.groupBy("a").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("a")
+    # kept by itself, so that the join below shuffles both sides and a hot anchor's rows can be split
+    again = frozen(found.groupBy("a").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("a"))
     seen = frozen(found.join(again, "a"))
     context = frozen(seen.groupBy("a", "c").agg(F.count(F.lit(1)).alias("m"),
                                                 F.min(F.struct(*key, "at")).alias("one")))
