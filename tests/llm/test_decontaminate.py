@@ -36,6 +36,27 @@ def test_blocks_and_short_items(spark):
     assert set(one) == {(0, 1), (0, 2), (1, 3)} and one == many
 
 
+def test_items_of_few_literal_tokens(spark):
+    sums = "Compute 17 * 23 + 4 - 9"
+    many = "Compute 17 * 23 + 4 - 9 and add 81 78 12 44 95 61 33 27"
+    names = "Ask Anna Bob Carl Dora Emil Fritz Gina and Hans"
+    texts = ["so then compute 17 * 23 + 4 - 9 now", "compute 18 * 23 + 4 - 9", f"see {many}.",
+             f"see {many}".replace("95", "96"), names, "Ask Anna Bob Carl Dora Emil Fritz Gina or Rosa"]
+    got = run(spark, texts, [(1, sums), (2, many), (3, names)])
+    assert set(got) >= {(0, 1), (2, 1), (2, 2), (3, 1), (4, 3)}
+    assert not {(1, 1), (0, 2), (1, 2)} & set(got)
+    assert got[0, 1]["share"] == got[2, 2]["share"] == got[4, 3]["share"] == 1.0
+
+
+def test_other_case_and_first_words(spark):
+    short = "Mary has 7 apples left"
+    texts = [ITEM.upper(), "lead " + ITEM.title(), "lead words Mary has 7 apples left", "asked Mary has 9 apples left",
+             "asked Rosa has 7 apples left", ITEM.upper().replace("TRAIN", "PLANE")]
+    got = run(spark, texts, [(1, ITEM), (2, short)])
+    assert set(got) == {(0, 1), (1, 1), (2, 2), (3, 2)}
+    assert got[0, 1]["n_changed"] == got[2, 2]["n_changed"] == 0 and got[3, 2]["n_changed"] == 1
+
+
 def brute(text, items, window):
     """Shares by plain string templates, for texts without slots."""
     import re

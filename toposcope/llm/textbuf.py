@@ -130,8 +130,9 @@ class RangeHash:
         self._sum = np.zeros(n + 1, _U)
         np.cumsum(words * power[:n], out=self._sum[1:])
 
-    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix64((self._sum[b] - self._sum[a]) * self._inv[a] + (b - a).astype(_U) * MULT)
+    def __call__(self, a: np.ndarray, b: np.ndarray, lead: np.ndarray | np.uint64 = _U(0)) -> np.ndarray:
+        """``lead`` is added to the hash of the first word of each range."""
+        return mix64((self._sum[b] - self._sum[a]) * self._inv[a] + lead + (b - a).astype(_U) * MULT)
 
 
 def sliding(values: np.ndarray, width: int, pick: Callable) -> np.ndarray:
