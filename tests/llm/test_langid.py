@@ -64,3 +64,33 @@ def test_nothing_to_learn_and_empty(spark, empty):
     df = spark.createDataFrame([(1, "some words", None)], "doc_id bigint, text string, lang string")
     assert [r["lang_pred"] for r in L.identify(df).collect()] == ["und"]
     assert L.identify(empty).collect() == []
+
+
+def _numbered(n):
+    """Ids that may train."""
+    import zlib
+    ids = (i for i in range(10 * n) if zlib.crc32(str(i).encode()) % 4 != 2)
+    return [next(ids) for _ in range(n)]
+
+
+def test_every_language_trains(spark, monkeypatch):
+    """The sample is bounded per language, over different texts; a language of long texts only trains."""
+    monkeypatch.setattr(L, "Model", lambda rows: rows)
+    texts = [f"the text number {i} of many" for i in range(300)]
+    first = spark.createDataFrame([(t,) for t in texts], "text string").orderBy(L.F.xxhash64("text")).first()[0]
+    rows = [(t, "en") for t in texts + [first] * 50]
+    rows += [("кошка сидела на окне", "ru"), ("lang und breit " * 40, "de"), ("noch breiter " * 50, "de")]
+    df = spark.createDataFrame([(i, *r) for i, r in zip(_numbered(len(rows)), rows)],
+                               "doc_id bigint, text string, lang string").repartition(5)
+    got = L.train(df, max_docs=20, max_chars=2000)
+    assert sum(lang == "en" for _, lang in got) == len({t for t, lang in got if lang == "en"}) == 20
+    assert {t for t, lang in got if lang == "ru"} == {"кошка сидела на окне"}
+    assert sorted(len(t) for t, lang in got if lang == "de") == [100, 100]
+    used = L.train(df, max_docs=200, max_chars=1000)
+    assert 900 < sum(len(t) for t, lang in used if lang == "en") <= 1000
+
+
+def test_many_languages():
+    scores = np.zeros((3, 300), np.float32)
+    scores[:2, 290] = scores[2, 5] = 20
+    assert L.label(scores, np.array([0, 3])).tolist() == [290, 290, 5]

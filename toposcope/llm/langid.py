@@ -13,10 +13,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textbuf import MULT, chunks, mix64, utf8, word_hashes, word_spans
+from .textbuf import (MULT, broadcast_counted, chunks, frozen, mix64, text_key, utf8, word_hashes,
+                      word_spans)
 
 TRAIN_DOCS, TRAIN_CHARS, BITS, SWITCH, PRIOR = 1000, 500_000, 18, 6.0, 0.5
 SCRIPT_SHARE, GRAMS, MEMO = 0.01, 4, 500_000
@@ -166,7 +167,7 @@ def label(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.n
     for all texts; the others go through the Viterbi steps together, one step per word position."""
     n = np.diff(first)
     langs = scores.shape[1]
-    labels = np.zeros(len(scores), np.int8)
+    labels = np.zeros(len(scores), np.int16)
     if langs < 2 or not len(scores):
         return labels
     text = np.repeat(np.arange(len(n)), n)
@@ -195,10 +196,10 @@ def _viterbi(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray
     order = np.argsort(-n, kind="stable")
     start, lengths = first[:-1][order], n[order]
     langs = scores.shape[1]
-    labels = np.zeros(len(scores), np.int8)
+    labels = np.zeros(len(scores), np.int16)
     best = scores[start].astype(np.float64)
-    came = np.zeros((len(scores), langs), np.int8)
-    own = np.arange(langs, dtype=np.int8)
+    came = np.zeros((len(scores), langs), np.int16)
+    own = np.arange(langs, dtype=np.int16)
     lives = np.searchsorted(-lengths, -np.arange(int(lengths[0])))      # texts with more than t words
     for t in range(1, int(lengths[0])):
         live = int(lives[t])
@@ -225,19 +226,23 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def train(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS) -> Model:
-    """A model from at most ``max_docs`` labelled documents outside the held-out part, those with the
-    smallest text hash, and at most ``max_chars`` of them altogether per language; later texts of a
-    language that is full are left out whole. The bounds do not depend on the corpus."""
+    """A model from at most ``max_docs`` different labelled texts of each language outside the held-out
+    part, those with the smallest text hash, and at most ``max_chars`` of them altogether; later texts
+    of a language that is full are left out whole. Texts of more than a twentieth of ``max_chars`` come
+    after the shorter ones and train with that much of their beginning. The bounds are per language and
+    do not depend on the corpus."""
     labelled = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    sample = (labelled.where(F.length("text") <= max_chars // 20)
-              .orderBy(F.xxhash64("text"), "lang").limit(max_docs).select("text", "lang").collect())
-    rows, used = [], {}
-    for r in sample:
-        used[r["lang"]] = used.get(r["lang"], 0) + len(r["text"])
-        if used[r["lang"]] <= max_chars:
-            rows.append((r["text"], r["lang"]))
-    return Model(rows)
+    most = max_chars // 20
+    keys = [*text_key(), F.col("lang")]
+    texts = labelled.select(*keys, F.length("text").alias("n")).distinct()
+    order = Window.partitionBy("lang").orderBy(F.col("n") > most, "_t1", "_t2")
+    chosen = (texts.withColumn("k", F.row_number().over(order)).where(F.col("k") <= max_docs)
+              .withColumn("used", F.sum(F.least("n", F.lit(most))).over(Window.partitionBy("lang").orderBy("k"))))
+    chosen = frozen(chosen.where(F.col("used") <= max_chars).select("_t1", "_t2", "lang"))
+    begun = labelled.select(*keys, F.substring("text", 1, most).alias("text"))
+    sample = begun.join(broadcast_counted(chosen, chosen.count()), ["_t1", "_t2", "lang"])
+    return Model([tuple(r) for r in sample.select("text", "lang").distinct().collect()])
 
 
 def identify(docs: DataFrame, model: Model | None = None, switch: float = SWITCH,
