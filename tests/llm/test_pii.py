@@ -106,5 +106,35 @@ def test_model_learns_the_base_and_more(spark):
     assert P.added_spans("plain words with 2 numbers and 17 more", [], w) == []
 
 
+def test_long_spans_are_candidates():
+    text = "call +33 1 23 45 67 89 or card 4111 1111 1111 1111 123 or 1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 8 9 now"
+    run, = P.windows(text)
+    held = {text[run[i][0]:run[j][1]] for row in P.candidates(text, run) for i, j, _ in row}
+    assert {"+33 1 23 45 67 89", "4111 1111 1111 1111 123", "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 8 9"} <= held
+    assert max(on[-1] for row in P.candidates(text, run) for *_, on in row) < P.N_FEATURES
+
+
+def test_words_and_lines_end_long_candidates():
+    for text in ("q1 q2 q3 q4 q5 q6 q7 q8", "1 2 3\n4 5 6\n7 8 9"):
+        rows = P.candidates(text, P.windows(text)[0])
+        assert max(j - i + 1 for row in rows for i, j, _ in row) == 4
+
+
+def test_long_spans_are_found(spark):
+    w = P.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text"))
+    for kind, piece in (("phone", "01 23 45 67 89"), ("card", "4123 4567 8901 2345 678")):
+        text = f"{kind} {piece} ends"
+        assert {(P.KINDS[k], text[a:b]) for k, a, b in P.added_spans(text, [], w)} == {(kind, piece)}
+
+
+def test_copies_train_once(spark, monkeypatch):
+    texts = [f"text {i} mail a{i}@b.cd" for i in range(30)]
+    first = spark.createDataFrame([(t,) for t in texts], "text string").orderBy(P.F.xxhash64("text")).first()[0]
+    seen = []
+    monkeypatch.setattr(P, "windows", lambda text: seen.append(text) or [])
+    P.train(spark.createDataFrame([(i, t) for i, t in enumerate(texts + [first] * 50)], "doc_id int, text string"), 10)
+    assert len(seen) == len(set(seen)) == 10
+
+
 def test_empty(empty):
     assert P.find(empty).collect() == []

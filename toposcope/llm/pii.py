@@ -1,17 +1,17 @@
 """PII: pattern rules plus a semi-Markov conditional random field for what they miss.
 
 The base finds e-mail, IP, card and phone spans with fixed patterns. The model then cuts the
-tokens around digits and ``@`` into segments: every stretch of up to ``MAX_TOKENS`` tokens is a
-candidate of every type, scored by features of the whole span (digits, separators, shape, words
+tokens around digits and ``@`` into segments: every stretch of up to four tokens, or up to
+``MAX_TOKENS`` where it can be one number, is a candidate of every type, scored by features of the whole span (digits, separators, shape, words
 before it). Boundaries and types are chosen together by a Viterbi pass over segment ends whose
 inner loop is bounded by ``MAX_TOKENS``. Tokens without a digit or ``@`` nearby cannot begin or
 end an entity, so they need no pass.
 
 The weights are the maximum of the conditional likelihood (forward-backward over segments) on a
-sample of at most ``TRAIN_DOCS`` documents that hold base spans, chosen by hash; base spans are the
+sample of at most ``TRAIN_DOCS`` different texts that hold digits or ``@``, chosen by hash; base spans are the
 labels. Each such document trains once more with its spans rewritten in ways the patterns do not
-know (a phone number without its country code or with points, a card number with points), so those
-spellings score as what they are.
+know (a phone number without its country code, with points or in pairs of digits, a card number with
+points or as the longest one, with a wrong last digit), so those spellings score as what they are.
 """
 
 from __future__ import annotations
@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbuf import chunks, utf8
+from .textbuf import broadcast_counted, chunks, frozen, text_key, utf8
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_TOKENS, CONTEXT, TRAIN_DOCS, EPOCHS, RATE, DECAY = 4, 2, 200, 12, 0.3, 1e-3
+MAX_DIGITS = 19                       # the most digits of any kind (card)
+MAX_TOKENS = MAX_DIGITS               # a token for each of them
+CONTEXT, TRAIN_DOCS, EPOCHS, RATE, DECAY = 2, 200, 12, 0.3, 1e-3
 MARGIN = 2.0
 
 _EMAIL_TAIL = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -87,7 +89,7 @@ def _span_features(piece: str, tokens: int, before: str) -> list[int]:
     dots, at = piece.count("."), piece.count("@")
     dashes, spaces = piece.count("-"), piece.count(" ")
     on = [0, 1 + min(digits, 20), 22 + min(letters, 8), 31 + min(dots, 4), 36 + min(at, 2), 39 + min(dashes, 3),
-          43 + min(tokens, MAX_TOKENS), 48 + (piece[:1] == "+"), 50 + ("(" in piece and ")" in piece),
+          43 + tokens if tokens < 5 else 74 + min(tokens, MAX_TOKENS), 48 + (piece[:1] == "+"), 50 + ("(" in piece and ")" in piece),
           52 + (piece[:1].isdigit()) + 2 * (piece[-1:].isdigit()), 56 + min(spaces, 3)]
     lead = before.strip(".,:;()\"'").lower()
     if lead in CUES:
@@ -103,7 +105,7 @@ def _span_features(piece: str, tokens: int, before: str) -> list[int]:
     return on
 
 
-N_FEATURES, N_TYPES = 79, len(KINDS)
+N_FEATURES, N_TYPES = 75 + MAX_TOKENS, len(KINDS)
 
 
 def windows(text: str) -> list[list[tuple[int, int]]]:
@@ -136,13 +138,19 @@ def windows(text: str) -> list[list[tuple[int, int]]]:
 
 def candidates(text: str, run: list[tuple[int, int]]) -> list[list[tuple[int, int, list[int]]]]:
     """For each token end j: ``(i, j, features)`` of the candidate segments that end with token j.
-    A segment begins and ends with a token that holds a digit, ``@`` or ``(``."""
+    A segment begins and ends with a token that holds a digit, ``@`` or ``(``; one of five tokens or
+    more stands in one line, without letters or ``@``, and has at most ``MAX_DIGITS`` digits."""
     edge = [any(c.isdigit() or c in "@(" for c in text[a:b]) for a, b in run]
+    digits = np.cumsum([0] + [len(_DIGITS.findall(text[a:b])) for a, b in run]).tolist()
+    bars = np.cumsum([0] + [any(c.isalpha() or c == "@" for c in text[a:b]) for a, b in run]).tolist()
     out = []
     for j in range(len(run)):
         row = []
         if edge[j]:
             for i in range(j, max(-1, j - MAX_TOKENS), -1):
+                if j - i >= 4 and (digits[j + 1] - digits[i] > MAX_DIGITS or bars[j + 1] > bars[i]
+                                   or "\n" in text[run[i][1]:run[j][0]]):
+                    break
                 if edge[i]:
                     before = text[run[i - 1][0]:run[i - 1][1]] if i else ""
                     row.append((i, j, _span_features(text[run[i][0]:run[j][1]], j - i + 1, before)))
@@ -200,7 +208,8 @@ def _log_likelihood_gradient(rows, gold: dict, weights: np.ndarray) -> np.ndarra
     return grad
 
 
-def rewritten(text: str, spans: list[tuple[int, int, int]], points: bool) -> tuple[str, list[tuple[int, int, int]]]:
+def rewritten(text: str, spans: list[tuple[int, int, int]], points: bool, groups: bool = False
+              ) -> tuple[str, list[tuple[int, int, int]]]:
     """The text with its phone and card spans in another spelling, and the spans there."""
     out, moved, at = [], [], 0
     size = 0
@@ -212,9 +221,17 @@ def rewritten(text: str, spans: list[tuple[int, int, int]], points: bool) -> tup
             piece = re.sub(r"^\+[0-9]{1,3}[ .-]?", "", piece)
             if points:
                 piece = re.sub(r"[^0-9]+", ".", piece.strip("()"))
+            elif groups:
+                digits = "".join(_DIGITS.findall(piece))
+                piece = " ".join(digits[i:i + 2] for i in range(0, len(digits), 2))
         elif kind == 2 and points:
             digits = "".join(_DIGITS.findall(piece))
             piece = ".".join(digits[i:i + 4] for i in range(0, len(digits), 4))
+        elif kind == 2 and groups:
+            digits = "".join(_DIGITS.findall(piece))
+            digits = (digits + digits)[:MAX_DIGITS - 1]
+            digits += "1" if luhn(digits + "0") else "0"
+            piece = " ".join(digits[i:i + 4] for i in range(0, len(digits), 4))
         out += [text[at:a], piece]
         size += a - at
         moved.append((kind, size, size + len(piece)))
@@ -224,19 +241,23 @@ def rewritten(text: str, spans: list[tuple[int, int, int]], points: bool) -> tup
 
 
 def train(docs: DataFrame, max_docs: int = TRAIN_DOCS, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights ``(type, feature)`` from at most ``max_docs`` documents that hold digits or ``@``, those
+    """Weights ``(type, feature)`` from at most ``max_docs`` different texts that hold digits or ``@``, those
     with the smallest text hash. The sample's bound does not depend on the corpus; a sample without
     base spans gives a model that finds nothing. Runs of up to 60 tokens train, and texts of fewer than
     4,000 characters (bounds on the work of one step)."""
     hinted = docs.select("text").where(F.col("text").rlike("[0-9]{3}") | F.col("text").contains("@"))
     short = hinted.where(F.length("text") < 4000)
-    texts = [r[0] for r in short.orderBy(F.xxhash64("text")).limit(max_docs).collect()]
+    keyed = short.select(*text_key(), "text")
+    chosen = frozen(keyed.select("_t1", "_t2").distinct().orderBy("_t1", "_t2").limit(max_docs))
+    found = keyed.join(broadcast_counted(chosen, chosen.count()), ["_t1", "_t2"]).distinct()
+    texts = [r["text"] for r in sorted(found.collect())]
     examples = []
     for text in texts:
         base = base_spans(text)
         examples.append((text, base))
         if any(k >= 2 for k, _, _ in base):
-            examples += [rewritten(text, base, points) for points in (False, True)]
+            examples += [rewritten(text, base, points, groups)
+                         for points, groups in ((False, False), (True, False), (False, True))]
     data = []
     for text, base in examples:
         spans = {(a, b): k for k, a, b in base}
