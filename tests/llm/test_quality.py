@@ -53,5 +53,24 @@ def test_boilerplate_is_depleted_but_copies_are_not(spark):
     assert not any(got[d] for d in range(40)) and all(got[100 + d] for d in range(40))
 
 
+def test_cleaned_texts(spark, docs, rows):
+    for max_docs in (20, 1.5):
+        got = Q.cleaned(docs, max_docs)
+        assert got.columns == docs.columns
+        words = Counter((r["doc_id"], r["source"], len(WORD.findall(r["text"] or ""))) for r in got.collect())
+        judged = Q.judge(docs, max_docs=max_docs).collect()
+        assert words == Counter((r["doc_id"], r["source"], r["words_left"]) for r in judged)
+    assert any(r["n_frequent_lines"] for r in judged)
+    rows = [(d, f"\n Own line {d}\nNAV  a\tÄ\n\nnav a Ä\nend {d}", s) for d in range(30) for s in ("one", None)]
+    rows += [(99, "nav a Ä\n", "two"), (98, None, "one")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    want = [(d, t if s == "two" or t is None else f"\n Own line {d}\n\nend {d}", s) for d, t, s in rows]
+    assert Counter(tuple(r) for r in Q.cleaned(df).collect()) == Counter(want)
+
+
 def test_empty(empty):
     assert Q.judge(empty).collect() == []
+
+
+def test_cleaned_empty(empty):
+    assert Q.cleaned(empty).collect() == []

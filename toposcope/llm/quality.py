@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbuf import chunks, frozen, text_key, utf8, without
+from .textbuf import WHITE, beside, chunks, frozen, text_key, utf8, without
 
 MIN_WORDS, MAX_DOCS, MIN_LEFT = 50, 20, 0.2
 _SYMBOLS = b"#*$%&|<>"
@@ -116,11 +116,16 @@ def frequent_lines(lines: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
             .where(F.col("n_distinct") > F.lit(max_docs)).drop("_sq"))
 
 
+def _hits(rows: DataFrame, max_docs: int, *keys: str) -> DataFrame:
+    """``(keys, source, h, mark, words)``: the occurrences of frequent lines in the rows of :func:`measured`."""
+    lines = rows.select(*keys, "source", F.explode("lines").alias("l")).select(*keys, "source", "l.*")
+    frequent = frequent_lines(lines, max_docs).select(F.col("source").alias("_s"), F.col("h").alias("_h"))
+    return lines.join(frequent, F.col("source").eqNullSafe(F.col("_s")) & (F.col("h") == F.col("_h")))
+
+
 def _verdicts(docs: DataFrame, min_words: int, max_docs: int, min_left: float) -> DataFrame:
     rows = frozen(measured(docs).withColumn("_row", F.monotonically_increasing_id()))
-    lines = rows.select("_row", "source", F.explode("lines").alias("l")).select("_row", "source", "l.*")
-    frequent = frequent_lines(lines, max_docs).select(F.col("source").alias("_s"), F.col("h").alias("_h"))
-    hit = lines.join(frequent, F.col("source").eqNullSafe(F.col("_s")) & (F.col("h") == F.col("_h")))
+    hit = _hits(rows, max_docs, "_row")
     lost = hit.groupBy("_row").agg(F.sum("words").alias("lost"), F.count(F.lit(1)).alias("n_frequent_lines"))
     out = rows.drop("lines").join(lost, "_row", "left")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -151,3 +156,23 @@ def accepted(docs: DataFrame, min_words: int = MIN_WORDS, max_docs: int = MAX_DO
     out = _verdicts(docs, min_words, max_docs, min_left).where("not kept")
     out = frozen(out.select("source", "_t1", "_t2").distinct())
     return without(docs, out, ["source"])
+
+
+def cleaned(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """All rows of ``docs`` with all their columns, the texts without their frequent lines: a cleaned text
+    has the ``words_left`` of :func:`judge`. Lines without a word and texts without a frequent line stay
+    as they are."""
+    hit = _hits(frozen(measured(docs)), max_docs, "_t1", "_t2")
+    lost = frozen(hit.groupBy("source", "_t1", "_t2").agg(F.collect_set("h").alias("drop")))
+    entries = lost.agg(F.sum(F.size("drop"))).first()[0] or 0
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+    def stays(line):
+        words = F.translate(F.trim(F.regexp_replace(line, WHITE, " ")), upper, lower)
+        h = F.conv(F.substring(F.md5(words), 1, 15), 16, 10).cast("bigint")
+        return ~F.array_contains("__side_drop", h)
+
+    text = F.array_join(F.filter(F.split("text", "\n", -1), stays), "\n")
+    return beside(docs, lost, ["source"], entries).select(
+        *[F.when(F.col("__side_drop").isNull(), F.col("text")).otherwise(text).alias(c) if c == "text" else F.col(c)
+          for c in docs.columns])

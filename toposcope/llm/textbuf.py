@@ -187,6 +187,13 @@ def without(docs: DataFrame, out: DataFrame, columns: list[str]) -> DataFrame:
     return docs.join(broadcast_counted(inner, out.count()), match, "left_anti")
 
 
+def beside(docs: DataFrame, side: DataFrame, columns: list[str], entries: int) -> DataFrame:
+    """All rows of ``docs`` beside the row of ``side`` (columns named ``__side_...``, null where there is
+    none) that agrees in ``columns`` and text. ``entries``: the counted size of ``side``."""
+    inner, match = _same(docs, side, columns)
+    return docs.join(broadcast_counted(inner, entries), match, "left")
+
+
 def repeated(docs: DataFrame, times: DataFrame, columns: list[str]) -> DataFrame:
     """The rows of ``docs``, as often as ``times(columns, _t1, _t2, rows, n)`` says: ``n`` copies for
     the ``rows`` equal rows of ``docs`` that agree in ``columns`` and text; those not listed go.
