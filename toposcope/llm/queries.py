@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lines, mixing, pii, quality, sharding, simhash, substrings, urls
+from . import decontaminate, langid, lines, mixing, pii, quality, sharding, simhash, substrings, urls, whitening
 from .textbuf import table
 
 
@@ -57,6 +57,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_dedup, op2_pii, op3_quality_rules, op4_url_filter, op5_decontamination,
-                            op6_sharding, op7_mixing, op8_simhash, op9_substring_dedup, op10_language_id)}
+                            op6_sharding, op7_mixing, op8_simhash, op9_substring_dedup, op10_language_id,
+                            op11_embedding_whitening)}
