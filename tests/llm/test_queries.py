@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.01"
 
 def test_registered():
     assert set(QUERIES) | {"pipeline"} <= set(E.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in QUERIES) == 1
     assert set(SQL) <= set(E.oracle_sql())
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lines, mixing, pii, prefix_trie, quality, sharding, simhash, substrings, urls, whitening
+from . import (decontaminate, langid, lines, minhash, mixing, pii, prefix_trie, quality, sharding, simhash, substrings,
+               urls, whitening)
 from .textbuf import table
 
 
@@ -61,6 +62,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
@@ -68,4 +73,4 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_dedup, op2_pii, op3_quality_rules, op4_url_filter, op5_decontamination,
                             op6_sharding, op7_mixing, op8_simhash, op9_substring_dedup, op10_language_id,
-                            op11_embedding_whitening, op13_prefix_trie)}
+                            op11_embedding_whitening, op12_minhash, op13_prefix_trie)}
