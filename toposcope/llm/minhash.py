@@ -1,16 +1,17 @@
 """MinHash near-dedup with odd sketches.
 
 Every distinct shingle set gets ``BANDS x ROWS`` MinHash values. Bands of equal values deal sets into
-buckets; a pair at the threshold similarity of 0.8 shares no bucket with probability (1 - 0.8^5)^60,
-under 1e-10. The same values, folded into a bitmap of parities (the odd sketch), give the similarity of
+buckets; a pair at the threshold similarity of 0.8 shares no bucket with probability (1 - 0.8^5)^45,
+under 2e-8. The same values, folded into a bitmap of parities (the odd sketch), give the similarity of
 a candidate pair by the population count of the bitmaps' exclusive or; pairs that are too far off, by
-over six standard deviations, go. What is left is confirmed on the full sets.
+over six standard deviations, go. A second odd sketch, of the whole set, bounds the difference of two
+sets from below without error and is sharp for small sets. What is left is confirmed on the full sets.
 
 Groups are never expanded into pairs. First each set is held against one set only: the bucket leader
 (smallest hash) with which it shares most bands. Confirmed links make components; buckets within one
 component are done. In the others, every set outside the bucket's largest component is compared, by
 sketch, with all sets of other components, in cells of bounded size, and its nearest few are confirmed;
-their number grows fourfold a round until no untested pair of different components is left. So every
+their number grows sixteenfold a round until no untested pair of different components is left. So every
 link between different components is found, while pairs inside a component are left alone.
 """
 
@@ -27,12 +28,12 @@ from .components import components
 from .textbuf import MULT, RangeHash, _splitmix, chunks, frozen, mix64, tasks, text_key, utf8, word_hashes, word_spans
 
 SHINGLE, PERCENT = 2, 80
-BANDS, ROWS = 60, 5
+BANDS, ROWS = 45, 5
 SKETCH_BITS = 512
 #: Sets on either side of a cell in which sketches are compared.
 CELL = 4096
-#: Nearest partners of a set that are confirmed in the first full round; fourfold in each later one.
-PARTNERS = 2
+#: Nearest partners of a set that are confirmed in the first full round; sixteenfold in each later one.
+PARTNERS = 8
 
 _U = np.uint64
 _TIMES = _splitmix(BANDS * ROWS, 99) | _U(1)
@@ -77,12 +78,22 @@ def samples(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _odd(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    place = (mix64(hashes) % _U(SKETCH_BITS)).astype(np.int64)
+    hits = np.bincount(owner * SKETCH_BITS + place, minlength=n * SKETCH_BITS)
+    return np.packbits((hits & 1).astype(np.uint8).reshape(n, SKETCH_BITS), axis=1, bitorder="little").view(_U)
+
+
 def sketches(values: np.ndarray) -> np.ndarray:
     """Odd sketches: bit b is the parity of the number of samples that hash to b. ``(sets, words)``."""
     n, k = values.shape
-    place = (mix64(values + np.arange(1, k + 1, dtype=_U) * MULT) % _U(SKETCH_BITS)).astype(np.int64)
-    hits = np.bincount((np.arange(n)[:, None] * SKETCH_BITS + place).reshape(-1), minlength=n * SKETCH_BITS)
-    return np.packbits((hits & 1).astype(np.uint8).reshape(n, SKETCH_BITS), axis=1, bitorder="little").view(_U)
+    return _odd((values + np.arange(1, k + 1, dtype=_U) * MULT).reshape(-1), np.repeat(np.arange(n), k), n)
+
+
+def set_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Odd sketches of the sets themselves. Two of them differ in at most as many bits as the sets
+    differ in elements."""
+    return _odd(np.concatenate(sets) ^ MULT, np.repeat(np.arange(len(sets)), [len(s) for s in sets]), len(sets))
 
 
 def band_keys(values: np.ndarray) -> np.ndarray:
@@ -122,10 +133,12 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 present = sizes > 0
                 full = [s for s in sets if len(s)]
                 values = samples(full) if full else np.zeros((0, len(_TIMES)), _U)
-                node = np.array([mix64(np.sum(mix64(s + MULT), dtype=_U, keepdims=True) + _U(len(s)) * MULT)[0] for s in sets], _U)
+                both = np.concatenate([sketches(values), set_sketches(full)], axis=1) if full else np.zeros((0, 2 * _WORDS), _U)
+                marks = np.array([np.sum(mix64(s + MULT), dtype=_U) for s in sets], _U)
+                node = mix64(marks + sizes.astype(_U) * MULT)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *part.columns[2:4], pa.array(sizes), pa.array(node.view(np.int64), mask=~present),
-                     lists(sketches(values), present), lists(band_keys(values), present)],
+                     lists(both, present), lists(band_keys(values), present)],
                     ["doc_id", "_t1", "_t2", "n_shingles", "node", "sketch", "bands"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text", *text_key()).mapInArrow(run, _SIGNED)
@@ -133,19 +146,24 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 # ---------------------------------------------------------------- confirmation
 
-def _distance() -> F.Column:
-    """Differing bits of ``sketch_a`` and ``sketch_b``."""
-    return sum((F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(_WORDS)), F.lit(0))
+def _may_link(percent: int) -> F.Column:
+    """Sides ``size_a, sketch_a`` and ``size_b, sketch_b`` may have the threshold similarity: by the sizes
+    and the sets' sketches for certain, by the samples' sketches as :func:`farthest` says. With sizes of
+    sum s and difference d the similarity is (s - d) / (s + d)."""
+    words = [F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(2 * _WORDS)]
+    total = (F.col("size_a") + F.col("size_b")) * (100 - percent)
+    apart = F.abs(F.col("size_a") - F.col("size_b")) * (100 + percent)
+    return ((apart <= total) & (sum(words[_WORDS:], F.lit(0)) * (100 + percent) <= total)
+            & (sum(words[:_WORDS], F.lit(0)) <= farthest(percent=percent)))
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sides: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs ``(u, v)`` of nodes whose full sets have the threshold similarity."""
-    side = reps.select("node", "sketch")
-    near = frozen(pairs.join(side.toDF("u", "sketch_a"), "u").join(side.toDF("v", "sketch_b"), "v")
-                  .where(_distance() <= farthest(percent=percent)).select("u", "v"))
+    near = frozen(pairs.join(sides.toDF("u", "size_a", "sketch_a"), "u").join(sides.toDF("v", "size_b", "sketch_b"), "v")
+                  .where(_may_link(percent)).select("u", "v"))
     asked = near.select(F.col("u").alias("node")).unionByName(near.select(F.col("v").alias("node"))).distinct()
     # texts of the nodes that take part: one row of documents for each
-    keys = asked.join(reps, "node").select("node", F.col("doc_id").alias("k0"), F.col("_t1").alias("k1"), F.col("_t2").alias("k2"))
+    keys = asked.join(classes, "node").select("node", F.col("doc_id").alias("k0"), F.col("_t1").alias("k1"), F.col("_t2").alias("k2"))
     own = frozen(texts.join(keys, F.col("doc_id").eqNullSafe(F.col("k0")) & (F.col("_t1") == F.col("k1")) & (F.col("_t2") == F.col("k2")))
                  .select("node", "text").dropDuplicates(["node"]))
 
@@ -166,21 +184,27 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int
 
 # ---------------------------------------------------------------- comparison of components in buckets
 
-def _nearest(limit: int, most: int):
-    """Arrow map over rows ``(key, qc, mc, query, node, root, sketch)`` sorted by cell: for each query of a
-    cell its ``limit`` nearest members of other components, within ``most`` bits."""
+def _nearest(limit: int, percent: int):
+    """Arrow map over rows ``(key, qc, mc, query, node, root, size, sketch)`` sorted by cell: for each query
+    of a cell its ``limit`` nearest members of other components among those that may link with it."""
+    most = farthest(percent=percent)
 
     def cell(rows: pa.Table) -> pa.RecordBatch:
         query = rows.column("query").to_numpy(zero_copy_only=False)
-        node, root = (rows.column(k).to_numpy() for k in ("node", "root"))
-        planes = rows.column("sketch").combine_chunks().flatten().to_numpy().view(_U).reshape(-1, _WORDS)
+        node, root, size = (rows.column(k).to_numpy() for k in ("node", "root", "size"))
+        planes = rows.column("sketch").combine_chunks().flatten().to_numpy().view(_U).reshape(-1, 2 * _WORDS)
         member = np.flatnonzero(~query)
         us, vs, more = [], [], False
         for q in np.flatnonzero(query):
-            other = member[root[member] != root[q]]
-            far = np.bitwise_count(planes[other] ^ planes[q]).sum(axis=1, dtype=np.int64)
+            total = (size[member] + size[q]) * (100 - percent)
+            apart = np.abs(size[member] - size[q]) * (100 + percent)
+            fits = (root[member] != root[q]) & (apart <= total)
+            other, total = member[fits], total[fits]
+            bits = np.bitwise_count(planes[other] ^ planes[q])
+            far = bits[:, :_WORDS].sum(axis=1, dtype=np.int64)
+            near = (far <= most) & (bits[:, _WORDS:].sum(axis=1, dtype=np.int64) * (100 + percent) <= total)
+            other, far = other[near], far[near]
             order = np.lexsort((node[other], far))
-            order = order[far[order] <= most]
             more |= len(order) > limit
             vs.append(node[other[order[:limit]]])
             us.append(np.full(len(vs[-1]), node[q]))
@@ -205,10 +229,10 @@ def _nearest(limit: int, most: int):
     return run
 
 
-def _cells(buckets: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
+def _cells(buckets: DataFrame, labels: DataFrame, sides: DataFrame) -> DataFrame:
     """Rows of the cells: in each bucket that holds several components, the sets outside its largest
     one (queries) against all of its sets (members), in a grid of cells of about ``CELL`` by ``CELL``."""
-    rows = frozen(buckets.join(labels, "node").select("key", "node", "root"))
+    rows = buckets.join(labels, "node").select("key", "node", "root")
     several = rows.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("two")).where("one <> two").select("key")
     rows = frozen(rows.join(several, "key"))
     sizes = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
@@ -221,7 +245,7 @@ def _cells(buckets: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
     members = rows.select("key", range_(F.col("qcs")).alias("qc"), spot(F.col("mcs")).alias("mc"), F.lit(False).alias("query"), "node", "root")
     queries = rows.where("root <> largest").select(
         "key", spot(F.col("qcs")).alias("qc"), range_(F.col("mcs")).alias("mc"), F.lit(True).alias("query"), "node", "root")
-    return members.unionByName(queries).join(reps.select("node", "sketch"), "node")
+    return members.unionByName(queries).join(sides, "node")
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -248,32 +272,34 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     signed = frozen(signatures(docs, shingle))
     filled = signed.where("node is not null")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_t1", "_t2")).alias("f")
-    classes = filled.groupBy("node").agg(first).select("node", "f.doc_id", "f._t1", "f._t2")
-    reps = frozen(classes.join(filled.dropDuplicates(["node"]).select("node", "sketch", "bands"), "node"))
 
-    dealt = reps.select("node", F.explode("bands").alias("key"))
-    shared = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where("n > 1")
-    buckets = frozen(dealt.join(shared.select("key", "leader"), "key"))
+    # copies share their node, so a bucket of one node is no bucket; keys of the others only go on
+    dealt = filled.select("node", F.explode("bands").alias("key"))
+    shared = dealt.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader <> other")
+    buckets = frozen(dealt.join(shared.select("key", "leader"), "key").distinct())
     labels = frozen(buckets.select("node").distinct().withColumn("root", F.col("node")))
+    candidates = filled.join(labels.select("node"), "node", "left_semi")
+    classes = frozen(candidates.groupBy("node").agg(first).select("node", "f.doc_id", "f._t1", "f._t2"))
+    sides = frozen(candidates.select("node", F.col("n_shingles").alias("size"), "sketch").dropDuplicates(["node"]))
 
     votes = buckets.where("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("n"))
     best = votes.groupBy("node").agg(F.max(F.struct("n", "leader")).alias("b")).select(F.col("node"), F.col("b.leader").alias("leader"))
     pairs = frozen(best.select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")).distinct())
     tested, limit = pairs, partners
-    labels = _merged(labels, _confirmed(pairs, reps, texts, shingle, percent))
+    labels = _merged(labels, _confirmed(pairs, sides, classes, texts, shingle, percent))
     while True:
-        cells = _cells(buckets.select("key", "node"), labels, reps)
+        cells = _cells(buckets.select("key", "node"), labels, sides)
         order = ["key", "qc", "mc"]
         found = frozen(cells.repartition(tasks(cells), *order).sortWithinPartitions(*order).select(
-            *order, "query", "node", "root", "sketch").mapInArrow(
-            _nearest(limit, farthest(percent=percent)), "u bigint, v bigint, more boolean"))
+            *order, "query", "node", "root", "size", "sketch").mapInArrow(
+            _nearest(limit, percent), "u bigint, v bigint, more boolean"))
         new = frozen(found.select("u", "v").distinct().join(tested, ["u", "v"], "left_anti"))
         if new.limit(1).count():
-            labels = _merged(labels, _confirmed(new, reps, texts, shingle, percent))
+            labels = _merged(labels, _confirmed(new, sides, classes, texts, shingle, percent))
             tested = frozen(tested.unionByName(new))
         elif not found.where("more").limit(1).count():
             break
-        limit *= 4
+        limit *= 16
 
     named = signed.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("low"))
