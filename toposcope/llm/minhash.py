@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .textbuf import MULT, RangeHash, _splitmix, chunks, frozen, mix64, tasks, text_key, utf8, word_hashes, word_spans
+from .textbuf import MULT, RangeHash, _splitmix, broadcast_counted, chunks, frozen, mix64, tasks, text_key, utf8, word_hashes, word_spans
 
 SHINGLE, PERCENT = 2, 80
 BANDS, ROWS = 45, 5
@@ -164,7 +164,8 @@ def _confirmed(pairs: DataFrame, sides: DataFrame, classes: DataFrame, texts: Da
     asked = near.select(F.col("u").alias("node")).unionByName(near.select(F.col("v").alias("node"))).distinct()
     # texts of the nodes that take part: one row of documents for each
     keys = asked.join(classes, "node").select("node", F.col("doc_id").alias("k0"), F.col("_t1").alias("k1"), F.col("_t2").alias("k2"))
-    own = frozen(texts.join(keys, F.col("doc_id").eqNullSafe(F.col("k0")) & (F.col("_t1") == F.col("k1")) & (F.col("_t2") == F.col("k2")))
+    keys = frozen(keys)
+    own = frozen(texts.join(broadcast_counted(keys, keys.count()), F.col("doc_id").eqNullSafe(F.col("k0")) & (F.col("_t1") == F.col("k1")) & (F.col("_t2") == F.col("k2")))
                  .select("node", "text").dropDuplicates(["node"]))
 
     def run(batches):
