@@ -5,13 +5,15 @@ corpus-sized numbering is done as: range-partition on the (total) sort key, sort
 partition, tag rows with ``monotonically_increasing_id`` (partition id in the high bits, local
 index in the low 33 bits), freeze that with a reliable checkpoint (range bounds are sampled and the
 tag is not deterministic, so neither may be recomputed after an executor loss), then add the row
-counts of earlier partitions. The per-partition count table has one row per (partition, group)
-and is broadcast when its measured size allows it.
+counts of earlier partitions. The per-partition count table has one row per (partition, group): at most
+partitions + groups rows, since a range partition shares at most one group with the one before. The
+groups are estimated while the rows are frozen (an observed aggregate, no job of its own), and the table
+is broadcast when that bound allows it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +32,22 @@ def _as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _frozen_tags(tagged: DataFrame, group_names: list[str], n: int) -> tuple[DataFrame, int]:
+    """The rows with partition ``_p`` and place ``_l``, frozen, and a bound of the (partition, group) pairs."""
+    seen = Observation()
+    groups = F.approx_count_distinct(F.struct(*group_names) if group_names else F.lit(0)).alias("groups")
+    tagged = (tagged.withColumn("_p", F.shiftright("_m", 33).cast("int"))
+                    .withColumn("_l", F.col("_m").bitwiseAND(F.lit(_LOCAL_MASK)))
+                    .drop("_m").observe(seen, groups).checkpoint(eager=True))
+    return tagged, n + int((seen.get.get("groups") or 0) * 1.25)      # the estimate is off by 5 % or so
+
+
+def _hinted(stats: DataFrame, rows: int) -> DataFrame:
+    """Broadcast hint for a table of at most ``rows`` rows of numbers and group columns."""
+    width = 16 + sum(64 if isinstance(f.dataType, T.StringType) else 16 for f in stats.schema.fields)
+    return F.broadcast(stats) if rows * width <= BROADCAST_MAX_BYTES else stats
+
+
 def global_row_number(df: DataFrame, order_cols, group_cols=(), name: str = "rn",
                       num_partitions: int | None = None) -> DataFrame:
     """0-based position of each row in the order ``order_cols`` (within ``group_cols``).
@@ -46,17 +64,12 @@ def global_row_number(df: DataFrame, order_cols, group_cols=(), name: str = "rn"
     tagged = (df.repartitionByRange(n, *keys)
                 .sortWithinPartitions(*keys)
                 .withColumn("_m", F.monotonically_increasing_id()))
-    tagged = (tagged.withColumn("_p", F.shiftright("_m", 33).cast("int"))
-                    .withColumn("_l", F.col("_m").bitwiseAND(F.lit(_LOCAL_MASK)))
-                    .drop("_m")
-                    .checkpoint(eager=True))
+    tagged, rows = _frozen_tags(tagged, group_names, n)
     stats = tagged.groupBy("_p", *group_names).agg(F.count(F.lit(1)).alias("_n"),
                                                     F.min("_l").alias("_lo"))
     before = Window.partitionBy(*group_names).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    # one row per (range partition, group): its size follows the groups, so it is measured
-    joined = tagged.join(broadcast_if_small(stats.select("_p", *group_names, "_lo", "_off")),
-                         ["_p", *group_names])
+    joined = tagged.join(_hinted(stats.select("_p", *group_names, "_lo", "_off"), rows), ["_p", *group_names])
     return (joined.withColumn(name, (F.col("_l") - F.col("_lo") + F.col("_off")).cast("bigint"))
                   .drop("_p", "_l", "_lo", "_off"))
 
@@ -122,9 +135,7 @@ def global_running_sum(df: DataFrame, order_cols, group_cols, value_cols, num_pa
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tagged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
                 .withColumn("_m", F.monotonically_increasing_id()))
-    tagged = (tagged.withColumn("_p", F.shiftright("_m", 33).cast("int"))
-                    .withColumn("_l", F.col("_m").bitwiseAND(F.lit(_LOCAL_MASK)))
-                    .drop("_m").checkpoint(eager=True))
+    tagged, rows = _frozen_tags(tagged, group_names, n)
     aggs = [F.count(F.lit(1)).alias("_tn")] + [F.sum(v).alias(f"_t_{v}") for v in value_cols]
     stats = tagged.groupBy("_p", *group_names).agg(*aggs)
     before = Window.partitionBy(*group_names).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
@@ -132,8 +143,7 @@ def global_running_sum(df: DataFrame, order_cols, group_cols, value_cols, num_pa
     stats = stats.select("_p", *group_names,
                          F.coalesce(F.sum("_tn").over(before), F.lit(0)).alias("_on"), *offs)
     local = Window.partitionBy("_p", *group_names).orderBy("_l").rowsBetween(Window.unboundedPreceding, 0)
-    # one row per (range partition, group): its size follows the groups, so it is measured
-    out = tagged.join(broadcast_if_small(stats), ["_p", *group_names])
+    out = tagged.join(_hinted(stats, rows), ["_p", *group_names])
     out = out.withColumn(f"{prefix}n", (F.count(F.lit(1)).over(local) + F.col("_on")).cast("bigint"))
     for v in value_cols:
         out = out.withColumn(f"{prefix}{v}", F.sum(v).over(local) + F.col(f"_o_{v}"))

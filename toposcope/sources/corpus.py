@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranking import global_row_number
+from ..functions.ranking import broadcast_if_small
 from ..functions.text import STOP_WORDS
+from ..session import ensure_checkpoint_dir
 
 from ..plans.params import TEST_ID_OFFSET
 
@@ -54,17 +55,39 @@ def newsgroup_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_corpus(text_table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def numbered_lines(raw: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` of a scanned text table: the 0-based line number over the files in path order.
+
+    Lines are numbered by offsets. A first narrow pass counts the lines of each (file, block) of the
+    scan; the counts of earlier blocks are added up; a second narrow pass adds a block's offset to the
+    position of the line in its block. The text is never exchanged: what moves is one row per block."""
+    lines = raw.select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("_f"),
+                       F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
+    counted = lines.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_lo"))
+    # one row per block of the scan: a total order of all blocks is small, and is frozen for the second pass
+    before = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    ensure_checkpoint_dir(raw.sparkSession)
+    blocks = counted.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).checkpoint(eager=True)
+    side = blocks.select(F.col("_f").alias("_bf"), F.col("_b").alias("_bb"), "_n", "_lo", "_off")
+    found = lines.join(broadcast_if_small(side), (F.col("_f") == F.col("_bf")) & (F.col("_b") == F.col("_bb")), "left")
+    at = F.col("_i") - F.col("_lo")
+    same = F.coalesce((at >= 0) & (at < F.col("_n")), F.lit(False))
+    # both passes must cut the files alike; see read_lines
+    number = F.when(same, at + F.col("_off")).otherwise(
+        F.raise_error(F.lit("the files or the session's split settings changed while lines were numbered")))
+    return found.select(number.cast("bigint").alias("doc_id"), "text")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text file(s), one document per line → ``(doc_id, text)``; the id is the 0-based line
-    number over the files in path order (computed distributedly, no single-task window)."""
-    raw = (spark.read.text(path)
-           .select(F.col("value").alias("text"),
-                   F.col("_metadata.file_path").alias("_f"),
-                   F.col("_metadata.file_block_start").alias("_b"),
-                   F.monotonically_increasing_id().alias("_i")))
-    # _i orders lines inside one file split; (file, block start) orders the splits
-    numbered = global_row_number(raw, ["_f", "_b", "_i"], name="doc_id")
-    return numbered.select("doc_id", "text")
+    """Text file(s), one document per line → ``(doc_id, text)``; the id is the 0-based line number
+    over the files in path order (:func:`numbered_lines`).
+
+    Spark cuts files by the number of cores it sees at that moment. So that both passes cut alike when
+    executors come and go, a session that does not say how finely to cut
+    (``spark.sql.files.minPartitionNum``) is given the present number of cores."""
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    return numbered_lines(spark.read.text(path))
 
 
 def read_stops(spark: SparkSession, path: str | None = None) -> DataFrame:
