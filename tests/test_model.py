@@ -122,3 +122,39 @@ def test_coherence_of_long_lists(spark):
                     lp = math.log(dij / 50)
                     vals.append((lp - math.log(di / 50) - math.log(dj / 50)) / -lp)
         assert abs(got[t] - sum(vals) / len(vals)) < 1e-9
+
+
+def test_vocabulary_blocks_give_the_same_cells(spark):
+    """beta in many blocks equals beta in one, and no exchange of the plan carries beta or theta per word."""
+    c = model_context(spark, SF)
+    small = M.beta_lookup(c.beta_tok, block_bytes=8 * 10 * 37)
+    assert len(small.blocks) > 3 and small.blocks[1][0] == 37
+    enc = c.encoded("tr", "va", carry=True)
+    key = lambda r: (r["split"], r["doc_ix"])
+    one = sorted(M.elbo_forward(enc, c.beta_side()).collect(), key=key)
+    many = sorted(M.elbo_forward(enc, small).collect(), key=key)
+    assert [key(r) for r in one] == [key(r) for r in many]
+    assert np.allclose([r["nelbo"] for r in one], [r["nelbo"] for r in many], rtol=1e-12)
+    long = c.bow().where("split in ('tr', 'va')")
+    cell = lambda r: (r["split"], r["doc_ix"], r["token_id"], r["cnt"])
+    a = {cell(r): r["p"] for r in M.word_probabilities(enc, None, small).collect()}
+    b = {cell(r): r["p"] for r in M.word_probabilities(long, enc, c.beta_side()).collect()}
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-15 for k in a)
+    for df in (M.word_probabilities(enc, None, small), M.word_probabilities(long, enc, c.beta_side())):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "beta" not in plan
+
+
+def test_normalisers_in_one_scan(spark):
+    """One (maximum, scaled sum) per topic and task; integers and doubles; the mean vector of each topic."""
+    rng = np.random.default_rng(8)
+    rho, alpha = rng.normal(0, 30, (500, 6)), rng.normal(0, 3, (4, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rho)], "token_id bigint, vec array<double>")
+    top, total, mean = M.softmax_norms(df.repartition(7), alpha, moments=True)
+    logit = alpha @ rho.T
+    e = np.exp(logit - logit.max(axis=1, keepdims=True))
+    assert np.allclose(top, logit.max(axis=1)) and np.allclose(total, e.sum(axis=1))
+    assert np.allclose(mean, (e / e.sum(axis=1, keepdims=True)) @ rho)
+    topics = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(alpha)], "topic int, vec array<double>")
+    got, _ = M.beta_by_token(df, topics)
+    assert np.allclose(sorted(r.beta[2] for r in got.collect()), sorted((e / e.sum(axis=1, keepdims=True))[2]))

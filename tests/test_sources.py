@@ -22,6 +22,29 @@ def test_read_lines_and_dictionary(spark):
     assert dic[3].word == "w3" and dic[3].cnt == 997
 
 
+def test_read_lines_over_files_and_blocks(spark, tmp_path):
+    """Several files cut into many blocks: ids follow the path order, and no exchange carries the text."""
+    lines = []
+    for f in range(3):
+        part = [f"file {f} line {i} " + "x" * (i % 40) for i in range(4000)] + ["", "last"]
+        (tmp_path / f"part-{f:05d}.txt").write_text("\n".join(part) + "\n")
+        lines += part
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")
+    try:
+        df = C.read_lines(spark, str(tmp_path))
+        got = df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        parts = df.rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r.text for r in sorted(got, key=lambda r: r.doc_id)] == lines
+    assert sorted(r.doc_id for r in got) == list(range(len(lines)))
+    moved = [line for line in plan.splitlines() if "Exchange" in line and "BroadcastExchange" not in line]
+    assert not moved, moved
+    assert parts >= 8
+
+
 def test_read_vectors_last_wins(spark):
     d = tempfile.mkdtemp(prefix="tps-vec-")
     p = os.path.join(d, "vec.txt")

@@ -2,32 +2,33 @@
 
 * Topic–word distribution (T1): beta_k = softmax over the vocabulary of rho·alpha_k. The K topic
   vectors are model-sized constants: they are broadcast once and multiplied into each vocabulary
-  block (no join); the per-topic max and normaliser are two partial aggregations returning K numbers.
+  block (no join); one mergeable (maximum, scaled sum) aggregate finds the normalisers in one scan.
 * Encoder (T2/T3): ``mapInArrow`` over packed bag-of-words with the weights shipped once as a
   Spark broadcast variable (dense NumPy); layer 1 is a sparse-row product. A first layer (V×H)
   above a byte limit stays a table and is joined by token.
-* Word probabilities (J6) are evaluated only at the (document, word) cells present.
+* Word probabilities (J6) are evaluated only at the (document, word) cells present, in the packed row
+  that holds the document's tokens and theta; beta comes in vocabulary blocks, so no exchange carries it.
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import key, normal
-from ..functions.ranking import broadcast_if_small, lookup_join, measured_bytes
+from ..functions.ranking import lookup_join, measured_bytes
 from ..functions.vectors import arrow_list, arrow_matrix
 from ..plans.params import QUANT
 from ..sources.fixtures import ALPHA_DIVISOR
 
-# dot(rho_q, alpha_q) / LOGIT_SCALE is the real logit rho·alpha
-LOGIT_SCALE = float(QUANT) * float(QUANT) * ALPHA_DIVISOR
 FIRST_LAYER_BYTES = 512 << 20             # a larger vocabulary-wide layer is joined by token, not shipped
-BETA_BROADCAST_BYTES = 200 << 20          # beta-by-token above this is shuffle-joined
+BETA_BLOCK_BYTES = 128 << 20              # beta is shipped in vocabulary blocks of at most this
+CELL_VALUES = 1 << 22                     # (cell, topic) values handled at once in a task
 
 # --- fixed values: activation constants (public definitions) -------------------------------------
 LEAKY_SLOPE = 0.01
@@ -133,71 +134,100 @@ def softmax_array(arr) -> Column:
 # ------------------------------------------------------------------ topic-word distribution
 #
 # The K topic vectors are model-sized: every vocabulary partition multiplies its block of rho by
-# alphaᵀ with one exact int64 NumPy product (Arrow batches in ``mapInArrow``); Spark's higher-order
-# array functions are interpreted per element and would be the slow path here. Two passes return
-# only K numbers per partition (per-topic max, then the sum of shifted exponentials); the third
-# pass (lazy) emits beta per token. No shuffle, nothing V-sized on the driver.
+# alphaᵀ with one NumPy product (Arrow batches in ``mapInArrow``); Spark's higher-order array functions
+# are interpreted per element and would be the slow path here. Nothing V-sized reaches the driver.
+
+def _column(vectors: DataFrame, quantised: str) -> tuple[str, type]:
+    """The vector column of a table and its NumPy type: exact integers, or doubles in ``vec``."""
+    return (quantised, np.int64) if quantised in vectors.columns else ("vec", np.float64)
+
 
 def _alpha_matrix(alpha: DataFrame) -> tuple[list[int], np.ndarray]:
+    col, kind = _column(alpha, "qsum")
     rows = alpha.orderBy("topic").collect()          # K rows (model-sized)
-    return [int(r["topic"]) for r in rows], np.array([list(r["qsum"]) for r in rows], dtype=np.int64)
+    return [int(r["topic"]) for r in rows], np.array([list(r[col]) for r in rows], dtype=kind)
 
 
-def _block_dots(rb, amat: np.ndarray) -> np.ndarray:
-    q = arrow_matrix(rb.column("qvec"), np.int64).reshape(rb.num_rows, amat.shape[1])
-    return q @ amat.T                                  # exact: |dot| < 2^63 for quantised inputs
+def _logits(rho: DataFrame, amat: np.ndarray):
+    """Column of ``rho``, a function of its Arrow array to its dot products with all topics, and the
+    scale of the dots. Integer tables give exact integer dots; a table of doubles is multiplied as it is."""
+    col, kind = _column(rho, "qvec")
+    whole = kind is np.int64 and amat.dtype == np.int64
+    scale = (float(QUANT) if kind is np.int64 else 1.0) * (float(QUANT) * ALPHA_DIVISOR if amat.dtype == np.int64 else 1.0)
 
+    def dots(values) -> np.ndarray:
+        q = arrow_matrix(values, np.int64 if whole else np.float64).reshape(len(values), amat.shape[1])
+        return q @ amat.T                              # exact for integers: |dot| < 2^63
 
-def beta_by_token(rho: DataFrame, alpha: DataFrame) -> tuple[DataFrame, list[int]]:
-    """T1 in per-token form ``(token_id, dots ARRAY<BIGINT>, beta ARRAY<DOUBLE>)``: beta[k] is
-    softmax over the vocabulary of topic k, evaluated with the per-topic max subtracted:
-    exp((dot − max) / LOGIT_SCALE) / Σ."""
+    return col, dots, scale
+
+
+def softmax_norms(rho: DataFrame, amat: np.ndarray, moments: bool = False):
+    """``(m, s)`` per topic: the largest dot and the sum of ``exp((dot - m) / scale)`` over the
+    vocabulary, in one scan; with ``moments`` also ``r``, the mean vector of rho under each topic's
+    distribution (K x E). Each task folds its rows into one (maximum, scaled sums) per topic; two such are
+    merged by rescaling the one with the smaller maximum, so K rows per task are all that moves."""
     import pyarrow as pa
-    topics, amat = _alpha_matrix(alpha)
-    k = len(topics)
-    sc = rho.sparkSession.sparkContext
-    bc = sc.broadcast(amat)
-    src = rho.select("token_id", "qvec")
+    col, dots, scale = _logits(rho, amat)
+    k, width = amat.shape
+    unit = float(QUANT) if col == "qvec" else 1.0
 
-    def part_max(batches):
-        a, m = bc.value, None
+    def fold(batches):
+        m, s, r = None, np.zeros(k), np.zeros((k, width))
         for rb in batches:
-            if rb.num_rows:
-                bm = _block_dots(rb, a).max(axis=0)
-                m = bm if m is None else np.maximum(m, bm)
+            if not rb.num_rows:
+                continue
+            d = dots(rb.column(0))
+            top = d.max(axis=0) if m is None else np.maximum(m, d.max(axis=0))
+            shrink = np.ones(k) if m is None else np.exp((m - top).astype(np.float64) / scale)
+            e = np.exp((d - top).astype(np.float64) / scale)
+            s = s * shrink + e.sum(axis=0)
+            if moments:
+                r = r * shrink[:, None] + e.T @ (arrow_matrix(rb.column(0), np.float64) / unit)
+            m = top
         if m is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(m)],
-                                             names=["k", "i"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(m), pa.array(s), arrow_list(r)],
+                                             names=["k", "m", "s", "r"])
 
-    parts = src.mapInArrow(part_max, "k int, i bigint").groupBy("k").agg(F.max("i").alias("m"))
-    mx = np.zeros(k, dtype=np.int64)
-    for r in parts.collect():                          # K rows
-        mx[r["k"]] = r["m"]
-    bmx = sc.broadcast(mx)
+    kind = "bigint" if amat.dtype == np.int64 and col == "qvec" else "double"
+    parts = rho.select(col).mapInArrow(fold, f"k int, m {kind}, s double, r array<double>")
 
-    def part_sum(batches):
-        a, m, s = bc.value, bmx.value, np.zeros(k)
-        for rb in batches:
-            if rb.num_rows:
-                s += np.exp((_block_dots(rb, a) - m).astype(np.float64) / LOGIT_SCALE).sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(s)],
-                                         names=["k", "s"])
+    def merge(key, rows):
+        m = rows["m"].max()
+        shrink = np.exp((rows["m"].to_numpy() - m).astype(np.float64) / scale)
+        r = np.einsum("p,pe->e", shrink, np.stack(rows["r"].to_numpy()))
+        return pd.DataFrame({"k": [key[0]], "m": [m], "s": [float(shrink @ rows["s"].to_numpy())], "r": [r]})
 
-    sums = np.zeros(k)
-    for r in src.mapInArrow(part_sum, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect():
-        sums[r["k"]] = r["s"]                          # K rows
-    bsum = sc.broadcast(sums)
+    # a topic's group has one row for each task of the scan
+    rows = parts.groupBy("k").applyInPandas(merge, parts.schema).collect()
+    top, total, mean = np.zeros(k, dtype=np.int64 if kind == "bigint" else np.float64), np.zeros(k), np.zeros((k, width))
+    for row in rows:
+        top[row["k"]], total[row["k"]] = row["m"], row["s"]
+        mean[row["k"]] = np.array(row["r"]) / row["s"]
+    return (top, total, mean) if moments else (top, total)
+
+
+def beta_by_token(rho: DataFrame, alpha: DataFrame) -> tuple[DataFrame, list[int]]:
+    """T1 in per-token form ``(token_id, dots, beta ARRAY<DOUBLE>)``: beta[k] is softmax over the
+    vocabulary of topic k, evaluated with the per-topic max subtracted: exp((dot − max) / scale) / Σ.
+    ``rho(token_id, qvec | vec)`` and ``alpha(topic, qsum | vec)``: exact integers or doubles. Two scans
+    of rho: the normalisers, then (lazily) beta."""
+    import pyarrow as pa
+    topics, amat = _alpha_matrix(alpha)
+    col, dots, scale = _logits(rho, amat)
+    top, total = softmax_norms(rho, amat)
 
     def emit(batches):
-        a, m, sv = bc.value, bmx.value, bsum.value
         for rb in batches:
             if rb.num_rows:
-                d = _block_dots(rb, a)
-                b = np.exp((d - m).astype(np.float64) / LOGIT_SCALE) / sv
-                yield pa.RecordBatch.from_arrays([rb.column("token_id"), arrow_list(d), arrow_list(b)],
+                d = dots(rb.column(1))
+                b = np.exp((d - top).astype(np.float64) / scale) / total
+                yield pa.RecordBatch.from_arrays([rb.column(0), arrow_list(d), arrow_list(b)],
                                                  names=["token_id", "dots", "beta"])
 
-    out = src.mapInArrow(emit, "token_id bigint, dots array<bigint>, beta array<double>")
+    kind = "bigint" if top.dtype == np.int64 else "double"
+    out = rho.select(F.col("token_id").cast("bigint").alias("token_id"), col).mapInArrow(
+        emit, f"token_id bigint, dots array<{kind}>, beta array<double>")
     return out, topics
 
 
@@ -215,9 +245,30 @@ def beta_long(bt: DataFrame, topics: list[int]) -> DataFrame:
                     F.col("z.dots").alias("dot"), F.col("z.beta").alias("p"))
 
 
-def beta_lookup(bt: DataFrame) -> DataFrame:
-    """``(token_id, beta)`` as a join side: broadcast when its measured bytes allow it."""
-    return broadcast_if_small(bt.select("token_id", "beta"), BETA_BROADCAST_BYTES)
+class BetaBlocks:
+    """``beta(token_id, beta)`` shipped to the tasks as dense vocabulary blocks of at most
+    ``block_bytes``: ``(first id, broadcast matrix)`` each. The driver holds one block at a time."""
+
+    def __init__(self, beta: DataFrame, block_bytes: int = BETA_BLOCK_BYTES):
+        sc = beta.sparkSession.sparkContext
+        rows = beta.select(F.col("token_id").cast("bigint").alias("token_id"), "beta")
+        found = rows.agg(F.max("token_id").alias("top"), F.max(F.size("beta")).alias("k")).first()
+        size, self.topics = (0 if found["top"] is None else found["top"] + 1), found["k"] or 0
+        step = max(block_bytes // (8 * max(self.topics, 1)), 1)
+        self.blocks = []
+        for low in range(0, size, step):
+            high = min(low + step, size)
+            part = rows if step >= size else rows.where((F.col("token_id") >= low) & (F.col("token_id") < high))
+            got = part.toArrow()
+            matrix = np.zeros((high - low, self.topics))
+            if got.num_rows:
+                matrix[got.column("token_id").to_numpy() - low] = arrow_matrix(got.column("beta"), np.float64)
+            self.blocks.append((low, sc.broadcast(matrix)))
+
+
+def beta_lookup(bt: DataFrame, block_bytes: int = BETA_BLOCK_BYTES) -> BetaBlocks:
+    """The ``(token_id, beta)`` table as vocabulary blocks for :func:`word_probabilities`."""
+    return BetaBlocks(bt, block_bytes)
 
 
 # ------------------------------------------------------------------ encoder
@@ -315,10 +366,11 @@ def _encoded_batch(rb, mu, ls, n_words):
 
 
 def encode_docs(packed: DataFrame, weights: EncoderWeights, act: str = "relu",
-                bow_norm: bool = True) -> DataFrame:
+                bow_norm: bool = True, carry: bool = False) -> DataFrame:
     """T2 + T3 (scoring mode, z = mu) + A10 per document: ``(split, doc_ix, mu, logsigma,
-    theta, kl, n_words)``; one Arrow batch at a time, weights from a broadcast variable. A first
-    layer too wide to ship is joined by token instead (:func:`_first_layer`)."""
+    theta, kl, n_words)``, with ``carry`` also the document's ``tokens`` and ``counts`` (theta then stands
+    beside them); one Arrow batch at a time, weights from a broadcast variable. A first layer too wide to
+    ship is joined by token instead (:func:`_first_layer`)."""
     if act == "glu":
         raise ValueError("glu halves the layer width and cannot be wired into this encoder")
     bc = packed.sparkSession.sparkContext.broadcast(weights.mats)
@@ -331,7 +383,8 @@ def encode_docs(packed: DataFrame, weights: EncoderWeights, act: str = "relu",
                     yield _encoded_batch(rb, mu, ls, rb.column("n_words").to_numpy())
 
         sums = _first_layer(packed, weights.first, len(weights.mats["b1"]), bow_norm)
-        return sums.mapInArrow(upper, ENCODER_SCHEMA)
+        out = sums.mapInArrow(upper, ENCODER_SCHEMA)
+        return out.join(packed.select("split", "doc_ix", "tokens", "counts"), ["split", "doc_ix"]) if carry else out
 
     def flat(col):
         offs = col.offsets.to_numpy()
@@ -347,9 +400,14 @@ def encode_docs(packed: DataFrame, weights: EncoderWeights, act: str = "relu",
             mu, ls, _, _ = np_encode_flat(tok.astype(np.int64), cnt.astype(float), lens, w, act, bow_norm)
             n_words = np.bincount(np.repeat(np.arange(rb.num_rows), lens), weights=cnt,
                                   minlength=rb.num_rows).astype(np.int64)
-            yield _encoded_batch(rb, mu, ls, n_words)
+            out = _encoded_batch(rb, mu, ls, n_words)
+            if carry:
+                out = out.append_column("tokens", rb.column("tokens")).append_column("counts", rb.column("counts"))
+            yield out
 
-    return packed.select("split", "doc_ix", "tokens", "counts").mapInArrow(run, ENCODER_SCHEMA)
+    rows = packed.select("split", "doc_ix", "tokens", "counts")
+    schema = T.StructType(ENCODER_SCHEMA.fields + [rows.schema["tokens"], rows.schema["counts"]]) if carry else ENCODER_SCHEMA
+    return rows.mapInArrow(run, schema)
 
 
 def _first_layer(packed: DataFrame, first: DataFrame, hidden: int, bow_norm: bool) -> DataFrame:
@@ -386,25 +444,124 @@ def reparameterize(mu: str = "mu", logsigma: str = "logsigma", training: bool =
 
 # ------------------------------------------------------------------ word probabilities
 
-def word_probabilities(bow: DataFrame, theta: DataFrame, beta_side: DataFrame) -> DataFrame:
-    """``p(w|d) = Σ_k theta_dk · beta_kw`` at the present cells ``(split, doc_ix, token_id,
-    cnt, p)``. beta joins by token (broadcast when small); theta joins by document."""
-    cells = bow.join(beta_side, "token_id").join(theta.select("split", "doc_ix", "theta"),
-                                                  ["split", "doc_ix"])
-    return cells.select("split", "doc_ix", "token_id", "cnt", ddot("theta", "beta").alias("p"))
+def packed_cells(bow: DataFrame, theta: DataFrame) -> DataFrame:
+    """``(split, doc_ix, tokens, counts, theta)``: the documents of a packed or long bag of words beside
+    their theta. What meets is one row per document; theta is never repeated per word."""
+    keys = ["split", "doc_ix"]
+    if "theta" in bow.columns:
+        return bow.select(*keys, "tokens", "counts", "theta")
+    if "tokens" not in bow.columns:
+        bow = bow.groupBy(*keys).agg(F.collect_list(F.struct("token_id", "cnt")).alias("_c")).select(
+            *keys, F.col("_c.token_id").alias("tokens"), F.col("_c.cnt").alias("counts"))
+    return bow.select(*keys, "tokens", "counts").join(theta.select(*keys, "theta"), keys)
+
+
+def _flat(values) -> tuple[np.ndarray, np.ndarray]:
+    offs = values.offsets.to_numpy()
+    return values.values.to_numpy(zero_copy_only=False)[offs[0]:offs[-1]], np.diff(offs)
 
 
-def reconstruction_loss(probs: DataFrame, eps: float = 1e-6) -> DataFrame:
+def cell_probabilities(doc: np.ndarray, tok: np.ndarray, theta: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """Σ_k theta[doc, k] · beta[tok, k] for each cell, a bounded number of cells at a time."""
+    out, step = np.empty(len(tok)), max(CELL_VALUES // max(beta.shape[1], 1), 1)
+    for at in range(0, len(tok), step):
+        part = slice(at, at + step)
+        out[part] = np.einsum("ck,ck->c", theta[doc[part]], beta[tok[part]])
+    return out
+
+
+def _by_block(docs: DataFrame, beta: BetaBlocks, make, schema: str) -> DataFrame:
+    """One narrow pass over the packed documents for each vocabulary block; ``make(rb, doc, tok, cnt, p)``
+    gives the batch of rows for the cells whose token is in the block."""
+
+    def one(low: int, bc):
+        def run(batches):
+            matrix = bc.value
+            for rb in batches:
+                if not rb.num_rows:
+                    continue
+                tok, lens = _flat(rb.column("tokens"))
+                cnt, _ = _flat(rb.column("counts"))
+                doc = np.repeat(np.arange(rb.num_rows), lens)
+                tok = tok.astype(np.int64) - low
+                here = (tok >= 0) & (tok < len(matrix))
+                if not here.all():
+                    doc, tok, cnt = doc[here], tok[here], cnt[here]
+                p = cell_probabilities(doc, tok, arrow_matrix(rb.column("theta"), np.float64), matrix)
+                yield make(rb, doc, tok + low, cnt, p)
+        return run
+
+    rows = docs.select("split", "doc_ix", "tokens", "counts", "theta")
+    return reduce(DataFrame.unionByName, [rows.mapInArrow(one(low, bc), schema) for low, bc in beta.blocks])
+
+
+def word_probabilities(bow: DataFrame, theta: DataFrame | None, beta: DataFrame | BetaBlocks) -> DataFrame:
+    """``p(w|d) = Σ_k theta_dk · beta_kw`` at the present cells ``(split, doc_ix, token_id, cnt, p)``.
+    ``bow``: encoded documents that carry their tokens, a packed or a long bag of words; theta joins by
+    document, beta is shipped in vocabulary blocks, so an exchange carries neither of them per cell."""
+    import pyarrow as pa
+    blocks = beta if isinstance(beta, BetaBlocks) else BetaBlocks(beta)
+
+    def make(rb, doc, tok, cnt, p):
+        at = pa.array(doc)
+        return pa.RecordBatch.from_arrays([rb.column("split").take(at), rb.column("doc_ix").take(at), pa.array(tok),
+                                           pa.array(cnt.astype(np.int64)), pa.array(p)],
+                                          names=["split", "doc_ix", "token_id", "cnt", "p"])
+
+    docs = packed_cells(bow, theta).withColumn("doc_ix", F.col("doc_ix").cast("bigint"))
+    return _by_block(docs, blocks, make, "split string, doc_ix bigint, token_id bigint, cnt bigint, p double")
+
+
+def document_losses(bow: DataFrame, theta: DataFrame | None, beta: DataFrame | BetaBlocks, eps: float = 0.0) -> DataFrame:
+    """Per document ``(split, doc_ix, rec, n)``: −Σ n·log(p + eps) and Σ n, summed inside the packed row.
+    Only with several vocabulary blocks are the partial sums of a document (two numbers) brought together."""
+    import pyarrow as pa
+    blocks = beta if isinstance(beta, BetaBlocks) else BetaBlocks(beta)
+
+    def make(rb, doc, tok, cnt, p):
+        rec = -np.bincount(doc, weights=cnt * np.log(p + eps), minlength=rb.num_rows)
+        n = np.bincount(doc, weights=cnt, minlength=rb.num_rows)
+        return pa.RecordBatch.from_arrays([rb.column("split"), rb.column("doc_ix"), pa.array(rec), pa.array(n)],
+                                          names=["split", "doc_ix", "rec", "n"])
+
+    docs = packed_cells(bow, theta).withColumn("doc_ix", F.col("doc_ix").cast("bigint"))
+    parts = _by_block(docs, blocks, make, "split string, doc_ix bigint, rec double, n double")
+    if len(blocks.blocks) > 1:
+        parts = parts.groupBy("split", "doc_ix").agg(F.sum("rec").alias("rec"), F.sum("n").alias("n"))
+    return parts.where("n > 0")
+
+
+def reconstruction_loss(bow: DataFrame, theta: DataFrame | None, beta: DataFrame | BetaBlocks, eps: float = 1e-6) -> DataFrame:
     """A11 per document: −Σ n·log(p + eps) ``(split, doc_ix, rec)``."""
-    return probs.groupBy("split", "doc_ix").agg(
-        (-F.sum(F.col("cnt") * F.log(F.col("p") + F.lit(eps)))).alias("rec"))
+    return document_losses(bow, theta, beta, eps).select("split", "doc_ix", "rec")
 
 
-def elbo_forward(bow: DataFrame, encoded: DataFrame, beta_side: DataFrame) -> DataFrame:
-    """T4 / A12 per document: ``(split, doc_ix, rec, kl, nelbo)``."""
-    rec = reconstruction_loss(word_probabilities(bow, encoded, beta_side))
-    out = rec.join(encoded.select("split", "doc_ix", "kl"), ["split", "doc_ix"])
-    return out.withColumn("nelbo", F.col("rec") + F.col("kl"))
+def elbo_forward(encoded: DataFrame, beta: DataFrame | BetaBlocks) -> DataFrame:
+    """T4 / A12 per document: ``(split, doc_ix, rec, kl, nelbo)`` of encoded documents that carry their
+    tokens. One narrow pass: loss and divergence of a document come from its own row."""
+    import pyarrow as pa
+    blocks = beta if isinstance(beta, BetaBlocks) else BetaBlocks(beta)
+    if len(blocks.blocks) != 1:
+        rec = reconstruction_loss(encoded, None, blocks)
+        out = rec.join(encoded.select("split", "doc_ix", "kl"), ["split", "doc_ix"])
+        return out.withColumn("nelbo", F.col("rec") + F.col("kl"))
+    low, bc = blocks.blocks[0]
+
+    def run(batches):
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            tok, lens = _flat(rb.column("tokens"))
+            cnt, _ = _flat(rb.column("counts"))
+            doc = np.repeat(np.arange(rb.num_rows), lens)
+            p = cell_probabilities(doc, tok.astype(np.int64) - low, arrow_matrix(rb.column("theta"), np.float64), bc.value)
+            rec = -np.bincount(doc, weights=cnt * np.log(p + 1e-6), minlength=rb.num_rows)
+            kl = rb.column("kl").to_numpy()
+            yield pa.RecordBatch.from_arrays([rb.column("split"), rb.column("doc_ix"), pa.array(rec), pa.array(kl),
+                                              pa.array(rec + kl)], names=["split", "doc_ix", "rec", "kl", "nelbo"])
+
+    return encoded.select("split", "doc_ix", "tokens", "counts", "theta", "kl").mapInArrow(
+        run, "split string, doc_ix bigint, rec double, kl double, nelbo double")
 
 
 def kl_divergence(encoded: DataFrame) -> DataFrame:

@@ -133,6 +133,16 @@ def preparation_sql() -> dict[str, str]:
     p1 = f"({long_form('documents', toks)})"
     q: dict[str, str] = {}
     q["read_corpus"] = with_ng("SELECT doc_id, subset, text FROM corpus")
+    q["read_lines"] = (
+        "SELECT CAST(row_number() OVER (ORDER BY doc_id, line_no) - 1 AS BIGINT) AS doc_id, line AS text FROM ("
+        "SELECT doc_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM ("
+        "SELECT doc_id, string_split_regex(coalesce(text, ''), '\\r\\n|\\n|\\r') AS ls FROM documents))")
+    q["read_stops"] = f"SELECT DISTINCT unnest({ws_expr('text')}) AS word FROM benchmark"
+    q["read_dictionary"] = with_lines("SELECT id, word, cnt FROM dictionary")
+    q["read_vectors"] = (
+        "SELECT 'v' || CAST(label AS VARCHAR) || 'x' || CAST(vec_id // 2 AS VARCHAR) AS word, "
+        f"arg_max(list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * {PR.QUANT} + 0.5)), vec_id) AS vec "
+        "FROM embeddings GROUP BY 1")
     q["tokenize_regex"] = long_form("documents", toks)
     q["tokenize_whitespace"] = long_form("documents", ws_expr("text"))
     q["tokenize_word2"] = long_form(

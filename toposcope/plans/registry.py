@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import snap
 from ..functions.ranking import broadcast_if_small, global_row_number
+from ..functions.text import whitespace_tokens
 from ..operators import bow as B
 from ..operators import splits as S
 from ..operators import tokens as P
 from ..operators import vocab as V
 from ..session import scratch_path
 from ..sources import stores
-from ..sources.corpus import newsgroup_corpus, read_stops, table, text_table
+from ..sources.corpus import newsgroup_corpus, read_dictionary, read_lines, read_stops, read_vectors, table, text_table
 from . import lines as L
 from .newsgroup import Prepared, prepare_newsgroup_style
 
@@ -55,6 +56,44 @@ def q_read_corpus(spark, sf):
     return newsgroup_corpus(spark, sf).select("doc_id", "subset", "text")
 
 
+def _written(spark, df: DataFrame, name: str) -> str:
+    """The one text column of ``df`` as text files whose order is that of ``df``'s partitions."""
+    path = scratch_path(spark, name)
+    df.write.text(path)
+    return path
+
+
+@register("read_lines")
+def q_read_lines(spark, sf):
+    """The documents' texts written as text files in id order, read back line by line."""
+    d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return read_lines(spark, _written(spark, d.orderBy("doc_id").select("text"), "lines"))
+
+
+@register("read_stops")
+def q_read_stops(spark, sf):
+    """S3: the words of the benchmark's questions as a stop file, one a line, repeats and all."""
+    w = table(spark, sf, "benchmark").select(F.explode(whitespace_tokens(F.col("text"))).alias("word"))
+    return read_stops(spark, _written(spark, w, "stops"))
+
+
+@register("read_dictionary")
+def q_read_dictionary(spark, sf):
+    """The corpus dictionary written as ``word count`` lines in id order and read back."""
+    d = L.build_dictionary(docs(spark, sf)).orderBy("id").select(F.concat_ws(" ", "word", F.col("cnt").cast("string")))
+    return read_dictionary(spark, _written(spark, d, "dictionary"))
+
+
+@register("read_vectors")
+def q_read_vectors(spark, sf):
+    """The embeddings written as ``word f1 ... fE`` lines (the word: ``v<label>x<id // 2>``, so some
+    words have two lines) in id order and read back."""
+    e = FX.embeddings_q(spark, sf).orderBy("vec_id")
+    word = F.concat(F.lit("v"), F.col("label").cast("string"), F.lit("x"), F.floor(F.col("vec_id") / 2).cast("string"))
+    line = F.concat_ws(" ", word, F.transform("qvec", lambda q: q.cast("string")))
+    return read_vectors(spark, _written(spark, e.select(line), "vectors"))
+
+
 @register("tokenize_regex")
 def q_tokenize_regex(spark, sf):
     return P.tokenize_regex(docs(spark, sf))
@@ -363,13 +402,13 @@ def q_kl_divergence(spark, sf):
 
 
 def _elbo(c: ModelContext) -> DataFrame:
-    bow = c.bow().where(F.col("split").isin("tr", "va", "ts"))
-    return M.elbo_forward(bow, c.encoded("tr", "va", "ts"), c.beta_side())
+    return M.elbo_forward(c.encoded("tr", "va", "ts", carry=True), c.beta_side())
 
 
 @register("reconstruction_loss")
 def q_reconstruction_loss(spark, sf):
-    e = _elbo(ctx_of(spark, sf))
+    c = ctx_of(spark, sf)
+    e = M.reconstruction_loss(c.encoded("tr", "va", "ts", carry=True), None, c.beta_side())
     return e.select("split", "doc_ix", round_q(F.col("rec")).alias("rec"))
 
 
@@ -390,16 +429,15 @@ def q_nelbo(spark, sf):
 @register("theta_beta_join")
 def q_theta_beta_join(spark, sf):
     c = ctx_of(spark, sf)
-    bow = c.bow().where(F.col("split").isin("tr", "va", "ts"))
-    probs = M.word_probabilities(bow, c.encoded("tr", "va", "ts"), c.beta_side())
+    probs = M.word_probabilities(c.encoded("tr", "va", "ts", carry=True), None, c.beta_side())
     return probs.select("split", "doc_ix", "token_id", "cnt", round_q(F.col("p"), 1e12).alias("p"))
 
 
 @register("doc_completion_ppl")
 def q_doc_completion_ppl(spark, sf):
     c = ctx_of(spark, sf)
-    h2 = c.bow().where(F.col("split") == "ts_h2").drop("split")
-    r = EV.doc_completion_ppl(h2, c.encoded("ts_h1").drop("split"), c.beta_side(), PR.EVAL_BATCH)
+    h2 = c.packed().where(F.col("split") == "ts_h2")
+    r = EV.doc_completion_ppl(h2, c.encoded("ts_h1"), c.beta_side(), PR.EVAL_BATCH)
     return r.select(round_q(F.col("loss")).alias("loss"), "ppl")
 
 

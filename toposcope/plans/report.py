@@ -103,13 +103,18 @@ class ModelContext:
     def packed(self) -> DataFrame:
         return self._packed
 
-    def encoded(self, *splits: str) -> DataFrame:
+    def encoded(self, *splits: str, carry: bool = False) -> DataFrame:
+        """Encoder outputs of the splits; with ``carry`` beside the documents' tokens and counts."""
         p = self.packed().where(F.col("split").isin(*splits))
-        return M.encode_docs(p, self.weights, self.act)
+        return M.encode_docs(p, self.weights, self.act, carry=carry)
 
-    def beta_side(self) -> DataFrame:
+    @cached_property
+    def _beta_blocks(self) -> M.BetaBlocks:
         return M.beta_lookup(self.beta_tok)
 
+    def beta_side(self) -> M.BetaBlocks:
+        return self._beta_blocks
+
 
 def model_context(spark: SparkSession, sf: str, hidden: int = PR.HIDDEN) -> ModelContext:
     return ModelContext(spark, sf, hidden)
@@ -119,8 +124,9 @@ def query_words(ctx: ModelContext, n: int = 12) -> list[tuple[int, list[int]]]:
     """Neighbour queries drawn from the data: the ``n`` vocabulary words of highest document
     frequency (ties by word) with their quantised vectors (a bounded top-k)."""
     top = ctx.prepared.vocab.orderBy(F.col("df").desc(), F.col("word")).limit(n)
-    rows = top.join(ctx.rho, "token_id").select("token_id", "qvec").collect()
-    return [(int(r["token_id"]), [int(x) for x in r["qvec"]]) for r in rows]
+    col = "qvec" if "qvec" in ctx.rho.columns else "vec"
+    rows = top.join(ctx.rho, "token_id").select("token_id", col).collect()
+    return [(int(r["token_id"]), list(r[col])) for r in rows]
 
 
 def eval_report(ctx: ModelContext) -> DataFrame:
@@ -130,7 +136,7 @@ def eval_report(ctx: ModelContext) -> DataFrame:
     bow = ctx.bow()
     beta_side = ctx.beta_side()
     h1 = ctx.encoded("ts_h1")
-    h2 = bow.where(F.col("split") == "ts_h2")
+    h2 = ctx.packed().where(F.col("split") == "ts_h2")
     ppl = EV.doc_completion_ppl(h2, h1, beta_side, PR.EVAL_BATCH)
     coh = EV.topic_coherence(ctx.beta_long, bow.where(F.col("split") == "tr"), PR.TOP_WORDS)
     div = EV.topic_diversity(ctx.beta_long, PR.DIVERSITY_WORDS)
