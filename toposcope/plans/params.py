@@ -11,6 +11,7 @@ TEST_SHARE = 0.10
 NUM_TOPICS = 10           # fixture model: topics = embedding labels
 HIDDEN = 8                # fixture encoder hidden width
 EVAL_BATCH = 1000         # documents per evaluation batch
+TRAIN_BATCH = 64          # documents per training batch of the batches query
 TOP_WORDS = 10            # words per topic for coherence
 DIVERSITY_WORDS = 25      # words per topic for diversity
 NUM_WORDS = 50            # top words shown per topic (num_words - 1 are listed)

@@ -700,13 +700,16 @@ def q_anneal_trigger(spark, sf):
 from ..operators import fit as FT  # noqa: E402
 
 
-def _state(c: ModelContext) -> FT.ModelState:
-    import numpy as np
-    rho_rows = c.rho.orderBy("token_id").select("qvec").collect()
-    alpha_rows = c.alpha.orderBy("topic").select("qsum").collect()
-    rho_q = np.array([r["qvec"] for r in rho_rows], dtype=float)
-    alpha_q = np.array([r["qsum"] for r in alpha_rows], dtype=float)
-    return FT.initial_state(c.weights.mats, rho_q, alpha_q, float(PR.QUANT), float(FX.ALPHA_DIVISOR))
+def _state(c: ModelContext) -> FT.TopicModel:
+    return FT.initial_model(c.params, c.rho, c.alpha, c.act)
+
+
+@register("batches")
+def q_batches(spark, sf):
+    """The first epoch's batches of the training documents, read back from the epoch's layout."""
+    tr = ctx_of(spark, sf).packed().where(F.col("split") == "tr").select("doc_ix", "tokens", "counts")
+    layout = FT.EpochLayout(FT.epoch_batches(tr, 1, PR.TRAIN_BATCH, PR.SEED))
+    return layout.rows.select(F.col("batch").cast("bigint").alias("batch"), "doc_ix", F.size("tokens").cast("bigint").alias("n_tokens"))
 
 
 @register("elbo_gradient")
@@ -714,20 +717,21 @@ def q_elbo_gradient(spark, sf):
     """T5 over all training documents at the initial parameters: summed gradient blocks."""
     c = ctx_of(spark, sf)
     tr = c.packed().where(F.col("split") == "tr")
-    g = FT.elbo_gradient(tr.select("doc_ix", "tokens", "counts"), _state(c), PR.SEED, 0)
-    return g.select("name", "i", snap_vec("vec").alias("vec"))
+    g = FT.elbo_gradient(tr.select("doc_ix", "tokens", "counts"), _state(c), PR.SEED, 0).table()
+    return g.select("name", "i", snap_vec("vec", 1e4).alias("vec"))
 
 
 @register("fit_topics")
 def q_fit_topics(spark, sf):
-    """Three epochs asked = two passes (reference loop), Adam, batch 1000, annealing on."""
+    """Three epochs asked = two passes (reference loop), Adam, batch 1000, annealing on; a version of
+    model and optimiser is committed after each."""
     c = ctx_of(spark, sf)
     p = c.packed()
-    tr = p.where(F.col("split") == "tr")
-    h1 = p.where(F.col("split") == "ts_h1")
-    h2 = c.bow().where(F.col("split") == "ts_h2").drop("split")
-    _, train_rows, val_rows = FT.fit_topics(tr, h1, h2, _state(c), epochs=3, batch_size=PR.EVAL_BATCH,
-                                            anneal_lr=True, seed=PR.SEED)
+    store = stores.ModelStore(spark, scratch_path(spark, "fit"))
+    _, train_rows, val_rows = FT.fit_topics(
+        p.where(F.col("split") == "tr"), p.where(F.col("split") == "ts_h1"), p.where(F.col("split") == "ts_h2"), _state(c),
+        epochs=3, batch_size=PR.EVAL_BATCH, anneal_lr=True, seed=PR.SEED,
+        on_epoch=lambda state, improved: store.commit(state.tables(), state.record(), state.history[-1]))
     rows = [("train", e, b, r, k, None, lr) for e, b, r, k, lr in train_rows]
     rows += [("valid", e, None, None, None, v, lr) for e, v, lr in val_rows]
     return spark.createDataFrame(rows, "kind string, epoch int, batch int, rec double, kl double, "
