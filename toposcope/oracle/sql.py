@@ -596,6 +596,73 @@ SELECT run_id, epoch, cond = 1 AND before < 5 AS trigger, {rnd('0.005 / pow(4.0,
     return q
 
 
+def gradient_ctes() -> str:
+    """Forward with noise and backward over the training documents, in long form."""
+    noise = normal(f"'{PR.SEED}:0:' || CAST(doc_ix AS VARCHAR) || ':' || CAST(topic AS VARCHAR)")
+    return f""",
+tz AS MATERIALIZED (SELECT doc_ix, topic, mu, logsigma, {noise} AS eps FROM theta WHERE split = 'tr'),
+te AS (SELECT *, exp(z - max(z) OVER (PARTITION BY doc_ix)) AS e
+       FROM (SELECT *, mu + eps * exp(0.5 * logsigma) AS z FROM tz)),
+tt AS MATERIALIZED (SELECT doc_ix, topic, mu, logsigma, eps, e / sum(e) OVER (PARTITION BY doc_ix) AS th FROM te),
+gp AS (SELECT b.doc_ix, b.token_id, b.cnt, sum(t.th * be.p) + 1e-6 AS p
+       FROM bow b JOIN beta be ON be.token_id = b.token_id JOIN tt t ON t.doc_ix = b.doc_ix AND t.topic = be.topic
+       WHERE b.split = 'tr' GROUP BY b.doc_ix, b.token_id, b.cnt),
+gg AS MATERIALIZED (SELECT doc_ix, token_id, cnt, p, -cnt / p AS g FROM gp),
+dth AS (SELECT g.doc_ix, be.topic, sum(g.g * be.p) AS d FROM gg g JOIN beta be USING (token_id) GROUP BY g.doc_ix, be.topic),
+dbt AS (SELECT g.token_id, t.topic, sum(g.g * t.th) AS d FROM gg g JOIN tt t USING (doc_ix) GROUP BY g.token_id, t.topic),
+sk AS (SELECT topic, sum(d * p) AS s FROM dbt JOIN beta USING (token_id, topic) GROUP BY topic),
+dl AS (SELECT b.token_id, b.topic, b.p * (coalesce(d.d, 0.0) - sk.s) AS l
+       FROM beta b JOIN sk USING (topic) LEFT JOIN dbt d ON d.token_id = b.token_id AND d.topic = b.topic),
+dal AS (SELECT dl.topic, r.d, sum(dl.l * (r.q / {float(PR.QUANT)!r})) AS g
+        FROM dl JOIN (SELECT token_id, unnest(range(len(qvec))) AS d, unnest(qvec) AS q FROM rho) r USING (token_id)
+        GROUP BY dl.topic, r.d),
+dm AS MATERIALIZED (
+  SELECT doc_ix, topic, dz + mu AS dmu, 0.5 * dz * eps * exp(0.5 * logsigma) + 0.5 * (exp(logsigma) - 1.0) AS dls
+  FROM (SELECT t.*, t.th * (d.d - sum(t.th * d.d) OVER (PARTITION BY t.doc_ix)) AS dz
+        FROM tt t JOIN dth d ON d.doc_ix = t.doc_ix AND d.topic = t.topic)),
+h1t AS MATERIALIZED (SELECT doc_ix, j, h FROM h1 WHERE split = 'tr'),
+h2t AS MATERIALIZED (SELECT doc_ix, j, h FROM h2 WHERE split = 'tr'),
+gmu AS (SELECT h.j AS i, m.topic AS k, sum(h.h * m.dmu) AS gm, sum(h.h * m.dls) AS gs FROM h2t h JOIN dm m USING (doc_ix) GROUP BY h.j, m.topic),
+gb AS (SELECT topic AS k, sum(dmu) AS gm, sum(dls) AS gs FROM dm GROUP BY topic),
+da2 AS MATERIALIZED (
+  SELECT x.doc_ix, x.j, CASE WHEN h.h > 0 THEN x.d ELSE 0.0 END AS d
+  FROM (SELECT m.doc_ix, a.i AS j, sum(m.dmu * a.w + m.dls * b.w) AS d
+        FROM dm m JOIN wmu a ON a.k = m.topic JOIN wsg b ON b.k = m.topic AND b.i = a.i GROUP BY m.doc_ix, a.i) x
+  JOIN h2t h ON h.doc_ix = x.doc_ix AND h.j = x.j),
+gw2 AS (SELECT h.j AS i, d.j AS j, sum(h.h * d.d) AS g FROM h1t h JOIN da2 d USING (doc_ix) GROUP BY h.j, d.j),
+da1 AS MATERIALIZED (
+  SELECT x.doc_ix, x.i AS j, CASE WHEN h.h > 0 THEN x.d ELSE 0.0 END AS d
+  FROM (SELECT d.doc_ix, w2.i, sum(d.d * w2.w) AS d FROM da2 d JOIN w2 ON w2.j = d.j GROUP BY d.doc_ix, w2.i) x
+  JOIN h1t h ON h.doc_ix = x.doc_ix AND h.j = x.i),
+gw1 AS (SELECT x.token_id, d.j, sum(x.x * d.d) AS g FROM xw x JOIN da1 d ON d.doc_ix = x.doc_ix
+        WHERE x.split = 'tr' GROUP BY x.token_id, d.j),
+grad AS (
+  SELECT 'W1' AS name, token_id AS i, list(g ORDER BY j) AS vec FROM gw1 GROUP BY token_id
+  UNION ALL SELECT 'b1', 0, list(g ORDER BY j) FROM (SELECT j, sum(d) AS g FROM da1 GROUP BY j)
+  UNION ALL SELECT 'W2', i, list(g ORDER BY j) FROM gw2 GROUP BY i
+  UNION ALL SELECT 'b2', 0, list(g ORDER BY j) FROM (SELECT j, sum(d) AS g FROM da2 GROUP BY j)
+  UNION ALL SELECT 'Wmu', i, list(gm ORDER BY k) FROM gmu GROUP BY i
+  UNION ALL SELECT 'Ws', i, list(gs ORDER BY k) FROM gmu GROUP BY i
+  UNION ALL SELECT 'bmu', 0, list(gm ORDER BY k) FROM gb
+  UNION ALL SELECT 'bs', 0, list(gs ORDER BY k) FROM gb
+  UNION ALL SELECT 'alpha', topic, list(g ORDER BY d) FROM dal GROUP BY topic
+  UNION ALL SELECT '_rec', 0, [(SELECT -sum(cnt * ln(p)) FROM gg)]
+  UNION ALL SELECT '_kl', 0, [(SELECT -0.5 * sum(1.0 + logsigma - mu * mu - exp(logsigma)) FROM tt)]
+  UNION ALL SELECT '_n', 0, [(SELECT CAST(count(DISTINCT doc_ix) AS DOUBLE) FROM tt)])"""
+
+
+def fit_sql() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["batches"] = with_ng(
+        "SELECT CAST(floor(r / " + str(PR.TRAIN_BATCH) + ") AS BIGINT) AS batch, doc_ix, n_tokens FROM ("
+        "SELECT doc_ix, CAST(len(tokens) AS BIGINT) AS n_tokens, "
+        f"row_number() OVER (ORDER BY md5('{PR.SEED}:1:' || CAST(doc_ix AS VARCHAR)), doc_ix) - 1 AS r "
+        "FROM packed WHERE split = 'tr')")
+    q["elbo_gradient"] = ("WITH " + newsgroup_ctes() + model_ctes() + gradient_ctes()
+                          + f"\nSELECT name, CAST(i AS BIGINT) AS i, {vsnap('vec', '1e4')} AS vec FROM grad")
+    return q
+
+
 def store_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     params = (
@@ -625,5 +692,6 @@ def all_sql() -> dict[str, str]:
     out.update(sentence_sql())
     out.update(parallel_sql())
     out.update(log_sql())
+    out.update(fit_sql())
     out.update(store_sql())
     return out
