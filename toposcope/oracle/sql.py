@@ -493,7 +493,13 @@ def sentence_sql() -> dict[str, str]:
         "          LEFT JOIN dictionary d USING (word) CROSS JOIN ndict),",
         "          LEFT JOIN dictionary d USING (word) CROSS JOIN ndict\n"
         f"          UNION ALL SELECT sent_id, CAST(len({ws_expr('text')}) AS BIGINT), CAST(2 AS BIGINT) FROM sents),")
-    q["score_sentences"] = "WITH " + x3 + f"\nSELECT s.sent_id, s.pos, {vadd('s.x', 'p.proj')} AS x FROM st0 s JOIN proj p USING (sent_id)"
+    for once in ("stoks", "mapped", "svec", "proj", "emb", "dictionary", "vocab"):
+        x3 = x3.replace(f"\n{once} AS (", f"\n{once} AS MATERIALIZED (")
+    q["score_sentences"] = "WITH " + x3 + (
+        f"\nSELECT 'encoder_in' AS stage, s.sent_id, s.pos, {vadd('s.x', 'p.proj')} AS x FROM st0 s JOIN proj p USING (sent_id) "
+        f"UNION ALL SELECT 'encoder_out', s.sent_id, s.pos, {vadd('s.x', 'p.proj')} FROM st1 s JOIN proj p USING (sent_id) "
+        f"UNION ALL SELECT 'decoder', s.sent_id, s.pos, {vadd('s.x', 'v.vec')} FROM st0 s JOIN "
+        f"(SELECT sent_id, list_transform(qsum, lambda v: v / {float(PR.QUANT)!r}) AS vec FROM svec) v USING (sent_id)")
     return q
 
 
@@ -675,13 +681,13 @@ def store_sql() -> dict[str, str]:
         "UNION ALL SELECT 'Ws', i, list(w ORDER BY k) FROM wsg GROUP BY i "
         "UNION ALL SELECT 'bs', 0, list(b ORDER BY k) FROM bsg")
     q["model_store"] = with_model(f"SELECT name, CAST(i AS BIGINT) AS i, {vsnap('vec')} AS vec FROM ({params})"
-                                  f" UNION ALL SELECT 'rho', CAST(token_id AS BIGINT), {vsnap('qvec::DOUBLE[]')} FROM rho"
-                                  f" UNION ALL SELECT 'alpha', CAST(topic AS BIGINT), {vsnap('qsum::DOUBLE[]')} FROM alpha")
+                                  f" UNION ALL SELECT 'rho', CAST(token_id AS BIGINT), {vsnap(f'list_transform(qvec, lambda q: q / {float(PR.QUANT)!r})')} FROM rho"
+                                  f" UNION ALL SELECT 'alpha', CAST(topic AS BIGINT), {vsnap(f'list_transform(qsum, lambda q: q / {float(PR.QUANT) * 10!r})')} FROM alpha")
     q["topic_words_sink"] = with_model(
         "SELECT topic, list(word ORDER BY rank) AS words FROM (SELECT t.topic, t.rank, v.word FROM "
         "(SELECT topic, token_id, row_number() OVER (PARTITION BY topic ORDER BY dot DESC, token_id) - 1 AS rank FROM beta) t "
         f"JOIN vocab v USING (token_id) WHERE t.rank < {PR.NUM_WORDS - 1}) GROUP BY topic")
-    q["embedding_sink"] = with_model("SELECT token_id, qvec FROM rho")
+    q["embedding_sink"] = with_model(f"SELECT token_id, list_transform(qvec, lambda q: q / {float(PR.QUANT)!r}) AS vec FROM rho")
     return q
 
 

@@ -630,15 +630,18 @@ def q_topic_mode(spark, sf):
 
 @register("score_sentences")
 def q_score_sentences(spark, sf):
-    """Binarise (reserved ids first) → map to topic ids with the matching offset → sentence
-    vectors → projection → add to the token states before the encoder."""
+    """Binarise (reserved ids first) → map to topic ids with the matching offset → sentence vectors →
+    projection → all three places: token states before the encoder, encoder outputs (both projected), and
+    decoder states (the unprojected sum)."""
     c = SentenceContext(spark, sf)
     bin_toks = PA.binarize(c.sentences, c.dictionary, key="sent_id")
     mapped = SE.dict_to_topic_id(bin_toks, c.dictionary, c.p.vocab, id_offset=PA.N_RESERVED)
-    q = SE.sentence_topic_qsum(mapped, c.rho, c.sentences, STATE_WIDTH)
-    proj = SE.project_topic(q, c.proj)
-    states = FX.token_states(spark, sf, bin_toks, 0)
-    return SE.add_topic_pre(states, proj, snap_q=1e9)
+    q = SE.sentence_topic_qsum(mapped, c.rho, c.sentences, STATE_WIDTH).persist()
+    plain = FX.token_states(spark, sf, bin_toks, 0)
+    out = SE.apply_topics({"pre", "post", "decoder"}, states=plain, enc_out=FX.token_states(spark, sf, bin_toks, 1),
+                          dec_states=plain, projected=SE.project_topic(q, c.proj), target_vec=SE.topic_vectors(q), snap_q=1e9)
+    parts = [out[k].select(F.lit(k).alias("stage"), "sent_id", "pos", "x") for k in ("encoder_in", "encoder_out", "decoder")]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 # ------------------------------------------------------------------ parallel corpus
@@ -749,19 +752,17 @@ def q_fit_word_vectors(spark, sf):
 
 @register("model_store")
 def q_model_store(spark, sf):
-    """Save encoder parameters, rho and alpha with a hyper-parameter record; load back."""
+    """Commit a version of the initial model (parameters, word and topic vectors as doubles, optimiser
+    state), then read back the version the manifest names as the last."""
     c = ctx_of(spark, sf)
-    root = scratch_path(spark, "model")
-    stores.save_model({"params": c.params, "rho": c.rho, "alpha": c.alpha},
-                      {"num_topics": len(c.topics), "t_hidden_size": PR.HIDDEN, "theta_act": c.act},
-                      root)
-    tables, meta = stores.load_model(spark, root, ["params", "rho", "alpha"])
-    assert meta["t_hidden_size"] == PR.HIDDEN
+    start = FT.FitState.start(_state(c), FT.Rule())
+    store = stores.ModelStore(spark, scratch_path(spark, "model"))
+    store.commit(start.tables(), start.record() | {"num_topics": len(c.topics), "t_hidden_size": PR.HIDDEN}, start.best)
+    tables, record = store.last()
+    assert record["t_hidden_size"] == PR.HIDDEN
     parts = [tables["params"].select("name", "i", "vec"),
-             tables["rho"].select(F.lit("rho").alias("name"), F.col("token_id").cast("bigint").alias("i"),
-                                  F.col("qvec").cast("array<double>").alias("vec")),
-             tables["alpha"].select(F.lit("alpha").alias("name"), F.col("topic").cast("bigint").alias("i"),
-                                    F.col("qsum").cast("array<double>").alias("vec"))]
+             tables["rho"].select(F.lit("rho").alias("name"), F.col("token_id").alias("i"), "vec"),
+             tables["alpha"].select(F.lit("alpha").alias("name"), F.col("topic").cast("bigint").alias("i"), "vec")]
     return functools.reduce(DataFrame.unionByName, parts).select("name", "i", snap_vec("vec").alias("vec"))
 
 
@@ -777,8 +778,7 @@ def q_topic_words_sink(spark, sf):
 
 @register("embedding_sink")
 def q_embedding_sink(spark, sf):
-    """Write the full word-embedding table and read it back."""
-    c = ctx_of(spark, sf)
+    """Write the model's word embeddings as the doubles they are and read them back."""
     path = scratch_path(spark, "embeddings")
-    stores.write_embeddings(c.rho, path)
-    return spark.read.parquet(path).select("token_id", "qvec")
+    stores.write_embeddings(_state(ctx_of(spark, sf)).rho, path)
+    return spark.read.parquet(path).select("token_id", "vec")
