@@ -74,3 +74,32 @@ def test_empty(spark, empty):
 def test_run(spark):
     assert C.run(spark, SF).count() > 0
     assert [k for k, _ in C.STAGES] and C.ORACLE_SQL is None
+
+
+def test_rows_that_differ_in_other_columns_are_kept(spark):
+    """Equal id, text and source but another lang: each row keeps its own values, and reruns agree."""
+    from toposcope.llm import mixing, simhash
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rows = [(1, "a b c", "en", "s", 5), (1, "a b c", "de", "s", 5), (1, "a b c", "de", "s", 5), (2, "d e", None, "s", 3),
+            (3, "f g h i", "fr", "t", 7)]
+    docs = spark.createDataFrame(rows, schema)
+    mixed = [sorted(map(tuple, mixing.mixture(docs.repartition(p)).collect()), key=repr) for p in (1, 3)]
+    assert mixed[0] == mixed[1]
+    mine = [r for r in mixed[0] if r[0] == 1]
+    kinds = {r[2] for r in mine}
+    assert len(mine) < 2 or kinds == {"en", "de"}
+    kept = simhash.one_of_each(docs).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 2, 3]
+
+
+def test_copies_are_dealt_over_the_rows(spark):
+    from toposcope.llm import textbuf
+    schema = "doc_id bigint, text string, lang string"
+    docs = spark.createDataFrame([(1, "x", "a"), (1, "x", "a"), (1, "x", "b"), (1, "x", None), (2, "y", "c"), (3, "z", "d")], schema)
+    keyed = docs.select("doc_id", *textbuf.text_key()).distinct()
+    for n, want in ((4, {"a": 2, "b": 1, None: 1}), (8, {"a": 4, "b": 2, None: 2}), (9, None), (1, None)):
+        times = keyed.where("doc_id < 3").selectExpr("doc_id", "_t1", "_t2", "if(doc_id = 1, 4, 1) as rows", f"if(doc_id = 1, {n}, 2) as n")
+        got = [tuple(r) for r in textbuf.repeated(docs, times, ["doc_id"]).collect()]
+        assert sum(r[0] == 1 for r in got) == n and sum(r[0] == 2 for r in got) == 2 and not any(r[0] == 3 for r in got)
+        if want:
+            assert {k: sum(r[2] == k for r in got if r[0] == 1) for k in want} == want

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -196,8 +196,11 @@ def beside(docs: DataFrame, side: DataFrame, columns: list[str], entries: int) -
 
 def repeated(docs: DataFrame, times: DataFrame, columns: list[str]) -> DataFrame:
     """The rows of ``docs``, as often as ``times(columns, _t1, _t2, rows, n)`` says: ``n`` copies for
-    the ``rows`` equal rows of ``docs`` that agree in ``columns`` and text; those not listed go.
-    The texts of equal rows are brought together only where there are any."""
+    the ``rows`` rows of ``docs`` that agree in ``columns`` and text; those not listed go.
+
+    Rows that agree in ``columns`` and text may differ in other columns. They are ordered by a hash of the
+    whole row; row i of r gets ``n // r`` copies, and one more where ``i < n % r``, so each row's own
+    values are kept and reruns agree. Equal rows are counted, not gathered."""
     inner, match = _same(docs, times, columns)
     names = docs.columns
     joined = docs.join(broadcast_counted(inner, times.count()), match)
@@ -205,8 +208,15 @@ def repeated(docs: DataFrame, times: DataFrame, columns: list[str]) -> DataFrame
     out = joined.where("__side_rows = 1").select(*names, copy).select(*names)
     if times.where("rows > 1").limit(1).count():
         key = [f"__side_{c}" for c in (*columns, "_t1", "_t2")]
-        several = joined.where("__side_rows > 1").dropDuplicates(key)
-        out = out.unionByName(several.select(*names, copy).select(*names))
+        quoted = [F.col(f"`{c}`") for c in names]
+        several = joined.where("__side_rows > 1").withColumn("__side_hash", F.xxhash64(*quoted))
+        kinds = several.groupBy(*quoted, *key, "__side_rows", "__side_n", "__side_hash").agg(F.count(F.lit(1)).alias("__side_c"))
+        order = Window.partitionBy(*key).orderBy("__side_hash", *quoted)
+        upto = F.sum("__side_c").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        r, n, c = F.col("__side_rows"), F.col("__side_n"), F.col("__side_c")
+        more = F.least(F.col("__side_upto"), n % r) - F.least(F.col("__side_upto") - c, n % r)
+        kinds = kinds.withColumn("__side_upto", upto).withColumn("__side_n", c * F.floor(n / r) + more)
+        out = out.unionByName(kinds.select(*names, copy).select(*names))
     return out
 
 
