@@ -89,7 +89,8 @@ def names(seq: DataFrame, longest: int) -> DataFrame:
             rooted = rooted.unionByName(upper.where("a > 0").join(roots, ["c", "a"]))
         rooted = frozen(rooted)
         key = ["root", "a", "x1", "x2"]
-        low = rooted.groupBy(*key).agg(F.min("c").alias("name"))
+        # frozen, so that the join deals both sides anew and adaptive execution can split a common prefix
+        low = frozen(rooted.groupBy(*key).agg(F.min("c").alias("name")))
         cut = frozen(rooted.join(low, key).select("c", (F.col("a") + size).alias("d"), "name"))
         known = cut if known is None else known.unionByName(cut)
         size //= 2
