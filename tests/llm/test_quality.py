@@ -8,7 +8,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def slow(rows, max_docs, min_left):
-    marks, out = defaultdict(Counter), []
+    texts, out = defaultdict(set), []
     lines_of = []
     for r in rows:
         lines = Counter()
@@ -18,10 +18,9 @@ def slow(rows, max_docs, min_left):
                 norm = "".join(c.lower() if "A" <= c <= "Z" else c for c in " ".join(w))
                 lines[int(hashlib.md5(norm.encode()).hexdigest()[:15], 16)] += len(w)
         for h in lines:
-            others = [x for x in lines if x != h]
-            marks[r["source"], h][min(others) if others else h] += 1
+            texts[r["source"], h].add(r["text"])
         lines_of.append(lines)
-    often = {k for k, c in marks.items() if sum(c.values()) ** 2 / sum(n * n for n in c.values()) > max_docs}
+    often = {k for k, t in texts.items() if len(t) > max_docs}
     for r, lines in zip(rows, lines_of):
         text = r["text"] or ""
         w = WORD.findall(text)
@@ -53,6 +52,26 @@ def test_boilerplate_is_depleted_but_copies_are_not(spark):
     assert not any(got[d] for d in range(40)) and all(got[100 + d] for d in range(40))
 
 
+def test_boilerplate_that_stands_together(spark):
+    """Header, navigation and footer lines always in one company; a large group of copies beside them."""
+    shared = [" ".join(f"s{i}w{k}" for k in range(20)) for i in range(5)]
+    rows = [(d, "\n".join(shared + [" ".join(f"own{d}w{k}" for k in range(15))]), "one") for d in range(2000)]
+    rows += [(10000 + d, "\n".join(x + " copied" for x in shared), "one") for d in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = Counter((r["doc_id"] >= 10000, r["n_frequent_lines"], r["words_left"], r["kept"]) for r in Q.judge(df).collect())
+    assert got == {(False, 5, 15, False): 2000, (True, 0, 105, True): 2000}
+
+
+def test_limit_is_exact(spark):
+    """21 distinct texts are over a limit of 20; 20 and their copies are not; hosts are counted apart."""
+    line = " ".join(f"w{k}" for k in range(60))
+    rows = [(d, f"{line}\nown {d}", s) for s, n in (("a", 21), ("b", 20), (None, 21)) for d in range(n)]
+    rows += [(100 + d, f"{line}\nown 3", "b") for d in range(50)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {(r["source"], r["n_frequent_lines"], r["kept"]) for r in Q.judge(df).collect()}
+    assert got == {("a", 1, False), ("b", 0, True), (None, 1, False)}
+
+
 def test_cleaned_texts(spark, docs, rows):
     for max_docs in (20, 1.5):
         got = Q.cleaned(docs, max_docs)

@@ -5,11 +5,9 @@ Lines are normalised (A-Z lower-cased, words joined by one space) and hashed. Fo
 limit are boilerplate and their words are taken away; a document of which too little is left is
 depleted and rejected.
 
-*Distinct* documents: copies of one document would make all of its lines look frequent, and the
-whole group would go. So each occurrence of a line carries a mark of its surroundings, the smallest
-hash among the other lines of its document (near copies mostly agree in it). A line with document
-counts n_1, n_2, ... per mark counts as (sum n_i)^2 / sum n_i^2 distinct documents: the number of
-documents when all surroundings differ, about one within a group of copies.
+Copies of one document would make all of its lines frequent and the whole group would go, so
+documents are told apart by their text: equal texts of a host count once. Near copies are different
+documents. Boilerplate lines that stand together are each counted by themselves.
 """
 
 from __future__ import annotations
@@ -28,7 +26,7 @@ _SYMBOLS = b"#*$%&|<>"
 
 _METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SCHEMA = ("doc_id bigint, source string, _t1 bigint, _t2 bigint, " + ", ".join(f"{m} bigint" for m in _METRICS)
-           + ", lines array<struct<h:bigint,mark:bigint,words:bigint>>")
+           + ", lines array<struct<h:bigint,words:bigint>>")
 
 
 def line_hash(line: bytes) -> int:
@@ -76,8 +74,7 @@ def measure(raw: bytes) -> tuple:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """One narrow row per document: counts and its distinct normalised lines, each with the mark of
-    its surroundings (the smallest other line hash; its own where it is the only line)."""
+    """One narrow row per document: counts and its distinct normalised lines."""
 
     def run(batches):
         for batch in batches:
@@ -85,17 +82,12 @@ def measured(docs: DataFrame) -> DataFrame:
                 data, offs = utf8(part.column(1))
                 raw = data.tobytes()
                 rows = [measure(raw[a:b]) for a, b in zip(offs[:-1], offs[1:])]
-                hs, marks, ws, ends = [], [], [], [0]
+                hs, ws, ends = [], [], [0]
                 for row in rows:
-                    lines = row[5]
-                    low = sorted(lines)[:2]
-                    for h, w in lines.items():
-                        hs.append(h)
-                        marks.append(low[0] if h != low[0] or len(low) == 1 else low[1])
-                        ws.append(w)
+                    hs.extend(row[5])
+                    ws.extend(row[5].values())
                     ends.append(len(hs))
-                items = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (hs, marks, ws)],
-                                                   ["h", "mark", "words"])
+                items = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (hs, ws)], ["h", "words"])
                 cols = [part.column(0), *part.columns[2:5]]
                 cols += [pa.array([row[k] for row in rows], pa.int64()) for k in range(5)]
                 cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items))
@@ -106,21 +98,25 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(lines: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """``(source, h, n_docs, n_distinct)`` of the lines above the limit. ``lines``: one row per
-    (document, distinct line) with ``source, h, mark``. Counts are summed before the shuffles, so
-    a line that stands in a third of all documents costs one row per task."""
-    by_mark = lines.groupBy("source", "h", "mark").agg(F.count(F.lit(1)).alias("n"))
-    n = F.col("n").cast("double")
-    return (by_mark.groupBy("source", "h").agg(F.sum("n").alias("n_docs"), F.sum(n * n).alias("_sq"))
-            .withColumn("n_distinct", F.col("n_docs").cast("double") * F.col("n_docs") / F.col("_sq"))
-            .where(F.col("n_distinct") > F.lit(max_docs)).drop("_sq"))
+    """``(source, h, n_distinct)`` of the lines that more than ``max_docs`` distinct documents of their
+    host carry. ``lines``: one row per (document, distinct line) with ``source, h, _t1, _t2``, the
+    last two a hash of the document's text. Copies are merged and counts summed before each shuffle;
+    the first one deals a line by text, so that a line of a third of all documents has no task of its
+    own."""
+    once = lines.select("source", "h", "_t1", "_t2").distinct()
+    counted = once.groupBy("source", "h").agg(F.count(F.lit(1)).alias("n_distinct"))
+    return counted.where(F.col("n_distinct") > F.lit(max_docs))
 
 
 def _hits(rows: DataFrame, max_docs: int, *keys: str) -> DataFrame:
-    """``(keys, source, h, mark, words)``: the occurrences of frequent lines in the rows of :func:`measured`."""
-    lines = rows.select(*keys, "source", F.explode("lines").alias("l")).select(*keys, "source", "l.*")
-    frequent = frequent_lines(lines, max_docs).select(F.col("source").alias("_s"), F.col("h").alias("_h"))
-    return lines.join(frequent, F.col("source").eqNullSafe(F.col("_s")) & (F.col("h") == F.col("_h")))
+    """``(keys, source, h, words)``: the occurrences of frequent lines in the rows of :func:`measured`."""
+    lines = rows.select("*", F.explode("lines").alias("l"))
+    names = list(dict.fromkeys([*keys, "source", "_t1", "_t2"]))
+    frequent = frequent_lines(lines.select("source", "l.h", "_t1", "_t2"), max_docs)
+    frequent = frequent.select(F.col("source").alias("_s"), F.col("h").alias("_h"))
+    lines = lines.select(*names, "l.*")
+    found = lines.join(frequent, F.col("source").eqNullSafe(F.col("_s")) & (F.col("h") == F.col("_h")))
+    return found.select(*dict.fromkeys([*keys, "source"]), "h", "words")
 
 
 def _verdicts(docs: DataFrame, min_words: int, max_docs: int, min_left: float) -> DataFrame:

@@ -23,7 +23,8 @@ def _ascii_lower(x: str) -> str:
 def quality_sql() -> str:
     norm = _ascii_lower(f"array_to_string({_WORDS.format('line')}, ' ')")
     return rf"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t,
+                  md5(coalesce(text, '')) AS k FROM documents),
 w AS (SELECT r, {_WORDS.format('t')} AS ws FROM d),
 grams AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g
           FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
@@ -36,12 +37,9 @@ dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM raw GROUP BY r),
 lines AS (SELECT r, h, sum(n) AS words FROM (
             SELECT r, ('0x' || substr(md5({norm}), 1, 15))::BIGINT AS h, len({_WORDS.format('line')}) AS n FROM raw)
           GROUP BY r, h),
-low AS (SELECT r, min(h) AS a, min(h) FILTER (WHERE h <> m) AS b
-        FROM (SELECT *, min(h) OVER (PARTITION BY r) AS m FROM lines) GROUP BY r),
-marked AS (SELECT l.r, d.source, l.h, l.words, CASE WHEN l.h = a THEN coalesce(b, a) ELSE a END AS mark
-           FROM lines l JOIN low USING (r) JOIN d USING (r)),
-freq AS (SELECT source, h FROM (SELECT source, h, mark, count(*) AS n FROM marked GROUP BY source, h, mark)
-         GROUP BY source, h HAVING sum(n)::DOUBLE * sum(n) / sum(n::DOUBLE * n) > {MAX_DOCS}),
+marked AS (SELECT l.r, d.source, d.k, l.h, l.words FROM lines l JOIN d USING (r)),
+freq AS (SELECT source, h FROM (SELECT DISTINCT source, h, k FROM marked)
+         GROUP BY source, h HAVING count(*) > {MAX_DOCS}),
 lost AS (SELECT m.r, sum(m.words) AS words, count(*) AS n FROM marked m JOIN freq f
          ON m.source IS NOT DISTINCT FROM f.source AND m.h = f.h GROUP BY m.r),
 counts AS (SELECT d.r, d.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words,
