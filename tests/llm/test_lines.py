@@ -77,6 +77,43 @@ def test_random_edits(spark):
     assert Counter(tuple(r) for r in L.line_classes(df).collect()) == want
 
 
+def test_template_lines(spark):
+    """Lines of a template share most segments: candidates stay in proportion, near pairs are found."""
+    rng = random.Random(5)
+    text = "The customer order was received and confirmed, reference number "
+    numbers = ["".join(rng.choice("0123456789") for _ in range(12)) for _ in range(20000)]
+    changed = [x[:5] + "xy"[i % 2] + x[6:] for i, x in enumerate(numbers[:300])]
+    df = spark.createDataFrame([(i, text + x) for i, x in enumerate(numbers + changed)], "doc_id bigint, text string")
+    both = L.candidate_pairs(df).select("line_a", "line_b").collect()
+    assert len(both) < 20 * len(numbers)
+    found = {frozenset((r["line_a"], r["line_b"])) for r in both}
+    assert all(frozenset((text + a, text + b)) in found for a, b in zip(numbers, changed))
+
+
+def test_crowded_keys_lose_no_pair(spark, monkeypatch):
+    """With every key dealt again the links are those of brute force."""
+    rng = random.Random(6)
+    lines = []
+    for n in (16, 24, 33, 40):
+        base = [rng.choice("abß漢😀 ") for _ in range(n)]
+        for _ in range(60):
+            x = base[:]
+            for _ in range(rng.randint(0, 4)):
+                k = rng.randrange(len(x))
+                if rng.random() < .5:
+                    x[k] = rng.choice("abcd😀")
+                elif rng.random() < .5:
+                    x.insert(k, rng.choice("abc"))
+                else:
+                    del x[k]
+            lines.append("".join(x))
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    want = slow(df.collect())
+    assert sum(k[5] * n for k, n in want.items()) > 200
+    monkeypatch.setattr(L.candidate_pairs, "__defaults__", (*L.candidate_pairs.__defaults__[:2], 0))
+    assert Counter(tuple(r) for r in L.line_classes(df).collect()) == want
+
+
 def test_distance(spark):
     rng = random.Random(9)
     rows = []

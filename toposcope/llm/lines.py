@@ -7,6 +7,11 @@ partner may have, the substrings at the few starts where that segment can lie. C
 join on keys are verified with a banded bit-parallel edit distance. Everything is DataFrame
 functions.
 
+Lines of one template (log lines, prices, ids) share whole segments without being near. Keys that many
+lines share are dealt again: their lines are cut into k + 1 segments of equal *variety*, chosen per key
+from a few of its lines, and probe with these. Any cuts find every pair, so the choice
+decides the work alone.
+
 Lines of fewer than ``STEP`` characters allow no edit, of fewer than twice that one edit, and so
 on up to ``MAX_EDITS``: two lines are linked when their distance is at most the shorter one's.
 """
@@ -23,6 +28,8 @@ MAX_EDITS, STEP = 2, 16
 # Frequent letters whose counts filter candidates inside the join, eight to a bigint: one edit changes
 # the counts of at most two letters by one.
 LETTERS = ("etaonirs", "hdlucmpg", "bfvwyzk ")
+# Keys whose index rows times all rows exceed CROWD are dealt again, by cuts chosen from SAMPLES lines.
+CROWD, SAMPLES = 4096, 8
 
 
 def all_lines(docs: DataFrame) -> DataFrame:
@@ -51,9 +58,23 @@ def _letters_near(a: str, b: str, k: str) -> str:
     return "(" + " + ".join(apart(w, i) for w in range(len(LETTERS)) for i in range(8)) + f") <= 2 * {k}"
 
 
+def _specs(max_edits: int) -> Column:
+    """The starts to probe, as (k, d, i, shift): k edits, a partner d characters shorter, its segment i."""
+    specs = [(k, d, i, shift) for k in range(1, max_edits + 1) for d in range(k + 1) for i in range(k + 1)
+             for shift in range(max(-i, d - (k - i)), min(i, d + (k - i)) + 1)]
+    return F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("k", "d", "i", "shift"), row)]) for row in specs])
+
+
+def _codes(line: str) -> Column:
+    """Two bytes for each character of a line."""
+    two = F.encode(line, "UTF-16BE")
+    wide = F.encode(F.regexp_replace(line, r"[\x{10000}-\x{10FFFF}]", "\uFFFD"), "UTF-16BE")
+    return F.when(F.octet_length(two) == 2 * F.length(line), two).otherwise(wide)
+
+
 def keyed_lines(docs: DataFrame, max_edits: int = MAX_EDITS, step: int = STEP) -> DataFrame:
-    """``(key, h, n, own)``: for every line the substrings at which a segment of a line of
-    ``n - d`` characters may lie, hashed with that length and the segment's number. ``own`` marks the
+    """``(key, h, n, m, own)``: for every line the substrings at which a segment of a line of
+    ``m = n - d`` characters may lie, hashed with that length and the segment's number. ``own`` marks the
     line's own segments (the index); all rows are probes.
 
     Of k + 1 segments one is found with at most i edits before segment i and at most k - i after
@@ -63,16 +84,11 @@ def keyed_lines(docs: DataFrame, max_edits: int = MAX_EDITS, step: int = STEP) -
     Substrings are slices of the line's two-byte characters; those beyond two bytes count as one
     character here (a candidate more at worst: verification reads the text).
     """
-    if step <= max_edits:
-        raise ValueError("step must exceed max_edits: a segment has to be longer than any shift")
-    specs = [(k, d, i, shift) for k in range(1, max_edits + 1) for d in range(k + 1) for i in range(k + 1)
-             for shift in range(max(-i, d - (k - i)), min(i, d + (k - i)) + 1)]
+    if step <= max_edits + 1:
+        raise ValueError("step must exceed max_edits + 1: a segment has to be longer than any shift")
     df = all_lines(docs).select("h", "line", F.length("line").alias("n")).where(F.col("n") >= step)
-    two = F.encode("line", "UTF-16BE")
-    wide = F.encode(F.regexp_replace("line", r"[\x{10000}-\x{10FFFF}]", "\uFFFD"), "UTF-16BE")
-    df = df.select("h", "n", F.when(F.octet_length(two) == 2 * F.col("n"), two).otherwise(wide).alias("codes"))
-    spec = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("k", "d", "i", "shift"), row)]) for row in specs])
-    df = df.select("h", "n", "codes", F.explode(spec).alias("s")).select("h", "n", "codes", "s.*")
+    df = df.select("h", "n", _codes("line").alias("codes"))
+    df = df.select("h", "n", "codes", F.explode(_specs(max_edits)).alias("s")).select("h", "n", "codes", "s.*")
     df = df.where(f"k = least({max_edits}, cast(floor((n - d) / {step}) as int))")
     df = df.select("*", F.expr("cast(floor((n - d) / (k + 1)) as int)").alias("short"))
     df = df.select("*", F.expr("k + 1 - (n - d - short * (k + 1))").alias("equal"))      # segments of that size
@@ -80,31 +96,78 @@ def keyed_lines(docs: DataFrame, max_edits: int = MAX_EDITS, step: int = STEP) -
                    F.expr("2 * (i * short + greatest(0, i - equal) + shift) + 1").alias("at"),
                    F.expr("2 * (short + if(i >= equal, 1, 0))").alias("size"),
                    F.expr("d = 0 and shift = 0").alias("own"))
-    return df.select(F.expr("xxhash64(substring(codes, at, size), m, number)").alias("key"), "h", "n", "own")
+    return df.select(F.expr("xxhash64(substring(codes, at, size), m, number)").alias("key"), "h", "n", "m", "own")
 
 
-def candidate_pairs(docs: DataFrame, max_edits: int = MAX_EDITS, step: int = STEP) -> DataFrame:
+def dealt_again(crowded: DataFrame, max_edits: int = MAX_EDITS, step: int = STEP, samples: int = SAMPLES) -> DataFrame:
+    """The rows of crowded keys (``key, h, n, m, own, line`` and others) under finer keys.
+
+    The index lines of a key have one length m. Up to ``samples`` of them (the smallest under as many
+    hashes) show at which places the lines differ; the k + 1 segments are cut so that each has an equal
+    share of these differences, and at least k + 1 characters. Shifts are those of :func:`keyed_lines`.
+    """
+    codes = crowded.withColumn("codes", _codes("line"))
+    taken = codes.where("own").groupBy("key", "m").agg(
+        *[F.min_by("codes", F.xxhash64(F.lit(j), "h")).alias(f"s{j}") for j in range(samples)])
+    chars = ", ".join(f"substring(s{j}, 2 * p - 1, 2)" for j in range(samples))
+    k = f"least({max_edits}, cast(floor(m / {step}) as int))"
+    taken = taken.select("key", F.expr(k).alias("k"), "m", F.expr(
+        f"transform(sequence(1, m), p -> 64 * (size(array_distinct(array({chars}))) - 1) + 1)").alias("w"))
+    taken = taken.withColumn("all", F.expr("aggregate(w, 0L, (x, y) -> x + y)"))
+    begin = ", ".join(f"'c{t}', 0" for t in range(1, max_edits + 1))
+    count = ", ".join(f"'c{t}', a.c{t} + if((a.sum + y) * (k + 1) <= {t} * all, 1, 0)" for t in range(1, max_edits + 1))
+    taken = taken.withColumn("cut", F.expr(f"aggregate(w, named_struct('sum', 0L, {begin}), "
+                                           f"(a, y) -> named_struct('sum', a.sum + y, {count}))"))
+    cuts = ", ".join(f"if({t} > k, m, cast(greatest({t} * (k + 1), least(m - (k + 1 - {t}) * (k + 1), cut.c{t})) as int))"
+                     for t in range(1, max_edits + 1))
+    taken = taken.select(F.col("key").alias("_key"), F.col("k").alias("_k"), F.expr(f"array(0, {cuts}, m)").alias("cuts"))
+    # each cut is at least k + 1 beyond the one before it
+    apart = ", ".join(f"if({t} > _k, element_at(cuts, -1), " + "greatest(" + ", ".join(
+        f"cuts[{u}] + {t - u} * (_k + 1)" for u in range(t)) + f", cuts[{t}]))" for t in range(1, max_edits + 1))
+    taken = frozen(taken.select("_key", "_k", F.expr(f"array(0, {apart}, element_at(cuts, -1))").alias("cuts")))
+    rows = codes.join(broadcast_counted(taken, taken.count()), F.col("key") == F.col("_key"))
+    rows = rows.withColumn("s", F.explode(F.filter(_specs(max_edits), lambda s: (s["k"] == F.col("_k"))
+                                                   & (s["d"] == F.col("n") - F.col("m")))))
+    finer = F.expr("xxhash64(key, s.i, substring(codes, 2 * (cuts[s.i] + s.shift) + 1, "
+                   "2 * (cuts[s.i + 1] - cuts[s.i])))")
+    return rows.withColumn("own", F.expr("own and s.shift = 0")).withColumn("key", finer).drop(
+        "codes", "_key", "_k", "cuts", "s")
+
+
+def candidate_pairs(docs: DataFrame, max_edits: int = MAX_EDITS, step: int = STEP, crowd: int = CROWD) -> DataFrame:
     """``(a, b, line_a, line_b)``: pairs of lines (the shorter one first) that share a key and pass the
     letter filter.
 
-    Keys of more than one line are found by an aggregation whose partial step merges the copies of a
-    line before the shuffle. Only rows with such keys, and only the texts of their lines, go on."""
+    Keys of more than one line, one of them in the index, are found by an aggregation whose partial step
+    merges the copies of a line before the shuffle. Only rows with such keys, and only the texts of their
+    lines, go on; keys with more than ``crowd`` index rows times rows by :func:`dealt_again`."""
     rows = keyed_lines(docs, max_edits, step)
-    shared = frozen(rows.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"))
-                    .where("low <> high").select("key"))
+    shared = frozen(rows.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.max("own").alias("own"))
+                    .where("low <> high and own").select("key"))
     held = frozen(rows.join(broadcast_counted(shared, shared.count()), "key").distinct())
     wanted = frozen(held.select("h").distinct())
     texts = frozen(all_lines(docs).join(broadcast_counted(wanted, wanted.count()), "h").distinct().select(
         "h", "line", _signatures("line").alias("sig")))
-    held = held.join(texts, "h")
+    crowds = frozen(held.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("own").cast("long")).alias("i"))
+                    .where(F.col("c") * F.col("i") > crowd).select("key"))
+    n = crowds.count()
+    if not n:
+        return _near_pairs(held.join(texts, "h"), max_edits, step).distinct()
+    few = held.join(broadcast_counted(crowds, n), "key", "left_anti").join(texts, "h")
+    many = held.join(broadcast_counted(crowds, n), "key").join(texts, "h")
+    again = dealt_again(many, max_edits, step)
+    return _near_pairs(few, max_edits, step).unionByName(_near_pairs(again, max_edits, step)).distinct()
+
+
+def _near_pairs(held: DataFrame, max_edits: int, step: int) -> DataFrame:
+    """Pairs of index and other rows of a key that pass the letter filter."""
     index = held.where("own").select("key", F.col("h").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"),
                                      F.col("line").alias("line_a"))
     probe = held.select("key", F.col("h").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"),
                         F.col("line").alias("line_b"))
     near = F.expr(_letters_near("sa", "sb", f"least({max_edits}, na div {step})"))
     order = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    pairs = index.join(probe, (index["key"] == probe["key"]) & order & near)
-    return pairs.select("a", "b", "line_a", "line_b").distinct()
+    return index.join(probe, (index["key"] == probe["key"]) & order & near).select("a", "b", "line_a", "line_b")
 
 
 # ---------------------------------------------------------------- verification
