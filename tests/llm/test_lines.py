@@ -13,7 +13,10 @@ def distance(a, b):
     return row[-1]
 
 
-def slow(rows, most=2, step=16):
+def slow(rows, lengths=L.LENGTHS):
+    def allowed(n):
+        return sum(n >= x for x in lengths)
+
     first, copies = {}, Counter()
     for r in rows:
         for n, line in enumerate((r["text"] or "").split("\n")):
@@ -26,10 +29,10 @@ def slow(rows, most=2, step=16):
     for x in first:
         by_len[len(x)].append(x)
     for x in first:
-        for d in range(most + 1):
+        for d in range(allowed(len(x)) + 1):
             for y in by_len[len(x) + d]:
-                if x != y and (d or x < y) and sum((Counter(x) - Counter(y)).values()) <= most:
-                    if distance(x, y) <= min(most, len(x) // step):
+                if x != y and (d or x < y) and sum((Counter(x) - Counter(y)).values()) <= allowed(len(x)):
+                    if distance(x, y) <= allowed(len(x)):
                         near[x].append(y)
                         near[y].append(x)
     out, top = [], {}
@@ -90,6 +93,45 @@ def test_template_lines(spark):
     assert all(frozenset((text + a, text + b)) in found for a, b in zip(numbers, changed))
 
 
+SHORT = (12, 16, 24, 36, 48, 60)
+
+
+def edited(rng, base, most):
+    x = base[:]
+    for _ in range(rng.randint(0, most)):
+        k = rng.randrange(len(x))
+        if rng.random() < .5:
+            x[k] = rng.choice("abcd😀")
+        elif rng.random() < .5:
+            x.insert(k, rng.choice("abc"))
+        else:
+            del x[k]
+    return "".join(x)
+
+
+def test_allowance_grows_with_length(spark, monkeypatch):
+    """Up to six edits, at lengths around the steps, also with every key dealt again."""
+    rng = random.Random(7)
+    lines = []
+    for n in (13, 17, 23, 26, 35, 38, 47, 50, 59, 64, 80):
+        base = [rng.choice("abß漢😀 xyz") for _ in range(n)]
+        lines += [edited(rng, base, 8) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    want = slow(df.collect(), SHORT)
+    assert sum(k[5] * n for k, n in want.items()) > 1000
+    assert Counter(tuple(r) for r in L.line_classes(df, SHORT).collect()) == want
+    monkeypatch.setattr(L.candidate_pairs, "__defaults__", (L.LENGTHS, 0))
+    assert Counter(tuple(r) for r in L.line_classes(df, SHORT).collect()) == want
+
+
+def test_long_line_with_a_word_changed(spark):
+    line = " ".join(f"word{k}" for k in range(45))
+    far = line.replace("word7 ", "thing7 ")
+    df = spark.createDataFrame([(1, line), (2, line.replace("word7 ", "term7 ")), (3, far)], "doc_id bigint, text string")
+    assert {r["doc_id"]: (r["class_doc_id"], r["n_links"]) for r in L.line_classes(df).collect()} == {
+        1: (1, 1), 2: (1, 1), 3: (3, 0)}
+
+
 def test_crowded_keys_lose_no_pair(spark, monkeypatch):
     """With every key dealt again the links are those of brute force."""
     rng = random.Random(6)
@@ -110,7 +152,7 @@ def test_crowded_keys_lose_no_pair(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
     want = slow(df.collect())
     assert sum(k[5] * n for k, n in want.items()) > 200
-    monkeypatch.setattr(L.candidate_pairs, "__defaults__", (*L.candidate_pairs.__defaults__[:2], 0))
+    monkeypatch.setattr(L.candidate_pairs, "__defaults__", (L.LENGTHS, 0))
     assert Counter(tuple(r) for r in L.line_classes(df).collect()) == want
 
 
@@ -130,7 +172,7 @@ def test_distance(spark):
         if a != b and abs(len(a) - len(b)) <= 2:
             rows.append((a, b) if len(a) <= len(b) else (b, a))
     df = spark.createDataFrame(rows, "line_a string, line_b string")
-    for r in L.distances(df).collect():
+    for r in L.distances(df, 2).collect():
         assert r["distance"] == min(3, distance(r["line_a"], r["line_b"]))
 
 
@@ -149,7 +191,7 @@ def test_dedup_keeps_the_first(spark):
 
 
 def test_no_python(docs):
-    plan = L.distances(L.all_lines(docs).selectExpr("line as line_a", "line as line_b"))._jdf.queryExecution()
+    plan = L.distances(L.all_lines(docs).selectExpr("line as line_a", "line as line_b"), 8)._jdf.queryExecution()
     assert "Python" not in plan.toString() and "Arrow" not in plan.toString()
 
 

@@ -12,8 +12,8 @@ lines share are dealt again: their lines are cut into k + 1 segments of equal *v
 from a few of its lines, and probe with these. Any cuts find every pair, so the choice
 decides the work alone.
 
-Lines of fewer than ``STEP`` characters allow no edit, of fewer than twice that one edit, and so
-on up to ``MAX_EDITS``: two lines are linked when their distance is at most the shorter one's.
+The allowance grows with the length: a line allows as many edits as there are ``LENGTHS`` up to its own,
+and two lines are linked when their distance is at most what the shorter one allows.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from .components import components
 from .textbuf import broadcast_counted, frozen
 
-MAX_EDITS, STEP = 2, 16
+#: Lengths from which a line allows one edit more; beyond the last one the allowance stays at their number.
+LENGTHS = (16, 32, 256, 1024, 4096, 16384, 65536, 262144)
 # Frequent letters whose counts filter candidates inside the join, eight to a bigint: one edit changes
 # the counts of at most two letters by one.
 LETTERS = ("etaonirs", "hdlucmpg", "bfvwyzk ")
@@ -38,9 +39,9 @@ def all_lines(docs: DataFrame) -> DataFrame:
     return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("h", F.xxhash64("line"))
 
 
-def edits(length: Column, max_edits: int = MAX_EDITS, step: int = STEP) -> Column:
-    """Edits allowed between a line of this length and any longer one."""
-    return F.least(F.lit(max_edits), F.floor(length / step)).cast("int")
+def edits(length: str, lengths: tuple = LENGTHS) -> str:
+    """SQL of the edits allowed between a line of this length and any longer one."""
+    return "(" + " + ".join(f"if({length} >= {x}, 1, 0)" for x in lengths) + ")"
 
 
 def _signatures(line: str) -> Column:
@@ -58,9 +59,9 @@ def _letters_near(a: str, b: str, k: str) -> str:
     return "(" + " + ".join(apart(w, i) for w in range(len(LETTERS)) for i in range(8)) + f") <= 2 * {k}"
 
 
-def _specs(max_edits: int) -> Column:
-    """The starts to probe, as (k, d, i, shift): k edits, a partner d characters shorter, its segment i."""
-    specs = [(k, d, i, shift) for k in range(1, max_edits + 1) for d in range(k + 1) for i in range(k + 1)
+def _specs(k: int) -> Column:
+    """The starts to probe at k edits, as (k, d, i, shift): a partner d characters shorter, its segment i."""
+    specs = [(k, d, i, shift) for d in range(k + 1) for i in range(k + 1)
              for shift in range(max(-i, d - (k - i)), min(i, d + (k - i)) + 1)]
     return F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("k", "d", "i", "shift"), row)]) for row in specs])
 
@@ -72,7 +73,7 @@ def _codes(line: str) -> Column:
     return F.when(F.octet_length(two) == 2 * F.length(line), two).otherwise(wide)
 
 
-def keyed_lines(docs: DataFrame, max_edits: int = MAX_EDITS, step: int = STEP) -> DataFrame:
+def keyed_lines(docs: DataFrame, lengths: tuple = LENGTHS) -> DataFrame:
     """``(key, h, n, m, own)``: for every line the substrings at which a segment of a line of
     ``m = n - d`` characters may lie, hashed with that length and the segment's number. ``own`` marks the
     line's own segments (the index); all rows are probes.
@@ -84,12 +85,16 @@ def keyed_lines(docs: DataFrame, max_edits: int = MAX_EDITS, step: int = STEP) -
     Substrings are slices of the line's two-byte characters; those beyond two bytes count as one
     character here (a candidate more at worst: verification reads the text).
     """
-    if step <= max_edits + 1:
-        raise ValueError("step must exceed max_edits + 1: a segment has to be longer than any shift")
-    df = all_lines(docs).select("h", "line", F.length("line").alias("n")).where(F.col("n") >= step)
+    if any(x < (k + 1) * (k + 2) for k, x in enumerate(lengths, 1)) or list(lengths) != sorted(set(lengths)):
+        raise ValueError("lengths must rise, and a segment has to be longer than any shift")
+    df = all_lines(docs).select("h", "line", F.length("line").alias("n")).where(F.col("n") >= lengths[0])
     df = df.select("h", "n", _codes("line").alias("codes"))
-    df = df.select("h", "n", "codes", F.explode(_specs(max_edits)).alias("s")).select("h", "n", "codes", "s.*")
-    df = df.where(f"k = least({max_edits}, cast(floor((n - d) / {step}) as int))")
+    n, nothing = F.col("n"), _specs(1)
+    # a partner up to k characters shorter may allow fewer edits than the line itself
+    sets = [F.when((n >= x) & (n - k < up), _specs(k)).otherwise(F.slice(nothing, 1, 0))
+            for k, (x, up) in enumerate(zip(lengths, (*lengths[1:], 1 << 31)), 1)]
+    df = df.select("h", "n", "codes", F.explode(F.concat(*sets)).alias("s")).select("h", "n", "codes", "s.*")
+    df = df.where(f"k = {edits('(n - d)', lengths)}")
     df = df.select("*", F.expr("cast(floor((n - d) / (k + 1)) as int)").alias("short"))
     df = df.select("*", F.expr("k + 1 - (n - d - short * (k + 1))").alias("equal"))      # segments of that size
     df = df.select("h", "n", "codes", F.expr("n - d").alias("m"), F.expr("k * 100 + i").alias("number"),
@@ -99,7 +104,7 @@ def keyed_lines(docs: DataFrame, max_edits: int = MAX_EDITS, step: int = STEP) -
     return df.select(F.expr("xxhash64(substring(codes, at, size), m, number)").alias("key"), "h", "n", "m", "own")
 
 
-def dealt_again(crowded: DataFrame, max_edits: int = MAX_EDITS, step: int = STEP, samples: int = SAMPLES) -> DataFrame:
+def dealt_again(crowded: DataFrame, lengths: tuple = LENGTHS, samples: int = SAMPLES) -> DataFrame:
     """The rows of crowded keys (``key, h, n, m, own, line`` and others) under finer keys.
 
     The index lines of a key have one length m. Up to ``samples`` of them (the smallest under as many
@@ -110,38 +115,40 @@ def dealt_again(crowded: DataFrame, max_edits: int = MAX_EDITS, step: int = STEP
     taken = codes.where("own").groupBy("key", "m").agg(
         *[F.min_by("codes", F.xxhash64(F.lit(j), "h")).alias(f"s{j}") for j in range(samples)])
     chars = ", ".join(f"substring(s{j}, 2 * p - 1, 2)" for j in range(samples))
-    k = f"least({max_edits}, cast(floor(m / {step}) as int))"
-    taken = taken.select("key", F.expr(k).alias("k"), "m", F.expr(
+    most = len(lengths)
+    taken = taken.select("key", F.expr(edits("m", lengths)).alias("k"), "m", F.expr(
         f"transform(sequence(1, m), p -> 64 * (size(array_distinct(array({chars}))) - 1) + 1)").alias("w"))
     taken = taken.withColumn("all", F.expr("aggregate(w, 0L, (x, y) -> x + y)"))
-    begin = ", ".join(f"'c{t}', 0" for t in range(1, max_edits + 1))
-    count = ", ".join(f"'c{t}', a.c{t} + if((a.sum + y) * (k + 1) <= {t} * all, 1, 0)" for t in range(1, max_edits + 1))
+    begin = ", ".join(f"'c{t}', 0" for t in range(1, most + 1))
+    count = ", ".join(f"'c{t}', a.c{t} + if((a.sum + y) * (k + 1) <= {t} * all, 1, 0)" for t in range(1, most + 1))
     taken = taken.withColumn("cut", F.expr(f"aggregate(w, named_struct('sum', 0L, {begin}), "
                                            f"(a, y) -> named_struct('sum', a.sum + y, {count}))"))
     cuts = ", ".join(f"if({t} > k, m, cast(greatest({t} * (k + 1), least(m - (k + 1 - {t}) * (k + 1), cut.c{t})) as int))"
-                     for t in range(1, max_edits + 1))
+                     for t in range(1, most + 1))
     taken = taken.select(F.col("key").alias("_key"), F.col("k").alias("_k"), F.expr(f"array(0, {cuts}, m)").alias("cuts"))
     # each cut is at least k + 1 beyond the one before it
     apart = ", ".join(f"if({t} > _k, element_at(cuts, -1), " + "greatest(" + ", ".join(
-        f"cuts[{u}] + {t - u} * (_k + 1)" for u in range(t)) + f", cuts[{t}]))" for t in range(1, max_edits + 1))
+        f"cuts[{u}] + {t - u} * (_k + 1)" for u in range(t)) + f", cuts[{t}]))" for t in range(1, most + 1))
     taken = frozen(taken.select("_key", "_k", F.expr(f"array(0, {apart}, element_at(cuts, -1))").alias("cuts")))
     rows = codes.join(broadcast_counted(taken, taken.count()), F.col("key") == F.col("_key"))
-    rows = rows.withColumn("s", F.explode(F.filter(_specs(max_edits), lambda s: (s["k"] == F.col("_k"))
-                                                   & (s["d"] == F.col("n") - F.col("m")))))
+    specs = F.slice(_specs(1), 1, 0)
+    for k in range(1, most + 1):
+        specs = F.when(F.col("_k") == k, _specs(k)).otherwise(specs)
+    rows = rows.withColumn("s", F.explode(specs)).where("s.d = n - m")
     finer = F.expr("xxhash64(key, s.i, substring(codes, 2 * (cuts[s.i] + s.shift) + 1, "
                    "2 * (cuts[s.i + 1] - cuts[s.i])))")
     return rows.withColumn("own", F.expr("own and s.shift = 0")).withColumn("key", finer).drop(
         "codes", "_key", "_k", "cuts", "s")
 
 
-def candidate_pairs(docs: DataFrame, max_edits: int = MAX_EDITS, step: int = STEP, crowd: int = CROWD) -> DataFrame:
+def candidate_pairs(docs: DataFrame, lengths: tuple = LENGTHS, crowd: int = CROWD) -> DataFrame:
     """``(a, b, line_a, line_b)``: pairs of lines (the shorter one first) that share a key and pass the
     letter filter.
 
     Keys of more than one line, one of them in the index, are found by an aggregation whose partial step
     merges the copies of a line before the shuffle. Only rows with such keys, and only the texts of their
     lines, go on; keys with more than ``crowd`` index rows times rows by :func:`dealt_again`."""
-    rows = keyed_lines(docs, max_edits, step)
+    rows = keyed_lines(docs, lengths)
     shared = frozen(rows.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.max("own").alias("own"))
                     .where("low <> high and own").select("key"))
     held = frozen(rows.join(broadcast_counted(shared, shared.count()), "key").distinct())
@@ -152,20 +159,20 @@ def candidate_pairs(docs: DataFrame, max_edits: int = MAX_EDITS, step: int = STE
                     .where(F.col("c") * F.col("i") > crowd).select("key"))
     n = crowds.count()
     if not n:
-        return _near_pairs(held.join(texts, "h"), max_edits, step).distinct()
+        return _near_pairs(held.join(texts, "h"), lengths).distinct()
     few = held.join(broadcast_counted(crowds, n), "key", "left_anti").join(texts, "h")
     many = held.join(broadcast_counted(crowds, n), "key").join(texts, "h")
-    again = dealt_again(many, max_edits, step)
-    return _near_pairs(few, max_edits, step).unionByName(_near_pairs(again, max_edits, step)).distinct()
+    again = dealt_again(many, lengths)
+    return _near_pairs(few, lengths).unionByName(_near_pairs(again, lengths)).distinct()
 
 
-def _near_pairs(held: DataFrame, max_edits: int, step: int) -> DataFrame:
+def _near_pairs(held: DataFrame, lengths: tuple) -> DataFrame:
     """Pairs of index and other rows of a key that pass the letter filter."""
     index = held.where("own").select("key", F.col("h").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"),
                                      F.col("line").alias("line_a"))
     probe = held.select("key", F.col("h").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"),
                         F.col("line").alias("line_b"))
-    near = F.expr(_letters_near("sa", "sb", f"least({max_edits}, na div {step})"))
+    near = F.expr(_letters_near("sa", "sb", edits("na", lengths)))
     order = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     return index.join(probe, (index["key"] == probe["key"]) & order & near).select("a", "b", "line_a", "line_b")
 
@@ -209,7 +216,7 @@ def banded_distance(x: str, y: str, k: int) -> str:
     return f"element_at(transform(array({last}), r -> case {cases} else {k + 1} end), 1)"
 
 
-def distances(pairs: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
+def distances(pairs: DataFrame, max_edits: int) -> DataFrame:
     """``distance`` (``max_edits + 1``: more) beside ``pairs(line_a, line_b, ...)``, lengths within
     ``max_edits``. Common ends are cut off first; they do not change the distance."""
     df = pairs.withColumn("_p", F.expr(_common("line_a", "line_b", False)))
@@ -220,16 +227,20 @@ def distances(pairs: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     return df.withColumn("distance", F.expr(banded_distance("_x", "_y", max_edits))).drop("_p", "_q", "_x", "_y")
 
 
-def line_links(docs: DataFrame, max_edits: int = MAX_EDITS, step: int = STEP) -> DataFrame:
+def line_links(docs: DataFrame, lengths: tuple = LENGTHS) -> DataFrame:
     """``(a, b, distance)``: every pair of different lines within the allowed distance, by hash."""
-    both = frozen(candidate_pairs(docs, max_edits, step))
-    allowed = edits(F.least(F.length("line_a"), F.length("line_b")), max_edits, step)
+    both = candidate_pairs(docs, lengths)
+    both = frozen(both.withColumn("allowed", F.expr(edits("least(length(line_a), length(line_b))", lengths))))
+    bands = sorted({min(k, len(lengths)) for k in (2, 4, 8, 16, 30)})           # a wider band costs more a character
+    found, low = None, 0
+    for k in bands:
+        part = distances(both.where(F.col("allowed").between(low + 1, k)), k).select("a", "b", "distance", "allowed")
+        found, low = part if found is None else found.unionByName(part), k
     # kept before it is filtered: a pushed filter would compute the distance again inside itself
-    found = frozen(distances(both, max_edits).select("a", "b", "distance", allowed.alias("allowed")))
-    return found.where("distance <= allowed").select("a", "b", "distance")
+    return frozen(found).where("distance <= allowed").select("a", "b", "distance")
 
 
-def line_classes(docs: DataFrame, max_edits: int = MAX_EDITS, step: int = STEP) -> DataFrame:
+def line_classes(docs: DataFrame, lengths: tuple = LENGTHS) -> DataFrame:
     """Classes of near-equal lines of ``docs(doc_id, text)``.
 
     Returns one row per distinct line that holds a word: doc_id and line_no (0-based) of its first
@@ -246,7 +257,7 @@ def line_classes(docs: DataFrame, max_edits: int = MAX_EDITS, step: int = STEP)
         F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), "doc_id", "line_no")
     distinct = lines.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"),
                                             F.count(F.lit(1)).alias("n_copies"))
-    links = frozen(line_links(docs, max_edits, step))
+    links = frozen(line_links(docs, lengths))
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     count = (links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
              .groupBy("node").agg(F.count(F.lit(1)).alias("n_links")))
@@ -261,9 +272,9 @@ def line_classes(docs: DataFrame, max_edits: int = MAX_EDITS, step: int = STEP)
                       F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
-def dedup(docs: DataFrame, max_edits: int = MAX_EDITS, step: int = STEP) -> DataFrame:
+def dedup(docs: DataFrame, lengths: tuple = LENGTHS) -> DataFrame:
     """``(doc_id, kept_lines)``: for each document the numbers of the lines that line dedup keeps
     (the first occurrence of every class)."""
-    kept = line_classes(docs, max_edits, step).where(
+    kept = line_classes(docs, lengths).where(
         F.col("doc_id").eqNullSafe(F.col("class_doc_id")) & (F.col("line_no") == F.col("class_line_no")))
     return kept.groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("kept_lines"))
