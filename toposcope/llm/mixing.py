@@ -10,33 +10,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import global_running_sum
-from .textbuf import WORD, frozen, repeated, text_key
+from ..functions.ranking import global_row_number, global_running_sum
+from .textbuf import WORD, broadcast_counted, frozen, repeated, text_key
 
 WEIGHTS, TOTAL_SHARE, MAX_EPOCHS = (5, 2, 1), 1.5, 2
 
 
-def targets(sizes: list[tuple[str | None, int]], weights: tuple = WEIGHTS, share: float = TOTAL_SHARE,
-            most: float = MAX_EPOCHS) -> dict[str | None, float]:
-    """Target words per source. ``sizes``: one entry per source, sorted. Sources over ``most`` times
-    their size stop there and the excess goes to the others by weight, until none is above."""
-    total = share * sum(n for _, n in sizes)
-    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(sizes)}
-    size = dict(sizes)
-    fixed: dict = {}
-    while True:
-        open_ = [s for s in weight if s not in fixed]
-        rest = total - sum(fixed.values())
-        whole = sum(weight[s] for s in open_)
-        want = {s: rest * weight[s] / whole for s in open_}
-        above = [s for s in open_ if want[s] > most * size[s]]
-        if not above:
-            return fixed | want
-        fixed |= {s: float(most * size[s]) for s in above}
-
-
-def _code_points(source: str | None):
-    return (1, "") if source is None else (0, source)
+def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = TOTAL_SHARE,
+            most: float = MAX_EPOCHS) -> tuple[DataFrame, int]:
+    """``(_null, _s, source_size, target)``, frozen, of the sources ``sizes(_null, _s, source_size)``, and
+    their number. ``share`` of all words is dealt by weight (``weights`` in order of the sources,
+    repeating); sources over ``most`` times their size stop there and the excess goes to the others by
+    weight, until none is above.
+
+    In order of size over weight the sources that stop come first. Prefix sums in that order give, at
+    each source, the words and weights left when all before it stop; the first one that can take its
+    part of them ends the list. So the driver holds a few numbers however many sources there are."""
+    place = global_row_number(sizes, ["_null", "_s"], name="_i")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("_i") % len(weights) + 1).cast("int"))
+    ranked = place.withColumn("_w", weight.cast("bigint"))
+    ranked = frozen(global_running_sum(ranked.withColumn("_r", F.col("source_size") / F.col("_w")), ["_r", "_i"], [],
+                                       ["source_size", "_w"]).drop("_i"))
+    whole = ranked.agg(F.count(F.lit(1)).alias("n"), F.sum("source_size").alias("words"), F.sum("_w").alias("w")).first()
+    total = share * (whole["words"] or 0)
+    rest = F.lit(total) - most * (F.col("cum_source_size") - F.col("source_size"))
+    left = F.lit(whole["w"] or 0) - F.col("cum__w") + F.col("_w")
+    ends = ranked.where(rest * F.col("_w") / left <= most * F.col("source_size")).agg(
+        F.min(F.struct(F.col("cum_n").alias("k"), rest.alias("rest"), left.alias("left"))).alias("e")).first()["e"]
+    full = F.lit(float(most)) * F.col("source_size")
+    part = full if ends is None else F.when(F.col("cum_n") < ends["k"], full).otherwise(
+        F.lit(float(ends["rest"])) * F.col("_w") / F.lit(ends["left"]))
+    return ranked.select("_null", "_s", "source_size", part.alias("target")), whole["n"]
 
 
 def _mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = TOTAL_SHARE, most: int = MAX_EPOCHS,
@@ -47,13 +51,8 @@ def _mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = TOTAL_SHARE
                                          F.coalesce("text", F.lit("")))).alias("key"), *text_key())
     rows = rows.withColumn("_null", F.col("source").isNull()).withColumn("_s", F.coalesce("source", F.lit("")))
     running = global_running_sum(rows, ["key", "doc_id", "size"], ["_null", "_s"], ["size"])
-    sizes = running.groupBy("source").agg(F.sum("size").alias("n")).collect()
-    ordered = sorted(((r["source"], r["n"]) for r in sizes), key=lambda x: _code_points(x[0]))
-    plan = targets(ordered, weights, share, most) if ordered else {}
-    spark = docs.sparkSession
-    side = spark.createDataFrame([(s is None, s or "", n, float(plan[s])) for s, n in ordered],
-                                 "_null boolean, _s string, source_size bigint, target double")
-    out = running.join(F.broadcast(side), ["_null", "_s"])          # one row per source
+    side, n = targets(running.groupBy("_null", "_s").agg(F.sum("size").alias("source_size")), weights, share, most)
+    out = running.join(broadcast_counted(side, n), ["_null", "_s"])
     size, whole = F.col("size"), F.col("source_size")
     budget = F.floor(F.col("target")).cast("bigint")
     epochs = F.when(whole > 0, F.least(F.expr("floor(target) div greatest(source_size, 1)"), F.lit(most)))
@@ -78,8 +77,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = TOTAL_SHARE, m
     rows. Null sources are one source, sorted last. Empty tables give an empty result; other
     columns are not read.
 
-    The driver reads one number per source to set the targets (sources are few: their weights are
-    a list).
+    The targets are set on the table of sources, which may be as many as hosts.
     """
     return _mixed(docs, weights, share, most, seed).drop("_t1", "_t2")
 
