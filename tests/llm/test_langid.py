@@ -94,3 +94,18 @@ def test_many_languages():
     scores = np.zeros((3, 300), np.float32)
     scores[:2, 290] = scores[2, 5] = 20
     assert L.label(scores, np.array([0, 3])).tolist() == [290, 290, 5]
+
+
+def test_sample_is_the_first_of_each_language(spark):
+    """What is kept for ranking holds the first texts of every language and little else."""
+    rows = [(f"short text {i}", "en") for i in range(6000)] + [(f"kurz {i}", "de") for i in range(90)]
+    rows += [(f"long {i} " + "x" * 60, "de") for i in range(900)] + [("long only " + "y" * (60 + i), "fr") for i in range(700)]
+    df = spark.createDataFrame(rows + rows[:3000] * 2, "text string, lang string").repartition(7)
+    texts = df.select(*L.text_key(), "lang", L.F.length("text").alias("n"))
+    kept = {tuple(r) for r in L._first_texts(texts, 100, 50).collect()}
+    every = {tuple(r) for r in texts.collect()}
+    assert kept <= every
+    for lang in ("en", "de", "fr"):
+        order = sorted((n > 50, a, b, n) for a, b, x, n in every if x == lang)
+        first = {(a, b, lang, n) for _, a, b, n in order[:100]}
+        assert len(first) == 100 and first <= kept and sum(x == lang for *_, x, _ in kept) < 400

@@ -225,6 +225,22 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
+def _first_texts(texts: DataFrame, max_docs: int, most: int) -> DataFrame:
+    """Different ``texts(_t1, _t2, lang, n)`` that hold the first ``max_docs`` of every language, texts of
+    up to ``most`` characters before longer ones, then by ``_t1``.
+
+    Different texts are counted per language and number of significant bits of ``_t1`` above the least
+    long; each further bit holds about as many as all before it, so what is kept of a language is about
+    twice ``max_docs`` however many texts it has, and no task ranks all of them."""
+    place = [(F.col("n") > most).alias("late"), F.length(F.bin(F.col("_t1").bitwiseXOR(F.lit(-2**63)))).alias("bits")]
+    texts = texts.select("*", *place)
+    counted = texts.distinct().groupBy("lang", "late", "bits").agg(F.count(F.lit(1)).alias("m"))
+    before = F.sum("m").over(Window.partitionBy("lang").orderBy("late", "bits")) - F.col("m")
+    held = frozen(counted.withColumn("before", before).where(F.col("before") < max_docs).select("lang", "late", "bits"))
+    return texts.join(broadcast_counted(held, held.count()), ["lang", "late", "bits"]).select(
+        "_t1", "_t2", "lang", "n").distinct()
+
+
 def train(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS) -> Model:
     """A model from at most ``max_docs`` different labelled texts of each language outside the held-out
     part, those with the smallest text hash, and at most ``max_chars`` of them altogether; later texts
@@ -235,9 +251,9 @@ def train(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_chars: int = TRAIN_CH
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     most = max_chars // 20
     keys = [*text_key(), F.col("lang")]
-    texts = labelled.select(*keys, F.length("text").alias("n")).distinct()
+    texts = labelled.select(*keys, F.length("text").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.col("n") > most, "_t1", "_t2")
-    chosen = (texts.withColumn("k", F.row_number().over(order)).where(F.col("k") <= max_docs)
+    chosen = (_first_texts(texts, max_docs, most).withColumn("k", F.row_number().over(order)).where(F.col("k") <= max_docs)
               .withColumn("used", F.sum(F.least("n", F.lit(most))).over(Window.partitionBy("lang").orderBy("k"))))
     chosen = frozen(chosen.where(F.col("used") <= max_chars).select("_t1", "_t2", "lang"))
     begun = labelled.select(*keys, F.substring("text", 1, most).alias("text"))
