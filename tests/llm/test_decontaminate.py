@@ -30,10 +30,16 @@ def test_slots_must_agree(spark):
 
 def test_blocks_and_short_items(spark):
     items = [(1, ITEM), (1, ITEM), (2, ITEM), (3, "only four short words"), (4, "two words"), (5, None)]
-    texts = [ITEM, "here only four short words stand"]
+    items += [(6, "What?"), (7, "17 * 3"), (8, "Paris!")]
+    texts = [ITEM, "here only four short words stand", "Two words.", "these are two words", "what", "17*3", "18 * 3",
+             "Paris", "17", "two", " ? "]
     one = run(spark, texts, items)
     many = run(spark, texts, items, block_hashes=3)
-    assert set(one) == {(0, 1), (0, 2), (1, 3)} and one == many
+    assert set(one) == {(0, 1), (0, 2), (1, 3), (2, 4), (4, 6), (5, 7), (7, 8)} and one == many
+    assert {one[k]["share"] for k in one} == {1.0} and one[2, 4]["n_changed"] == 0
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    b = spark.createDataFrame(items, "item_id bigint, text string")
+    assert {r["doc_id"] for r in D.decontaminated(d, b).collect()} == {3, 6, 8, 9, 10}
 
 
 def test_items_of_few_literal_tokens(spark):

@@ -134,7 +134,7 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """``(item_id, width, wpos, plain, heavy, n_literal, n_all, h, slots)``: the windows of every item, by
     template where half of the tokens are literal (``n_literal`` windows) and all of them (``n_all``) by
     plain tokens; ``heavy``: too few literal tokens for a template. An item of fewer than ``window``
-    tokens is one window; below ``LEAST_WORDS`` tokens it has none."""
+    tokens is one window; below ``LEAST_WORDS`` tokens it counts by plain tokens only."""
 
     def run(batches):
         for batch in batches:
@@ -143,16 +143,17 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
                     data, offs = utf8(part.column(1).slice(i, 1))
                     hashes, kinds, starts, ends, first, lower, plain = template(data, offs)
                     width = min(window, len(hashes))
-                    if width < LEAST_WORDS:
+                    if not width:
                         continue
                     s, h, literal, exact, _, _ = _windows(hashes, kinds, first, plain, width)
+                    literal &= width >= LEAST_WORDS
                     own = s[literal]
                     slots = _slots(lower.tobytes(), kinds, starts, ends, own, width) + [[]] * len(s)
                     at, n = np.concatenate([own, s]), len(own) + len(s)
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0).take(pa.array(np.full(n, i))), pa.array(np.full(n, width, np.int32)),
                          pa.array(at.astype(np.int32)), pa.array(np.arange(n) >= len(own)),
-                         pa.array(np.concatenate([np.zeros(len(own), bool), ~literal])),
+                         pa.array(np.concatenate([np.zeros(len(own), bool), ~literal & (width >= LEAST_WORDS)])),
                          pa.array(np.full(n, len(own), np.int32)), pa.array(np.full(n, len(s), np.int32)),
                          pa.array(np.concatenate([h[literal], exact]).view(np.int64)),
                          pa.array(slots, pa.list_(pa.string()))],
@@ -166,7 +167,8 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 def _matches(docs: DataFrame, widths: list[int], block) -> DataFrame:
     """``(doc_id, _t1, _t2, width, pos, h, slots)``: document windows whose hash is in the broadcast block,
     as templates (a name that begins the window also taken literally, as it would be at the beginning of
-    an item) and as plain tokens (without slots)."""
+    an item) and as plain tokens (without slots). Windows of fewer than ``LEAST_WORDS`` tokens are whole
+    texts, by plain tokens."""
 
     def run(batches):
         wanted = block.value
@@ -185,8 +187,13 @@ def _matches(docs: DataFrame, widths: list[int], block) -> DataFrame:
                 hashes, kinds, starts, ends, first, lower, plain = template(data, offs)
                 raw = lower.tobytes()
                 for width in widths:
-                    s, h, literal, exact, led, lead = _windows(hashes, kinds, first, plain, width)
-                    for how, one, among in ((0, h, literal), (1, led, lead), (2, exact, True)):
+                    if width < LEAST_WORDS:
+                        s = first[:-1][np.diff(first) == width]
+                        readings = ((2, RangeHash(plain ^ _PLAIN)(s, s + width), True),) if len(s) else ()
+                    else:
+                        s, h, literal, exact, led, lead = _windows(hashes, kinds, first, plain, width)
+                        readings = ((0, h, literal), (1, led, lead), (2, exact, True))
+                    for how, one, among in readings:
                         hit = hits(one, among)
                         if not len(hit):
                             continue
@@ -275,8 +282,8 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_sh
     token, and an item found whole that way, in any case of its letters, has share 1. (A copy in
     capitals or title case that is changed or not whole is not found.) Pairs with ``share`` >=
     ``min_share`` are returned.
-    Null and empty texts match nothing, nor do items of fewer than ``LEAST_WORDS`` tokens; rows
-    repeated under one doc_id (null included) give one row per item with the best share; equal items
+    An item of fewer than ``LEAST_WORDS`` tokens is held only by a text that has its tokens and no others.
+    Null and empty texts match nothing; rows repeated under one doc_id (null included) give one row per item with the best share; equal items
     under several ids are all returned. Empty tables give an empty result; other columns are not
     read.
     """
