@@ -103,3 +103,11 @@ def test_copies_are_dealt_over_the_rows(spark):
         assert sum(r[0] == 1 for r in got) == n and sum(r[0] == 2 for r in got) == 2 and not any(r[0] == 3 for r in got)
         if want:
             assert {k: sum(r[2] == k for r in got if r[0] == 1) for k in want} == want
+
+
+def test_broadcasts_are_decided_by_bytes(spark):
+    from toposcope.llm import textbuf
+    narrow = spark.range(1).selectExpr("id", "id as b")
+    wide = narrow.selectExpr("id", "'x' as s", "'y' as t", *(f"id as c{i}" for i in range(10)))
+    assert textbuf.fits_broadcast(narrow, 2_000_000) and not textbuf.fits_broadcast(wide, 2_000_000)
+    assert textbuf.fits_broadcast(wide, 400_000) and not textbuf.fits_broadcast(narrow, 3_000_000)

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 
@@ -24,8 +25,8 @@ WHITE = r"[\x20\x09-\x0D]+"
 #: Text bytes handled at once in a task. One longer text is handled whole, by itself.
 CHUNK_BYTES = 2 << 20
 
-#: A side of a join is broadcast only when it was counted and has at most this many entries.
-BROADCAST_ROWS = 1_000_000
+#: A side of a join is broadcast only when it was counted and its entries take at most this many bytes.
+BROADCAST_BYTES = 128 << 20
 
 _U = np.uint64
 
@@ -158,10 +159,17 @@ def frozen(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_counted(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast for a side whose counted rows stay within ``limit``; beyond it the join
-    shuffles (and adaptive execution splits skewed partitions)."""
-    return F.broadcast(df) if rows <= limit else df.hint("merge")
+def fits_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether ``rows`` counted rows (with arrays: elements) of ``df`` stay within ``limit`` bytes, 64 for a
+    text and 16 for any other column."""
+    wide = sum(isinstance(f.dataType, (T.StringType, T.BinaryType)) for f in df.schema.fields)
+    return rows * (16 + 64 * wide + 16 * (len(df.columns) - wide)) <= limit
+
+
+def broadcast_counted(df: DataFrame, rows: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast for a side that fits; beyond it the join shuffles (and adaptive execution splits
+    skewed partitions)."""
+    return F.broadcast(df) if fits_broadcast(df, rows, limit) else df.hint("merge")
 
 
 def text_key(text: str = "text") -> list:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textbuf import broadcast_counted, frozen
+from .textbuf import fits_broadcast, frozen
 
 # (verdict, host and path): the fixed rules of the contract.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
@@ -78,15 +78,14 @@ def bloom_blocks(listed: DataFrame, blocks: int) -> DataFrame:
 
 def possible_hits(urls: DataFrame, filter_blocks: DataFrame, blocks: int, rows: int) -> DataFrame:
     """Rows of ``urls(canon, ...)`` that the filter lets through. The filter is broadcast when its
-    counted blocks are few; else both sides shuffle by block and salt, so that one URL in a third of
+    counted blocks fit; else both sides shuffle by block and salt, so that one URL in a third of
     all rows spreads over ``SALTS`` tasks."""
     at = _bits(F.col("canon"), F.lit(blocks))
     probe = urls.withColumn("block", at[0])
     for i, b in enumerate(at[1:]):
         probe = probe.withColumn(f"_b{i}", b)
-    side = broadcast_counted(filter_blocks, rows)
-    keys = ["block"]
-    if rows > 1_000_000:
+    side, keys = F.broadcast(filter_blocks), ["block"]
+    if not fits_broadcast(filter_blocks, rows):
         probe = probe.withColumn("_salt", F.floor(F.rand(11) * SALTS).cast("int"))
         side = filter_blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         keys.append("_salt")
