@@ -9,9 +9,12 @@ end an entity, so they need no pass.
 
 The weights are the maximum of the conditional likelihood (forward-backward over segments) on a
 sample of at most ``TRAIN_DOCS`` different texts that hold digits or ``@``, chosen by hash; base spans are the
-labels. Each such document trains once more with its spans rewritten in ways the patterns do not
-know (a phone number without its country code, with points or in pairs of digits, a card number with
-points or as the longest one, with a wrong last digit), so those spellings score as what they are.
+labels. Each such document trains again with its spans rewritten in ways the patterns do not
+know (a phone number without its country code, with points or dashes, in pairs of digits or after ``00``, a
+card number in fours with points or colons, of 15 digits, or as the longest one with a wrong last digit, an
+address with commas, colons or underscores), so those spellings score as what they are, and with the digits of its spans as a list of numbers and as a
+date, which are none. Features of the digit groups do not depend on what divides them, so spellings
+that were never seen are found as well; a bracketed at or dot counts as the sign.
 """
 
 from __future__ import annotations
@@ -29,8 +32,9 @@ from .textbuf import broadcast_counted, chunks, frozen, text_key, utf8
 KINDS = ("email", "ip", "card", "phone")
 MAX_DIGITS = 19                       # the most digits of any kind (card)
 MAX_TOKENS = MAX_DIGITS               # a token for each of them
-CONTEXT, TRAIN_DOCS, EPOCHS, RATE, DECAY = 2, 200, 12, 0.3, 1e-3
-MARGIN = 2.0
+CONTEXT, TRAIN_DOCS, EPOCHS, RATE, DECAY = 2, 200, 20, 0.3, 1e-4
+MARGIN = 0.3
+SPELLINGS = 8                         # ways in which a training text is spelled anew
 
 _EMAIL_TAIL = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _EMAIL_HEAD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -39,7 +43,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _TRIGGER = re.compile(r"[0-9@]")
-_DIGITS = re.compile(r"[0-9]")
+_DIGITS, _RUN = re.compile(r"[0-9]"), re.compile(r"[0-9]+")
+_AT_MARK, _DOT_MARK = re.compile(r" ?[(\[{] ?(?:at|@) ?[)\]}] ?", re.I), re.compile(r" ?[(\[{] ?(?:dot|\.) ?[)\]}] ?", re.I)
 _EDGE_LEFT, _EDGE_RIGHT = "\"'<[{", ".,;:!?\"'>]}"
 # Words that announce an entity.
 CUES = ("mail", "email", "phone", "tel", "call", "fax", "mobile", "card", "visa", "account", "ip", "host", "server",
@@ -84,6 +89,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def _span_features(piece: str, tokens: int, before: str) -> list[int]:
     """Indices of the active features of one candidate span."""
+    piece = _DOT_MARK.sub(".", _AT_MARK.sub("@", piece))
     digits = len(_DIGITS.findall(piece))
     letters = sum(c.isalpha() for c in piece)
     dots, at = piece.count("."), piece.count("@")
@@ -102,10 +108,35 @@ def _span_features(piece: str, tokens: int, before: str) -> list[int]:
         on.append(77)
     if digits >= 12 and digits + dashes + spaces == len(piece) and luhn("".join(_DIGITS.findall(piece))):
         on.append(78)
+    return on + _group_features(piece, digits, letters)
+
+
+def _group_features(piece: str, digits: int, letters: int) -> list[int]:
+    """Features of the digit groups of a span, whatever stands between them: their number, whether one mark
+    divides them all, and the shapes of the four kinds."""
+    runs = _RUN.findall(piece)
+    marks = {m.replace(" ", "") for m in _RUN.split(piece)[1:-1]}
+    kind = 0 if not marks else 1 if marks == {""} else 2 if len(marks) == 1 and not letters else 3
+    sizes = [len(r) for r in runs]
+    at = 75 + MAX_TOKENS
+    on = [at + min(len(runs), 7), at + 8 + kind]
+    if kind == 2 and len(runs) == 4 and not letters and max(sizes) <= 3 and all(int(r) <= 255 for r in runs):
+        on.append(at + 12)
+    if 13 <= digits <= MAX_DIGITS and not letters and luhn("".join(runs)):
+        on.append(at + 13)
+    inner = set(sizes[1:-1])
+    if len(inner) == 1 and inner <= {2, 3, 4}:
+        on.append(at + 12 + inner.pop())
+    if 9 <= digits <= 15 and not letters and len(runs) >= 3 and sizes[0] <= 4 and all(2 <= n <= 4 for n in sizes[1:]):
+        on.append(at + 17)
+    if piece.startswith(("+", "00", "(+", "(00")):
+        on.append(at + 18)
+    if 1 in sizes[1:]:
+        on.append(at + 19)
     return on
 
 
-N_FEATURES, N_TYPES = 75 + MAX_TOKENS, len(KINDS)
+N_FEATURES, N_TYPES = 75 + MAX_TOKENS + 20, len(KINDS)
 
 
 def windows(text: str) -> list[list[tuple[int, int]]]:
@@ -208,33 +239,56 @@ def _log_likelihood_gradient(rows, gold: dict, weights: np.ndarray) -> np.ndarra
     return grad
 
 
-def rewritten(text: str, spans: list[tuple[int, int, int]], points: bool, groups: bool = False
-              ) -> tuple[str, list[tuple[int, int, int]]]:
-    """The text with its phone and card spans in another spelling, and the spans there."""
+def _grouped(digits: str, sizes: tuple, sep: str) -> str:
+    """The digits in groups of ``sizes`` (the last size repeats)."""
+    out, at, k = [], 0, 0
+    while at < len(digits):
+        size = sizes[min(k, len(sizes) - 1)]
+        out.append(digits[at:at + size])
+        at, k = at + size, k + 1
+    return sep.join(out)
+
+
+def _spelled(kind: int, piece: str, spelling: int) -> str | None:
+    """One span as ``spelling`` (of ``SPELLINGS``) has it; None: as it stands, and no entity any more."""
+    digits = "".join(_DIGITS.findall(piece))
+    if kind == 0:
+        return piece
+    if spelling >= SPELLINGS - 2:
+        return None
+    if kind == 1:
+        return piece.replace(".", (".", ",", ":", " : ", "_", ".")[spelling])
+    if kind == 2:
+        long = (digits + digits)[:MAX_DIGITS - 1]
+        long += "1" if luhn(long + "0") else "0"
+        less = next(digits[:14] + c for c in "0123456789" if luhn(digits[:14] + c))
+        return (piece, _grouped(digits, (4,), "."), _grouped(long, (4,), " "), _grouped(digits, (4,), " : "),
+                _grouped(less, (4, 6, 5), "-"), _grouped(digits, (4,), " "))[spelling]
+    home = re.sub(r"^\+[0-9]{1,3}[ .-]?", "", piece)
+    own = "".join(_DIGITS.findall(home))
+    return (home, re.sub(r"[^0-9]+", ".", home.strip("()")), _grouped(own, (2,), " "),
+            "00" + _grouped(digits, (2, 3, 3, 4), ":"), re.sub(r"[^0-9]+", "-", home.strip("()")),
+            "00" + _grouped(digits, (2, 3, 3, 4), " "))[spelling]
+
+
+def rewritten(text: str, spans: list[tuple[int, int, int]], spelling: int) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text with its ip, card and phone spans in another spelling, and the spans there. The last two
+    spellings make no entities of the digits: a list of small numbers, and a date with a time."""
     out, moved, at = [], [], 0
     size = 0
     for kind, a, b in sorted(spans, key=lambda s: s[1]):
         if a < at:
             continue
-        piece = text[a:b]
-        if kind == 3:
-            piece = re.sub(r"^\+[0-9]{1,3}[ .-]?", "", piece)
-            if points:
-                piece = re.sub(r"[^0-9]+", ".", piece.strip("()"))
-            elif groups:
-                digits = "".join(_DIGITS.findall(piece))
-                piece = " ".join(digits[i:i + 2] for i in range(0, len(digits), 2))
-        elif kind == 2 and points:
-            digits = "".join(_DIGITS.findall(piece))
-            piece = ".".join(digits[i:i + 4] for i in range(0, len(digits), 4))
-        elif kind == 2 and groups:
-            digits = "".join(_DIGITS.findall(piece))
-            digits = (digits + digits)[:MAX_DIGITS - 1]
-            digits += "1" if luhn(digits + "0") else "0"
-            piece = " ".join(digits[i:i + 4] for i in range(0, len(digits), 4))
+        piece = _spelled(kind, text[a:b], spelling)
+        lost = piece is None
+        if lost:
+            digits = "".join(_DIGITS.findall(text[a:b]))
+            piece = (_grouped(digits, (2, 1, 3, 1, 2, 3), " ") if spelling == SPELLINGS - 1 else
+                     f"20{digits[:2]}-0{digits[2:3]}-1{digits[3:4]} 1{digits[4:5]}:{digits[5:7]}")
         out += [text[at:a], piece]
         size += a - at
-        moved.append((kind, size, size + len(piece)))
+        if not lost:
+            moved.append((kind, size, size + len(piece)))
         size += len(piece)
         at = b
     return "".join(out) + text[at:], moved
@@ -243,7 +297,8 @@ def rewritten(text: str, spans: list[tuple[int, int, int]], points: bool, groups
 def train(docs: DataFrame, max_docs: int = TRAIN_DOCS, epochs: int = EPOCHS) -> np.ndarray:
     """Weights ``(type, feature)`` from at most ``max_docs`` different texts that hold digits or ``@``, those
     with the smallest text hash. The sample's bound does not depend on the corpus; a sample without
-    base spans gives a model that finds nothing. Runs of up to 60 tokens train, and texts of fewer than
+    base spans gives a model that finds nothing. Where the card pattern takes numbers that stand side by side
+    as one too long, the base says nothing of either, and the run does not train. Runs of up to 60 tokens train, and texts of fewer than
     4,000 characters (bounds on the work of one step)."""
     hinted = docs.select("text").where(F.col("text").rlike("[0-9]{3}") | F.col("text").contains("@"))
     short = hinted.where(F.length("text") < 4000)
@@ -255,13 +310,15 @@ def train(docs: DataFrame, max_docs: int = TRAIN_DOCS, epochs: int = EPOCHS) ->
     for text in texts:
         base = base_spans(text)
         examples.append((text, base))
-        if any(k >= 2 for k, _, _ in base):
-            examples += [rewritten(text, base, points, groups)
-                         for points, groups in ((False, False), (True, False), (False, True))]
+        if any(k >= 1 for k, _, _ in base):
+            examples += [rewritten(text, base, k) for k in range(SPELLINGS)]
     data = []
     for text, base in examples:
         spans = {(a, b): k for k, a, b in base}
+        vague = [m.span() for m in _CARD.finditer(text) if len(_DIGITS.findall(m.group())) > MAX_DIGITS]
         for run in windows(text):
+            if any(a < run[-1][1] and run[0][0] < b for a, b in vague):
+                continue
             rows = candidates(text, run)
             gold = {(i, j): spans[run[i][0], run[j][1]] for row in rows for i, j, _ in row
                     if (run[i][0], run[j][1]) in spans}
