@@ -51,7 +51,8 @@ def _mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = TOTAL_SHARE
                                          F.coalesce("text", F.lit("")))).alias("key"), *text_key())
     rows = rows.withColumn("_null", F.col("source").isNull()).withColumn("_s", F.coalesce("source", F.lit("")))
     running = global_running_sum(rows, ["key", "doc_id", "size"], ["_null", "_s"], ["size"])
-    side, n = targets(running.groupBy("_null", "_s").agg(F.sum("size").alias("source_size")), weights, share, most)
+    sizes = frozen(running.groupBy("_null", "_s").agg(F.sum("size").alias("source_size")))
+    side, n = targets(sizes, weights, share, most)
     out = running.join(broadcast_counted(side, n), ["_null", "_s"])
     size, whole = F.col("size"), F.col("source_size")
     budget = F.floor(F.col("target")).cast("bigint")
