@@ -1,6 +1,7 @@
 """Tokens by chunks of texts against the expressions of ``functions/text.py``, and packed bags."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 from toposcope.functions import ranking as R
 from toposcope.functions import text as T
 from toposcope.functions import words as W
+from toposcope.operators import bow as B
+from toposcope.operators import model as M
 from toposcope.operators import vocab as V
 from toposcope.plans.newsgroup import packed_bags
 
@@ -54,3 +57,18 @@ def test_bags_of_repeated_and_null_ids(spark, monkeypatch, limit):
     got = {(r.doc_id, r.split): (r.tokens, r.counts) for r in packed_bags(df, vocab).collect()}
     assert got == {(1, "tr"): ([0, 3, 7], [1, 2, 2]), (2, "va"): ([0], [1]), (None, "tr"): ([3, 7], [1, 2]),
                    (9, "ts"): ([0, 3, 7], [1, 1, 1]), (9, "ts_h1"): ([7], [1]), (9, "ts_h2"): ([0, 3], [1, 1])}
+
+
+def test_long_documents_are_normalised_in_proportion(spark):
+    """The total of a document is worked out once, not once a word."""
+    df = spark.createDataFrame([(0, [1, 3]), (1, None)], "id long, counts array<long>")
+    assert [r.weights for r in B.normalize_bow(df).orderBy("id").collect()] == [[0.25, 0.75], None]
+    long = spark.range(2).select("id", F.array_repeat(F.lit(2), 30000).cast("array<bigint>").alias("counts"))
+    begun = time.monotonic()
+    top = B.normalize_bow(long).select(F.explode("weights").alias("w")).agg(F.min("w"), F.max("w"), F.count("w")).first()
+    assert tuple(top) == (1 / 30000, 1 / 30000, 60000)
+    wide = spark.range(2).select(M.softmax_array(F.array_repeat(F.lit(0.5), 1500)).alias("p"))
+    assert wide.select(F.explode("p").alias("p")).agg(F.count("p")).first()[0] == 3000
+    assert time.monotonic() - begun < 40
+    small = spark.createDataFrame([([0.0, 1.0],), (None,)], "x array<double>").select(M.softmax_array(F.col("x")).alias("p")).collect()
+    assert small[0].p == pytest.approx([0.2689414213699951, 0.7310585786300049]) and small[1].p is None
