@@ -96,6 +96,26 @@ def test_crowded_bucket_in_cells(spark, monkeypatch):
     check(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), partners=1), rows)
 
 
+def test_candidates_grow_with_the_members(spark, monkeypatch):
+    """One template whose members share most buckets: a member is confirmed against few of the others."""
+    rng, rows, asked = random.Random(6), [], []
+    base = [f"w{k}" for k in range(100)]
+    for member in range(160):
+        text = list(base)
+        for at in rng.sample(range(100), rng.choice([2, 3, 4])):
+            text[at] = f"e{rng.randrange(10 ** 6)}"
+        rows.append((member, " ".join(text)))
+    confirmed = minhash._confirmed
+
+    def counted(pairs, *rest):
+        asked.append(pairs.count())
+        return confirmed(pairs, *rest)
+
+    monkeypatch.setattr(minhash, "_confirmed", counted)
+    check(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")), rows)
+    assert sum(asked) <= 2 * len(rows)
+
+
 def test_odd_sketch_estimates_similarity():
     rng = np.random.default_rng(2)
     for similarity in (0.8, 0.9):

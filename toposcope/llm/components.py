@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbuf import frozen
+from .textbuf import gathered
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -21,21 +21,22 @@ def components(edges: DataFrame) -> DataFrame:
     they know; stars remain when nothing changes, after a number of rounds that grows with the
     logarithm of the longest chain. A round is two aggregations and two joins on the node; the
     neighbours of a hub are rows, never one list, and adaptive execution can split them. Each
-    round's edges go to the shared checkpoint folder, so lineage stays short.
+    round's edges go to the shared checkpoint folder, so lineage stays short; equal ones (at most as many
+    as there are edges) go at the end of a round.
     """
-    now = frozen(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-                 .distinct())
+    now = gathered(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+                   .distinct())
     state = _state(now)
     while state[0]:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        ways = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = now.select(F.inline(ways))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (both.join(low, "u").where("v > u")
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+                 .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(low, "u")
-        small = (hung.select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .unionByName(hung.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        now = frozen(small)
+        ways = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        now = gathered(hung.select(F.inline(ways)).where("u <> v").distinct())
         before, state = state, _state(now)
         if state == before:
             break

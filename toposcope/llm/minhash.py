@@ -9,10 +9,12 @@ sets from below without error and is sharp for small sets. What is left is confi
 
 Groups are never expanded into pairs. First each set is held against one set only: the bucket leader
 (smallest hash) with which it shares most bands. Confirmed links make components; buckets within one
-component are done. In the others, every set outside the bucket's largest component is compared, by
-sketch, with all sets of other components, in cells of bounded size, and its nearest few are confirmed;
-their number grows sixteenfold a round until no untested pair of different components is left. So every
-link between different components is found, while pairs inside a component are left alone.
+component are done, and of buckets with the same sets one is kept. In the others, every set outside the
+bucket's largest component is compared, by sketch, with all sets of other components, in cells of bounded
+size, and its nearest one over all its buckets is confirmed. Only sets that had more partners than that ask
+again, after the links found have merged components, for sixteen times as many, until none has untested
+partners in another component. So every link between different components is found, while pairs inside a
+component are left alone.
 """
 
 from __future__ import annotations
@@ -21,23 +23,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .textbuf import MULT, RangeHash, _splitmix, broadcast_counted, chunks, frozen, mix64, tasks, text_key, utf8, word_hashes, word_spans
+from .textbuf import MULT, RangeHash, _splitmix, broadcast_counted, chunks, frozen, gathered, mix64, tasks, text_key, utf8, word_hashes, word_spans
 
 SHINGLE, PERCENT = 2, 80
 BANDS, ROWS = 45, 5
 SKETCH_BITS = 512
+#: Bits of the sketch of a whole set: enough that sets of 1,000 shingles do not fill it.
+SET_BITS = 2048
 #: Sets on either side of a cell in which sketches are compared.
 CELL = 4096
 #: Nearest partners of a set that are confirmed in the first full round; sixteenfold in each later one.
-PARTNERS = 8
+PARTNERS = 1
 
 _U = np.uint64
 _TIMES = _splitmix(BANDS * ROWS, 99) | _U(1)
 _WORDS = SKETCH_BITS // 64
+_SET_WORDS = SET_BITS // 64
 
 
 def farthest(bits: int = SKETCH_BITS, samples: int = BANDS * ROWS, percent: int = PERCENT, sigmas: float = 6.5) -> int:
@@ -78,22 +83,22 @@ def samples(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _odd(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    place = (mix64(hashes) % _U(SKETCH_BITS)).astype(np.int64)
-    hits = np.bincount(owner * SKETCH_BITS + place, minlength=n * SKETCH_BITS)
-    return np.packbits((hits & 1).astype(np.uint8).reshape(n, SKETCH_BITS), axis=1, bitorder="little").view(_U)
+def _odd(hashes: np.ndarray, owner: np.ndarray, n: int, bits: int) -> np.ndarray:
+    place = (mix64(hashes) % _U(bits)).astype(np.int64)
+    hits = np.bincount(owner * bits + place, minlength=n * bits)
+    return np.packbits((hits & 1).astype(np.uint8).reshape(n, bits), axis=1, bitorder="little").view(_U)
 
 
 def sketches(values: np.ndarray) -> np.ndarray:
     """Odd sketches: bit b is the parity of the number of samples that hash to b. ``(sets, words)``."""
     n, k = values.shape
-    return _odd((values + np.arange(1, k + 1, dtype=_U) * MULT).reshape(-1), np.repeat(np.arange(n), k), n)
+    return _odd((values + np.arange(1, k + 1, dtype=_U) * MULT).reshape(-1), np.repeat(np.arange(n), k), n, SKETCH_BITS)
 
 
 def set_sketches(sets: list[np.ndarray]) -> np.ndarray:
     """Odd sketches of the sets themselves. Two of them differ in at most as many bits as the sets
     differ in elements."""
-    return _odd(np.concatenate(sets) ^ MULT, np.repeat(np.arange(len(sets)), [len(s) for s in sets]), len(sets))
+    return _odd(np.concatenate(sets) ^ MULT, np.repeat(np.arange(len(sets)), [len(s) for s in sets]), len(sets), SET_BITS)
 
 
 def band_keys(values: np.ndarray) -> np.ndarray:
@@ -133,7 +138,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 present = sizes > 0
                 full = [s for s in sets if len(s)]
                 values = samples(full) if full else np.zeros((0, len(_TIMES)), _U)
-                both = np.concatenate([sketches(values), set_sketches(full)], axis=1) if full else np.zeros((0, 2 * _WORDS), _U)
+                both = np.concatenate([sketches(values), set_sketches(full)], axis=1) if full else np.zeros((0, _WORDS + _SET_WORDS), _U)
                 marks = np.array([np.sum(mix64(s + MULT), dtype=_U) for s in sets], _U)
                 node = mix64(marks + sizes.astype(_U) * MULT)
                 yield pa.RecordBatch.from_arrays(
@@ -150,23 +155,21 @@ def _may_link(percent: int) -> F.Column:
     """Sides ``size_a, sketch_a`` and ``size_b, sketch_b`` may have the threshold similarity: by the sizes
     and the sets' sketches for certain, by the samples' sketches as :func:`farthest` says. With sizes of
     sum s and difference d the similarity is (s - d) / (s + d)."""
-    words = [F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(2 * _WORDS)]
+    words = [F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(_WORDS + _SET_WORDS)]
     total = (F.col("size_a") + F.col("size_b")) * (100 - percent)
     apart = F.abs(F.col("size_a") - F.col("size_b")) * (100 + percent)
     return ((apart <= total) & (sum(words[_WORDS:], F.lit(0)) * (100 + percent) <= total)
             & (sum(words[:_WORDS], F.lit(0)) <= farthest(percent=percent)))
 
 
-def _confirmed(pairs: DataFrame, sides: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _confirmed(near: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs ``(u, v)`` of nodes whose full sets have the threshold similarity."""
-    near = frozen(pairs.join(sides.toDF("u", "size_a", "sketch_a"), "u").join(sides.toDF("v", "size_b", "sketch_b"), "v")
-                  .where(_may_link(percent)).select("u", "v"))
     asked = near.select(F.col("u").alias("node")).unionByName(near.select(F.col("v").alias("node"))).distinct()
     # texts of the nodes that take part: one row of documents for each
     keys = asked.join(classes, "node").select("node", F.col("doc_id").alias("k0"), F.col("_t1").alias("k1"), F.col("_t2").alias("k2"))
-    keys = frozen(keys)
-    own = frozen(texts.join(broadcast_counted(keys, keys.count()), F.col("doc_id").eqNullSafe(F.col("k0")) & (F.col("_t1") == F.col("k1")) & (F.col("_t2") == F.col("k2")))
-                 .select("node", "text").dropDuplicates(["node"]))
+    keys = gathered(keys)
+    own = gathered(texts.join(broadcast_counted(keys, keys.count()), F.col("doc_id").eqNullSafe(F.col("k0")) & (F.col("_t1") == F.col("k1")) & (F.col("_t2") == F.col("k2")))
+                 .select("node", "text").dropDuplicates(["node"]), 1000)
 
     def run(batches):
         for batch in batches:
@@ -187,31 +190,37 @@ def _confirmed(pairs: DataFrame, sides: DataFrame, classes: DataFrame, texts: Da
 
 def _nearest(limit: int, percent: int):
     """Arrow map over rows ``(key, qc, mc, query, node, root, size, sketch)`` sorted by cell: for each query
-    of a cell its ``limit`` nearest members of other components among those that may link with it."""
+    of a cell its ``limit`` nearest members of other components among those that may link with it, how far
+    they are (both sketches, as shares of what a link may differ by), and whether there are more."""
     most = farthest(percent=percent)
 
     def cell(rows: pa.Table) -> pa.RecordBatch:
         query = rows.column("query").to_numpy(zero_copy_only=False)
         node, root, size = (rows.column(k).to_numpy() for k in ("node", "root", "size"))
-        planes = rows.column("sketch").combine_chunks().flatten().to_numpy().view(_U).reshape(-1, 2 * _WORDS)
+        planes = rows.column("sketch").combine_chunks().flatten().to_numpy().view(_U).reshape(-1, _WORDS + _SET_WORDS)
         member = np.flatnonzero(~query)
-        us, vs, more = [], [], False
+        drawn, whole = planes[:, :_WORDS], planes[:, _WORDS:]
+        us, vs, fars, mores = [], [], [], []
         for q in np.flatnonzero(query):
             total = (size[member] + size[q]) * (100 - percent)
             apart = np.abs(size[member] - size[q]) * (100 + percent)
             fits = (root[member] != root[q]) & (apart <= total)
             other, total = member[fits], total[fits]
-            bits = np.bitwise_count(planes[other] ^ planes[q])
-            far = bits[:, :_WORDS].sum(axis=1, dtype=np.int64)
-            near = (far <= most) & (bits[:, _WORDS:].sum(axis=1, dtype=np.int64) * (100 + percent) <= total)
-            other, far = other[near], far[near]
+            differ = np.bitwise_count(drawn[other] ^ drawn[q]).sum(axis=1, dtype=np.int64)
+            near = differ <= most
+            other, total, differ = other[near], total[near], differ[near]
+            least = np.bitwise_count(whole[other] ^ whole[q]).sum(axis=1, dtype=np.int64) * (100 + percent)
+            near = least <= total
+            other, far = other[near], differ[near] / most + least[near] / total[near]
             order = np.lexsort((node[other], far))
-            more |= len(order) > limit
-            vs.append(node[other[order[:limit]]])
-            us.append(np.full(len(vs[-1]), node[q]))
-        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)),
-                                           pa.array(np.full(len(u), more))], ["u", "v", "more"])
+            best = order[:limit]
+            us.append(np.full(len(best), node[q]))
+            vs.append(node[other[best]])
+            fars.append(far[best])
+            mores.append(np.full(len(best), len(order) > limit))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([np.zeros(0, kind), *x])) for x, kind in
+             ((us, np.int64), (vs, np.int64), (fars, np.float64), (mores, np.bool_))], ["q", "m", "far", "more"])
 
     def run(batches):
         held = None
@@ -230,23 +239,41 @@ def _nearest(limit: int, percent: int):
     return run
 
 
-def _cells(buckets: DataFrame, labels: DataFrame, sides: DataFrame) -> DataFrame:
-    """Rows of the cells: in each bucket that holds several components, the sets outside its largest
-    one (queries) against all of its sets (members), in a grid of cells of about ``CELL`` by ``CELL``."""
+def _unlike(buckets: DataFrame) -> DataFrame:
+    """One of the buckets ``(key, node)`` that hold the same nodes, by their number and 128 bits of hash."""
+    marks = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.bit_xor("node").alias("x"),
+                                       F.bit_xor(F.xxhash64("node")).alias("y"))
+    return buckets.join(marks.groupBy("k", "x", "y").agg(F.min("key").alias("key")).select("key"), "key")
+
+
+def _cells(buckets: DataFrame, labels: DataFrame, sides: DataFrame, asked: DataFrame | None) -> DataFrame:
+    """Rows of the cells: in each bucket that holds several components, the sets that are asked for
+    (``asked(node)``; None: those outside its largest component) as queries against all of its sets
+    (members), in a grid of cells of about ``CELL`` by ``CELL``."""
     rows = buckets.join(labels, "node").select("key", "node", "root")
-    several = rows.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("two")).where("one <> two").select("key")
-    rows = frozen(rows.join(several, "key"))
-    sizes = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
-    grid = sizes.groupBy("key").agg(F.sum("k").alias("all"), F.max(F.struct("k", "root")).alias("top")).select(
-        "key", F.col("top.root").alias("largest"), F.ceil(F.col("all") / CELL).cast("int").alias("mcs"),
-        F.ceil((F.col("all") - F.col("top.k")) / CELL).cast("int").alias("qcs"))
-    rows = rows.join(grid, "key")
+    if asked is not None:
+        rows = rows.join(asked.withColumn("query", F.lit(True)), "node", "left").withColumn("query", F.col("query").isNotNull())
+        held = F.max("query")
+    else:
+        held = F.lit(True)
+    several = rows.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("two"), held.alias("held")).where(
+        "held and one <> two").select("key")
+    rows = rows.join(several, "key")
+    if asked is None:
+        rows = gathered(rows)
+        top = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(
+            F.max(F.struct("k", "root")).alias("top")).select("key", F.col("top.root").alias("largest"))
+        rows = rows.join(top, "key").withColumn("query", F.col("root") != F.col("largest")).drop("largest")
+    rows = gathered(rows)
+    grid = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("mcs"),
+                                   F.ceil(F.count_if("query") / CELL).cast("int").alias("qcs"))
     spot = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    range_ = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    members = rows.select("key", range_(F.col("qcs")).alias("qc"), spot(F.col("mcs")).alias("mc"), F.lit(False).alias("query"), "node", "root")
-    queries = rows.where("root <> largest").select(
-        "key", spot(F.col("qcs")).alias("qc"), range_(F.col("mcs")).alias("mc"), F.lit(True).alias("query"), "node", "root")
-    return members.unionByName(queries).join(sides, "node")
+    at = lambda qc, mc, query: F.struct(qc.alias("qc"), mc.alias("mc"), F.lit(query).alias("query"))
+    each = lambda n, make: F.transform(F.sequence(F.lit(0), F.col(n) - 1), make)
+    members = each("qcs", lambda qc: at(qc, spot(F.col("mcs")), False))
+    queries = F.when(F.col("query"), each("mcs", lambda mc: at(spot(F.col("qcs")), mc, True)))
+    places = F.inline(F.concat(members, F.coalesce(queries, F.array())))
+    return rows.join(grid, "key").select("key", places, "node", "root").join(sides, "node")
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -255,7 +282,7 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     between = (links.join(named.toDF("u", "ru"), "u").join(named.toDF("v", "rv"), "v")
                .select(F.col("ru").alias("u"), F.col("rv").alias("v")))
     roots = components(between).toDF("root", "top")
-    return frozen(labels.join(roots, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+    return gathered(labels.join(roots, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, partners: int = PARTNERS) -> DataFrame:
@@ -277,28 +304,36 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     # copies share their node, so a bucket of one node is no bucket; keys of the others only go on
     dealt = filled.select("node", F.explode("bands").alias("key"))
     shared = dealt.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader <> other")
-    buckets = frozen(dealt.join(shared.select("key", "leader"), "key").distinct())
-    labels = frozen(buckets.select("node").distinct().withColumn("root", F.col("node")))
+    buckets = gathered(dealt.join(shared.select("key", "leader"), "key").distinct())
+    labels = gathered(buckets.select("node").distinct().withColumn("root", F.col("node")))
     candidates = filled.join(labels.select("node"), "node", "left_semi")
-    classes = frozen(candidates.groupBy("node").agg(first).select("node", "f.doc_id", "f._t1", "f._t2"))
-    sides = frozen(candidates.select("node", F.col("n_shingles").alias("size"), "sketch").dropDuplicates(["node"]))
+    classes = gathered(candidates.groupBy("node").agg(first).select("node", "f.doc_id", "f._t1", "f._t2"))
+    sides = gathered(candidates.select("node", F.col("n_shingles").alias("size"), "sketch").dropDuplicates(["node"]))
 
     votes = buckets.where("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("n"))
     best = votes.groupBy("node").agg(F.max(F.struct("n", "leader")).alias("b")).select(F.col("node"), F.col("b.leader").alias("leader"))
-    pairs = frozen(best.select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")).distinct())
-    tested, limit = pairs, partners
-    labels = _merged(labels, _confirmed(pairs, sides, classes, texts, shingle, percent))
+    pairs = gathered(best.select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")).distinct())
+    near = gathered(pairs.join(sides.toDF("u", "size_a", "sketch_a"), "u").join(sides.toDF("v", "size_b", "sketch_b"), "v")
+                  .where(_may_link(percent)).select("u", "v"))
+    labels = _merged(labels, _confirmed(near, classes, texts, shingle, percent))
+    buckets = gathered(_unlike(buckets.select("key", "node")))
+    tested, asked, limit = near, None, partners
+    # a pair of different components that is untested always has a node in ``asked``
     while True:
-        cells = _cells(buckets.select("key", "node"), labels, sides)
+        cells = _cells(buckets, labels, sides, asked)
         order = ["key", "qc", "mc"]
-        found = frozen(cells.repartition(tasks(cells), *order).sortWithinPartitions(*order).select(
+        found = cells.repartition(tasks(cells), *order).sortWithinPartitions(*order).select(
             *order, "query", "node", "root", "size", "sketch").mapInArrow(
-            _nearest(limit, percent), "u bigint, v bigint, more boolean"))
-        new = frozen(found.select("u", "v").distinct().join(tested, ["u", "v"], "left_anti"))
+            _nearest(limit, percent), "q bigint, m bigint, far double, more boolean")
+        place = F.row_number().over(Window.partitionBy("q").orderBy("far", "m")).alias("place")
+        found = gathered(found.groupBy("q", "m").agg(F.min("far").alias("far"), F.max("more").alias("more")).select("q", "m", "more", place))
+        new = gathered(found.where(F.col("place") <= limit).select(F.least("q", "m").alias("u"), F.greatest("q", "m").alias("v"))
+                     .distinct().join(tested, ["u", "v"], "left_anti"))
         if new.limit(1).count():
-            labels = _merged(labels, _confirmed(new, sides, classes, texts, shingle, percent))
-            tested = frozen(tested.unionByName(new))
-        elif not found.where("more").limit(1).count():
+            labels = _merged(labels, _confirmed(new, classes, texts, shingle, percent))
+            tested = gathered(tested.unionByName(new))
+        asked = gathered(found.where(F.col("more") | (F.col("place") > limit)).select(F.col("q").alias("node")).distinct())
+        if not asked.limit(1).count():
             break
         limit *= 16
 
