@@ -116,6 +116,36 @@ def test_candidates_grow_with_the_members(spark, monkeypatch):
     assert sum(asked) <= 2 * len(rows)
 
 
+def test_cells_hold_a_member_once(spark, monkeypatch):
+    """One template, most of whose members link with no other: their buckets share a leader and become few."""
+    rng, rows, placed = random.Random(7), [], []
+    base = [f"w{k}" for k in range(100)]
+    for member in range(160):
+        text = list(base)
+        for at in rng.sample(range(100), rng.choice([2, 3, 9, 12])):
+            text[at] = f"e{rng.randrange(10 ** 6)}"
+        rows.append((member, " ".join(text)))
+    cells = minhash._cells
+
+    def counted(*args):
+        out = cells(*args)
+        placed.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "_cells", counted)
+    check(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")), rows)
+    assert placed[0] <= 10 * len(rows)
+
+
+def test_buckets_of_a_leader(spark):
+    """Buckets 1 to 3 have the leader 1 and the same sets but one; 4 and 5 have little in common; 6 is done."""
+    sets = {1: [1, 2, 3, 4], 2: [1, 2, 3, 5], 3: [1, 2, 4, 5], 4: [7, 8, 9], 5: [7, 10, 11], 6: [12, 13]}
+    buckets = spark.createDataFrame([(k, n, v[0]) for k, v in sets.items() for n in v], "key bigint, node bigint, leader bigint")
+    labels = spark.createDataFrame([(n, 12 if n > 11 else n) for n in range(1, 14)], "node bigint, root bigint")
+    got = sorted(map(tuple, minhash._stars(buckets, labels).select("key", "node").collect()))
+    assert got == sorted([(1, n) for n in range(1, 6)] + [(k, n) for k in (4, 5) for n in sets[k]])
+
+
 def test_odd_sketch_estimates_similarity():
     rng = np.random.default_rng(2)
     for similarity in (0.8, 0.9):

@@ -9,9 +9,10 @@ sets from below without error and is sharp for small sets. What is left is confi
 
 Groups are never expanded into pairs. First each set is held against one set only: the bucket leader
 (smallest hash) with which it shares most bands. Confirmed links make components; buckets within one
-component are done, and of buckets with the same sets one is kept. In the others, every set outside the
-bucket's largest component is compared, by sketch, with all sets of other components, in cells of bounded
-size, and its nearest one over all its buckets is confirmed. Only sets that had more partners than that ask
+component are done, of buckets with the same sets one is kept, and those of one leader, which hold much the
+same sets, become one bucket where no more pairs come of it. In these, every set outside the bucket's largest
+component is compared, by sketch, with all sets of other components, in cells of bounded size, and its nearest
+one over all its buckets is confirmed. Only sets that had more partners than that ask
 again, after the links found have merged components, for sixteen times as many, until none has untested
 partners in another component. So every link between different components is found, while pairs inside a
 component are left alone.
@@ -189,16 +190,16 @@ def _confirmed(near: DataFrame, classes: DataFrame, texts: DataFrame, shingle: i
 # ---------------------------------------------------------------- comparison of components in buckets
 
 def _nearest(limit: int, percent: int):
-    """Arrow map over rows ``(key, qc, mc, query, node, root, size, sketch)`` sorted by cell: for each query
+    """Arrow map over rows ``(key, qc, mc, query, member, node, root, size, sketch)`` sorted by cell: for each query
     of a cell its ``limit`` nearest members of other components among those that may link with it, how far
     they are (both sketches, as shares of what a link may differ by), and whether there are more."""
     most = farthest(percent=percent)
 
     def cell(rows: pa.Table) -> pa.RecordBatch:
-        query = rows.column("query").to_numpy(zero_copy_only=False)
+        query, member = (rows.column(k).to_numpy(zero_copy_only=False) for k in ("query", "member"))
         node, root, size = (rows.column(k).to_numpy() for k in ("node", "root", "size"))
         planes = rows.column("sketch").combine_chunks().flatten().to_numpy().view(_U).reshape(-1, _WORDS + _SET_WORDS)
-        member = np.flatnonzero(~query)
+        member = np.flatnonzero(member)
         drawn, whole = planes[:, :_WORDS], planes[:, _WORDS:]
         us, vs, fars, mores = [], [], [], []
         for q in np.flatnonzero(query):
@@ -240,16 +241,30 @@ def _nearest(limit: int, percent: int):
 
 
 def _unlike(buckets: DataFrame) -> DataFrame:
-    """One of the buckets ``(key, node)`` that hold the same nodes, by their number and 128 bits of hash."""
+    """One of the buckets ``(key, node, leader)`` that hold the same nodes, by their number and 128 bits of hash."""
     marks = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.bit_xor("node").alias("x"),
                                        F.bit_xor(F.xxhash64("node")).alias("y"))
     return buckets.join(marks.groupBy("k", "x", "y").agg(F.min("key").alias("key")).select("key"), "key")
 
 
+def _stars(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The buckets ``(key, node, leader)`` that hold several components, as ``(key, node)``. Those of one leader
+    become one bucket, each of its sets once, where the square of its size is at most the sum of theirs; so every
+    pair that shares a bucket still does."""
+    several = buckets.join(labels, "node").groupBy("key").agg(
+        F.min("root").alias("one"), F.max("root").alias("two"), F.count(F.lit(1)).alias("k")).where("one <> two")
+    rows = gathered(buckets.join(several.select("key", "k"), "key").select("key", "node", "leader", "k"))
+    stars = rows.groupBy("leader", "node").agg(F.sum("k").alias("pairs"), F.min("key").alias("star")).groupBy("leader").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("pairs").alias("pairs"), F.min("star").alias("star")).where("n * n <= pairs")
+    # a leader has a bucket for each band at most, but any number of rows: these are joined by bucket
+    named = rows.select("key", "leader").distinct().join(stars.select("leader", "star"), "leader", "left").select("key", "star")
+    return rows.join(named, "key").select(F.coalesce("star", "key").alias("key"), "node").distinct()
+
+
 def _cells(buckets: DataFrame, labels: DataFrame, sides: DataFrame, asked: DataFrame | None) -> DataFrame:
     """Rows of the cells: in each bucket that holds several components, the sets that are asked for
     (``asked(node)``; None: those outside its largest component) as queries against all of its sets
-    (members), in a grid of cells of about ``CELL`` by ``CELL``."""
+    (members), in a grid of cells of about ``CELL`` by ``CELL``. A set has one row in a cell, be it both."""
     rows = buckets.join(labels, "node").select("key", "node", "root")
     if asked is not None:
         rows = rows.join(asked.withColumn("query", F.lit(True)), "node", "left").withColumn("query", F.col("query").isNotNull())
@@ -268,11 +283,12 @@ def _cells(buckets: DataFrame, labels: DataFrame, sides: DataFrame, asked: DataF
     grid = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("mcs"),
                                    F.ceil(F.count_if("query") / CELL).cast("int").alias("qcs"))
     spot = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    at = lambda qc, mc, query: F.struct(qc.alias("qc"), mc.alias("mc"), F.lit(query).alias("query"))
-    each = lambda n, make: F.transform(F.sequence(F.lit(0), F.col(n) - 1), make)
-    members = each("qcs", lambda qc: at(qc, spot(F.col("mcs")), False))
-    queries = F.when(F.col("query"), each("mcs", lambda mc: at(spot(F.col("qcs")), mc, True)))
-    places = F.inline(F.concat(members, F.coalesce(queries, F.array())))
+    at = lambda qc, mc, query, member: F.struct(qc.alias("qc"), mc.alias("mc"), query.alias("query"), F.lit(member).alias("member"))
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    members = F.transform(each("qcs"), lambda qc: at(qc, spot(F.col("mcs")), F.col("query") & (qc == spot(F.col("qcs"))), True))
+    elsewhere = F.filter(each("mcs"), lambda mc: F.col("query") & (mc != spot(F.col("mcs"))))
+    queries = F.transform(elsewhere, lambda mc: at(spot(F.col("qcs")), mc, F.lit(True), False))
+    places = F.inline(F.concat(members, queries))
     return rows.join(grid, "key").select("key", places, "node", "root").join(sides, "node")
 
 
@@ -316,14 +332,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     near = gathered(pairs.join(sides.toDF("u", "size_a", "sketch_a"), "u").join(sides.toDF("v", "size_b", "sketch_b"), "v")
                   .where(_may_link(percent)).select("u", "v"))
     labels = _merged(labels, _confirmed(near, classes, texts, shingle, percent))
-    buckets = gathered(_unlike(buckets.select("key", "node")))
+    buckets = gathered(_stars(_unlike(buckets), labels))
     tested, asked, limit = near, None, partners
     # a pair of different components that is untested always has a node in ``asked``
     while True:
         cells = _cells(buckets, labels, sides, asked)
         order = ["key", "qc", "mc"]
         found = cells.repartition(tasks(cells), *order).sortWithinPartitions(*order).select(
-            *order, "query", "node", "root", "size", "sketch").mapInArrow(
+            *order, "query", "member", "node", "root", "size", "sketch").mapInArrow(
             _nearest(limit, percent), "q bigint, m bigint, far double, more boolean")
         place = F.row_number().over(Window.partitionBy("q").orderBy("far", "m")).alias("place")
         found = gathered(found.groupBy("q", "m").agg(F.min("far").alias("far"), F.max("more").alias("more")).select("q", "m", "more", place))
