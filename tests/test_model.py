@@ -158,3 +158,24 @@ def test_normalisers_in_one_scan(spark):
     topics = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(alpha)], "topic int, vec array<double>")
     got, _ = M.beta_by_token(df, topics)
     assert np.allclose(sorted(r.beta[2] for r in got.collect()), sorted((e / e.sum(axis=1, keepdims=True))[2]))
+
+
+def test_first_layer_in_blocks_gives_the_same_encoding(spark, monkeypatch):
+    """A first layer of several blocks is shipped block by block (none of it held whole on the driver), read in one
+    narrow pass; beta in many blocks is one pass too, without an exchange."""
+    c = model_context(spark, SF)
+    whole = M.EncoderWeights.from_table(c.params, c.vocab_size)
+    assert "W1" in whole.mats and whole.blocks is None
+    monkeypatch.setattr(M, "BLOCK_BYTES", 8 * 8 * 100)
+    monkeypatch.setattr(M, "KEPT_BYTES", 0)
+    parts = M.EncoderWeights.from_table(c.params, c.vocab_size)
+    assert parts.first is None and "W1" not in parts.mats and len(parts.blocks.blocks) > 3
+    assert all(len(bc.value) <= 100 for _, bc in parts.blocks.blocks)
+    docs = c.packed().where("split in ('tr', 'va')")
+    key = lambda r: (r["split"], r["doc_ix"])
+    a, b = (sorted(M.encode_docs(docs, w).collect(), key=key) for w in (whole, parts))
+    assert [key(r) for r in a] == [key(r) for r in b] and all(np.allclose(x["mu"], y["mu"], rtol=1e-12) for x, y in zip(a, b))
+    enc = M.encode_docs(docs, parts, carry=True)
+    for df in (M.elbo_forward(enc, M.beta_lookup(c.beta_tok)), M.reconstruction_loss(enc, None, M.beta_lookup(c.beta_tok))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Union" not in plan.split("InMemoryRelation")[0] and "Aggregate" not in plan.split("InMemoryRelation")[0]
