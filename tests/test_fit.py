@@ -1,5 +1,6 @@
 """Gradient against finite differences and a single-process run; the fit against the same; resume."""
 
+import time
 from dataclasses import replace
 
 import numpy as np
@@ -222,3 +223,57 @@ def test_fitted_model_saved_loaded_evaluated(spark, tmp_path):
     want = RF.beta_from(np.array([rho[t] for t in range(len(rho))]), state.model.alpha)
     beta = {(r["topic"], r["token_id"]): r["p"] for r in loaded.beta_long.collect()}
     assert all(abs(beta[t, 3] - want[k, 3]) < 1e-12 for k, t in enumerate(loaded.topics))
+
+
+def jobs_of(spark, run):
+    """The number of jobs that ``run`` starts."""
+    sc, group = spark.sparkContext, f"counted-{time.time_ns()}"
+    sc.setJobGroup(group, "counted")
+    try:
+        out = run()
+        return len(sc.statusTracker().getJobIdsForGroup(group)), out
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("kind,drop,clip", [("adam", 0.3, 0.05), ("sgd", 0.0, 0.0)])
+def test_held_fit_equals_tables_in_one_job_a_step(spark, monkeypatch, kind, drop, clip):
+    """A small model's first layer is held by the driver: the same fit as with tables by token, one job a step.
+    A token without a row of the first layer or without a word vector counts as before."""
+    tr, h1, h2 = fit_inputs(spark)
+    whole = replace(distributed(spark, tiny_state("relu", seed=6), train_rho=False), drop=drop)
+    # documents have tokens without a first row, without a vector, and without either
+    used = sorted({t for r in ROWS for t in r[1]})
+    model = replace(whole, rho=whole.rho.where(f"token_id not in ({used[0]}, {used[2]})"))
+    if not clip:
+        model = replace(model, first=whole.first.where(f"token_id not in ({used[1]}, {used[2]})"))
+    args = dict(epochs=3, batch_size=4, lr=0.05, optimizer=kind, seed=2, clip=clip)
+    monkeypatch.setattr(FT, "validation_ppl", lambda *a: 1.0)
+    held, rows, _ = FT.fit_topics(tr, h1, h2, replace(model), **args)
+    state = FT.FitState.start(replace(model), FT.Rule(kind, 0.05))
+    words, batch = FT.HeldWords.of(state), tr.where("doc_ix < 4")
+    jobs, _ = jobs_of(spark, lambda: FT.train_step(state, batch, 2, clip, held=words))
+    assert jobs == 1
+    monkeypatch.setattr(FT, "HELD_BYTES", 0)
+    assert FT.HeldWords.of(state) is None
+    want, other, _ = FT.fit_topics(tr, h1, h2, replace(model), **args)
+    assert np.allclose([r[2:4] for r in rows], [r[2:4] for r in other], rtol=1e-10)
+    for name in FT.UPPER:
+        assert np.allclose(held.model.upper[name], want.model.upper[name], atol=1e-10), name
+    assert np.allclose(held.model.alpha, want.model.alpha, atol=1e-10)
+    a, b = ({r["token_id"]: r["p"] + r["m"] + r["v"] + [r["last"]] for r in s.first.base.collect()} for s in (held, want))
+    assert a.keys() == b.keys() and all(np.allclose(a[t], b[t], atol=1e-10) for t in b)
+
+
+def test_word_vectors_query_does_the_whole_job(spark, monkeypatch):
+    """The registered query asks for the documented width, window and passes."""
+    from toposcope.plans import registry as G
+    asked = {}
+
+    def fit(words, vector_size=300, window=4, max_iter=50, **more):
+        asked.update(vector_size=vector_size, window=window, max_iter=max_iter)
+        return spark.createDataFrame([("w", [0.0])], "word string, vec array<double>")
+
+    monkeypatch.setattr(FT, "fit_word_vectors", fit)
+    G.REGISTRY["fit_word_vectors"](spark, "/root/testdata/sf0.001")
+    assert asked == {"vector_size": 300, "window": 4, "max_iter": 50}
