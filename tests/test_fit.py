@@ -277,3 +277,18 @@ def test_word_vectors_query_does_the_whole_job(spark, monkeypatch):
     monkeypatch.setattr(FT, "fit_word_vectors", fit)
     G.REGISTRY["fit_word_vectors"](spark, "/root/testdata/sf0.001")
     assert asked == {"vector_size": 300, "window": 4, "max_iter": 50}
+
+
+def test_many_batches_share_folders(spark):
+    """More batches than folders: the same batches, in a bounded number of folders."""
+    import os
+    df = spark.createDataFrame([(i, [i % 7], [1]) for i in range(100)], "doc_ix long, tokens array<int>, counts array<int>")
+    batched = FT.epoch_batches(df, 1, 4, 5)
+    layout = FT.EpochLayout(batched, folders=5)
+    assert layout.batches == 25 and len([d for d in os.listdir(layout.path.removeprefix("file:")) if "part=" in d]) == 5
+    whole = FT.EpochLayout(batched)
+    assert sorted(map(tuple, layout.rows.collect())) == sorted(map(tuple, whole.rows.collect()))
+    for b in (0, 4, 5, 24):
+        assert sorted(layout.batch(b).collect()) == sorted(whole.batch(b).collect()) and layout.batch(b).count() == 4
+    plan = layout.batch(3)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_part" in plan

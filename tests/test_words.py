@@ -72,3 +72,19 @@ def test_long_documents_are_normalised_in_proportion(spark):
     assert time.monotonic() - begun < 40
     small = spark.createDataFrame([([0.0, 1.0],), (None,)], "x array<double>").select(M.softmax_array(F.col("x")).alias("p")).collect()
     assert small[0].p == pytest.approx([0.2689414213699951, 0.7310585786300049]) and small[1].p is None
+
+
+def test_words_are_found_by_hash(monkeypatch):
+    """Places of words among a vocabulary sorted by hash, equal hashes of different words included."""
+    import numpy as np
+    import pyarrow as pa
+
+    from toposcope.functions import words as W
+    known = [f"w{i}é" for i in range(500)] + ["", "a", "aa", "\U0001f600"]
+    asked = ["a", "w7é", "none", "", "aa", "\U0001f600", "w499é", "w500é"]
+    for hashes in (W.string_hashes, lambda c: np.array([len(x or "") % 3 for x in c.to_pylist()], np.uint64)):
+        monkeypatch.setattr(W, "string_hashes", hashes)
+        words, ids, h = W.words_by_hash(pa.array(known), pa.array(range(len(known))))
+        place = W.place_in(words, h, pa.array(asked))
+        assert [known.index(w) if w in known else -1 for w in asked] == [ids[int(p)].as_py() if p >= 0 else -1 for p in place]
+    assert W.place_in(*W.words_by_hash(pa.array([], pa.string()), pa.array([], pa.int64()))[::2], pa.array(asked)).tolist() == [-1] * 8
